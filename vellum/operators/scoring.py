@@ -111,9 +111,12 @@ def bleu_counts_multi(pairs: DataFrame, refs: str = "refs", pred: str = "pred",
                           *[F.greatest(F.size("_t") - n + 1, F.lit(0)).alias(f"_p{n}")
                             for n in range(1, max_order + 1)])
 
+    def tag(n: int):
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+
     def grams(arr: Column) -> Column:
-        return F.flatten(F.array(*[F.transform(A.ngrams(arr, n), lambda g, n=n: F.struct(
-            F.lit(n).alias("n"), g.alias("g"))) for n in range(1, max_order + 1)]))
+        return F.flatten(F.array(*[F.transform(A.ngrams(arr, n), tag(n))
+                                   for n in range(1, max_order + 1)]))
 
     pred_g = (base.select(key, F.explode(grams(F.col("_t"))).alias("x"))
               .groupBy(key, "x.n", "x.g").agg(F.count(F.lit(1)).alias("_cp")))
