@@ -3,9 +3,9 @@ DuckDB twins. Each query takes (spark, sf_dir) and reads the driver tables."""
 
 from __future__ import annotations
 
-from vellum.plans import corpus_q, records_q, scores_q, vectors_q
+from vellum.plans import corpus_q, io_q, records_q, scores_q, vectors_q
 
-FAMILIES = [corpus_q, scores_q, records_q, vectors_q]
+FAMILIES = [corpus_q, scores_q, records_q, vectors_q, io_q]
 
 
 def queries() -> dict:
