@@ -19,19 +19,21 @@ def ngrams(tokens, n: int, sep: str = " ") -> Column:
     return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def multiset_overlap(a, b) -> Column:
-    """``sum((Counter(a) & Counter(b)).values())``.
+# Arrays up to this length use the native tagged intersection (quadratic
+# position lookups in native code); longer ones use the linear sorted merge.
+TAGGED_MAX = 1024
 
-    Both arrays are sorted once and merged with two cursors carried in the
-    fold state, so the cost is O(n log n) and no array is copied per step.
-    """
-    init = F.struct(
-        F.array_sort(_c(a)).alias("a"),
-        F.array_sort(_c(b)).alias("b"),
-        F.lit(0).alias("i"),
-        F.lit(0).alias("j"),
-        F.lit(0).alias("c"),
-    )
+
+def occurrence_tagged(sorted_arr) -> Column:
+    """Sorted array -> array of (value, k) where k numbers repeated values
+    (1, 2, ...): two multisets then intersect exactly as sets of tags."""
+    s = _c(sorted_arr)
+    return F.transform(s, lambda x, i: F.struct(x.alias("v"), (i - F.array_position(s, x)).alias("k")))
+
+
+def _merge_overlap(sa: Column, sb: Column) -> Column:
+    """Linear two-cursor merge over two sorted arrays (O(n) fold steps)."""
+    init = F.struct(sa.alias("a"), sb.alias("b"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("c"))
 
     def step(s, _):
         x = F.get(s["a"], s["i"])
@@ -46,8 +48,30 @@ def multiset_overlap(a, b) -> Column:
                                 (s["j"] + 1).alias("j"), s["c"].alias("c")))
         )
 
-    steps = F.sequence(F.lit(0), F.size(_c(a)) + F.size(_c(b)))
-    return F.aggregate(steps, init, step, lambda s: s["c"])
+    return F.aggregate(F.sequence(F.lit(0), F.size(sa) + F.size(sb)), init, step, lambda s: s["c"])
+
+
+def multiset_overlap(a, b) -> Column:
+    """``sum((Counter(a) & Counter(b)).values())`` of two array expressions.
+
+    Safe for any expression: both arrays are sorted once into the fold state
+    and merged with two cursors (linear). When the inputs are plain columns,
+    ``sorted_overlap`` on pre-sorted columns is faster.
+    """
+    return _merge_overlap(F.array_sort(_c(a)), F.array_sort(_c(b)))
+
+
+def sorted_overlap(sa, sb) -> Column:
+    """``multiset_overlap`` for already-sorted arrays held in columns of a
+    previous projection (the tag lambda looks each value up in its array, so
+    the arrays must not be recomputed per element). Arrays up to
+    ``TAGGED_MAX`` use a native ``array_intersect`` of occurrence-tagged
+    values; longer ones the linear merge, so the cost never goes quadratic
+    beyond that size."""
+    sa, sb = _c(sa), _c(sb)
+    small = (F.size(sa) <= TAGGED_MAX) & (F.size(sb) <= TAGGED_MAX)
+    tagged = F.size(F.array_intersect(occurrence_tagged(sa), occurrence_tagged(sb)))
+    return F.when(small, tagged).otherwise(_merge_overlap(sa, sb))
 
 
 def dot(a, b) -> Column:
@@ -65,9 +89,12 @@ def l2_norm(v) -> Column:
 
 
 def l2_normalize(v, eps: float = 1e-12) -> Column:
-    """``v / max(||v||, eps)`` element-wise."""
-    norm = l2_norm(v)
-    return F.transform(_c(v), lambda x: x.cast("double") / F.greatest(norm, F.lit(eps)))
+    """``v / max(||v||, eps)`` element-wise. The norm is computed once and
+    zipped in (an outer expression inside a lambda would be re-evaluated for
+    every element)."""
+    v = _c(v)
+    norm = F.array_repeat(F.greatest(l2_norm(v), F.lit(eps)), F.size(v))
+    return F.zip_with(v, norm, lambda x, n: x.cast("double") / n)
 
 
 def argmax_first(scores) -> Column:
@@ -80,4 +107,5 @@ def argmax_first(scores) -> Column:
 def n_tied_max(scores) -> Column:
     """How many entries equal the maximum (degenerate vectors show up here)."""
     s = _c(scores)
-    return F.size(F.filter(s, lambda x: x == F.array_max(s)))
+    top = F.array_repeat(F.array_max(s), F.size(s))
+    return F.size(F.filter(F.zip_with(s, top, lambda x, m: x == m), lambda b: b))

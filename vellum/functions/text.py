@@ -120,10 +120,11 @@ def starts_with_punct(c) -> Column:
     return _c(c).rlike(LEADING_PUNCT)
 
 
-def sentence_clean(c, min_words: int = 5, max_words: int = 128) -> Column:
+def sentence_clean(c, min_words: int = 5, max_words: int = 128, stripped: bool = False) -> Column:
     """Sentence quality predicate: length band, no leading punctuation, no
-    newline, balanced brackets (cheap tests first; And short-circuits)."""
-    s = strip(c)
+    newline, balanced brackets (cheap tests first; And short-circuits).
+    ``stripped=True`` skips the (idempotent) strip for already-stripped text."""
+    s = _c(c) if stripped else strip(c)
     n = word_count(s)
     return (
         ~s.contains("\n")
@@ -141,8 +142,8 @@ def split_sentences(c) -> Column:
 def split_period(c) -> Column:
     """``t.split('. ')`` with the period put back on every piece but the last."""
     parts = F.split(_c(c), r"\. ")
-    n = F.size(parts)
-    return F.transform(parts, lambda s, i: F.when(i < n - 1, F.concat(s, F.lit("."))).otherwise(s))
+    head = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda s: F.concat(s, F.lit(".")))
+    return F.concat(head, F.slice(parts, -1, 1))
 
 
 def tok_13a(c) -> Column:

@@ -28,9 +28,10 @@ def _f(p: Column, r: Column) -> Column:
 def token_f1(pairs: DataFrame, ref: str = "ref", pred: str = "pred", by: Sequence[str] = (),
              tokenizer: Callable[[Column], Column] = T.pure_tokens) -> DataFrame:
     """Macro precision/recall (means of per-row values) and F1 of the means."""
-    tok = pairs.select(*by, tokenizer(F.col(pred)).alias("_p"), tokenizer(F.col(ref)).alias("_l"))
+    tok = pairs.select(*by, F.array_sort(tokenizer(F.col(pred))).alias("_p"),
+                       F.array_sort(tokenizer(F.col(ref))).alias("_l"))
     ov = tok.select(*by, F.size("_p").alias("_np"), F.size("_l").alias("_nl"),
-                    A.multiset_overlap("_p", "_l").alias("_ov"))
+                    A.sorted_overlap("_p", "_l").alias("_ov"))
     either_empty = (F.col("_np") == 0) | (F.col("_nl") == 0)
     same = F.when(F.col("_np") == F.col("_nl"), 1.0).otherwise(0.0)
     rows = ov.select(
@@ -84,11 +85,15 @@ def bleu_counts(pairs: DataFrame, ref: str = "ref", pred: str = "pred", by: Sequ
     for a single reference per row. The overlap of each order is an in-row
     sorted merge, so no n-gram is ever shuffled."""
     tok = pairs.select(*by, tokenizer(F.col(pred)).alias("_t"), tokenizer(F.col(ref)).alias("_r"))
-    cols = [F.size("_t").alias("_tl"), F.size("_r").alias("_rl")]
+    # each order's n-grams are built and sorted once, in their own projection
+    grams = tok.select(*by, F.size("_t").alias("_tl"), F.size("_r").alias("_rl"),
+                       *[F.array_sort(A.ngrams("_t", n)).alias(f"_tg{n}") for n in range(1, max_order + 1)],
+                       *[F.array_sort(A.ngrams("_r", n)).alias(f"_rg{n}") for n in range(1, max_order + 1)])
+    cols = [F.col("_tl"), F.col("_rl")]
     for n in range(1, max_order + 1):
-        cols.append(A.multiset_overlap(A.ngrams("_t", n), A.ngrams("_r", n)).alias(f"_m{n}"))
-        cols.append(F.greatest(F.size("_t") - n + 1, F.lit(0)).alias(f"_p{n}"))
-    per_row = tok.select(*by, *cols)
+        cols.append(A.sorted_overlap(f"_tg{n}", f"_rg{n}").alias(f"_m{n}"))
+        cols.append(F.greatest(F.col("_tl") - n + 1, F.lit(0)).alias(f"_p{n}"))
+    per_row = grams.select(*by, *cols)
     aggs = [F.sum("_tl").cast("long").alias("translation_length"),
             F.sum("_rl").cast("long").alias("reference_length")]
     for n in range(1, max_order + 1):
@@ -162,12 +167,12 @@ def bleu_1_to_4(pairs: DataFrame, ref: str = "ref", pred: str = "pred", by: Sequ
 
 
 # ------------------------------------------------------------------ ROUGE ---
-def rouge_n_prf(pred_tokens: Column, ref_tokens: Column, n: int):
-    """(precision, recall, F) Columns of ROUGE-N for two token arrays."""
-    pg, rg = A.ngrams(pred_tokens, n), A.ngrams(ref_tokens, n)
-    ov = A.multiset_overlap(pg, rg)
-    p = ov / F.greatest(F.size(pg), F.lit(1))
-    r = ov / F.greatest(F.size(rg), F.lit(1))
+def rouge_n_prf(pred_grams: Column, ref_grams: Column):
+    """(precision, recall, F) Columns of ROUGE-N from two sorted n-gram array
+    columns."""
+    ov = A.sorted_overlap(pred_grams, ref_grams)
+    p = ov / F.greatest(F.size(pred_grams), F.lit(1))
+    r = ov / F.greatest(F.size(ref_grams), F.lit(1))
     return p, r, _f(p, r)
 
 
@@ -182,10 +187,15 @@ def rouge_rows(pairs: DataFrame, ref: str = "ref", pred: str = "pred", keep: Seq
                tokenizer: Callable[[Column], Column] = T.tok_rouge) -> DataFrame:
     """Per-row ROUGE F scores (the ``use_aggregator=False`` output)."""
     tok = _rouge_tokens(pairs, ref, pred, keep, tokenizer)
+    orders = sorted({int(t[5:]) for t in rouge_types if t[5:].isdigit()})
+    # sorted n-gram arrays of each order are projected once per row
+    tok = tok.select("*", *[F.array_sort(A.ngrams("_pt", n)).alias(f"_pg{n}") for n in orders],
+                     *[F.array_sort(A.ngrams("_rt", n)).alias(f"_rg{n}") for n in orders])
     cols = []
     for t in rouge_types:
-        if t in ("rouge1", "rouge2") or (t.startswith("rouge") and t[5:].isdigit()):
-            cols.append(rouge_n_prf(F.col("_pt"), F.col("_rt"), int(t[5:]))[2].alias(t))
+        if t[5:].isdigit():
+            n = int(t[5:])
+            cols.append(rouge_n_prf(F.col(f"_pg{n}"), F.col(f"_rg{n}"))[2].alias(t))
         elif t == "rougeL":
             cols.append(L.rouge_l_udf(F.col("_rt"), F.col("_pt")).alias(t))
         elif t == "rougeLsum":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.operators import corpus as C
 from vellum.plans import duck as D
-from vellum.session import table
+from vellum.session import materialize, spread, table
 
 SEED = 2023
 # Split sizes of the registered split query: the sample table of the reference
@@ -26,8 +26,14 @@ Q: dict = {}
 SQL: dict = {}
 
 
+def docs(spark, sf):
+    """The documents table, hash-spread by doc_id when it is stored as fewer
+    files than task slots (see ``spread``)."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def _sentences(spark, sf):
-    return C.sentences(table(spark, sf, "documents"), keep=["doc_id", "lang", "source"])
+    return C.sentences(docs(spark, sf), keep=["doc_id", "lang", "source"])
 
 
 def _clean(spark, sf):
@@ -132,7 +138,7 @@ FROM (SELECT lang, {D.balanced('probe')} AS ok FROM (
 
 
 def str_strip(spark, sf):
-    s = C.sentences(table(spark, sf, "documents"), keep=["lang"],
+    s = C.sentences(docs(spark, sf), keep=["lang"],
                     splitter=lambda c: F.split(c, "(?<=[.!?])(?=\\s)"))
     # this splitter leaves the white space on the next piece; strip() removes it
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pieces"),
@@ -148,7 +154,7 @@ GROUP BY lang"""
 
 
 def str_split_ws(spark, sf):
-    d = table(spark, sf, "documents")
+    d = docs(spark, sf)
     return d.groupBy("lang").agg(F.sum(T.word_count("text")).alias("n_words"),
                                  F.sum(F.length(T.collapse_ws("text"))).alias("n_chars_collapsed"))
 
@@ -163,7 +169,7 @@ SQL["str_collapse_ws"] = SQL["str_split_ws"]
 
 
 def str_lower(spark, sf):
-    d = table(spark, sf, "documents")
+    d = docs(spark, sf)
     return d.groupBy("lang").agg(F.count_distinct(F.md5(F.lower("text"))).alias("n_distinct_lower"),
                                  F.sum((F.lower("text") == F.col("text")).cast("int")).cast("long")
                                  .alias("n_already_lower"))
@@ -177,7 +183,7 @@ FROM documents GROUP BY lang"""
 
 
 def str_first_line(spark, sf):
-    d = table(spark, sf, "documents")
+    d = docs(spark, sf)
     return d.groupBy("lang").agg(F.sum(F.length(T.first_line("text"))).alias("first_line_chars"),
                                  F.count_distinct(T.first_line("text")).alias("n_distinct_first"))
 
@@ -201,7 +207,7 @@ FROM ({CLEAN_SQL}) c GROUP BY source"""
 
 
 def precond_md5_dedup(spark, sf):
-    kept = C.md5_dedup(table(spark, sf, "documents"))
+    kept = C.md5_dedup(docs(spark, sf))
     return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_id").alias("sum_id"))
 
 
@@ -212,7 +218,7 @@ WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY md5(text)) GROUP BY
 
 
 def smp_seeded_shuffle(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id")
+    d = docs(spark, sf).select("doc_id")
     return C.seeded_order(d, SEED, ["doc_id"]).select("doc_id", "ord")
 
 
@@ -241,7 +247,9 @@ SQL["smp_range_slice"] = f"SELECT * FROM ({_SHUF_SQL}) WHERE ord >= {SLICE[0]} A
 
 
 def _ordered_clean(spark, sf):
-    return C.seeded_order(_clean(spark, sf), SEED, ["doc_id", "pos"])
+    """Clean sentences in seeded order, materialised once: splits, the prefix
+    cap and both remainder bands all read this table."""
+    return materialize(C.seeded_order(_clean(spark, sf), SEED, ["doc_id", "pos"]))
 
 
 _ORD_CLEAN_SQL = f"""
@@ -313,7 +321,7 @@ FROM ({CLEAN_SQL}) c GROUP BY lang"""
 
 
 def str_split_period(spark, sf):
-    p = C.split_period_sentences(table(spark, sf, "documents"), keep=["doc_id", "lang"])
+    p = C.split_period_sentences(docs(spark, sf), keep=["doc_id", "lang"])
     return p.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pieces"),
                                  F.sum(F.length("text")).alias("n_chars"),
                                  F.count_distinct("text").alias("n_distinct"))

@@ -15,7 +15,7 @@ from vellum.plans import duck as D
 from vellum.plans import scores_q
 from vellum.plans.corpus_q import SPLIT_SIZES, SQL as CSQL, _ordered_clean
 from vellum.plans.records_q import cand_list_sql
-from vellum.session import table
+from vellum.session import materialize, table
 from vellum.sources import readers as RD
 from vellum.sources import writers as W
 from vellum.streaming import sentences as STR
@@ -257,7 +257,7 @@ for _slug in ("str_final_period", "str_render_attributes"):
 
 
 def triage_candidates(spark, sf):
-    r = triage_records(spark, sf)
+    r = materialize(triage_records(spark, sf))   # read by four candidate passes
     for a in TRIAGE_ATTRS:
         r = B.candidate_lists(r, "row_id", a, SEED)
     return r.select("row_id", *[F.array_join(f"{a}_candidate_list", "|").alias(f"{a}_candidates")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.operators import records as B
 from vellum.plans import duck as D
-from vellum.session import table
+from vellum.session import materialize, spread, table
 
 SEED = 2023
 ATTRS = ["birth_date", "occupation", "nationality"]
@@ -25,7 +25,7 @@ SQL: dict = {}
 
 # ---------------------------------------------------------------- fixture ---
 def bio_source(spark, sf):
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer"), "c_custkey")
     n = F.broadcast(table(spark, sf, "nation"))     # 25 rows at every scale
     r = F.broadcast(table(spark, sf, "region"))     # 5 rows at every scale
     j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
@@ -341,7 +341,7 @@ SELECT {key}, list_prepend(truth, list(value ORDER BY pos)[1:k - 1]) AS cands FR
 
 
 def cand_list(spark, sf):
-    s = s_render(spark, sf)
+    s = materialize(s_render(spark, sf))   # read by three candidate passes
     for a in ATTRS:
         s = B.candidate_lists(s, "row_id", a, SEED)
     return s.select("row_id", "split", *[F.array_join(f"{a}_candidate_list", "|").alias(f"{a}_candidates")

@@ -16,7 +16,7 @@ from vellum.functions import text as T
 from vellum.operators import results as R
 from vellum.operators import scoring as S
 from vellum.plans import duck as D
-from vellum.session import table
+from vellum.session import spread, table
 
 Q: dict = {}
 SQL: dict = {}
@@ -28,7 +28,7 @@ SEED = 2023
 def pairs(spark, sf, runs=(1,)):
     """(dataset, run, pair_id, ref, pred): equi-join of a turn with the turn
     ``run`` steps later (keys are unique, so the join cannot skew)."""
-    c = table(spark, sf, "conversations")
+    c = spread(table(spark, sf, "conversations"), "conv_id")
     a = c.select("conv_id", "turn", F.col("role").alias("dataset"), F.col("text").alias("ref"))
     b = c.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("text").alias("pred"))
     out = None
@@ -81,7 +81,7 @@ SQL["pair_ref_pred"] = SQL["pair_text_pred"]
 # ------------------------------------------------------------ tokenizers ---
 def _tok_counts(fn):
     def q(spark, sf):
-        c = table(spark, sf, "conversations").select("role", fn(F.col("text")).alias("t"))
+        c = spread(table(spark, sf, "conversations"), "conv_id").select("role", fn(F.col("text")).alias("t"))
         return c.groupBy("role").agg(F.sum(F.size("t")).alias("n_tokens"),
                                      F.sum(F.size(F.array_distinct("t"))).alias("n_row_distinct"),
                                      F.sum(F.length(F.array_join("t", " "))).alias("n_chars"))
@@ -103,7 +103,7 @@ for _name, _fn, _dfn in [("tok_13a", T.tok_13a, D.tok_13a), ("tok_rouge", T.tok_
 
 
 def str_strip_punct(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = spread(table(spark, sf, "conversations"), "conv_id")
     return c.groupBy("role").agg(F.sum(F.length(T.strip_punct(F.lower("text")))).alias("n_chars"),
                                  F.count_distinct(T.strip_punct("text")).alias("n_distinct"))
 
@@ -117,7 +117,7 @@ FROM conversations GROUP BY role"""
 
 def arr_ngrams(spark, sf):
     from vellum.functions import arrays as A
-    c = table(spark, sf, "conversations").select("role", T.tok_13a(F.col("text")).alias("t"))
+    c = spread(table(spark, sf, "conversations"), "conv_id").select("role", T.tok_13a(F.col("text")).alias("t"))
     return c.groupBy("role").agg(*[F.sum(F.size(F.array_distinct(A.ngrams("t", n)))).alias(f"n{n}")
                                    for n in range(1, 5)])
 
@@ -237,7 +237,7 @@ SQL["metric_bleu"] = f"SELECT dataset, run, round({_bleu_score_sql(4)}, 9) AS bl
 
 def multi_ref_pairs(spark, sf):
     """Prediction = a turn; references = the turns before and after it."""
-    c = table(spark, sf, "conversations")
+    c = spread(table(spark, sf, "conversations"), "conv_id")
     cur = c.select("conv_id", "turn", F.col("role").alias("dataset"), F.col("text").alias("pred"))
     prv = c.select(F.col("conv_id").alias("_c1"), F.col("turn").alias("_t1"), F.col("text").alias("_r1"))
     nxt = c.select(F.col("conv_id").alias("_c2"), F.col("turn").alias("_t2"), F.col("text").alias("_r2"))

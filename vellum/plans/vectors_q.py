@@ -19,7 +19,7 @@ from vellum.operators import scoring as S
 from vellum.operators import vectors as V
 from vellum.plans import duck as D
 from vellum.plans.records_q import cand_list_sql
-from vellum.session import table
+from vellum.session import spread, table
 
 SEED = 2023
 RUNS = 10
@@ -106,7 +106,7 @@ SQL["row_count"] = "SELECT count(*) AS n_rows FROM embeddings"
 
 def pair_embedding(spark, sf):
     """Vectors attached to document rows by key (vec_id = doc_id)."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    docs = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", "lang")
     vecs = _emb(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
     j = V.attach(docs, vecs, "doc_id")
     return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"),
@@ -122,7 +122,7 @@ SQL["map_with_index"] = SQL["pair_embedding"]
 
 def embed_batch(spark, sf):
     """Whole documents encoded in batches of 100 by the hashed encoder."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     v = V.embed(docs, "text", keep=["doc_id", "lang"], dim=DIM)
     return v.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.size("embedding")).alias("dim"))
 
@@ -132,7 +132,7 @@ Q["embed_batch"] = embed_batch   # Python encoder: checked against a direct call
 
 # ---------------------------------------------------------------- pooling ---
 def _tokens(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = spread(table(spark, sf, "conversations"), "conv_id")
     t = c.select("conv_id", "turn", F.posexplode(T.tok_rouge(F.col("text"))).alias("pos", "token"))
     stop = F.array(*[F.lit(w) for w in T.STOPWORDS_EN])
     return t.select("conv_id", "turn", "pos", V.hashed_token_vector(F.col("token"), POOL_DIM).alias("vec"),
@@ -332,7 +332,7 @@ def seq_truncate_eos_pad(spark, sf):
     """Token ids (md5 of each token) cut to MAX_LEN, EOS appended when shorter,
     right-padded with -100 to the longest sequence of each batch of BATCH
     rows; batches follow the seeded order."""
-    c = table(spark, sf, "conversations")
+    c = spread(table(spark, sf, "conversations"), "conv_id")
     ids = F.transform(T.tok_rouge(F.col("text")),
                       lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"))
     s = c.select("conv_id", "turn", ids.alias("ids"))
@@ -373,7 +373,7 @@ SQL["schema_attributes"] = "SELECT 'label' AS attribute, count(*) AS n_rows, cou
 
 
 def arr_flatten(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     nested = F.transform(T.split_sentences(F.col("text")), lambda s: T.split_ws(s))
     return d.groupBy("lang").agg(F.sum(F.size(F.flatten(nested))).alias("n_words"))
 

@@ -57,3 +57,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df, *keys):
+    """Hash-redistribute a scan made of fewer files than task slots.
+
+    A table stored as a handful of single-row-group files yields one busy task
+    no matter how many cores there are; for text-heavy per-row work (regex,
+    tokenising) one hash exchange on the row key fixes that. A scan of many
+    files is already parallel and is returned unchanged (no extra shuffle), so
+    at cluster scale this is a no-op.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - not a file scan
+        return df
+    if n_files >= slots:
+        return df
+    return df.repartition(slots, *keys) if keys else df.repartition(slots)
+
+
+def materialize(df):
+    """Cut lineage at a table that several branches read (a seeded order feeding
+    splits and bands): a reliable checkpoint in the session's shared checkpoint
+    folder, so lost executors never force recomputing the upstream text work."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
