@@ -277,12 +277,14 @@ def reconstruction_metrics(pairs: DataFrame, ref: str = "ref", pred: str = "pred
                            key: str = "row_id", by: Sequence[str] = (),
                            n_samples: int = 1000, seed: int = 2023) -> DataFrame:
     """precision, recall, f1, rouge1/2/L/Lsum, bleu1..4 in one wide row per group."""
-    f1 = token_f1(pairs, ref, pred, by)
-    rg = rouge(pairs, ref, pred, key, by, n_samples=n_samples, seed=seed)
-    bl = bleu_1_to_4(pairs, ref, pred, by)
-    if by:
-        return f1.join(rg, list(by)).join(bl, list(by))
-    return f1.crossJoin(rg).crossJoin(bl)  # three single-row aggregates
+    keys = list(by) or ["_all"]
+    if not by:  # one group: a constant key keeps the three results an equi-join
+        pairs = pairs.withColumn("_all", F.lit(0))
+    f1 = token_f1(pairs, ref, pred, keys)
+    rg = rouge(pairs, ref, pred, key, keys, n_samples=n_samples, seed=seed)
+    bl = bleu_1_to_4(pairs, ref, pred, keys)
+    out = f1.join(rg, keys).join(bl, keys)
+    return out if by else out.drop("_all")
 
 
 def to_long(wide: DataFrame, id_cols: Sequence[str], metric_cols: Sequence[str]) -> DataFrame:
