@@ -93,19 +93,20 @@ SQL["src_saved_table"] = SQL["sink_split_table"]
 
 
 def src_multi_dataset(spark, sf):
-    """Two datasets x one encoder under one root; one scan selects both."""
+    """Two datasets (labels 0-4 and 5-9) x one encoder under one root; one scan
+    selects both by partition filters."""
     root = W.scratch_path(spark, "datasets")
     e = table(spark, sf, "embeddings")
-    for name, cond in (("even", F.pmod("vec_id", F.lit(2)) == 0), ("odd", F.pmod("vec_id", F.lit(2)) == 1)):
+    for name, cond in (("low", F.col("label") < 5), ("high", F.col("label") >= 5)):
         (e.where(cond).withColumn("dataset", F.lit(name)).withColumn("encoder", F.lit("hashed"))
          .withColumn("split", F.lit("test"))
          .write.partitionBy("encoder", "dataset", "split").mode("append").parquet(root))
-    d = RD.read_datasets(spark, root, ["even", "odd"], "hashed", "test")
+    d = RD.read_datasets(spark, root, ["low", "high"], "hashed", "test")
     return d.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("sum_label"))
 
 
 Q["src_multi_dataset"] = src_multi_dataset
-SQL["src_multi_dataset"] = """SELECT CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, count(*) AS n_rows,
+SQL["src_multi_dataset"] = """SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS dataset, count(*) AS n_rows,
        CAST(sum(label) AS BIGINT) AS sum_label FROM embeddings GROUP BY 1"""
 
 
