@@ -69,9 +69,13 @@ def sorted_overlap(sa, sb) -> Column:
     values; longer ones the linear merge, so the cost never goes quadratic
     beyond that size."""
     sa, sb = _c(sa), _c(sb)
+    # a side without repeated values makes every min(count_a, count_b) a 0/1
+    # membership test, i.e. the plain (native) set intersection
+    plain = (F.size(F.array_distinct(sa)) == F.size(sa)) | (F.size(F.array_distinct(sb)) == F.size(sb))
     small = (F.size(sa) <= TAGGED_MAX) & (F.size(sb) <= TAGGED_MAX)
     tagged = F.size(F.array_intersect(occurrence_tagged(sa), occurrence_tagged(sb)))
-    return F.when(small, tagged).otherwise(_merge_overlap(sa, sb))
+    return (F.when(plain, F.size(F.array_intersect(sa, sb)))
+            .when(small, tagged).otherwise(_merge_overlap(sa, sb)))
 
 
 def dot(a, b) -> Column:

@@ -80,6 +80,8 @@ def with_ordinal(df: DataFrame, hash_col: str, tie_cols: Sequence[str], out: str
     -> count per bucket (map-side combined) -> running offsets over that small
     table (<= 16**bucket_hex rows, broadcast) -> row_number inside the bucket.
     ``hash_col`` must be a uniform hash of a unique key, so no bucket is hot.
+    The input is read twice (counts, then numbering): materialise it first when
+    it is expensive to recompute.
     """
     b = df.withColumn("_b", F.substring(F.col(hash_col), 1, bucket_hex))
     counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))

@@ -247,9 +247,11 @@ SQL["smp_range_slice"] = f"SELECT * FROM ({_SHUF_SQL}) WHERE ord >= {SLICE[0]} A
 
 
 def _ordered_clean(spark, sf):
-    """Clean sentences in seeded order, materialised once: splits, the prefix
-    cap and both remainder bands all read this table."""
-    return materialize(C.seeded_order(_clean(spark, sf), SEED, ["doc_id", "pos"]))
+    """Clean sentences keyed by their seeded order, materialised once (the
+    bucket counts and the numbering window of ``with_ordinal`` both read it,
+    and so do the splits, the prefix cap and both remainder bands)."""
+    keyed = materialize(_clean(spark, sf).withColumn("_h", C.order_key(SEED, "doc_id", "pos")))
+    return C.with_ordinal(keyed, "_h", ["doc_id", "pos"])
 
 
 _ORD_CLEAN_SQL = f"""
