@@ -41,12 +41,12 @@ def _clean(spark, sf):
 
 
 SENT_SQL = f"""
-  SELECT d.doc_id, d.lang, d.source, u.pos - 1 AS pos, {D.strip('u.raw')} AS text, u.raw
+  SELECT d.doc_id, d.lang, d.source, CAST(u.pos - 1 AS INTEGER) AS pos, {D.strip('u.raw')} AS text, u.raw
   FROM documents d,
        unnest({D.split_sentences('d.text')}) WITH ORDINALITY AS u(raw, pos)
 """
 CLEAN_SQL = f"""
-  SELECT s.*, {D.word_count('s.text')} AS n_words FROM ({SENT_SQL}) s
+  SELECT s.*, CAST({D.word_count('s.text')} AS INTEGER) AS n_words FROM ({SENT_SQL}) s
   WHERE {D.sentence_clean('s.text')}
 """
 

@@ -150,7 +150,7 @@ def sink_attr_predictions(spark, sf):
 
 
 Q["sink_attr_predictions"] = sink_attr_predictions
-SQL["sink_attr_predictions"] = f"""SELECT c.pair_id, c.role, len(p.preds) AS n_preds, length(p.preds[1]) AS first_len
+SQL["sink_attr_predictions"] = f"""SELECT c.pair_id, c.role, CAST(len(p.preds) AS INTEGER) AS n_preds, CAST(length(p.preds[1]) AS INTEGER) AS first_len
 FROM (SELECT concat_ws(':', conv_id, turn) AS pair_id, role FROM conversations) c
 JOIN (SELECT pair_id, list(pred ORDER BY run) AS preds FROM ({scores_q.pairs_sql(scores_q.RUNS)}) GROUP BY pair_id) p
 USING (pair_id)"""

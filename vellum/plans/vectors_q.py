@@ -83,8 +83,8 @@ def vec_argmax_first(spark, sf):
 
 
 Q["vec_argmax_first"] = vec_argmax_first
-SQL["vec_argmax_first"] = """SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS argmax,
-       len(list_filter(embedding, lambda x: x = list_max(embedding))) AS n_tied FROM embeddings"""
+SQL["vec_argmax_first"] = """SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS argmax,
+       CAST(len(list_filter(embedding, lambda x: x = list_max(embedding))) AS INTEGER) AS n_tied FROM embeddings"""
 
 
 def embed_encoder_dim(spark, sf):
@@ -93,7 +93,7 @@ def embed_encoder_dim(spark, sf):
 
 
 Q["embed_encoder_dim"] = embed_encoder_dim
-SQL["embed_encoder_dim"] = "SELECT label, count(*) AS n_rows, min(len(embedding)) AS dim FROM embeddings GROUP BY label"
+SQL["embed_encoder_dim"] = "SELECT label, count(*) AS n_rows, CAST(min(len(embedding)) AS INTEGER) AS dim FROM embeddings GROUP BY label"
 
 
 def row_count(spark, sf):
@@ -211,12 +211,12 @@ _CAND_SQL = cand_list_sql("SELECT vec_id, CAST(label AS VARCHAR) AS label FROM e
 _U = f"('0x' || substr(md5(concat_ws(':', '{SEED}', vec_id, r, i - 1)), 1, 13))::BIGINT::DOUBLE / {float(16**13)!r}"
 _ATTR_BASE = f"""
 WITH cand AS ({_CAND_SQL}),
-cl AS (SELECT vec_id AS row_id, 'label' AS attr, u.pos - 1 AS cand_pos, u.v AS value
+cl AS (SELECT vec_id AS row_id, 'label' AS attr, CAST(u.pos - 1 AS INTEGER) AS cand_pos, u.v AS value
        FROM cand, unnest(cands) WITH ORDINALITY AS u(v, pos)),
 cells AS (SELECT label, u.i - 1 AS d, u.x FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(x, i)),
 cent AS (SELECT CAST(label AS VARCHAR) AS value, list(m ORDER BY d) AS cv
          FROM (SELECT label, d, avg(x::DOUBLE) AS m FROM cells GROUP BY label, d) GROUP BY label),
-tvm AS (SELECT vec_id AS row_id, r AS run,
+tvm AS (SELECT vec_id AS row_id, CAST(r AS INTEGER) AS run,
                list_transform(embedding, lambda x, i: x::DOUBLE + {NOISE} * ({_U} - 0.5)) AS tv
         FROM embeddings, range(0, {RUNS}) t(r)),
 tvs AS (SELECT vec_id AS row_id, 0 AS run, list_transform(embedding, lambda x: x::DOUBLE) AS tv FROM embeddings),
@@ -355,7 +355,7 @@ t AS (SELECT conv_id, turn, CASE WHEN len(ids0) < {MAX_LEN} THEN list_append(ids
       FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY {D.order_key(SEED, 'conv_id', 'turn')}, conv_id, turn) - 1 AS ord FROM t),
 p AS (SELECT *, max(len(ids)) OVER (PARTITION BY ord // {BATCH}) AS mx FROM o)
-SELECT conv_id, turn, mx AS length,
+SELECT conv_id, turn, CAST(mx AS INTEGER) AS length,
        CAST(list_reduce(ids, lambda a, x: a + x, 0::BIGINT) + (-100) * (mx - len(ids)) AS BIGINT) AS sum_ids FROM p"""
 
 
