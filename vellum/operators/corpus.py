@@ -49,19 +49,33 @@ def clean_sentences(sents: DataFrame, min_words: int = 8, max_words: int = 128,
     )
 
 
-def md5_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+# Drop lists up to this many ids (8 bytes each) are broadcast; the count is
+# taken before the choice is made.
+DEDUP_BROADCAST_MAX_IDS = 2_000_000
+
+
+def md5_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+              broadcast_max: int = DEDUP_BROADCAST_MAX_IDS) -> DataFrame:
     """Exact-copy removal: keep the row with the smallest id per md5 of the text.
 
-    The md5 -> min(id) aggregate is combined map-side, so a group of copies that
-    holds a large share of all rows is collapsed before the shuffle; the kept
-    ids are then matched back with a semi join on the unique id (uniform keys).
+    (md5, id) pairs are grouped with a map-side-combined aggregate, so a group
+    of copies holding a large share of all rows collapses before the shuffle.
+    The rows to drop are counted first: up to ``broadcast_max`` of them, the
+    copy groups and then the dropped ids are broadcast and removed with an
+    anti join, so the documents themselves are never shuffled; beyond that the
+    kept ids are matched back with a shuffled semi join on the unique id.
     """
-    keep = (
-        df.select(F.md5(F.col(text_col)).alias("_m"), F.col(id_col))
-        .groupBy("_m")
-        .agg(F.min(id_col).alias("_keep"))
-        .select(F.col("_keep").alias(id_col))
-    )
+    h = df.select(F.md5(F.col(text_col)).alias("_m"), F.col(id_col))
+    groups = h.groupBy("_m").agg(F.min(id_col).alias("_keep"), F.count(F.lit(1)).alias("_n"))
+    copies = groups.where(F.col("_n") > 1)
+    n_drop = copies.agg(F.sum(F.col("_n") - 1)).first()[0] or 0
+    if n_drop == 0:
+        return df
+    if n_drop <= broadcast_max:   # copy groups <= rows to drop <= bound
+        drop = (h.join(F.broadcast(copies.select("_m", "_keep")), "_m")
+                .where(F.col(id_col) != F.col("_keep")).select(id_col))
+        return df.join(F.broadcast(drop), id_col, "left_anti")
+    keep = groups.select(F.col("_keep").alias(id_col))
     return df.join(keep, on=id_col, how="left_semi")
 
 

@@ -164,3 +164,16 @@ def candidate_lists(df: DataFrame, key: str, col: str, seed=2023, k: int = CANDI
     lists = per_row.select(key, F.concat(F.array("_truth"),
                                          F.slice(F.transform("_c", lambda s: s["value"]), 1, k - 1)).alias(out))
     return df.join(lists, key, "left")
+
+
+def quarantine(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
+    """Split rows into (valid, quarantined) instead of failing the job, for
+    checks the reference enforces by raising (lossy casts, empty texts)."""
+    flag = F.coalesce(valid, F.lit(False))
+    return df.where(flag), df.where(~flag)
+
+
+def lossless_int(c) -> Column:
+    """Predicate: the double converts to int without loss (NULL passes)."""
+    c = _c(c)
+    return c.isNull() | (c.cast("int").cast("double") == c)
