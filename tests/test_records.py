@@ -76,3 +76,14 @@ def test_render(spark):
                     B.render_prompt("heart_rate", F.col("heart_rate")).alias("p")).collect()[0]
     assert got.x == "The disposition is discharge. The heart rate is 88. Note."
     assert got.p == "The heart rate is 88"
+
+
+def test_truncate_eos_and_pad(spark):
+    from vellum.operators import sequences as Q
+
+    df = spark.createDataFrame([(0, [1, 2, 3, 4, 5]), (0, [7]), (1, [9, 9, 9])], "b int, ids array<int>")
+    t = df.withColumn("ids", Q.truncate_eos("ids", 4, 50256))
+    right = sorted((r.b, list(r.ids)) for r in Q.pad_batches(t, "ids", F.col("b")).collect())
+    assert right == [(0, [1, 2, 3, 4]), (0, [7, 50256, -100, -100]), (1, [9, 9, 9, 50256])]
+    left = sorted((r.b, list(r.ids)) for r in Q.pad_batches(t, "ids", F.col("b"), side="left").collect())
+    assert left[1] == (0, [-100, -100, 7, 50256])

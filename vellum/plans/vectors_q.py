@@ -16,6 +16,7 @@ from vellum.functions import text as T
 from vellum.operators import corpus as C
 from vellum.operators import records as B
 from vellum.operators import scoring as S
+from vellum.operators import sequences as Q_SEQ
 from vellum.operators import vectors as V
 from vellum.plans import duck as D
 from vellum.plans.records_q import cand_list_sql
@@ -335,14 +336,9 @@ def seq_truncate_eos_pad(spark, sf):
     c = spread(table(spark, sf, "conversations"), "conv_id")
     ids = F.transform(T.tok_rouge(F.col("text")),
                       lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"))
-    s = c.select("conv_id", "turn", ids.alias("ids"))
-    s = s.withColumn("ids", F.when(F.size("ids") < MAX_LEN, F.concat("ids", F.array(F.lit(EOS))))
-                     .otherwise(F.slice("ids", 1, MAX_LEN)))
+    s = c.select("conv_id", "turn", Q_SEQ.truncate_eos(ids, MAX_LEN, EOS).alias("ids"))
     o = C.seeded_order(s, SEED, ["conv_id", "turn"])
-    from pyspark.sql import Window
-    w = Window.partitionBy(F.floor(F.col("ord") / BATCH))
-    padded = o.withColumn("_mx", F.max(F.size("ids")).over(w)).withColumn(
-        "ids", F.concat("ids", F.array_repeat(F.lit(-100), F.col("_mx") - F.size("ids"))))
+    padded = Q_SEQ.pad_batches(o, "ids", F.floor(F.col("ord") / BATCH))
     return padded.select("conv_id", "turn", F.size("ids").alias("length"),
                          F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"))
 
