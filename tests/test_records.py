@@ -86,4 +86,4 @@ def test_truncate_eos_and_pad(spark):
     right = sorted((r.b, list(r.ids)) for r in Q.pad_batches(t, "ids", F.col("b")).collect())
     assert right == [(0, [1, 2, 3, 4]), (0, [7, 50256, -100, -100]), (1, [9, 9, 9, 50256])]
     left = sorted((r.b, list(r.ids)) for r in Q.pad_batches(t, "ids", F.col("b"), side="left").collect())
-    assert left[1] == (0, [-100, -100, 7, 50256])
+    assert left[0] == (0, [-100, -100, 7, 50256])
