@@ -139,31 +139,61 @@ def floyd_draw(n: int, k: int, seed, attr: str, key: Column) -> Column:
 
 def candidate_lists(df: DataFrame, key: str, col: str, seed=2023, k: int = CANDIDATES,
                     domain_from: DataFrame | None = None, out: str | None = None) -> DataFrame:
-    """``[truth] + (k-1)`` distinct other values of ``col`` per row, truth first.
-
-    The domain (distinct values of ``domain_from``, default ``df``) gets dense
-    ids; each row draws k distinct ids with Floyd's algorithm, the drawn ids are
-    joined to values (uniform keys), the truth is dropped if drawn and the first
-    k-1 remain. Per row this is O(k) work whatever the domain size: no row ever
-    sees the whole domain. A two-value domain yields ``[truth, other]``.
-    Raises ``ValueError`` when the domain has fewer than k values.
+    """``[truth] + (k-1)`` distinct other values of ``col`` per row, truth first
+    (see ``candidate_lists_multi``)."""
+    res = candidate_lists_multi(df, key, [col], seed, k, domain_from)
+    return res if out is None else res.withColumnRenamed(f"{col}_candidate_list", out)
+
+
+def candidate_lists_multi(df: DataFrame, key: str, cols: Sequence[str], seed=2023,
+                          k: int = CANDIDATES, domain_from: DataFrame | None = None) -> DataFrame:
+    """Add ``<col>_candidate_list`` = ``[truth] + (k-1)`` distinct other values
+    of ``col`` for every column in ``cols``; the truth is always first.
+
+    Each attribute's domain (distinct values of ``domain_from``, default
+    ``df``) gets dense ids in a seeded order. Every row draws k distinct ids
+    per attribute with Floyd's algorithm (k steps, md5 of seed/attr/row/step),
+    the ids are joined to values on (attr, id) -- uniform keys, broadcast below
+    a counted bound -- the truth is dropped if drawn and the first k-1 remain.
+    Per row this is O(k) work whatever the domain size, and all attributes
+    share one group-by and one join back, so the rows are shuffled twice in
+    total. A two-value domain yields ``[truth, other]``; fewer than k values
+    raise ``ValueError``.
     """
-    out = out or f"{col}_candidate_list"
-    dom = domain_ids(domain_from if domain_from is not None else df, col, seed)
-    n = dom.count()
-    if n == 2 and k > 2:
-        k = 2
-    if n < k:
-        raise ValueError(f"{col}: domain has {n} distinct values, {k} candidates needed")
-    rows = df.select(F.col(key), F.col(col).cast("string").alias("_truth"))
-    drawn = rows.select(key, "_truth", F.posexplode(floyd_draw(n, k, seed, col, F.col(key))).alias("_pos", "id"))
-    dom_side = F.broadcast(dom) if n <= BROADCAST_MAX_VALUES else dom
-    named = drawn.join(dom_side, "id").where(F.col("value") != F.col("_truth"))
-    per_row = named.groupBy(key, "_truth").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "value"))).alias("_c"))
-    lists = per_row.select(key, F.concat(F.array("_truth"),
-                                         F.slice(F.transform("_c", lambda s: s["value"]), 1, k - 1)).alias(out))
-    return df.join(lists, key, "left")
+    src = domain_from if domain_from is not None else df
+    doms = None
+    for c in cols:
+        d = domain_ids(src, c, seed).withColumn("attr", F.lit(c))
+        doms = d if doms is None else doms.unionByName(d)
+    sizes = {r["attr"]: r["n"] for r in doms.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ks = {}
+    for c in cols:
+        n = sizes.get(c, 0)
+        ks[c] = 2 if n == 2 and k > 2 else k
+        if n < ks[c]:
+            raise ValueError(f"{c}: domain has {n} distinct values, {ks[c]} candidates needed")
+    draws = None
+    for c in cols:
+        d = df.select(F.col(key), F.lit(c).alias("attr"), F.col(c).cast("string").alias("_truth"),
+                      F.posexplode(floyd_draw(sizes[c], ks[c], seed, c, F.col(key))).alias("_pos", "id"))
+        draws = d if draws is None else draws.unionByName(d)
+    dom_side = F.broadcast(doms) if sum(sizes.values()) <= BROADCAST_MAX_VALUES else doms
+    named = draws.join(dom_side, ["attr", "id"]).where(F.col("value") != F.col("_truth"))
+    # one group per row: at most len(cols) * k small structs
+    per_row = named.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("attr", "_pos", "value"))).alias("_drawn"))
+    out = df.join(per_row, key, "left")
+    lists = {}
+    for c in cols:
+        others = F.transform(F.filter("_drawn", _attr_is(c)), lambda x: x["value"])
+        lists[f"{c}_candidate_list"] = F.when(
+            F.col(c).isNotNull(),
+            F.concat(F.array(F.col(c).cast("string")), F.slice(others, 1, ks[c] - 1)))
+    return out.withColumns(lists).drop("_drawn")
+
+
+def _attr_is(c: str):
+    return lambda x: x["attr"] == F.lit(c)
 
 
 def quarantine(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:

@@ -247,11 +247,15 @@ SQL["smp_range_slice"] = f"SELECT * FROM ({_SHUF_SQL}) WHERE ord >= {SLICE[0]} A
 
 
 def _ordered_clean(spark, sf):
-    """Clean sentences keyed by their seeded order, materialised once (the
-    bucket counts and the numbering window of ``with_ordinal`` both read it,
-    and so do the splits, the prefix cap and both remainder bands)."""
-    keyed = materialize(_clean(spark, sf).withColumn("_h", C.order_key(SEED, "doc_id", "pos")))
-    return C.with_ordinal(keyed, "_h", ["doc_id", "pos"])
+    """Clean sentences numbered in their seeded order, checkpointed once: the
+    splits, the prefix cap and both remainder bands read this table. The keyed
+    input is persisted only while the ordinal reads it twice (bucket counts,
+    numbering); being deterministic, it is recomputed exactly if lost."""
+    keyed = _clean(spark, sf).withColumn("_h", C.order_key(SEED, "doc_id", "pos")).persist()
+    try:
+        return materialize(C.with_ordinal(keyed, "_h", ["doc_id", "pos"]))
+    finally:
+        keyed.unpersist()
 
 
 _ORD_CLEAN_SQL = f"""

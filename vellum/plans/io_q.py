@@ -258,9 +258,8 @@ for _slug in ("str_final_period", "str_render_attributes"):
 
 
 def triage_candidates(spark, sf):
-    r = materialize(triage_records(spark, sf))   # read by four candidate passes
-    for a in TRIAGE_ATTRS:
-        r = B.candidate_lists(r, "row_id", a, SEED)
+    r = materialize(triage_records(spark, sf))   # read by the domains, the draws and the join back
+    r = B.candidate_lists_multi(r, "row_id", TRIAGE_ATTRS, SEED)
     return r.select("row_id", *[F.array_join(f"{a}_candidate_list", "|").alias(f"{a}_candidates")
                                 for a in TRIAGE_ATTRS])
 

@@ -341,9 +341,8 @@ SELECT {key}, list_prepend(truth, list(value ORDER BY pos)[1:k - 1]) AS cands FR
 
 
 def cand_list(spark, sf):
-    s = materialize(s_render(spark, sf))   # read by three candidate passes
-    for a in ATTRS:
-        s = B.candidate_lists(s, "row_id", a, SEED)
+    s = materialize(s_render(spark, sf))   # read by the domains, the draws and the join back
+    s = B.candidate_lists_multi(s, "row_id", ATTRS, SEED)
     return s.select("row_id", "split", *[F.array_join(f"{a}_candidate_list", "|").alias(f"{a}_candidates")
                                          for a in ATTRS])
 
