@@ -15,50 +15,53 @@ from vellum.operators import scoring as S
 
 
 def py_ngrams(seg, max_order):
-    c = collections.Counter()
-    for order in range(1, max_order + 1):
-        for i in range(0, len(seg) - order + 1):
-            c[tuple(seg[i:i + order])] += 1
-    return c
+    """Multiset of all n-grams of orders 1..max_order."""
+    return collections.Counter(tuple(seg[i:i + n]) for n in range(1, max_order + 1)
+                               for i in range(len(seg) - n + 1))
 
 
 def py_bleu(refs_corpus, preds, max_order=4):
-    """Corpus BLEU (clipped n-gram precision, geometric mean, brevity penalty)."""
-    matches, possible, ref_len, trans_len = [0] * max_order, [0] * max_order, 0, 0
+    """Corpus BLEU from its definition: per order, clipped n-gram matches over
+    possible n-grams summed over the corpus; geometric mean times the brevity
+    penalty (shortest reference length per segment)."""
+    match = collections.defaultdict(int)
+    total = collections.defaultdict(int)
+    hyp_len = ref_len = 0
     for refs, pred in zip(refs_corpus, preds):
-        refs = [py_13a(r) for r in refs]
-        pred = py_13a(pred)
-        ref_len += min(len(r) for r in refs)
-        trans_len += len(pred)
-        merged = collections.Counter()
-        for r in refs:
-            merged |= py_ngrams(r, max_order)
-        overlap = py_ngrams(pred, max_order) & merged
-        for g in overlap:
-            matches[len(g) - 1] += overlap[g]
+        hyp = py_13a(pred)
+        ref_toks = [py_13a(r) for r in refs]
+        hyp_len += len(hyp)
+        ref_len += min(map(len, ref_toks))
         for n in range(1, max_order + 1):
-            if len(pred) - n + 1 > 0:
-                possible[n - 1] += len(pred) - n + 1
-    precs = [matches[i] / possible[i] if possible[i] > 0 else 0.0 for i in range(max_order)]
-    geo = math.exp(sum(math.log(p) / max_order for p in precs)) if min(precs) > 0 else 0
-    ratio = trans_len / ref_len
-    bp = 1.0 if ratio > 1.0 else math.exp(1 - 1.0 / ratio)
-    return geo * bp
+            h = collections.Counter(zip(*[hyp[i:] for i in range(n)]))
+            best = collections.Counter()
+            for r in ref_toks:
+                for g, c in collections.Counter(zip(*[r[i:] for i in range(n)])).items():
+                    best[g] = max(best[g], c)
+            match[n] += sum(min(c, best[g]) for g, c in h.items())
+            total[n] += max(len(hyp) - n + 1, 0)
+    precs = [match[n] / total[n] if total[n] else 0.0 for n in range(1, max_order + 1)]
+    if min(precs) <= 0:
+        return 0.0
+    score = math.exp(sum(map(math.log, precs)) / max_order)
+    ratio = hyp_len / ref_len
+    return score * (1.0 if ratio > 1.0 else math.exp(1 - 1 / ratio))
 
 
 def py_f1(preds, labels):
-    p_sum = r_sum = 0
+    """Macro token precision/recall and the F1 of the two means."""
+    ps, rs = [], []
     for p, l in zip(preds, labels):
-        pt, lt = py_pure_tokens(p), py_pure_tokens(l)
-        if not pt or not lt:
-            same = len(pt) == len(lt)
-            p_sum += same
-            r_sum += same
-        else:
-            common = sum((collections.Counter(pt) & collections.Counter(lt)).values())
-            p_sum += common / len(pt)
-            r_sum += common / len(lt)
-    p, r = p_sum / len(preds), r_sum / len(preds)
+        pt, lt = collections.Counter(py_pure_tokens(p)), collections.Counter(py_pure_tokens(l))
+        np_, nl = sum(pt.values()), sum(lt.values())
+        if np_ == 0 or nl == 0:
+            ps.append(float(np_ == nl))
+            rs.append(float(np_ == nl))
+            continue
+        common = sum(min(c, lt[t]) for t, c in pt.items())
+        ps.append(common / np_)
+        rs.append(common / nl)
+    p, r = sum(ps) / len(ps), sum(rs) / len(rs)
     return p, r, (2 * p * r / (p + r) if p + r else 0)
 
 

@@ -111,13 +111,16 @@ def test_occupation_split_and_digits(spark):
 
 
 def py_13a(line):
-    line = line.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    """mteval-13a in plain Python: markup and entity clean-up, then the
+    module's fixed regex rules with Python replacement syntax, then split."""
+    for src, dst in (("<skipped>", ""), ("-\n", ""), ("\n", " ")):
+        line = line.replace(src, dst)
     if "&" in line:
-        line = line.replace("&quot;", '"').replace("&amp;", "&").replace("&lt;", "<").replace("&gt;", ">")
-    line = f" {line} "
-    for pat, rep in [(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "),
-                     (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")]:
-        line = re.sub(pat, rep, line)
+        for src, dst in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+            line = line.replace(src, dst)
+    line = " " + line + " "
+    for pattern, repl in T.TOK13A_RULES:
+        line = re.sub(pattern, repl.replace("$", "\\"), line)
     return line.split()
 
 
@@ -136,10 +139,12 @@ def test_tok_rouge(spark):
 
 
 def py_pure_tokens(text):
-    text = text.lower()
-    text = "".join(ch for ch in text if ch not in set(string.punctuation))
-    text = re.sub(re.compile(rf"\b({'|'.join(T.STOPWORDS_EN)})\b", re.UNICODE), " ", text)
-    return text.split()
+    """Lower, remove ASCII punctuation, blank stop words as whole Unicode words."""
+    table = str.maketrans("", "", string.punctuation)
+    cleaned = text.lower().translate(table)
+    stop = set(T.STOPWORDS_EN)
+    words = re.split(r"(\w+)", cleaned)          # odd positions are word runs
+    return "".join(" " if (i % 2 and w in stop) else w for i, w in enumerate(words)).split()
 
 
 def test_pure_tokens(spark):
