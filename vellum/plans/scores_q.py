@@ -403,9 +403,16 @@ def _f1_long(spark, sf):
 
 
 def sink_metric_history(spark, sf):
-    """{dataset: {metric: [v_run1, v_run2, ...]}} as rows, plus the combined
-    (latest run) value."""
-    return R.metric_history(_f1_long(spark, sf))
+    """Each run's metric rows are appended to a metrics table (as the
+    reference appends to its per-dataset history file after every run); the
+    history {dataset: {metric: [v_run1, v_run2, ...]}} and the latest value
+    are read back from the table."""
+    from vellum.sources.writers import scratch_path
+    path = scratch_path(spark, "metrics")
+    long = _f1_long(spark, sf)
+    for k in RUNS:
+        R.append_metrics(long.where(F.col("run") == k), path)
+    return R.metric_history(spark.read.parquet(path))
 
 
 _F1_LONG_SQL = f"""SELECT dataset, run, metric, value FROM ({_F1_SQL})
