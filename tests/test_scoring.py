@@ -218,3 +218,34 @@ def test_nanmean_and_perplexity(spark):
     assert S.perplexity(loss).collect()[0].perplexity == pytest.approx(math.exp(2.0))
     with pytest.raises(KeyError):
         S.perplexity(loss.withColumnRenamed("loss", "x"))
+
+
+def test_lcs_sql_twin_against_model():
+    """The DuckDB twin of ROUGE-L/Lsum (list folds for the LCS table and its
+    backtrack, multiset form of the union-LCS hits) against the Python model on
+    random multi-sentence pairs with many repeated tokens."""
+    import duckdb
+    import pandas as pd
+
+    from vellum.plans import scores_q
+
+    rng = random.Random(7)
+    vocab = ["a", "b", "c", "d", "e"]
+
+    def text():
+        return "\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 7)))
+                         for _ in range(rng.randint(0, 4)))
+
+    df = pd.DataFrame({"dataset": "x", "pair_id": [str(i) for i in range(300)],
+                       "ref": [text() for _ in range(300)], "pred": [text() for _ in range(300)]})
+    con = duckdb.connect()
+    con.register("fixture", df)
+    sql = scores_q._rouge_l_rows_sql("SELECT dataset, pair_id, ref, pred FROM fixture", "dataset, pair_id")
+    got = {r[1]: r for r in con.sql(sql).fetchall()}
+    assert len(got) == len(df)
+    for row in df.itertuples():
+        rt, pt = row.ref.split(), row.pred.split()
+        assert got[row.pair_id][2] == pytest.approx(L.lcs_f(rt, pt), abs=1e-12)
+        ref_s = [s.split() for s in row.ref.split("\n") if s]
+        pred_s = [s.split() for s in row.pred.split("\n") if s]
+        assert got[row.pair_id][3] == pytest.approx(L.union_lcs_f(ref_s, pred_s), abs=1e-12)

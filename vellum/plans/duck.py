@@ -96,3 +96,38 @@ def ngrams(x: str, n: int) -> str:
 
 def r9(x: str) -> str:
     return f"round({x}, 9)"
+
+
+def lcs_row(prev: str, x: str, b: str) -> str:
+    """Next LCS table row after token ``x`` of the first sequence: cell j is the
+    running maximum of max(prev[j], prev[j-1] + 1 when x = b[j])."""
+    cand = (f"list_transform(range(1, len({b}) + 1), lambda j: "
+            f"greatest(({prev})[j + 1], CASE WHEN {x} = ({b})[j] THEN ({prev})[j] + 1 ELSE 0 END))")
+    return f"list_reduce({cand}, lambda m, v: list_append(m, greatest(m[-1], v)), [0])"
+
+
+def lcs_zero_row(b: str) -> str:
+    return f"list_transform(range(0, len({b}) + 1), lambda j: 0)"
+
+
+def lcs_len(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two lists (row-by-row fold)."""
+    return f"list_reduce({a}, lambda acc, x: {lcs_row('acc', 'x', b)}, {lcs_zero_row(b)})[-1]"
+
+
+def lcs_table(a: str, b: str) -> str:
+    """The whole LCS table as a list of rows (row 0 first)."""
+    return (f"list_reduce({a}, lambda t, x: list_append(t, {lcs_row('t[-1]', 'x', b)}), "
+            f"[{lcs_zero_row(b)}])")
+
+
+def lcs_backtrack(a: str, b: str, table: str) -> str:
+    """0-based positions in ``a`` of one LCS with ``b``: walk back from the
+    last cell, taking a match, else moving along ``b`` only when strictly
+    better, else along ``a``."""
+    step = (f"CASE WHEN s.i > 0 AND s.j > 0 THEN (CASE "
+            f"WHEN ({a})[s.i] = ({b})[s.j] THEN {{'i': s.i - 1, 'j': s.j - 1, 'o': list_append(s.o, s.i - 1)}} "
+            f"WHEN ({table})[s.i + 1][s.j] > ({table})[s.i][s.j + 1] THEN {{'i': s.i, 'j': s.j - 1, 'o': s.o}} "
+            f"ELSE {{'i': s.i - 1, 'j': s.j, 'o': s.o}} END) ELSE s END")
+    init = f"{{'i': CAST(len({a}) AS BIGINT), 'j': CAST(len({b}) AS BIGINT), 'o': []::BIGINT[]}}"
+    return f"list_reduce(range(0, len({a}) + len({b})), lambda s, k: {step}, {init}).o"

@@ -322,8 +322,52 @@ def metric_rouge_lsum(spark, sf):
                     r9(F.col("rougeLsum")).alias("rougeLsum"))
 
 
-Q["metric_rouge_l"] = metric_rouge_l       # LCS: checked against a Python DP in tests
-Q["metric_rouge_lsum"] = metric_rouge_lsum  # union LCS: checked against Python in tests
+def _fmeasure_sql(hits: str, n_pred: str, n_ref: str) -> str:
+    p, r = f"({hits} / {n_pred})", f"({hits} / {n_ref})"
+    return (f"CASE WHEN {n_pred} = 0 OR {n_ref} = 0 THEN 0.0 WHEN {p} + {r} > 0 "
+            f"THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END")
+
+
+def _sent_tokens_sql(src: str, keys: str, col: str, pos: str) -> str:
+    """Non-empty newline sentences of ``col``, tokenised, one row each."""
+    return f"""(SELECT * FROM (SELECT {keys}, u.i AS {pos}, {D.tok_rouge('u.s')} AS t
+  FROM {src}, unnest(list_filter(string_split({col}, chr(10)), lambda s: s <> '')) WITH ORDINALITY AS u(s, i))
+  WHERE len(t) > 0)"""
+
+
+def _rouge_l_rows_sql(src: str, keys: str) -> str:
+    """rougeL (LCS of the token lists) and rougeLsum (summary-level union LCS).
+
+    Union-LCS hits: every reference position is taken at most once, so the
+    reference counter never runs out and hits = sum over tokens t of
+    min(#union-LCS positions holding t, #t in the prediction)."""
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    return f"""
+WITH p AS ({src}),
+tok AS (SELECT {keys}, {D.tok_rouge('pred')} AS pt, {D.tok_rouge('ref')} AS rt FROM p),
+l AS (SELECT {keys}, len(pt) AS np, len(rt) AS nr, {D.lcs_len('rt', 'pt')} AS n FROM tok),
+rs AS {_sent_tokens_sql('p', keys, 'ref', 'ri')},
+ps AS {_sent_tokens_sql('p', keys, 'pred', 'ci')},
+sx AS (SELECT a.*, b.ci, b.t AS ct FROM rs a JOIN ps b ON {on}),
+tb AS (SELECT *, {D.lcs_table('t', 'ct')} AS tab FROM sx),
+ix AS (SELECT DISTINCT {keys}, ri, u.k, t[u.k + 1] AS w
+       FROM (SELECT *, {D.lcs_backtrack('t', 'ct', 'tab')} AS o FROM tb), unnest(o) AS u(k)),
+uc AS (SELECT {keys}, w, count(*) AS uc FROM ix GROUP BY ALL),
+pc AS (SELECT {keys}, w, count(*) AS pc FROM ps, unnest(t) AS u(w) GROUP BY ALL),
+h AS (SELECT {keys}, sum(least(uc, pc)) AS hits FROM uc JOIN pc USING ({keys}, w) GROUP BY ALL),
+m AS (SELECT {keys}, sum(len(t)) AS m FROM rs GROUP BY ALL),
+n AS (SELECT {keys}, sum(len(t)) AS n FROM ps GROUP BY ALL)
+SELECT {keys}, {_fmeasure_sql('l.n', 'l.np', 'l.nr')} AS rougeL,
+       {_fmeasure_sql('coalesce(h.hits, 0)', 'coalesce(n.n, 0)', 'coalesce(m.m, 0)')} AS rougeLsum
+FROM l LEFT JOIN h USING ({keys}) LEFT JOIN m USING ({keys}) LEFT JOIN n USING ({keys})"""
+
+
+Q["metric_rouge_l"] = metric_rouge_l
+SQL["metric_rouge_l"] = (f"SELECT dataset, pair_id, round(rougeL, 9) AS rougeL "
+                         f"FROM ({_rouge_l_rows_sql(pairs_sql(), 'dataset, pair_id')})")
+Q["metric_rouge_lsum"] = metric_rouge_lsum
+SQL["metric_rouge_lsum"] = (f"SELECT dataset, pair_id, round(rougeL, 9) AS rougeL, round(rougeLsum, 9) AS rougeLsum "
+                            f"FROM ({_rouge_l_rows_sql(pairs_sql(), 'dataset, pair_id')})")
 
 
 def metric_rouge_multi_ref(spark, sf):

@@ -48,7 +48,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    # Only reached in local tests: no cluster-wide folder was configured.
+    # No shared folder configured. A machine-local folder is only acceptable when
+    # driver and executors are one process (local tests and the bench).
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder every executor can reach "
+            "(e.g. on the cluster's distributed file system)")
     path = tempfile.mkdtemp(prefix="vellum-ckpt-")
     sc.setCheckpointDir(path)
     return path
