@@ -438,6 +438,16 @@ def metric_reconstruction(spark, sf):
 
 
 Q["metric_reconstruction"] = metric_reconstruction
+_RK = "dataset, run, pair_id"
+_REC_ROUGE_ROWS = f"""SELECT dataset, run, pair_id, rouge1, rouge2, rougeL, rougeLsum
+FROM ({_rouge_n_rows_sql(pairs_sql(RUNS), _RK)}) JOIN ({_rouge_l_rows_sql(pairs_sql(RUNS), _RK)}) USING ({_RK})"""
+_REC_WIDE = f"""
+SELECT * FROM ({_F1_SQL})
+JOIN ({_boot_sql(_REC_ROUGE_ROWS, "pair_id", "dataset, run", ["rouge1", "rouge2", "rougeL", "rougeLsum"])}) USING (dataset, run)
+JOIN (SELECT dataset, run, {', '.join(f'{_bleu_score_sql(k)} AS bleu{k}' for k in range(1, 5))}
+      FROM ({_bleu_counts_sql(RUNS)})) USING (dataset, run)"""
+SQL["metric_reconstruction"] = f"WITH w AS ({_REC_WIDE})\n" + "\nUNION ALL\n".join(
+    f"SELECT dataset, run, '{m}' AS metric, round({m}, 9) AS value FROM w" for m in METRICS)
 
 
 # ------------------------------------------------------ metric history sinks ---

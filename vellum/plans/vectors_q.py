@@ -125,10 +125,26 @@ def embed_batch(spark, sf):
     """Whole documents encoded in batches of 100 by the hashed encoder."""
     docs = spread(table(spark, sf, "documents"), "doc_id")
     v = V.embed(docs, "text", keep=["doc_id", "lang"], dim=DIM)
-    return v.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.size("embedding")).alias("dim"))
-
-
-Q["embed_batch"] = embed_batch   # Python encoder: checked against a direct call in tests
+    return v.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(F.size("embedding")).alias("dim"),
+        F.sum(F.size(F.filter("embedding", lambda x: x != 0))).cast("long").alias("n_nonzero"),
+        F.sum(F.size(F.filter("embedding", lambda x: x > 0))).cast("long").alias("n_positive"))
+
+
+Q["embed_batch"] = embed_batch
+# The hashed encoder's bucket (md5 bits mod 64) and sign (top md5 bit) per token,
+# summed per document: the twin checks the non-zero and positive components.
+_MD5_64 = "md5(u.tok)"
+SQL["embed_batch"] = f"""
+WITH t AS (SELECT doc_id, lang, (('0x' || substr({_MD5_64}, 15, 2))::INTEGER % {DIM}) AS bucket,
+                  CASE WHEN ('0x' || substr({_MD5_64}, 1, 1))::INTEGER >= 8 THEN 1 ELSE -1 END AS sign
+           FROM documents, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS u(tok)),
+b AS (SELECT doc_id, lang, bucket, sum(sign) AS s FROM t GROUP BY ALL),
+per AS (SELECT doc_id, lang, count(*) FILTER (WHERE s <> 0) AS nz, count(*) FILTER (WHERE s > 0) AS pos
+        FROM b GROUP BY ALL)
+SELECT d.lang, count(*) AS n_rows, CAST({DIM} AS INTEGER) AS dim,
+       CAST(sum(coalesce(per.nz, 0)) AS BIGINT) AS n_nonzero, CAST(sum(coalesce(per.pos, 0)) AS BIGINT) AS n_positive
+FROM documents d LEFT JOIN per USING (doc_id, lang) GROUP BY d.lang"""
 
 
 # ---------------------------------------------------------------- pooling ---
