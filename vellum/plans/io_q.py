@@ -5,6 +5,8 @@ back through the reader under test."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
@@ -310,12 +312,16 @@ FROM ({cand_list_sql(_MASK_SQL, 'row_id', 'legal_term')})"""
 # --------------------------------------------------------------- streaming ---
 def stream_sentence_clean(spark, sf):
     """The flagship cleaning run as a Structured Streaming query over the
-    documents folder (availableNow), then aggregated in batch."""
+    documents table read in place (availableNow), then aggregated in batch.
+    A documents folder is streamed as is; a single documents file is picked
+    out of the table folder by name."""
     out = W.scratch_path(spark, "stream-out")
     ckpt = W.scratch_path(spark, "stream-ckpt")
-    src = W.scratch_path(spark, "stream-src")
-    table(spark, sf, "documents").write.parquet(src)
-    q = STR.run_to_table(spark, src, DOC_SCHEMA, out, ckpt)
+    path = f"{sf.rstrip('/')}/documents.parquet"
+    if os.path.isdir(path):
+        q = STR.run_to_table(spark, path, DOC_SCHEMA, out, ckpt)
+    else:
+        q = STR.run_to_table(spark, sf, DOC_SCHEMA, out, ckpt, glob="documents.parquet")
     q.awaitTermination()
     s = spark.read.parquet(out)
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sentences"), F.round(F.avg("n_words"), 9).alias("avg_words"))
