@@ -25,7 +25,7 @@ def test_registry_shape():
     assert set(s) <= set(q)
     assert len(q) >= 100
     no_twin = set(q) - set(s)
-    assert no_twin == {"metric_rouge_l", "metric_rouge_lsum", "metric_reconstruction", "embed_batch"}
+    assert no_twin == set()   # every registered query has a SQL twin
 
 
 @pytest.mark.parametrize("name", [n for n in FAST if n in E.oracle_sql()])
