@@ -87,3 +87,19 @@ def test_truncate_eos_and_pad(spark):
     assert right == [(0, [1, 2, 3, 4]), (0, [7, 50256, -100, -100]), (1, [9, 9, 9, 50256])]
     left = sorted((r.b, list(r.ids)) for r in Q.pad_batches(t, "ids", F.col("b"), side="left").collect())
     assert left[0] == (0, [-100, -100, 7, 50256])
+
+
+def test_most_common_ties_in_first_seen_order(spark):
+    """Equal counts keep first-seen order (Counter.most_common), not value order;
+    header names are first seen at (row place, position in the header)."""
+    import collections
+
+    rows = [(1, "b"), (2, "a"), (3, "b"), (4, "a"), (5, "c"), (6, "d"), (7, "c")]
+    df = spark.createDataFrame(rows, "place int, v string")
+    got = [r.value for r in B.top_k_values(df, "v", 3, first=F.col("place")).collect()]
+    exp = [v for v, _ in collections.Counter(v for _, v in sorted(rows)).most_common(3)]
+    assert got == exp == ["b", "a", "c"]
+    hdr = spark.createDataFrame([(1, ["y", "x"]), (2, ["x", "y", "z"]), (3, ["z"])], "place int, h array<string>")
+    got = [r.value for r in B.most_common(B.header_counts(hdr, "h", first=F.col("place")), 3).collect()]
+    flat = [n for _, h in sorted(hdr.collect()) for n in h]
+    assert got == [v for v, _ in collections.Counter(flat).most_common(3)] == ["y", "x", "z"]

@@ -40,9 +40,23 @@ def extract_attributes(df: DataFrame, table_col: str, names: Sequence[str]) -> D
     return df.where(has_attributes(hdr, names)).withColumns({n: lookup(hdr, cnt, n) for n in names})
 
 
-def header_counts(df: DataFrame, header_col: str) -> DataFrame:
-    """Frequency of each header name over all rows (explode + map-side count)."""
-    return df.select(F.explode(_c(header_col)).alias("value")).groupBy("value").count()
+def header_counts(df: DataFrame, header_col: str, first: Column | None = None) -> DataFrame:
+    """Frequency of each header name over all rows (explode + map-side count).
+    With ``first`` (the row's place in the table order), ``first`` also holds
+    where each name was first seen: min of (row place, position in header)."""
+    if first is None:
+        return df.select(F.explode(_c(header_col)).alias("value")).groupBy("value").count()
+    ex = df.select(first.alias("_row"), F.posexplode(_c(header_col)).alias("_pos", "value"))
+    return ex.groupBy("value").agg(F.count(F.lit(1)).alias("count"),
+                                   F.min(F.struct("_row", "_pos")).alias("first"))
+
+
+def most_common(counts: DataFrame, k: int = 20) -> DataFrame:
+    """``Counter.most_common(k)`` of a (value, count[, first]) table: count
+    descending, ties in first-seen order (by value when ``first`` is absent).
+    At most ``k`` rows, so the result can be broadcast."""
+    tie = F.asc("first") if "first" in counts.columns else F.asc("value")
+    return counts.orderBy(F.desc("count"), tie, F.asc("value")).limit(k).select("value", "count")
 
 
 # ---------------------------------------------------------------- filters ---
@@ -63,20 +77,26 @@ def first_match(pieces, line) -> Column:
     return F.coalesce(F.get(hits, 0), F.element_at(_c(pieces), -1))
 
 
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(F.col(col).alias("value")).count()
+def value_counts(df: DataFrame, col: str, first: Column | None = None) -> DataFrame:
+    """Count per value; with ``first`` (the row's place in the table order,
+    any orderable column) also the place where the value was first seen."""
+    g = df.groupBy(F.col(col).alias("value"))
+    if first is None:
+        return g.count()
+    return g.agg(F.count(F.lit(1)).alias("count"), F.min(first).alias("first"))
 
 
-def top_k_values(df: DataFrame, col: str, k: int = 20) -> DataFrame:
-    """The ``k`` most frequent values (ties by value, so the result is
-    deterministic). At most ``k`` rows, so it can be broadcast."""
-    return value_counts(df, col).orderBy(F.desc("count"), F.asc("value")).limit(k)
+def top_k_values(df: DataFrame, col: str, k: int = 20, first: Column | None = None) -> DataFrame:
+    """The ``k`` most frequent values; ties in first-seen order when
+    ``first`` gives the table order (``Counter.most_common``), else by value."""
+    return most_common(value_counts(df, col, first), k)
 
 
-def keep_top_k(df: DataFrame, col: str, k: int = 20, over: DataFrame | None = None) -> DataFrame:
+def keep_top_k(df: DataFrame, col: str, k: int = 20, over: DataFrame | None = None,
+               first: Column | None = None) -> DataFrame:
     """Rows whose ``col`` is among the k most frequent values of ``over``
     (default: ``df`` itself); a broadcast semi join on a k-row table."""
-    top = top_k_values(over if over is not None else df, col, k).select(F.col("value").alias(col))
+    top = top_k_values(over if over is not None else df, col, k, first).select(F.col("value").alias(col))
     return df.join(F.broadcast(top), col, "left_semi")
 
 

@@ -98,6 +98,18 @@ def s_hub(spark, sf):
 
 S_HUB = f"SELECT row_id, CASE WHEN split = 'val' THEN 'valid' ELSE split END AS split, target_text, hdr, cnt FROM ({BIO_SQL})"
 
+# Place of a row in the union of splits (train, then test, then valid; rows in
+# id order inside a split): the first-seen order that breaks count ties.
+UNION_ORDER = ["train", "test", "valid"]
+
+
+def row_place():
+    rank = F.when(F.col("split") == UNION_ORDER[0], 0).when(F.col("split") == UNION_ORDER[1], 1).otherwise(2)
+    return F.struct(rank.alias("split_rank"), F.col("row_id"))
+
+
+_RANK_SQL = f"CASE split WHEN '{UNION_ORDER[0]}' THEN 0 WHEN '{UNION_ORDER[1]}' THEN 1 ELSE 2 END"
+
 
 def s_extract(spark, sf):
     """Rows holding all attributes; attribute columns; nested column dropped;
@@ -162,11 +174,12 @@ S_NAT = f"SELECT * FROM ({S_FIRST}) WHERE contains({D.first_line('text')}, natio
 
 def s_top(spark, sf):
     """Nationality among the 20 most frequent over the union of splits."""
-    return B.keep_top_k(s_nat_line(spark, sf), "nationality", TOP_K)
+    return B.keep_top_k(s_nat_line(spark, sf), "nationality", TOP_K, first=row_place())
 
 
-S_TOPLIST = f"""SELECT nationality AS value, count(*) AS count FROM ({S_NAT}) GROUP BY nationality
-ORDER BY count DESC, value ASC LIMIT {TOP_K}"""
+S_TOPLIST = f"""SELECT value, count FROM (
+  SELECT nationality AS value, count(*) AS count, min([{_RANK_SQL}, row_id]) AS first
+  FROM ({S_NAT}) GROUP BY nationality ORDER BY count DESC, first ASC LIMIT {TOP_K})"""
 S_TOP = f"SELECT * FROM ({S_NAT}) WHERE nationality IN (SELECT value FROM ({S_TOPLIST}))"
 
 
@@ -183,7 +196,8 @@ AND contains({D.first_line('text')}, occupation) AND contains({D.first_line('tex
 
 def top_nationalities(spark, sf) -> list[str]:
     """The ranked top-20 list (at most 20 strings: a bounded driver value)."""
-    return [r["value"] for r in B.top_k_values(s_nat_line(spark, sf), "nationality", TOP_K).collect()]
+    top = B.top_k_values(s_nat_line(spark, sf), "nationality", TOP_K, first=row_place())
+    return [r["value"] for r in top.collect()]
 
 
 def s_render(spark, sf):
@@ -207,7 +221,9 @@ def _title_sql(x):
 _UNTOK = (f"replace(replace(replace(replace({D.strip(D.first_line('text'))}, '-lrb- ', '('), ' -rrb-', ')'), "
           f"' ,', ','), ' .', '.')")
 _MONTHS = "[" + ", ".join(D.q(m) for m in T.MONTHS) + "]"
-_RANKED = f"(SELECT list(value ORDER BY count DESC, value ASC) FROM ({S_TOPLIST}))"
+_RANKED = f"""(SELECT list(value ORDER BY count DESC, first ASC) FROM (
+  SELECT nationality AS value, count(*) AS count, min([{_RANK_SQL}, row_id]) AS first
+  FROM ({S_NAT}) GROUP BY nationality ORDER BY count DESC, first ASC LIMIT {TOP_K}))"""
 S_RENDER = f"""SELECT * EXCLUDE (name) REPLACE (replace({_cap_fold(_cap_fold(_UNTOK, _RANKED), _MONTHS)}, name, {_title_sql('name')}) AS text)
 FROM ({S_ALL})"""
 
@@ -231,13 +247,15 @@ SQL["src_hub_dataset"] = _stage_summary_sql(S_HUB, [])
 
 
 def agg_header_counts(spark, sf):
-    return B.header_counts(s_hub(spark, sf), "input_text.table.column_header") \
-        .orderBy(F.desc("count"), "value").limit(TOP_K)
+    counts = B.header_counts(s_hub(spark, sf), "input_text.table.column_header", first=row_place())
+    return B.most_common(counts, TOP_K)
 
 
 Q["agg_header_counts"] = agg_header_counts
-SQL["agg_header_counts"] = f"""SELECT value, count(*) AS count FROM (SELECT unnest(hdr) AS value FROM ({S_HUB}))
-GROUP BY value ORDER BY count DESC, value LIMIT {TOP_K}"""
+SQL["agg_header_counts"] = f"""SELECT value, count FROM (
+  SELECT u.value, count(*) AS count, min([{_RANK_SQL}, row_id, u.pos]) AS first
+  FROM ({S_HUB}), unnest(hdr) WITH ORDINALITY AS u(value, pos)
+  GROUP BY u.value ORDER BY count DESC, first ASC LIMIT {TOP_K})"""
 
 for _slug, _fn, _sql in [
     ("flt_has_attributes", s_extract, S_EXTRACT),
@@ -275,7 +293,7 @@ SQL["agg_value_counts"] = f"SELECT nationality AS value, count(*) AS count FROM
 
 
 def topk_most_common(spark, sf):
-    return B.top_k_values(s_nat_line(spark, sf), "nationality", TOP_K)
+    return B.top_k_values(s_nat_line(spark, sf), "nationality", TOP_K, first=row_place())
 
 
 Q["topk_most_common"] = topk_most_common
