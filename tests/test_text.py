@@ -159,3 +159,16 @@ def test_final_period_and_untokenize(spark):
     assert [r.a for r in got] == ["done.", "not done.", "x -lrb- y -rrb- , z ."]
     assert got[2].b == "x (y) , z.".replace(" ,", ",")
     assert F is not None
+
+
+def test_word_count_stripped_equals_python_split(spark):
+    """On stripped text, the lambda-free word count equals len(str.split())."""
+    import random
+
+    rng = random.Random(3)
+    alphabet = ["a", "b", ".", "(", " ", " ", " ", "\t", "\n", "\x1c", "　", "é"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))).strip() for _ in range(400)]
+    texts += ["", "a", "a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.n for r in df.select(T.word_count_stripped("t").alias("n")).collect()]
+    assert got == [len(t.split()) for t in texts]

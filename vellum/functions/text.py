@@ -85,6 +85,13 @@ def word_count(c) -> Column:
     return F.size(split_ws(c))
 
 
+def word_count_stripped(c) -> Column:
+    """``len(t.split())`` for a text that is already stripped: no edge white
+    space means no empty pieces, so no per-piece filter is needed."""
+    c = _c(c)
+    return F.when(c == "", 0).otherwise(F.size(F.split(c, WS_CLASS + "+")))
+
+
 def collapse_ws(c) -> Column:
     """``re.sub(r'\\s+', ' ', t)``."""
     return F.regexp_replace(_c(c), WS_CLASS + "+", " ")
@@ -125,7 +132,7 @@ def sentence_clean(c, min_words: int = 5, max_words: int = 128, stripped: bool =
     newline, balanced brackets (cheap tests first; And short-circuits).
     ``stripped=True`` skips the (idempotent) strip for already-stripped text."""
     s = _c(c) if stripped else strip(c)
-    n = word_count(s)
+    n = word_count_stripped(s)
     return (
         ~s.contains("\n")
         & ~starts_with_punct(s)

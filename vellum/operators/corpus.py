@@ -45,7 +45,7 @@ def clean_sentences(sents: DataFrame, min_words: int = 8, max_words: int = 128,
     """Keep sentences passing ``sentence_clean`` and add ``n_words`` (the
     sentences of ``sentences`` are already stripped)."""
     return sents.where(T.sentence_clean(F.col(text_col), min_words, max_words, stripped=True)).withColumn(
-        "n_words", T.word_count(text_col)
+        "n_words", T.word_count_stripped(text_col)
     )
 
 
