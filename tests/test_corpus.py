@@ -76,3 +76,17 @@ def test_remainder_band_takes_rows_after_cap(spark):
     assert len(rows) == 20 and all(r.ord >= 100 and r.n_words > 65 for r in rows)
     later = o.where((F.col("ord") >= 100) & (F.col("n_words") > 65)).orderBy("ord").limit(20)
     assert sorted(r.k for r in rows) == sorted(r.k for r in later.collect())
+
+
+def test_ordinal_one_and_two_level_prefix_sums(spark):
+    """Every bucket width (single running sum up to 4 hex digits, two-level
+    sum beyond) gives the rank of (hash, key) in a plain sort."""
+    df = spark.range(3000).withColumn("_h", C.order_key(7, "id"))
+    exp = [r.id for r in df.orderBy("_h", "id").collect()]
+    for digits in (1, 3, 5, 6):
+        got = C.with_ordinal(df, "_h", ["id"], bucket_hex=digits).orderBy("ord").collect()
+        assert [r.ord for r in got] == list(range(len(exp)))
+        assert [r.id for r in got] == exp
+    assert C.ordinal_bucket_hex(1_000, 8) == 2            # 32 buckets wanted -> 256
+    assert C.ordinal_bucket_hex(5 * 10**11, 1000) == 6    # 1e7 buckets wanted <= 16**6
+    assert C.ordinal_bucket_hex(10**20, 8) == C.ORDINAL_MAX_HEX

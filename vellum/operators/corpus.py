@@ -16,11 +16,25 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 
-# Width of the ordinal buckets: the first 4 hex digits of the md5 order key.
-# The per-bucket count table therefore has at most 16**4 = 65,536 rows, which is
-# the proven bound that lets it be broadcast.
-ORDINAL_BUCKET_HEX = 4
-ORDINAL_BUCKET_MAX_ROWS = 16**ORDINAL_BUCKET_HEX
+# Ordinal buckets are prefixes of the md5 order key, as wide as the row count
+# needs: about ORDINAL_TARGET_ROWS rows per fine bucket and at least 4 buckets
+# per task slot (1 to 8 hex digits; 6 digits, ~30,000 rows each, at 5e11 rows).
+# Up to 4 digits the bucket offsets (<= 65,536 rows) are broadcast; beyond,
+# super buckets 4 digits shorter each span at most 65,536 fine buckets in their
+# running-sum window, and the super offsets, the only broadcast table, have at
+# most 16**4 rows.
+ORDINAL_TARGET_ROWS = 50_000
+ORDINAL_MAX_HEX = 8
+ORDINAL_SUPER_SPAN_HEX = 4
+
+
+def ordinal_bucket_hex(n_rows: int, slots: int) -> int:
+    """Hex digits of the fine ordinal buckets for ``n_rows`` rows."""
+    want = max(n_rows / ORDINAL_TARGET_ROWS, 4 * slots, 1)
+    digits = 1
+    while 16**digits < want and digits < ORDINAL_MAX_HEX:
+        digits += 1
+    return digits
 
 
 def sentences(
@@ -87,23 +101,43 @@ def order_key(seed, *key_cols) -> Column:
 
 
 def with_ordinal(df: DataFrame, hash_col: str, tie_cols: Sequence[str], out: str = "ord",
-                 bucket_hex: int = ORDINAL_BUCKET_HEX) -> DataFrame:
+                 n_rows: int | None = None, bucket_hex: int | None = None) -> DataFrame:
     """Dense 0-based ordinal over ``(hash_col, *tie_cols)`` without a global sort.
 
-    bucket = first ``bucket_hex`` hex digits of the hash (a prefix of the order)
-    -> count per bucket (map-side combined) -> running offsets over that small
-    table (<= 16**bucket_hex rows, broadcast) -> row_number inside the bucket.
+    A prefix sum over hash-prefix buckets: count rows per fine bucket (first
+    ``bucket_hex`` hex digits, map-side combined). Up to 16**4 buckets the
+    running offsets are one small window and broadcast. Beyond that the sum has
+    two levels: bucket counts summed per super bucket (4 digits shorter,
+    <= 65,536 rows, running offsets broadcast), then running offsets of the
+    fine buckets inside each super bucket (window partitioned by super
+    bucket); the rows are joined to them on the fine bucket, the key the
+    numbering window is partitioned by, so the rows are shuffled once. Each
+    row's ordinal is its bucket offset plus ``row_number`` inside the bucket.
     ``hash_col`` must be a uniform hash of a unique key, so no bucket is hot.
-    The input is read twice (counts, then numbering): materialise it first when
-    it is expensive to recompute.
+    Bucket width follows ``n_rows`` (counted when not given). The input is
+    read again for the counts and the numbering: materialise it first when it
+    is expensive to recompute.
     """
+    if bucket_hex is None:
+        n = df.count() if n_rows is None else n_rows
+        bucket_hex = ordinal_bucket_hex(n, df.sparkSession.sparkContext.defaultParallelism)
     b = df.withColumn("_b", F.substring(F.col(hash_col), 1, bucket_hex))
     counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    if bucket_hex <= ORDINAL_SUPER_SPAN_HEX:
+        # <= 65,536 buckets: one running sum, and the offsets are broadcast
+        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = F.broadcast(counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    else:
+        counts = counts.withColumn("_sb", F.substring("_b", 1, bucket_hex - ORDINAL_SUPER_SPAN_HEX))
+        supers = counts.groupBy("_sb").agg(F.sum("_n").alias("_sn"))
+        before_super = Window.orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+        super_off = supers.select("_sb", F.coalesce(F.sum("_sn").over(before_super), F.lit(0)).alias("_so"))
+        before = Window.partitionBy("_sb").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.join(F.broadcast(super_off), "_sb").select(
+            "_b", (F.col("_so") + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_off"))
     inside = Window.partitionBy("_b").orderBy(hash_col, *tie_cols)
     return (
-        b.join(F.broadcast(offsets), "_b")
+        b.join(offsets, "_b")
         .withColumn(out, F.row_number().over(inside) - 1 + F.col("_off"))
         .drop("_b", "_off")
     )

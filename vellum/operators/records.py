@@ -134,11 +134,18 @@ def required_final_period(c, name: str = "text") -> Column:
 
 
 # ------------------------------------------------------------- candidates ---
-def domain_ids(df: DataFrame, col: str, seed=2023) -> DataFrame:
-    """Distinct values of ``col`` with a dense id (0..n-1) in a seeded order."""
+def domain_ids(df: DataFrame, col: str, seed=2023, n_values: int | None = None) -> DataFrame:
+    """Distinct values of ``col`` with a dense id (0..n-1) in a seeded order
+    (``n_values``, the domain size, sizes the ordinal buckets when known)."""
     dom = df.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
     dom = dom.withColumn("_h", C.order_key(seed, F.lit(col), "value"))
-    return C.with_ordinal(dom, "_h", ["value"], "id").select("value", "id")
+    return C.with_ordinal(dom, "_h", ["value"], "id", n_rows=n_values).select("value", "id")
+
+
+def domain_sizes(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Exact number of distinct non-null values of each column, one pass."""
+    row = df.agg(*[F.count_distinct(F.col(c).cast("string")).alias(c) for c in cols]).first()
+    return {c: int(row[c]) for c in cols}
 
 
 def _draw_int(seed, attr: str, key: Column, j: Column) -> Column:
@@ -181,11 +188,11 @@ def candidate_lists_multi(df: DataFrame, key: str, cols: Sequence[str], seed=202
     raise ``ValueError``.
     """
     src = domain_from if domain_from is not None else df
+    sizes = domain_sizes(src, cols)
     doms = None
     for c in cols:
-        d = domain_ids(src, c, seed).withColumn("attr", F.lit(c))
+        d = domain_ids(src, c, seed, sizes[c]).withColumn("attr", F.lit(c))
         doms = d if doms is None else doms.unionByName(d)
-    sizes = {r["attr"]: r["n"] for r in doms.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).collect()}
     ks = {}
     for c in cols:
         n = sizes.get(c, 0)
