@@ -60,3 +60,26 @@ def test_accuracy_invariant_to_positive_scale(spark):
     acc2 = V.attribute_accuracy(V.attribute_scores(scaled, cands, cv)).collect()[0]
     assert acc.accuracy == pytest.approx(2 / 3) and acc.n_tied == 1
     assert acc2.accuracy == acc.accuracy
+
+
+def test_broadcast_budget_and_shuffle_fallback(spark, monkeypatch):
+    """Sizes are measured before broadcasting; with no budget the same
+    candidate lists and scores come out of the shuffled joins."""
+    import vellum.session as SES
+    from vellum.plans import vectors_q as VQ
+
+    assert SES.fits_broadcast(1000, 100)
+    assert not SES.fits_broadcast(10**6, 1024 * 8)      # 1e6 prompts x 1,024 doubles
+
+    def run():
+        s = V.attribute_scores(VQ._run_vectors(spark, SF_SMALL), VQ._candidates(spark, SF_SMALL),
+                               VQ._centroids(spark, SF_SMALL), normalize=True)
+        return sorted((r.row_id, r.attr, r.run, r.cand_pos, round(r.score, 12)) for r in s.collect())
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = run()
+        monkeypatch.setattr(SES, "BROADCAST_MAX_BYTES", 0)
+        assert run() == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

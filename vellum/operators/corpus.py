@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.session import fits_broadcast
 
 # Ordinal buckets are prefixes of the md5 order key, as wide as the row count
 # needs: about ORDINAL_TARGET_ROWS rows per fine bucket and at least 4 buckets
@@ -63,19 +64,20 @@ def clean_sentences(sents: DataFrame, min_words: int = 8, max_words: int = 128,
     )
 
 
-# Drop lists up to this many ids (8 bytes each) are broadcast; the count is
-# taken before the choice is made.
-DEDUP_BROADCAST_MAX_IDS = 2_000_000
+# Copy-group rows are (md5 hex text, id): 32 + 8 bytes. The rows to drop are
+# counted first; the broadcast side is at most that many rows.
+DEDUP_ROW_BYTES = 40
 
 
 def md5_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-              broadcast_max: int = DEDUP_BROADCAST_MAX_IDS) -> DataFrame:
+              broadcast_max: int | None = None) -> DataFrame:
     """Exact-copy removal: keep the row with the smallest id per md5 of the text.
 
     (md5, id) pairs are grouped with a map-side-combined aggregate, so a group
     of copies holding a large share of all rows collapses before the shuffle.
-    The rows to drop are counted first: up to ``broadcast_max`` of them, the
-    copy groups and then the dropped ids are broadcast and removed with an
+    The rows to drop are counted first: while that many copy-group rows fit
+    the broadcast budget (or up to ``broadcast_max`` rows), the copy groups and
+    then the dropped ids are broadcast and removed with an
     anti join, so the documents themselves are never shuffled; beyond that the
     kept ids are matched back with a shuffled semi join on the unique id.
     """
@@ -85,7 +87,9 @@ def md5_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     n_drop = copies.agg(F.sum(F.col("_n") - 1)).first()[0] or 0
     if n_drop == 0:
         return df
-    if n_drop <= broadcast_max:   # copy groups <= rows to drop <= bound
+    # copy groups <= rows to drop, so n_drop bounds both broadcast tables
+    small = fits_broadcast(n_drop, DEDUP_ROW_BYTES) if broadcast_max is None else n_drop <= broadcast_max
+    if small:
         drop = (h.join(F.broadcast(copies.select("_m", "_keep")), "_m")
                 .where(F.col(id_col) != F.col("_keep")).select(id_col))
         return df.join(F.broadcast(drop), id_col, "left_anti")

@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import corpus as C
+from vellum.session import fits_broadcast
 
 CANDIDATES = 10
-# Above this many distinct values the value->id table is joined by shuffle
-# instead of broadcast; the count is taken before the choice is made.
-BROADCAST_MAX_VALUES = 1_000_000
 
 
 def _c(c) -> Column:
@@ -142,10 +140,12 @@ def domain_ids(df: DataFrame, col: str, seed=2023, n_values: int | None = None)
     return C.with_ordinal(dom, "_h", ["value"], "id", n_rows=n_values).select("value", "id")
 
 
-def domain_sizes(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
-    """Exact number of distinct non-null values of each column, one pass."""
-    row = df.agg(*[F.count_distinct(F.col(c).cast("string")).alias(c) for c in cols]).first()
-    return {c: int(row[c]) for c in cols}
+def domain_sizes(df: DataFrame, cols: Sequence[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """Exact number of distinct non-null values of each column and the
+    longest value in bytes (bounds the domain table's size), one pass."""
+    row = df.agg(*[F.count_distinct(F.col(c).cast("string")).alias(f"n_{c}") for c in cols],
+                 *[F.max(F.octet_length(F.col(c).cast("string"))).alias(f"w_{c}") for c in cols]).first()
+    return ({c: int(row[f"n_{c}"]) for c in cols}, {c: int(row[f"w_{c}"] or 0) for c in cols})
 
 
 def _draw_int(seed, attr: str, key: Column, j: Column) -> Column:
@@ -188,7 +188,7 @@ def candidate_lists_multi(df: DataFrame, key: str, cols: Sequence[str], seed=202
     raise ``ValueError``.
     """
     src = domain_from if domain_from is not None else df
-    sizes = domain_sizes(src, cols)
+    sizes, widths = domain_sizes(src, cols)
     doms = None
     for c in cols:
         d = domain_ids(src, c, seed, sizes[c]).withColumn("attr", F.lit(c))
@@ -204,7 +204,9 @@ def candidate_lists_multi(df: DataFrame, key: str, cols: Sequence[str], seed=202
         d = df.select(F.col(key), F.lit(c).alias("attr"), F.col(c).cast("string").alias("_truth"),
                       F.posexplode(floyd_draw(sizes[c], ks[c], seed, c, F.col(key))).alias("_pos", "id"))
         draws = d if draws is None else draws.unionByName(d)
-    dom_side = F.broadcast(doms) if sum(sizes.values()) <= BROADCAST_MAX_VALUES else doms
+    # (attr, id, value) rows: broadcast only when the measured bound fits
+    widest = max(len(c) + 8 + widths[c] for c in cols)
+    dom_side = F.broadcast(doms) if fits_broadcast(sum(sizes.values()), widest) else doms
     named = draws.join(dom_side, ["attr", "id"]).where(F.col("value") != F.col("_truth"))
     # one group per row: at most len(cols) * k small structs
     per_row = named.groupBy(key).agg(

@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
 from vellum.functions import arrays as A
+from vellum.session import fits_broadcast
 
-# Distinct prompts (candidate values) above this count are joined by shuffle
-# rather than broadcast; the count is taken first.
-BROADCAST_MAX_PROMPTS = 1_000_000
 
 
 class HashedEncoder:
@@ -131,8 +129,12 @@ def attribute_scores(text_vecs: DataFrame, candidates: DataFrame, cand_vecs: Dat
     cv = cand_vecs.select("attr", "value", F.col(vec).alias("_cv"))
     if normalize:
         cv = cv.withColumn("_cv", A.l2_normalize("_cv"))
-    n_prompts = cv.count()
-    cv_side = F.broadcast(cv) if n_prompts <= BROADCAST_MAX_PROMPTS else cv
+    # measured first: prompt count and widest row (8 bytes per component,
+    # attribute and value text); broadcast only within the budget
+    m = cv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_cv")).alias("d"),
+               F.max(F.octet_length("attr") + F.octet_length("value")).alias("t")).first()
+    fits = fits_broadcast(m["n"], 8 * (m["d"] or 0) + (m["t"] or 0))
+    cv_side = F.broadcast(cv) if fits else cv
     cands = candidates.join(cv_side, ["attr", "value"])
     tv = text_vecs.select(key, run, F.col(vec).alias("_tv"))
     if normalize:

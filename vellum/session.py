@@ -20,6 +20,19 @@ TABLES = (
 ).split()
 
 
+# Largest table the library broadcasts on its own decision. Every such choice
+# measures the table first (row count times a measured or fixed row width);
+# larger tables are joined by shuffle.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+ROW_OVERHEAD_BYTES = 32
+
+
+def fits_broadcast(n_rows: int, row_bytes: int, budget: int | None = None) -> bool:
+    """Whether ``n_rows`` rows of at most ``row_bytes`` bytes each fit the budget."""
+    limit = BROADCAST_MAX_BYTES if budget is None else budget
+    return n_rows * (row_bytes + ROW_OVERHEAD_BYTES) <= limit
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local[N] session configured the way the bench and tests expect."""
     spark = (
