@@ -90,3 +90,18 @@ def test_ordinal_one_and_two_level_prefix_sums(spark):
     assert C.ordinal_bucket_hex(1_000, 8) == 2            # 32 buckets wanted -> 256
     assert C.ordinal_bucket_hex(5 * 10**11, 1000) == 6    # 1e7 buckets wanted <= 16**6
     assert C.ordinal_bucket_hex(10**20, 8) == C.ORDINAL_MAX_HEX
+
+
+def test_grouped_ordinal_restarts_per_group(spark):
+    """With group keys the ordinal is the rank inside each group, on both the
+    one-level and the two-level prefix sum (one group holds most rows)."""
+    df = (spark.range(3000).withColumn("_h", C.order_key(11, "id"))
+          .withColumn("g", F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") / 500).cast("int")))))
+    rows = sorted(df.collect(), key=lambda r: (r._h, r.id))
+    exp, seen = {}, {}
+    for r in rows:
+        exp[r.id] = seen.get(r.g, 0)
+        seen[r.g] = exp[r.id] + 1
+    for digits in (2, 6):
+        got = {r.id: r.ord for r in C.with_ordinal(df, "_h", ["id"], bucket_hex=digits, by=["g"]).collect()}
+        assert got == exp

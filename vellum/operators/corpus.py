@@ -104,44 +104,53 @@ def order_key(seed, *key_cols) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+def _earlier_sum(value: str, order: str, within: Sequence[str]) -> Column:
+    """Sum of ``value`` over the rows before this one in ``order`` (0 for the first)."""
+    w = Window.partitionBy(*within) if within else Window
+    return F.coalesce(F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def with_ordinal(df: DataFrame, hash_col: str, tie_cols: Sequence[str], out: str = "ord",
-                 n_rows: int | None = None, bucket_hex: int | None = None) -> DataFrame:
-    """Dense 0-based ordinal over ``(hash_col, *tie_cols)`` without a global sort.
+                 n_rows: int | None = None, bucket_hex: int | None = None,
+                 by: Sequence[str] = ()) -> DataFrame:
+    """Dense 0-based ordinal over ``(hash_col, *tie_cols)`` without a global sort,
+    restarting in every group of the (non-null) ``by`` columns.
 
     A prefix sum over hash-prefix buckets: count rows per fine bucket (first
     ``bucket_hex`` hex digits, map-side combined). Up to 16**4 buckets the
-    running offsets are one small window and broadcast. Beyond that the sum has
-    two levels: bucket counts summed per super bucket (4 digits shorter,
-    <= 65,536 rows, running offsets broadcast), then running offsets of the
-    fine buckets inside each super bucket (window partitioned by super
-    bucket); the rows are joined to them on the fine bucket, the key the
-    numbering window is partitioned by, so the rows are shuffled once. Each
-    row's ordinal is its bucket offset plus ``row_number`` inside the bucket.
-    ``hash_col`` must be a uniform hash of a unique key, so no bucket is hot.
+    running offsets are one small window (broadcast when there are no groups).
+    Beyond that the sum has two levels: bucket counts summed per super bucket
+    (4 digits shorter, <= 65,536 rows per group, running offsets), then running
+    offsets of the fine buckets inside each super bucket (window partitioned by
+    super bucket). Non-broadcast offsets are joined to the rows on the fine
+    bucket, the key the numbering window is partitioned by, so the rows are
+    shuffled once. Each row's ordinal is its bucket offset plus
+    ``row_number`` inside the bucket.
+    ``hash_col`` must be a uniform hash of a unique key, so no bucket is hot
+    (a group holding most rows is still spread over all its buckets).
     Bucket width follows ``n_rows`` (counted when not given). The input is
     read again for the counts and the numbering: materialise it first when it
     is expensive to recompute.
     """
+    by = list(by)
     if bucket_hex is None:
         n = df.count() if n_rows is None else n_rows
         bucket_hex = ordinal_bucket_hex(n, df.sparkSession.sparkContext.defaultParallelism)
+    # fixed bound (<= 65,536 rows) only without groups; group counts are unbounded
+    small = F.broadcast if not by else (lambda t: t)
     b = df.withColumn("_b", F.substring(F.col(hash_col), 1, bucket_hex))
-    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     if bucket_hex <= ORDINAL_SUPER_SPAN_HEX:
-        # <= 65,536 buckets: one running sum, and the offsets are broadcast
-        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = F.broadcast(counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+        offsets = small(counts.select(*by, "_b", _earlier_sum("_n", "_b", by).alias("_off")))
     else:
         counts = counts.withColumn("_sb", F.substring("_b", 1, bucket_hex - ORDINAL_SUPER_SPAN_HEX))
-        supers = counts.groupBy("_sb").agg(F.sum("_n").alias("_sn"))
-        before_super = Window.orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
-        super_off = supers.select("_sb", F.coalesce(F.sum("_sn").over(before_super), F.lit(0)).alias("_so"))
-        before = Window.partitionBy("_sb").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.join(F.broadcast(super_off), "_sb").select(
-            "_b", (F.col("_so") + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_off"))
-    inside = Window.partitionBy("_b").orderBy(hash_col, *tie_cols)
+        supers = counts.groupBy(*by, "_sb").agg(F.sum("_n").alias("_sn"))
+        super_off = small(supers.select(*by, "_sb", _earlier_sum("_sn", "_sb", by).alias("_so")))
+        offsets = counts.join(super_off, [*by, "_sb"]).select(
+            *by, "_b", (F.col("_so") + _earlier_sum("_n", "_b", [*by, "_sb"])).alias("_off"))
+    inside = Window.partitionBy(*by, "_b").orderBy(hash_col, *tie_cols)
     return (
-        b.join(offsets, "_b")
+        b.join(offsets, [*by, "_b"])
         .withColumn(out, F.row_number().over(inside) - 1 + F.col("_off"))
         .drop("_b", "_off")
     )
@@ -203,6 +212,18 @@ def remainder_band(df: DataFrame, cap: int, band: str, size: int, ord_col: str =
     return with_ordinal(rest, "_h", [ord_col], "band_ord").where(F.col("band_ord") < size)
 
 
+def remainder_bands(df: DataFrame, cap: int, bands: Sequence[str], size: int, ord_col: str = "ord",
+                    n_col: str = "n_words") -> DataFrame:
+    """``remainder_band`` for several disjoint bands in one numbering pass:
+    adds ``band`` (the band's name) and ``band_ord`` (restarting per band)."""
+    label = None
+    for name in bands:
+        cond = length_band(F.col(n_col), name)
+        label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
+    rest = df.where(F.col(ord_col) >= cap).withColumn("band", label).where(F.col("band").isNotNull())
+    return with_ordinal(rest, "_h", [ord_col], "band_ord", by=["band"]).where(F.col("band_ord") < size)
+
+
 def split_period_sentences(docs: DataFrame, text_col: str = "text",
                            keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Plain ``'. '`` splitter with periods restored (one row per piece)."""

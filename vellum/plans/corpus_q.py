@@ -293,10 +293,7 @@ SQL["smp_prefix_cap"] = f"SELECT doc_id, pos, ord, n_words FROM ({_ORD_CLEAN_SQL
 
 
 def smp_remainder_bucket(spark, sf):
-    o = _ordered_clean(spark, sf)
-    med = C.remainder_band(o, CAP, "medium", BAND_SIZE).withColumn("band", F.lit("medium"))
-    lng = C.remainder_band(o, CAP, "long", BAND_SIZE).withColumn("band", F.lit("long"))
-    both = med.unionByName(lng)
+    both = C.remainder_bands(_ordered_clean(spark, sf), CAP, ["medium", "long"], BAND_SIZE)
     return both.select("band", "doc_id", "pos", "ord", "band_ord", "n_words")
 
 
