@@ -80,3 +80,31 @@ def test_stream_resumes_from_checkpoint(spark):
     assert 0 < n_first < got.count()
     assert got.count() == got.distinct().count() == exp.count()
     assert got.exceptAll(exp).count() == 0
+
+
+INVARIANT = ["split_by_sizes", "smp_remainder_bucket", "precond_md5_dedup", "metric_token_f1",
+             "metric_bleu_1_to_4", "agg_rouge_bootstrap", "cand_list_terms", "attr_inference_multi",
+             "topk_most_common", "agg_header_counts"]
+
+
+def _rows(df):
+    def norm(v):
+        return round(v, 7) if isinstance(v, float) else (tuple(v) if isinstance(v, list) else v)
+    return sorted(tuple(norm(v) for v in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", INVARIANT)
+def test_results_do_not_depend_on_partitioning(spark, name):
+    """Metamorphic: the shuffle partition count (1 or 13) and adaptive
+    execution (off) change the plan, never the result."""
+    q = E.queries()[name]
+    base = _rows(q(spark, SF_SMALL))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for parts in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert _rows(q(spark, SF_SMALL)) == base
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
