@@ -180,8 +180,8 @@ def candidate_lists_multi(df: DataFrame, key: str, cols: Sequence[str], seed=202
     Each attribute's domain (distinct values of ``domain_from``, default
     ``df``) gets dense ids in a seeded order. Every row draws k distinct ids
     per attribute with Floyd's algorithm (k steps, md5 of seed/attr/row/step),
-    the ids are joined to values on (attr, id) -- uniform keys, broadcast below
-    a counted bound -- the truth is dropped if drawn and the first k-1 remain.
+    the ids are joined to values on (attr, id) -- uniform keys, broadcast only when
+    the measured size fits the budget -- the truth is dropped if drawn and the first k-1 remain.
     Per row this is O(k) work whatever the domain size, and all attributes
     share one group-by and one join back, so the rows are shuffled twice in
     total. A two-value domain yields ``[truth, other]``; fewer than k values
