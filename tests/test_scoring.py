@@ -249,3 +249,31 @@ def test_lcs_sql_twin_against_model():
         ref_s = [s.split() for s in row.ref.split("\n") if s]
         pred_s = [s.split() for s in row.pred.split("\n") if s]
         assert got[row.pair_id][3] == pytest.approx(L.union_lcs_f(ref_s, pred_s), abs=1e-12)
+
+
+def test_lcs_table_and_backtrack_against_plain_dp():
+    """The vectorised LCS table equals the textbook recurrence cell by cell, and
+    the backtrack picks the same positions as a plain-Python walk."""
+    def plain(ref, can):
+        t = [[0] * (len(can) + 1) for _ in range(len(ref) + 1)]
+        for i in range(1, len(ref) + 1):
+            for j in range(1, len(can) + 1):
+                t[i][j] = t[i - 1][j - 1] + 1 if ref[i - 1] == can[j - 1] else max(t[i - 1][j], t[i][j - 1])
+        i, j, out = len(ref), len(can), []
+        while i > 0 and j > 0:
+            if ref[i - 1] == can[j - 1]:
+                out.append(i - 1)
+                i, j = i - 1, j - 1
+            elif t[i][j - 1] > t[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        return t, out[::-1]
+
+    rng = random.Random(5)
+    for _ in range(300):
+        ref = [rng.choice("abcd") for _ in range(rng.randint(0, 15))]
+        can = [rng.choice("abcde") for _ in range(rng.randint(0, 15))]
+        t, idx = plain(ref, can)
+        assert L.lcs_table(ref, can).tolist() == t
+        assert L.lcs_indices(ref, can) == idx

@@ -8,6 +8,7 @@ receive token arrays, never raw text.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,26 +30,35 @@ def lcs_length(a, b) -> int:
     return len(a) - bin(s).count("1")
 
 
+def lcs_table(ref, can) -> np.ndarray:
+    """The (len(ref)+1) x (len(can)+1) LCS table, one vectorised row per token
+    of ``ref``: cell j is the running maximum over j' <= j of
+    max(previous[j'], previous[j'-1] + 1 where ref[i] == can[j'])."""
+    codes: dict = {}
+    r = np.fromiter((codes.setdefault(t, len(codes)) for t in ref), dtype=np.int64, count=len(ref))
+    c = np.fromiter((codes.setdefault(t, len(codes)) for t in can), dtype=np.int64, count=len(can))
+    table = np.zeros((len(ref) + 1, len(can) + 1), dtype=np.int32)
+    for i in range(1, len(ref) + 1):
+        prev = table[i - 1]
+        step = np.maximum(prev[1:], np.where(c == r[i - 1], prev[:-1] + 1, 0))
+        table[i, 1:] = np.maximum.accumulate(step)
+    return table
+
+
 def lcs_indices(ref, can) -> list[int]:
     """Positions in ``ref`` of one LCS with ``can`` (table backtrack that
     prefers moving along ``can`` only when it is strictly better)."""
     rows, cols = len(ref), len(can)
-    table = [[0] * (cols + 1) for _ in range(rows + 1)]
-    for i in range(1, rows + 1):
-        ri = ref[i - 1]
-        prev, cur = table[i - 1], table[i]
-        for j in range(1, cols + 1):
-            if ri == can[j - 1]:
-                cur[j] = prev[j - 1] + 1
-            else:
-                cur[j] = prev[j] if prev[j] >= cur[j - 1] else cur[j - 1]
+    if rows == 0 or cols == 0:
+        return []
+    table = lcs_table(ref, can)
     i, j, out = rows, cols, []
     while i > 0 and j > 0:
         if ref[i - 1] == can[j - 1]:
             out.append(i - 1)
             i -= 1
             j -= 1
-        elif table[i][j - 1] > table[i - 1][j]:
+        elif table[i, j - 1] > table[i - 1, j]:
             j -= 1
         else:
             i -= 1
