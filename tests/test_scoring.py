@@ -277,3 +277,17 @@ def test_lcs_table_and_backtrack_against_plain_dp():
         t, idx = plain(ref, can)
         assert L.lcs_table(ref, can).tolist() == t
         assert L.lcs_indices(ref, can) == idx
+
+
+def test_ngram_orders_equal_ngrams(spark):
+    from vellum.functions import arrays as A
+
+    rng = random.Random(9)
+    rows = [([rng.choice("abc") for _ in range(k)],) for k in (0, 1, 2, 3, 4, 5, 9)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    got = df.select(*[g.alias(f"c{n}") for n, g in enumerate(A.ngram_orders(F.col("t"), 4), 1)],
+                    *[A.ngrams("t", n).alias(f"r{n}") for n in range(1, 5)]).collect()
+    for (t,), r in zip(rows, got):
+        for n in range(1, 5):
+            exp = [" ".join(t[i:i + n]) for i in range(len(t) - n + 1)]
+            assert list(r[f"c{n}"]) == list(r[f"r{n}"]) == exp

@@ -19,6 +19,20 @@ def ngrams(tokens, n: int, sep: str = " ") -> Column:
     return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_orders(tokens, max_n: int, sep: str = " ") -> list[Column]:
+    """The n-grams of every order 1..max_n (same values as ``ngrams``): order 1
+    is the token array itself and gram i of order n is gram i of order n-1
+    plus ``sep`` plus token i+n-1, so each gram costs one concatenation."""
+    t = _c(tokens)
+    out = [t]
+    for n in range(2, max_n + 1):
+        m = F.size(t) - n + 1
+        step = F.zip_with(F.slice(out[-1], 1, F.greatest(m, F.lit(1))), F.slice(t, n, F.greatest(m, F.lit(1))),
+                          lambda a, b: F.concat(a, F.lit(sep), b))
+        out.append(F.when(m > 0, step).otherwise(F.array().cast("array<string>")))
+    return out
+
+
 # Arrays up to this length use the native tagged intersection (quadratic
 # position lookups in native code); longer ones use the linear sorted merge.
 TAGGED_MAX = 1024

@@ -87,8 +87,10 @@ def bleu_counts(pairs: DataFrame, ref: str = "ref", pred: str = "pred", by: Sequ
     tok = pairs.select(*by, tokenizer(F.col(pred)).alias("_t"), tokenizer(F.col(ref)).alias("_r"))
     # each order's n-grams are built and sorted once, in their own projection
     grams = tok.select(*by, F.size("_t").alias("_tl"), F.size("_r").alias("_rl"),
-                       *[F.array_sort(A.ngrams("_t", n)).alias(f"_tg{n}") for n in range(1, max_order + 1)],
-                       *[F.array_sort(A.ngrams("_r", n)).alias(f"_rg{n}") for n in range(1, max_order + 1)])
+                       *[F.array_sort(g).alias(f"_tg{n}")
+                         for n, g in enumerate(A.ngram_orders(F.col("_t"), max_order), 1)],
+                       *[F.array_sort(g).alias(f"_rg{n}")
+                         for n, g in enumerate(A.ngram_orders(F.col("_r"), max_order), 1)])
     cols = [F.col("_tl"), F.col("_rl")]
     for n in range(1, max_order + 1):
         cols.append(A.sorted_overlap(f"_tg{n}", f"_rg{n}").alias(f"_m{n}"))
@@ -189,8 +191,10 @@ def rouge_rows(pairs: DataFrame, ref: str = "ref", pred: str = "pred", keep: Seq
     tok = _rouge_tokens(pairs, ref, pred, keep, tokenizer)
     orders = sorted({int(t[5:]) for t in rouge_types if t[5:].isdigit()})
     # sorted n-gram arrays of each order are projected once per row
-    tok = tok.select("*", *[F.array_sort(A.ngrams("_pt", n)).alias(f"_pg{n}") for n in orders],
-                     *[F.array_sort(A.ngrams("_rt", n)).alias(f"_rg{n}") for n in orders])
+    top = max(orders, default=0)
+    pg, rg = A.ngram_orders(F.col("_pt"), top), A.ngram_orders(F.col("_rt"), top)
+    tok = tok.select("*", *[F.array_sort(pg[n - 1]).alias(f"_pg{n}") for n in orders],
+                     *[F.array_sort(rg[n - 1]).alias(f"_rg{n}") for n in orders])
     cols = []
     for t in rouge_types:
         if t[5:].isdigit():
