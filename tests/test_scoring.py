@@ -291,3 +291,20 @@ def test_ngram_orders_equal_ngrams(spark):
         for n in range(1, 5):
             exp = [" ".join(t[i:i + n]) for i in range(len(t) - n + 1)]
             assert list(r[f"c{n}"]) == list(r[f"r{n}"]) == exp
+
+
+def test_sorted_overlap_is_exact_multiset_intersection(spark):
+    """Run-tagged intersection equals Counter & Counter on sorted arrays with
+    heavy repeats, empty sides and long runs (int and string elements)."""
+    from vellum.functions import arrays as A
+
+    rng = random.Random(13)
+    rows = [(sorted(rng.choice("abc") for _ in range(rng.randint(0, 30))),
+             sorted(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for _ in range(200)]
+    rows += [([], []), (["a"] * 2000, ["a"] * 1500 + ["b"])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    got = [r.o for r in df.select(A.sorted_overlap("a", "b").alias("o")).collect()]
+    assert got == [sum((collections.Counter(a) & collections.Counter(b)).values()) for a, b in rows]
+    tags = spark.createDataFrame([([1, 1, 2, 5, 5, 5],), ([],)], "x array<int>").select(
+        A.occurrence_tagged("x").alias("t")).collect()
+    assert [[(e.v, e.k) for e in r.t] for r in tags] == [[(1, 0), (1, 1), (2, 0), (5, 0), (5, 1), (5, 2)], []]

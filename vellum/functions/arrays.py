@@ -33,16 +33,19 @@ def ngram_orders(tokens, max_n: int, sep: str = " ") -> list[Column]:
     return out
 
 
-# Arrays up to this length use the native tagged intersection (quadratic
-# position lookups in native code); longer ones use the linear sorted merge.
-TAGGED_MAX = 1024
-
-
 def occurrence_tagged(sorted_arr) -> Column:
-    """Sorted array -> array of (value, k) where k numbers repeated values
-    (1, 2, ...): two multisets then intersect exactly as sets of tags."""
+    """Sorted array (held in a column) -> array of (value, k) where k numbers
+    the copies of a value 0, 1, ...: two multisets then intersect exactly as
+    sets of tags. Linear: run starts are found in one pass over neighbouring
+    elements, then each run emits its value with k = 0..length-1."""
     s = _c(sorted_arr)
-    return F.transform(s, lambda x, i: F.struct(x.alias("v"), (i - F.array_position(s, x)).alias("k")))
+    n = F.size(s)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                      lambda i: (i < n) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+    ends = F.transform(starts, lambda a, j: F.coalesce(F.get(starts, j + 1), n))
+    runs = F.zip_with(starts, ends, lambda a, b: F.transform(
+        F.sequence(F.lit(0), b - a - 1), lambda k: F.struct(F.get(s, a).alias("v"), k.alias("k"))))
+    return F.flatten(runs)
 
 
 def _merge_overlap(sa: Column, sb: Column) -> Column:
@@ -77,19 +80,15 @@ def multiset_overlap(a, b) -> Column:
 
 def sorted_overlap(sa, sb) -> Column:
     """``multiset_overlap`` for already-sorted arrays held in columns of a
-    previous projection (the tag lambda looks each value up in its array, so
-    the arrays must not be recomputed per element). Arrays up to
-    ``TAGGED_MAX`` use a native ``array_intersect`` of occurrence-tagged
-    values; longer ones the linear merge, so the cost never goes quadratic
-    beyond that size."""
+    previous projection (the tags look elements up by position, so the arrays
+    must not be recomputed per element): a native ``array_intersect`` of
+    occurrence-tagged values, linear in the array lengths."""
     sa, sb = _c(sa), _c(sb)
     # a side without repeated values makes every min(count_a, count_b) a 0/1
     # membership test, i.e. the plain (native) set intersection
     plain = (F.size(F.array_distinct(sa)) == F.size(sa)) | (F.size(F.array_distinct(sb)) == F.size(sb))
-    small = (F.size(sa) <= TAGGED_MAX) & (F.size(sb) <= TAGGED_MAX)
     tagged = F.size(F.array_intersect(occurrence_tagged(sa), occurrence_tagged(sb)))
-    return (F.when(plain, F.size(F.array_intersect(sa, sb)))
-            .when(small, tagged).otherwise(_merge_overlap(sa, sb)))
+    return F.when(plain, F.size(F.array_intersect(sa, sb))).otherwise(tagged)
 
 
 def dot(a, b) -> Column:
