@@ -42,7 +42,10 @@ def occurrence_tagged(sorted_arr) -> Column:
     n = F.size(s)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
                       lambda i: (i < n) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
-    ends = F.transform(starts, lambda a, j: F.coalesce(F.get(starts, j + 1), n))
+    # run ends = the next run's start, then n; built outside any lambda (an
+    # expression referenced inside a lambda would be re-evaluated per element)
+    m = F.size(starts)
+    ends = F.slice(F.concat(F.slice(starts, 2, F.greatest(m - 1, F.lit(0))), F.array(n)), 1, m)
     runs = F.zip_with(starts, ends, lambda a, b: F.transform(
         F.sequence(F.lit(0), b - a - 1), lambda k: F.struct(F.get(s, a).alias("v"), k.alias("k"))))
     return F.flatten(runs)
