@@ -86,6 +86,7 @@ def test_metric_history_appends_new_metric(spark):
                                  "dataset string, run int, metric string, value double")
     R.append_metrics(run1, path)
     R.append_metrics(run2, path)
+    R.append_metrics(run2, path)   # a retried run replaces its rows, never doubles them
     hist = {r.metric: (list(r.history), r.latest) for r in R.metric_history(spark.read.parquet(path)).collect()}
     assert hist == {"f1": ([0.5, 0.7], 0.7), "bleu4": ([0.1], 0.1)}
     latest = R.latest_run(spark.read.parquet(path), ["dataset"])

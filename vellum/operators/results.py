@@ -1,5 +1,5 @@
 """The long ``metrics`` table and its views (history, latest, report) and the
-append-only sink that replaces the reference's per-run JSON files."""
+per-run sink that replaces the reference's per-run JSON files."""
 
 from __future__ import annotations
 
@@ -36,5 +36,9 @@ def report(metrics: DataFrame) -> DataFrame:
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Append rows to the metrics table; a new metric name is just new rows."""
-    metrics.write.mode("append").partitionBy("dataset").parquet(path)
+    """Add a run's rows to the metrics table; a new metric name is just new
+    rows. The table is partitioned by (dataset, run) and written with dynamic
+    partition overwrite, so a retried or repeated run replaces its own rows
+    instead of adding them twice, and other runs are left as they are."""
+    (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("dataset", "run").parquet(path))
