@@ -27,10 +27,13 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_predictions(preds: DataFrame, path: str, mode: str = "append") -> None:
+def write_predictions(preds: DataFrame, path: str) -> None:
     """(dataset, run, text, pred) as JSON lines partitioned by dataset and run:
-    every run is kept (the reference overwrote the file on each run)."""
-    preds.write.mode(mode).partitionBy("dataset", "run").json(path)
+    every run is kept (the reference overwrote the file on each run). Dynamic
+    partition overwrite: a retried run replaces its own folders, other runs
+    stay."""
+    (preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("dataset", "run").json(path))
 
 
 def write_json_arrays(df: DataFrame, path: str) -> None:
