@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import html_text, licences, mixing, packing, quality
+from vellum.llm import html_text, licences, mixing, packing, quality, recompression
 from vellum.session import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,10 @@ def op6_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -41,10 +45,26 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, PATTERN)
 
 
-Q = {f.__name__: f for f in (op4_tokeniser_fertility, op5_main_text, op6_licence_automaton, op8_curriculum_mix,
+Q = {f.__name__: f for f in (op4_tokeniser_fertility, op5_main_text, op6_licence_automaton, op7_recompression, op8_curriculum_mix,
                              op9_retrieval_packing)}
 
 SQL = {
+    "op7_recompression": r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words WHERE len(w) >= 20)),
+later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later),
+one AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+kept AS (
+  SELECT o.doc_id, string_agg(word, ' ' ORDER BY o.i) AS t, count(*) AS n
+  FROM one o LEFT JOIN gone g ON o.doc_id = g.doc_id AND o.i = g.i WHERE g.i IS NULL GROUP BY o.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
     "op8_curriculum_mix": r"""
 WITH sized AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
