@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, recompression
+from vellum.llm import html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, recompression, sanitise
 from vellum.session import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,13 +16,17 @@ PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged, column = quality.quality(docs, PIECE_MODEL, BYTE_RANKS, PATTERN)
+    judged, column = quality.quality(docs, PIECE_MODEL, BYTE_RANKS, PATTERN, keep=["doc_id"])
     fields = ("n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept out_of_band piece_cpt byte_cpt "
               "byte_share entropy").split()
     return judged.select("doc_id", *[F.col(f"{column}.{f}").alias(f) for f in fields])
@@ -53,7 +57,7 @@ def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op3_nn_descent, op4_tokeniser_fertility, op5_main_text, op6_licence_automaton, op7_recompression, op8_curriculum_mix,
+Q = {f.__name__: f for f in (op2_disclosure, op3_nn_descent, op4_tokeniser_fertility, op5_main_text, op6_licence_automaton, op7_recompression, op8_curriculum_mix,
                              op9_retrieval_packing, op10_divide_skip)}
 
 SQL = {
