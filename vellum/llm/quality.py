@@ -50,6 +50,9 @@ SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400,
            ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF),
            ("hangul", 0xAC00, 0xD7AF))
 
+#: Characters of the texts tokenised together (bounds a worker's memory).
+CHUNK_CHARS = 1_000_000
+
 FEATURES = ("script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
             "n_byte_tokens long, n_piece_tokens long, byte_cpt double, byte_cpt_var double, piece_cpt double, "
             "piece_cpt_var double, byte_share double, entropy double")
@@ -120,21 +123,26 @@ def script_of(text: str) -> str:
     return best[2] if best[0] else "other"
 
 
-def fertility(text: str, piece_path: str, byte_path: str, pattern: str) -> tuple:
+def fertility(texts: list[str], piece_path: str, byte_path: str, pattern: str) -> list[tuple]:
     """Token counts, characters per token with the variance of that estimate,
-    byte-fallback share and collision entropy of one text."""
+    byte-fallback share and collision entropy of each text."""
     sp, piece_len, is_byte = piece_vocabulary(piece_path)
     bpe, byte_len = byte_vocabulary(byte_path, pattern)
-    pieces = np.asarray(sp.encode(text), np.int64)
-    tokens = np.asarray(bpe.encode_ordinary(text), np.int64)
-    n, m, chars = len(tokens), len(pieces), len(text)
-    if not n or not m:
-        return n, m, None, None, None, None, None, None
-    count = np.bincount(pieces).astype(np.float64)
-    pairs = max(float((count * (count - 1)).sum()), 1.0)
-    entropy = -np.log2(pairs / (m * (m - 1))) if m > 1 else 0.0
-    return (n, m, chars / n, float(byte_len[tokens].var()) / n, chars / m, float(piece_len[pieces].var()) / m,
-            float(is_byte[pieces].mean()), float(entropy))
+    out = []
+    for text, pieces in zip(texts, sp.encode(texts, num_threads=1)):
+        pieces = np.sort(np.array(pieces, np.int64))
+        tokens = np.array(bpe.encode_ordinary(text), np.int64)
+        n, m, chars = len(tokens), len(pieces), len(text)
+        if not n or not m:
+            out.append((n, m, None, None, None, None, None, None))
+            continue
+        edges = np.flatnonzero(np.concatenate(([True], pieces[1:] != pieces[:-1], [True])))
+        count = np.diff(edges)
+        pairs = max(int((count * (count - 1)).sum()), 1)
+        entropy = -np.log2(pairs / (m * (m - 1))) if m > 1 else 0.0
+        out.append((n, m, chars / n, float(byte_len[tokens].var()) / n, chars / m, float(piece_len[pieces].var()) / m,
+                    float(is_byte[pieces].mean()), float(entropy)))
+    return out
 
 
 def with_features(docs: DataFrame, piece_path: str, byte_path: str, pattern: str, column: str,
@@ -145,8 +153,14 @@ def with_features(docs: DataFrame, piece_path: str, byte_path: str, pattern: str
     @F.pandas_udf(FEATURES)
     def measure(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, langs in series:
-            rows = [(None if lang else script_of(t), *base_measures(t), *fertility(t, piece_path, byte_path, pattern))
-                    for t, lang in zip(texts, langs)]
+            done = 0
+            rows, lo, texts, langs = [], 0, texts.tolist(), langs.tolist()
+            for hi, size in enumerate(np.cumsum([len(t) for t in texts]) // CHUNK_CHARS, 1):
+                if hi == len(texts) or size > done:
+                    done, part = size, texts[lo:hi]
+                    tokens = fertility(part, piece_path, byte_path, pattern)
+                    rows += [(None if lang else script_of(t), *base_measures(t), *x) for t, lang, x in zip(part, langs[lo:hi], tokens)]
+                    lo = hi
             yield pd.DataFrame(rows, columns=names)
 
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
@@ -197,10 +211,14 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def quality(docs: DataFrame, piece_path: str, byte_path: str, pattern: str, text_col: str = "text",
-            lang_col: str | None = "lang", **bands) -> tuple[DataFrame, str]:
-    """``docs`` with all its columns and one struct of measures and verdict;
-    also the name of that column. The measured rows are written once, because
-    the corpus bands and the verdicts both read them."""
+            lang_col: str | None = "lang", keep: list[str] | None = None, **bands) -> tuple[DataFrame, str]:
+    """``docs`` with the columns ``keep`` (all if None; the language is always
+    kept) and one struct of measures and verdict; also the name of that column.
+    The measured rows are written once, because the corpus bands and the
+    verdicts both read them."""
     column = free_name(docs, "quality_rules")
-    measured = stored(with_features(docs, piece_path, byte_path, pattern, column, text_col, lang_col))
+    measured = with_features(docs, piece_path, byte_path, pattern, column, text_col, lang_col)
+    if keep is not None:
+        measured = measured.select(*dict.fromkeys([*keep, *([lang_col] if lang_col else []), column]))
+    measured = stored(measured)
     return verdicts(measured, column, lang_col, **bands), column

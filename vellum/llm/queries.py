@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, recompression, sanitise
+from vellum.llm import html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, recompression, sanitise, suffix_array
 from vellum.session import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,6 +16,10 @@ PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,7 +61,7 @@ def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op2_disclosure, op3_nn_descent, op4_tokeniser_fertility, op5_main_text, op6_licence_automaton, op7_recompression, op8_curriculum_mix,
+Q = {f.__name__: f for f in (op1_suffix_array, op2_disclosure, op3_nn_descent, op4_tokeniser_fertility, op5_main_text, op6_licence_automaton, op7_recompression, op8_curriculum_mix,
                              op9_retrieval_packing, op10_divide_skip)}
 
 SQL = {

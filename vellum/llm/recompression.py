@@ -138,12 +138,24 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _batch(columns: list, ddl: str) -> pa.RecordBatch:
+def record_batch(columns: list, ddl: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
     names, types = zip(*(c.split() for c in ddl.split(", ")))
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
 
 
+def first_of_blocks(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+    """KEYS of one block: each key once, with the documents that have it."""
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.diff(np.append(first, len(key)))
+    more: list[bytes | None] = [None] * len(first)
+    for j in np.flatnonzero(count > 1):
+        more[j] = owner[first[j] + 1:first[j] + count[j]].tobytes()
+    return record_batch([_signed(key[first]), owner[first], more], KEYS)
+
+
 def document_keys(docs: DataFrame, width: int) -> DataFrame:
     """KEYS: one row per key and block of documents; ``doc`` is the first
     document of the block that has it, ``more`` the others (8 bytes each)."""
@@ -155,14 +167,7 @@ def document_keys(docs: DataFrame, width: int) -> DataFrame:
             key, doc, *_ = block.keys()
             if not len(key):
                 continue
-            order = np.argsort(key, kind="stable")
-            key, owner = key[order], ids[doc[order]]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            count = np.diff(np.append(first, len(key)))
-            more: list[bytes | None] = [None] * len(first)
-            for j in np.flatnonzero(count > 1):
-                more[j] = owner[first[j] + 1:first[j] + count[j]].tobytes()
-            yield _batch([_signed(key[first]), owner[first], more], KEYS)
+            yield first_of_blocks(key, ids[doc])
 
     return docs.mapInArrow(run, KEYS)
 
@@ -202,7 +207,7 @@ def word_lists(docs: DataFrame) -> DataFrame:
         for ids, texts in blocks(batches):
             joined = [b" ".join(t.split()) for t in texts]
             packed = [pa.compress(j, codec="zstd", asbytes=True) for j in joined]
-            yield _batch([[LAST if i is None else i for i in ids], ids, packed, [len(j) for j in joined]], TEXTS)
+            yield record_batch([[LAST if i is None else i for i in ids], ids, packed, [len(j) for j in joined]], TEXTS)
 
     return docs.mapInArrow(run, TEXTS)
 
@@ -214,7 +219,7 @@ def roots(docs: DataFrame, width: int) -> DataFrame:
             rows = [(LAST if i is None else i, xxhash.xxh3_128_digest(b" ".join(w)))
                     for i, w in zip(ids, (t.split() for t in texts)) if len(w) >= width]
             if rows:
-                yield _batch(list(zip(*rows)), "doc long, root binary")
+                yield record_batch(list(zip(*rows)), "doc long, root binary")
 
     named = docs.mapInArrow(run, "doc long, root binary")
     first = named.groupBy("root").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
@@ -231,7 +236,7 @@ def _unpack(batch: pa.RecordBatch):
     return cols
 
 
-def _parts(batches, size: int = 4_000_000):
+def text_parts(batches, size: int = 4_000_000):
     """Batches cut so that a part's texts are some MB."""
     for batch in batches:
         n = np.cumsum(batch.column(batch.schema.get_field_index("n_bytes")).to_numpy())
@@ -248,7 +253,7 @@ def seen_windows(joined: DataFrame, width: int) -> DataFrame:
     starts (``known`` true)."""
     def run(batches):
         hashes = WordHashes()
-        for batch in _parts(batches):
+        for batch in text_parts(batches):
             cols = _unpack(batch)
             rows = sorted((i for i, (k, c) in enumerate(zip(cols["keys"], cols["copy"])) if k and not c), key=lambda i: cols["doc"][i])
             if not rows:
@@ -269,7 +274,7 @@ def seen_windows(joined: DataFrame, width: int) -> DataFrame:
             group = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (owner > owner[group]) | (start > start[group])
             once = np.flatnonzero(new)
-            yield _batch([_signed(h[once]), check[once], owner[once], start[once], np.ones(len(once), np.int32),
+            yield record_batch([_signed(h[once]), check[once], owner[once], start[once], np.ones(len(once), np.int32),
                           np.zeros(len(once), bool)], SEEN)
             if later.any():
                 d, s, c = owner[later], start[later], check[later]
@@ -279,7 +284,7 @@ def seen_windows(joined: DataFrame, width: int) -> DataFrame:
                 begin = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1))))
                 n = np.diff(np.append(begin, len(d))).astype(np.int32)
                 spread = _signed(mix(d[begin].view(np.uint64) + s[begin].astype(np.uint64)))
-                yield _batch([spread, c[begin], d[begin], s[begin], n, np.ones(len(begin), bool)], SEEN)
+                yield record_batch([spread, c[begin], d[begin], s[begin], n, np.ones(len(begin), bool)], SEEN)
 
     return joined.where("keys is not null").mapInArrow(run, SEEN)
 
@@ -304,7 +309,7 @@ def later_windows(seen: DataFrame) -> DataFrame:
             if len(at):
                 lead = (h[at[-1]], check[at[-1]], doc[at[-1]], start[at[-1]])
             if hit.any():
-                yield _batch([doc[hit], start[hit], n[hit], check[hit]], fields)
+                yield record_batch([doc[hit], start[hit], n[hit], check[hit]], fields)
 
     order = seen.repartition("h").sortWithinPartitions("known", "h", "check", "doc", "start")
     return order.mapInArrow(run, fields)
@@ -314,7 +319,7 @@ def remove(joined: DataFrame, width: int) -> DataFrame:
     """RESULT from documents with the marks of their later windows."""
     def run(batches):
         hashes = WordHashes()
-        for batch in _parts(batches):
+        for batch in text_parts(batches):
             cols = _unpack(batch)
             out = []
             marked = [i for i, m in enumerate(cols["marks"]) if m and not cols["copy"][i]]
@@ -345,7 +350,7 @@ def remove(joined: DataFrame, width: int) -> DataFrame:
                     kept, removed = cols["text"][i], 0
                 out.append((cols["doc_id"][i], len(words), removed, hashlib.sha256(kept).hexdigest()))
             if out:
-                yield _batch(list(zip(*out)), RESULT)
+                yield record_batch(list(zip(*out)), RESULT)
 
     return joined.mapInArrow(run, RESULT)
 
