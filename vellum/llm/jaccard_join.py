@@ -91,24 +91,24 @@ def class_of(s: np.ndarray) -> int:
 
 
 def measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), cls and prefix (sorted hashes, 8 bytes each; only
-    on the first document of a class in a block)."""
+    """doc_id, row (hash of the text, as Spark's xxhash64), n (set size), cls and
+    prefix (sorted hashes, 8 bytes each; only on a class's first document in a
+    block)."""
     def run(batches):
         hashes = WordHashes()
         for ids, texts in blocks(batches):
             seen, rows = set(), []
-            for i, s in zip(ids, shingle_sets(texts, hashes, width)):
+            for i, t, s in zip(ids, texts, shingle_sets(texts, hashes, width)):
                 n, cls = len(s), class_of(s)
                 prefix = None
                 if n and cls not in seen:
                     seen.add(cls)
                     prefix = s[:n - least_overlap(n, percent) + int(votes(n))].tobytes()
-                rows.append((i, n, cls, prefix))
+                rows.append((i, int(np.uint64(xxhash.xxh64_intdigest(t, seed=42)).view(np.int64)), n, cls, prefix))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                names=["doc_id", "n", "cls", "prefix"])
+                [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.binary()))], names=["doc_id", "row", "n", "cls", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, cls long, prefix binary")
 
 
 def postings(prefixes: DataFrame) -> DataFrame:
@@ -295,7 +295,8 @@ def searched(entries: DataFrame, index: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
                        percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id of every document; also row (hash of
+    its text) and component (the group's internal name, null without words)."""
     named = key_and_text(docs, id_col, text_col)
     rows = stored(measured(named, width, percent))
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
@@ -328,7 +329,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named_class = classes.join(joined, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("component", "cls").alias("component"))
     smallest = named_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    final = named_class.join(smallest, "component").select("cls", "component_id")
-    result = rows.select("doc_id", "n", "cls").join(final, "cls", "left")
+    final = named_class.join(smallest, "component").select("cls", "component", "component_id")
+    result = rows.select("doc_id", "row", "n", "cls").join(final, "cls", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"),
-                         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                         "row", F.when(F.col("n") > 0, F.col("component")).alias("component"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
+    """``docs`` with all columns, without the documents that are linked with a
+    kept one: of a component the one with the smallest doc_id stays (nulls last,
+    then by hash of the text), once. Documents without words all stay."""
+    rows = jaccard_components(docs, id_col, text_col, **join).select("doc_id", "row", "component").where("component is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    best = rows.groupBy("component").agg(F.min(rank).alias("best"))
+    judged = rows.groupBy("component", "doc_id", "row").agg(F.count("*").alias("copies")).join(best, "component")
+    leaves = ~rank.eqNullSafe(F.col("best"))
+    notable = judged.where(leaves | (F.col("copies") > 1)).select("doc_id", "row", leaves.alias("leaves"))
+    text = F.coalesce(F.col(f"d.`{text_col}`").cast("string"), F.lit(""))
+    joined = docs.alias("d").join(notable.alias("s"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("s.doc_id")) & (
+        F.xxhash64(text) == F.col("s.row")), "left")
+    columns = [F.col(f"d.`{c}`").alias(c) for c in docs.columns]
+    once = joined.where("s.leaves is null").select(*columns)
+    # repeated rows of a kept document: one of them
+    again = joined.where("not s.leaves").select(F.struct(*columns).alias("d"), F.col("s.doc_id").alias("i"), F.col("s.row").alias("r"))
+    again = again.groupBy("i", "r").agg(F.first("d").alias("d")).select("d.*")
+    return once.union(again)

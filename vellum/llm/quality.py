@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import SPACE, stored
+from vellum.session import fits_broadcast
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -50,6 +51,8 @@ SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400,
            ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF),
            ("hangul", 0xAC00, 0xD7AF))
 
+#: Bytes of a row of quartiles with a long language name.
+QUARTILE_BYTES = 512
 #: Characters of the texts tokenised together (bounds a worker's memory).
 CHUNK_CHARS = 1_000_000
 
@@ -182,7 +185,10 @@ def verdicts(measured: DataFrame, column: str, lang_col: str | None = "lang", fe
 
     quartiles = keyed.where(~f("base_failed")).groupBy(f("band").alias("_band")).agg(
         *[F.percentile_approx(f(m), [0.25, 0.5, 0.75], 10_000).alias(f"_q_{m}") for m, *_ in MEASURES])
-    # one row per language or script; joined by key, broadcast only if Spark finds it small
+    # one row per language or script: broadcast after counting them, else a third of all rows may meet in one task
+    quartiles = stored(quartiles)
+    if fits_broadcast(quartiles.count(), QUARTILE_BYTES):
+        quartiles = F.broadcast(quartiles)
     joined = keyed.join(quartiles, f("band") == F.col("_band"), "left")
     outside = []
     for m, var, sides, floor, relative in MEASURES:

@@ -58,7 +58,8 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    joined = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
 
 
 Q = {f.__name__: f for f in (op1_suffix_array, op2_disclosure, op3_nn_descent, op4_tokeniser_fertility, op5_main_text, op6_licence_automaton, op7_recompression, op8_curriculum_mix,
