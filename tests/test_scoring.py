@@ -308,3 +308,13 @@ def test_sorted_overlap_is_exact_multiset_intersection(spark):
     tags = spark.createDataFrame([([1, 1, 2, 5, 5, 5],), ([],)], "x array<int>").select(
         A.occurrence_tagged("x").alias("t")).collect()
     assert [[(e.v, e.k) for e in r.t] for r in tags] == [[(1, 0), (1, 1), (2, 0), (5, 0), (5, 1), (5, 2)], []]
+
+
+def test_rouge_multi_reference_all_types_and_no_reference(spark):
+    df = spark.createDataFrame([(1, "a b c", ["a b", "x"]), (2, "a b c", []), (3, "a b", None)],
+                               "row_id long, pred string, refs array<string>")
+    rows = {r.row_id: r for r in S.rouge_rows_multi(df).collect()}
+    assert set(rows) == {1, 2, 3}
+    one = S.rouge_rows(spark.createDataFrame([(1, "a b c", "a b")], "row_id long, pred string, ref string"), keep=["row_id"]).collect()[0]
+    for t in S.ROUGE_TYPES:
+        assert rows[1][t] == pytest.approx(one[t]) and rows[2][t] is None and rows[3][t] is None

@@ -1,4 +1,4 @@
-"""Readers, writers, result tables, quarantine and input spreading."""
+"""Readers, writers, result tables and quarantine."""
 
 import json
 import os
@@ -11,7 +11,6 @@ from pyspark.sql import types as PT
 from vellum.operators import corpus as C
 from vellum.operators import records as B
 from vellum.operators import results as R
-from vellum.session import spread
 from vellum.sources import readers as RD
 from vellum.sources import writers as W
 
@@ -21,10 +20,10 @@ def _local(path):
 
 
 def test_md5_dedup_both_paths(spark):
-    df = spark.createDataFrame([(i, "x" if i % 3 == 0 else f"t{i}") for i in range(60)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, "x" if i % 3 == 0 else None if i % 7 == 0 else f"t{i}") for i in range(60)], "doc_id long, text string")
     broadcast = sorted(r.doc_id for r in C.md5_dedup(df).collect())
-    shuffled = sorted(r.doc_id for r in C.md5_dedup(df, broadcast_max=0).collect())
-    exp = sorted([0] + [i for i in range(60) if i % 3])
+    shuffled = sorted(r.doc_id for r in C.md5_dedup(df, broadcast_bytes=0).collect())
+    exp = sorted([0, 7] + [i for i in range(60) if i % 3 and i % 7])
     assert broadcast == shuffled == exp
 
 
@@ -93,6 +92,38 @@ def test_metric_history_appends_new_metric(spark):
     assert {r.run for r in latest.collect()} == {2}
 
 
+def test_metric_families_and_splits_of_a_run_stay(spark):
+    path = W.scratch_path(spark, "families")
+    schema = "dataset string, run int, metric string, value double"
+    R.append_metrics(spark.createDataFrame([("d", 1, "f1", 0.5)], schema), path)
+    R.append_metrics(spark.createDataFrame([("d", 1, "perplexity", 9.0)], schema), path)
+    R.append_metrics(spark.createDataFrame([("d", 1, "f1", 0.4)], schema), path, split="eval")
+    R.append_metrics(spark.createDataFrame([("d", 1, "f1", 0.6)], schema), path)   # a retry of one family
+    got = sorted((r.split, r.metric, r.value) for r in spark.read.parquet(path).collect())
+    assert got == [("eval", "f1", 0.4), ("test", "f1", 0.6), ("test", "perplexity", 9.0)]
+
+
+def test_predictions_written_in_parts(spark):
+    path = W.scratch_path(spark, "parts")
+    schema = "dataset string, run int, text string, pred string"
+    W.write_predictions(spark.createDataFrame([("d", 1, "a", "x")], schema), path, "0")
+    W.write_predictions(spark.createDataFrame([("d", 1, "b", "y")], schema), path, "1")
+    W.write_predictions(spark.createDataFrame([("d", 1, "b", "z")], schema), path, "1")
+    got = sorted((r.text, r.pred) for r in spark.read.schema(schema).json(path).collect())
+    assert got == [("a", "x"), ("b", "z")]
+
+
+def test_json_arrays_change_no_value(spark):
+    import datetime as dt
+    schema = "i long, d double, v array<double>, t timestamp, s string"
+    rows = [(1, 0.12345678901234567, [1e-12, 0.1 + 0.2], dt.datetime(2020, 1, 2, 3, 4, 5, 678900), 'q"\n'),
+            (None, 1e-12, None, None, None), (2**60 + 1, -0.0, [], dt.datetime(1969, 12, 31), "é")]
+    path = W.scratch_path(spark, "exact")
+    W.write_json_arrays(spark.createDataFrame(rows, schema), path)
+    got = [tuple(r) for r in RD.read_json_records(spark, path, schema).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
 def test_quarantine_instead_of_raising(spark):
     df = spark.createDataFrame([(88.0,), (88.5,), (None,)], "x double")
     good, bad = B.quarantine(df, B.lossless_int("x"))
@@ -100,19 +131,6 @@ def test_quarantine_instead_of_raising(spark):
     assert [r.x for r in bad.collect()] == [88.5]
 
 
-def test_spread_is_noop_on_many_files(spark):
-    path = W.scratch_path(spark, "many")
-    slots = spark.sparkContext.defaultParallelism
-    spark.range(1000).repartition(slots * 2).write.parquet(path)
-    many = spark.read.parquet(path)
-    assert spread(many, "id") is many
-    one_path = W.scratch_path(spark, "one")
-    spark.range(1000).coalesce(1).write.parquet(one_path)
-    one = spark.read.parquet(one_path)
-    spread_one = spread(one, "id")
-    assert spread_one is not one and spread_one.rdd.getNumPartitions() == slots
-
-
 def test_attr_predictions_keep_run_order(spark):
     rows = spark.createDataFrame([(1, "t", [0.1])], "row_id long, text string, embedding array<double>")
     preds = spark.createDataFrame([(1, 2, "b"), (1, 0, "z"), (1, 1, "a")], "row_id long, run int, pred string")

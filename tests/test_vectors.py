@@ -42,8 +42,8 @@ def test_embed_batch_equals_direct_call(spark):
 def test_mean_and_cls_pooling(spark):
     rows = [(1, 0, 1, [1.0, 2.0]), (1, 1, 0, [9.0, 9.0]), (1, 2, 1, [3.0, 4.0]), (2, 0, 0, [5.0, 5.0])]
     df = spark.createDataFrame(rows, "doc long, pos int, mask int, vec array<double>")
-    mean = {r.doc: list(r.embedding) for r in V.pool_mean_masked(df, ["doc"]).collect()}
-    assert mean == {1: [2.0, 3.0]}
+    mean = {r.doc: r.embedding and list(r.embedding) for r in V.pool_mean_masked(df, ["doc"]).collect()}
+    assert mean == {1: [2.0, 3.0], 2: None}   # an all-masked text keeps its row
     cls = {r.doc: list(r.embedding) for r in V.pool_cls(df, ["doc"]).collect()}
     assert cls == {1: [1.0, 2.0], 2: [5.0, 5.0]}
 
@@ -62,6 +62,19 @@ def test_accuracy_invariant_to_positive_scale(spark):
     assert acc2.accuracy == acc.accuracy
 
 
+def test_missing_vectors_fail_instead_of_scoring(spark):
+    tv = spark.createDataFrame([(1, 0, [1.0, 0.0])], "row_id long, run int, embedding array<double>")
+    cands = spark.createDataFrame([(1, "c", 0, "truth"), (1, "c", 1, "wrong")],
+                                  "row_id long, attr string, cand_pos int, value string")
+    cv = spark.createDataFrame([("c", "wrong", [1.0, 0.0])], "attr string, value string, embedding array<double>")
+    with pytest.raises(Exception, match="no vector of candidate"):
+        V.attribute_accuracy(V.attribute_scores(tv, cands, cv)).collect()
+    # scores that lack the truth's position do not promote the next candidate
+    scores = spark.createDataFrame([(1, "c", 0, 1, 0.5), (1, "c", 0, 2, 0.9)],
+                                   "row_id long, attr string, run int, cand_pos int, score double")
+    assert V.attribute_accuracy(scores).collect()[0].accuracy == 0.0
+
+
 def test_broadcast_budget_and_shuffle_fallback(spark, monkeypatch):
     """Sizes are measured before broadcasting; with no budget the same
     candidate lists and scores come out of the shuffled joins."""

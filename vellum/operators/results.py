@@ -8,8 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-METRIC_KEYS = ("dataset", "run", "metric")
-
 
 def metric_history(metrics: DataFrame, keys: Sequence[str] = ("dataset", "metric"),
                    run: str = "run", value: str = "value") -> DataFrame:
@@ -35,10 +33,17 @@ def report(metrics: DataFrame) -> DataFrame:
     return metrics.select("dataset", "run", "metric", "value").orderBy("dataset", "run", "metric")
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Add a run's rows to the metrics table; a new metric name is just new
-    rows. The table is partitioned by (dataset, run) and written with dynamic
-    partition overwrite, so a retried or repeated run replaces its own rows
-    instead of adding them twice, and other runs are left as they are."""
+#: What names one value of the metrics table, and so one of its folders.
+METRIC_KEYS = ("dataset", "split", "run", "metric")
+
+
+def append_metrics(metrics: DataFrame, path: str, split: str = "test") -> None:
+    """Add metric rows to the metrics table; ``split`` names the split of rows
+    without that column. The table is partitioned by METRIC_KEYS and written
+    with dynamic partition overwrite, so a retried or repeated run replaces just
+    the metrics it writes again; its other metrics, other splits and other runs
+    are left as they are."""
+    if "split" not in metrics.columns:
+        metrics = metrics.withColumn("split", F.lit(split))
     (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dataset", "run").parquet(path))
+     .partitionBy(*METRIC_KEYS).parquet(path))

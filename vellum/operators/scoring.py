@@ -213,16 +213,19 @@ def rouge_rows(pairs: DataFrame, ref: str = "ref", pred: str = "pred", keep: Seq
 
 def rouge_rows_multi(pairs: DataFrame, refs: str = "refs", pred: str = "pred",
                      key: str = "row_id", keep: Sequence[str] = (),
-                     rouge_types: Sequence[str] = ("rouge1", "rouge2"),
+                     rouge_types: Sequence[str] = ROUGE_TYPES,
                      tokenizer: Callable[[Column], Column] = T.tok_rouge) -> DataFrame:
-    """Several references: each type keeps the best F over the references."""
-    ex = pairs.select(key, *keep, F.col(pred).alias("_pred"), F.explode(refs).alias("_ref"))
-    per = rouge_rows(ex, "_ref", "_pred", [key, *keep], rouge_types, tokenizer)
-    return per.groupBy(key, *keep).agg(*[F.max(t).alias(t) for t in rouge_types])
+    """Several references: each type keeps the best F over the references; a row
+    without references keeps its place, with NULL scores."""
+    ex = pairs.select(key, *keep, F.col(pred).alias("_pred"), F.explode_outer(refs).alias("_r"))
+    ex = ex.select(key, *keep, "_pred", F.coalesce("_r", F.lit("")).alias("_ref"), F.col("_r").isNotNull().alias("_has"))
+    per = rouge_rows(ex, "_ref", "_pred", [key, *keep, "_has"], rouge_types, tokenizer)
+    return per.groupBy(key, *keep).agg(*[F.max(F.when(F.col("_has"), F.col(t))).alias(t) for t in rouge_types])
 
 
 def poisson1_weight(u: Column) -> Column:
-    """Inverse-CDF draw of Poisson(1) from a uniform in [0, 1)."""
+    """Inverse-CDF draw of Poisson(1) from a uniform in [0, 1). Weights above 12,
+    of probability 6e-11 together, count as 12."""
     import math
 
     cdf, term, out = 0.0, math.exp(-1.0), None

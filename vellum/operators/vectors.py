@@ -82,21 +82,23 @@ def hashed_token_vector(token: Column, dim: int) -> Column:
 def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str, where: Column | None = None,
                  out: str = "embedding") -> DataFrame:
     """Element-wise mean of the vectors of each key group (rows failing
-    ``where`` are masked out). Vectors are exploded to (key, dim) cells, the
+    ``where`` are masked out; a group with none left keeps its row, with a NULL
+    vector). Vectors are exploded to (key, dim) cells, the
     mean per cell is a map-side-combined aggregate, and each key's cells
     (bounded by the width) are put back in order: no group ever holds an
     unbounded list of vectors."""
-    src = df if where is None else df.where(where)
-    cells = src.select(*keys, F.posexplode(vec).alias("_d", "_x"))
-    means = cells.groupBy(*keys, "_d").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return means.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_d", "_m"))), lambda s: s["_m"]).alias(out))
+    used = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    cells = df.select(*keys, used.alias("_u"), F.posexplode(vec).alias("_d", "_x"))
+    means = cells.groupBy(*keys, "_d").agg(F.avg(F.when(F.col("_u"), F.col("_x").cast("double"))).alias("_m"),
+                                           F.max("_u").alias("_u"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("_d", "_m"))), lambda s: s["_m"])
+    return means.groupBy(*keys).agg(F.when(F.max("_u"), mean).alias(out))
 
 
 def pool_mean_masked(tokens: DataFrame, keys: Sequence[str], vec: str = "vec", mask: str = "mask",
                      out: str = "embedding") -> DataFrame:
-    """Mean of token vectors where mask = 1 (groups with no unmasked token
-    produce no row; the reference would divide by zero)."""
+    """Mean of token vectors where mask = 1; NULL for a group without an
+    unmasked token."""
     return mean_vectors(tokens, keys, vec, F.col(mask) == 1, out)
 
 
@@ -125,7 +127,9 @@ def attribute_scores(text_vecs: DataFrame, candidates: DataFrame, cand_vecs: Dat
     ``candidates`` is (key, attr, cand_pos, value); ``cand_vecs`` is (attr,
     value, vector) with one vector per distinct prompt. The pairing is an
     equi-join on the row key, so the product is runs x candidates per row,
-    never global."""
+    never global. Rows meet their text vectors first; the candidates' vectors
+    are attached last. A candidate without a vector, or a row without a text
+    vector, fails the job: a dropped truth would let a wrong candidate win."""
     cv = cand_vecs.select("attr", "value", F.col(vec).alias("_cv"))
     if normalize:
         cv = cv.withColumn("_cv", A.l2_normalize("_cv"))
@@ -135,26 +139,30 @@ def attribute_scores(text_vecs: DataFrame, candidates: DataFrame, cand_vecs: Dat
                F.max(F.octet_length("attr") + F.octet_length("value")).alias("t")).first()
     fits = fits_broadcast(m["n"], 8 * (m["d"] or 0) + (m["t"] or 0))
     cv_side = F.broadcast(cv) if fits else cv
-    cands = candidates.join(cv_side, ["attr", "value"])
     tv = text_vecs.select(key, run, F.col(vec).alias("_tv"))
     if normalize:
         tv = tv.withColumn("_tv", A.l2_normalize("_tv"))
-    return cands.join(tv, key).select(key, "attr", run, "cand_pos", A.dot("_tv", "_cv").alias("score"))
+    rows = candidates.join(tv, key, "left").join(cv_side, ["attr", "value"], "left")
+
+    def present(c: str, what: str) -> Column:
+        return F.coalesce(c, F.raise_error(F.concat(F.lit(f"no vector of {what}: "), F.concat_ws("=", "attr", "value"))).cast("array<double>"))
+
+    return rows.select(key, "attr", run, "cand_pos",
+                       A.dot(present("_tv", "the row of"), present("_cv", "candidate")).alias("score"))
 
 
 def attribute_accuracy(scores: DataFrame, key: str = "row_id", run: str = "run",
                        by: Sequence[str] = ()) -> DataFrame:
     """First arg-max per (row, attr, run); accuracy = share of rows whose best
     candidate is position 0 (the truth), per (attr, run). ``n_tied`` counts
-    rows whose maximum score is shared, where the first-index rule decides.
-    ``scores`` must hold every candidate position of a row (cand_pos 0..k-1)."""
+    rows whose maximum score is shared, where the smallest position decides."""
     # one group per (row, attr, run) holds its k candidate scores (bounded by
     # the candidate count); they are put in candidate order and reduced with
     # array functions.
     per = scores.groupBy(*by, key, "attr", run).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("cand_pos", "score"))),
-                    lambda s: s["score"]).alias("_s"))
-    best = per.select(*by, "attr", run, A.argmax_first("_s").alias("_best"),
+        F.array_sort(F.collect_list(F.struct("cand_pos", "score"))).alias("_c")).withColumn(
+        "_s", F.transform("_c", lambda s: s["score"]))
+    best = per.select(*by, "attr", run, F.get("_c", A.argmax_first("_s"))["cand_pos"].alias("_best"),
                       (A.n_tied_max("_s") > 1).cast("int").alias("_tied"))
     return best.groupBy(*by, "attr", run).agg(
         F.avg((F.col("_best") == 0).cast("double")).alias("accuracy"),

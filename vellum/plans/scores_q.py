@@ -16,7 +16,7 @@ from vellum.functions import text as T
 from vellum.operators import results as R
 from vellum.operators import scoring as S
 from vellum.plans import duck as D
-from vellum.session import spread, table
+from vellum.session import table
 
 Q: dict = {}
 SQL: dict = {}
@@ -28,7 +28,7 @@ SEED = 2023
 def pairs(spark, sf, runs=(1,)):
     """(dataset, run, pair_id, ref, pred): equi-join of a turn with the turn
     ``run`` steps later (keys are unique, so the join cannot skew)."""
-    c = spread(table(spark, sf, "conversations"), "conv_id")
+    c = table(spark, sf, "conversations")
     a = c.select("conv_id", "turn", F.col("role").alias("dataset"), F.col("text").alias("ref"))
     b = c.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("text").alias("pred"))
     out = None
@@ -81,7 +81,7 @@ SQL["pair_ref_pred"] = SQL["pair_text_pred"]
 # ------------------------------------------------------------ tokenizers ---
 def _tok_counts(fn):
     def q(spark, sf):
-        c = spread(table(spark, sf, "conversations"), "conv_id").select("role", fn(F.col("text")).alias("t"))
+        c = table(spark, sf, "conversations").select("role", fn(F.col("text")).alias("t"))
         return c.groupBy("role").agg(F.sum(F.size("t")).alias("n_tokens"),
                                      F.sum(F.size(F.array_distinct("t"))).alias("n_row_distinct"),
                                      F.sum(F.length(F.array_join("t", " "))).alias("n_chars"))
@@ -103,7 +103,7 @@ for _name, _fn, _dfn in [("tok_13a", T.tok_13a, D.tok_13a), ("tok_rouge", T.tok_
 
 
 def str_strip_punct(spark, sf):
-    c = spread(table(spark, sf, "conversations"), "conv_id")
+    c = table(spark, sf, "conversations")
     return c.groupBy("role").agg(F.sum(F.length(T.strip_punct(F.lower("text")))).alias("n_chars"),
                                  F.count_distinct(T.strip_punct("text")).alias("n_distinct"))
 
@@ -117,7 +117,7 @@ FROM conversations GROUP BY role"""
 
 def arr_ngrams(spark, sf):
     from vellum.functions import arrays as A
-    c = spread(table(spark, sf, "conversations"), "conv_id").select("role", T.tok_13a(F.col("text")).alias("t"))
+    c = table(spark, sf, "conversations").select("role", T.tok_13a(F.col("text")).alias("t"))
     return c.groupBy("role").agg(*[F.sum(F.size(F.array_distinct(A.ngrams("t", n)))).alias(f"n{n}")
                                    for n in range(1, 5)])
 
@@ -237,7 +237,7 @@ SQL["metric_bleu"] = f"SELECT dataset, run, round({_bleu_score_sql(4)}, 9) AS bl
 
 def multi_ref_pairs(spark, sf):
     """Prediction = a turn; references = the turns before and after it."""
-    c = spread(table(spark, sf, "conversations"), "conv_id")
+    c = table(spark, sf, "conversations")
     cur = c.select("conv_id", "turn", F.col("role").alias("dataset"), F.col("text").alias("pred"))
     prv = c.select(F.col("conv_id").alias("_c1"), F.col("turn").alias("_t1"), F.col("text").alias("_r1"))
     nxt = c.select(F.col("conv_id").alias("_c2"), F.col("turn").alias("_t2"), F.col("text").alias("_r2"))
@@ -372,14 +372,16 @@ SQL["metric_rouge_lsum"] = (f"SELECT dataset, pair_id, round(rougeL, 9) AS rouge
 
 def metric_rouge_multi_ref(spark, sf):
     r = S.rouge_rows_multi(multi_ref_pairs(spark, sf), key="pair_id", keep=["dataset"])
-    return r.select("dataset", "pair_id", r9(F.col("rouge1")).alias("rouge1"), r9(F.col("rouge2")).alias("rouge2"))
+    return r.select("dataset", "pair_id", *[r9(F.col(t)).alias(t) for t in S.ROUGE_TYPES])
 
 
 Q["metric_rouge_multi_ref"] = metric_rouge_multi_ref
 _EXPL = f"SELECT dataset, pair_id || '#' || ri AS rk, pair_id, pred, ref FROM ({_MULTI_SQL}), unnest(refs) WITH ORDINALITY AS u(ref, ri)"
 SQL["metric_rouge_multi_ref"] = f"""
-SELECT dataset, pair_id, round(max(rouge1), 9) AS rouge1, round(max(rouge2), 9) AS rouge2
-FROM ({_rouge_n_rows_sql(_EXPL, 'dataset, rk, pair_id')}) GROUP BY dataset, pair_id"""
+SELECT dataset, pair_id, round(max(rouge1), 9) AS rouge1, round(max(rouge2), 9) AS rouge2,
+       round(max("rougeL"), 9) AS "rougeL", round(max("rougeLsum"), 9) AS "rougeLsum"
+FROM ({_rouge_n_rows_sql(_EXPL, 'dataset, rk, pair_id')}) JOIN ({_rouge_l_rows_sql(_EXPL, 'dataset, rk, pair_id')})
+USING (dataset, rk, pair_id) GROUP BY dataset, pair_id"""
 
 
 def _boot_sql(rows_sql: str, key: str, by: str, cols) -> str:
@@ -417,11 +419,12 @@ SQL["agg_rouge_bootstrap"] = _boot_sql(_rouge_n_rows_sql(pairs_sql(), 'dataset,
 
 
 def metric_rouge_aggregate(spark, sf):
-    return agg_rouge_bootstrap(spark, sf).select("dataset", "rouge1", "rouge2")
+    """Bootstrap mid of all four types, for every dataset and run."""
+    r = S.rouge(pairs(spark, sf, RUNS), key="pair_id", by=["dataset", "run"], n_samples=N_BOOT, seed=SEED)
+    return r.select("dataset", "run", *[r9(F.col(t)).alias(t) for t in S.ROUGE_TYPES])
 
 
 Q["metric_rouge_aggregate"] = metric_rouge_aggregate
-SQL["metric_rouge_aggregate"] = f"SELECT dataset, rouge1, rouge2 FROM ({SQL['agg_rouge_bootstrap']})"
 
 
 # ------------------------------------------------------- full reconstruction ---
@@ -446,6 +449,8 @@ SELECT * FROM ({_F1_SQL})
 JOIN ({_boot_sql(_REC_ROUGE_ROWS, "pair_id", "dataset, run", ["rouge1", "rouge2", "rougeL", "rougeLsum"])}) USING (dataset, run)
 JOIN (SELECT dataset, run, {', '.join(f'{_bleu_score_sql(k)} AS bleu{k}' for k in range(1, 5))}
       FROM ({_bleu_counts_sql(RUNS)})) USING (dataset, run)"""
+SQL["metric_rouge_aggregate"] = f"""SELECT dataset, run, rouge1, rouge2, "rougeL", "rougeLsum"
+FROM ({_boot_sql(_REC_ROUGE_ROWS, "pair_id", "dataset, run", ["rouge1", "rouge2", "rougeL", "rougeLsum"])})"""
 SQL["metric_reconstruction"] = f"WITH w AS ({_REC_WIDE})\n" + "\nUNION ALL\n".join(
     f"SELECT dataset, run, '{m}' AS metric, round({m}, 9) AS value FROM w" for m in METRICS)
 
@@ -464,8 +469,10 @@ def sink_metric_history(spark, sf):
     from vellum.sources.writers import scratch_path
     path = scratch_path(spark, "metrics")
     long = _f1_long(spark, sf)
-    for k in RUNS:
-        R.append_metrics(long.where(F.col("run") == k), path)
+    for k in RUNS:  # two metric families of a run, as separate calls; the first is retried
+        run = long.where(F.col("run") == k)
+        for family in (["precision", "recall"], ["f1"], ["precision", "recall"]):
+            R.append_metrics(run.where(F.col("metric").isin(family)), path)
     return R.metric_history(spark.read.parquet(path))
 
 

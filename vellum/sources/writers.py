@@ -27,27 +27,24 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_predictions(preds: DataFrame, path: str) -> None:
-    """(dataset, run, text, pred) as JSON lines partitioned by dataset and run:
-    every run is kept (the reference overwrote the file on each run). Dynamic
-    partition overwrite: a retried run replaces its own folders, other runs
+def write_predictions(preds: DataFrame, path: str, part: str = "all") -> None:
+    """(dataset, run, text, pred) as JSON lines partitioned by dataset, run and
+    part: every run is kept (the reference overwrote the file on each run). A
+    run written in several calls names each of them with ``part``. Dynamic
+    partition overwrite: a retried part replaces itself, other parts and runs
     stay."""
-    (preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dataset", "run").json(path))
+    (preds.withColumn("part", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("dataset", "run", "part").json(path))
 
 
 def write_json_arrays(df: DataFrame, path: str) -> None:
-    """Each Arrow batch of each partition becomes one line holding a JSON
-    array of its records (the hand-over format of the reference, split into
-    lines so it stays splittable)."""
-    import pandas as pd
-
-    def to_arrays(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"value": [pdf.to_json(orient="records", force_ascii=False)]})
-
-    df.mapInPandas(to_arrays, "value string").write.mode("errorifexists").text(path)
+    """Each row becomes one line holding a JSON array of one record (the
+    hand-over format of the reference, split into lines so it stays splittable).
+    Spark's own JSON generator writes every double, long and timestamp so that it
+    reads back unchanged; nulls are written as such."""
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    line = F.to_json(F.array(record), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    df.select(line.alias("value")).write.mode("errorifexists").text(path)
 
 
 def write_text_files(df: DataFrame, path: str, text_col: str = "text",
