@@ -30,7 +30,7 @@ def test_split_by_sizes(spark):
     assert s.select("k").distinct().count() == 100
     less = C.split_by_sizes(o, {"train": 10, "valid": 0, "test": 5})
     assert {r.split: r["count"] for r in less.groupBy("split").count().collect()} == {"train": 10, "test": 5}
-    with pytest.raises(ValueError, match="only has 100 samples"):
+    with pytest.raises(ValueError, match="do not fit a table of 100 rows"):
         C.split_by_sizes(o, {"train": 90, "valid": 20, "test": 0})
 
 
@@ -68,14 +68,43 @@ def test_join_lines(spark):
     assert got == [model(v) for v in ["a\nb\n", "  x \n\ny", ""]]
 
 
-def test_remainder_band_takes_rows_after_cap(spark):
-    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 80).cast("int").alias("n_words"))
-    o = C.seeded_order(df, 7, ["k"])
-    band = C.remainder_band(o, 100, "long", 20)
-    rows = band.collect()
-    assert len(rows) == 20 and all(r.ord >= 100 and r.n_words > 65 for r in rows)
-    later = o.where((F.col("ord") >= 100) & (F.col("n_words") > 65)).orderBy("ord").limit(20)
-    assert sorted(r.k for r in rows) == sorted(r.k for r in later.collect())
+def _keyed(spark, n, seed=7):
+    df = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 80).cast("int").alias("n_words"))
+    return df.withColumn("_h", C.order_key(seed, "k"))
+
+
+def test_remainder_bands_take_rows_after_cap(spark):
+    keyed = _keyed(spark, 3000)
+    whole = {r.k: r.ord for r in C.with_ordinal(keyed, "_h", ["k"]).collect()}
+    for cap, size in ((100, 20), (0, 5), (2990, 20), (5000, 3), (100, 10_000)):
+        rows = C.remainder_bands(keyed, cap, ["medium", "long"], size, "_h", ["k"]).collect()
+        for name, ok in (("medium", lambda n: 35 < n < 50), ("long", lambda n: n > 65)):
+            want = sorted((o, k) for k, o in whole.items() if o >= cap and ok(k % 80))[:size]
+            got = sorted((r.ord, r.k, r.band_ord) for r in rows if r.band == name)
+            assert got == [(o, k, i) for i, (o, k) in enumerate(want)]
+
+
+def test_range_of_an_order_numbers_its_buckets_alone(spark, monkeypatch):
+    keyed = _keyed(spark, 2500)
+    whole = {r.k: r.ord for r in C.with_ordinal(keyed, "_h", ["k"]).collect()}
+    for target in (50_000, 3):
+        monkeypatch.setattr(C, "ORDINAL_TARGET_ROWS", target)
+        for start, stop in ((0, 10), (1200, 1300), (2490, 9999), (5, 5), (3000, 3001)):
+            got = {r.k: r.ord for r in C.ordinal_range(keyed, start, stop, "_h", ["k"]).collect()}
+            assert got == {k: o for k, o in whole.items() if start <= o < stop}
+    plan = C.ordinal_range(keyed, 0, 10, "_h", ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window"):]
+    assert "substring" in below.lower().split("join")[-1] or "Filter" in below
+
+
+def test_shuffled_splits_equal_splits_of_the_numbered_table(spark):
+    keyed = _keyed(spark, 700)
+    sizes = {"train": 60, "valid": 0, "test": 15}
+    a = C.shuffled_splits(keyed, sizes, "_h", ["k"])
+    b = C.split_by_sizes(C.with_ordinal(keyed, "_h", ["k"]), sizes)
+    assert sorted((r.k, r.ord, r.split) for r in a.collect()) == sorted((r.k, r.ord, r.split) for r in b.collect())
+    with pytest.raises(ValueError):
+        C.shuffled_splits(keyed, {"train": 701}, "_h", ["k"])
 
 
 def test_ordinal_one_and_two_level_prefix_sums(spark):

@@ -10,12 +10,13 @@ sort (see ``with_ordinal``), so slicing is a filter, never a driver-side take.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.session import fits_broadcast
+from vellum.session import fits_broadcast, materialize
 
 # Ordinal buckets are prefixes of the md5 order key, as wide as the row count
 # needs: about ORDINAL_TARGET_ROWS rows per fine bucket and at least 4 buckets
@@ -64,37 +65,30 @@ def clean_sentences(sents: DataFrame, min_words: int = 8, max_words: int = 128,
     )
 
 
-# Copy-group rows are (md5 hex text, id): 32 + 8 bytes. The rows to drop are
-# counted first; the broadcast side is at most that many rows.
-DEDUP_ROW_BYTES = 40
+# A dropped row is sent as its id.
+DEDUP_ROW_BYTES = 8
 
 
 def md5_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-              broadcast_max: int | None = None) -> DataFrame:
+              broadcast_bytes: int | None = None) -> DataFrame:
     """Exact-copy removal: keep the row with the smallest id per md5 of the text.
+    NULL texts are copies of one another.
 
-    (md5, id) pairs are grouped with a map-side-combined aggregate, so a group
-    of copies holding a large share of all rows collapses before the shuffle.
-    The rows to drop are counted first: while that many copy-group rows fit
-    the broadcast budget (or up to ``broadcast_max`` rows), the copy groups and
-    then the dropped ids are broadcast and removed with an
-    anti join, so the documents themselves are never shuffled; beyond that the
-    kept ids are matched back with a shuffled semi join on the unique id.
+    Every text is hashed once; the (md5, id) table is kept in the checkpoint
+    folder. Copy groups come from a map-side-combined aggregate, so a group
+    holding a large share of all rows collapses before the shuffle. Only the
+    ids to drop meet the documents: they are counted, and while they fit the
+    broadcast budget (``broadcast_bytes``) the documents are not shuffled.
     """
-    h = df.select(F.md5(F.col(text_col)).alias("_m"), F.col(id_col))
-    groups = h.groupBy("_m").agg(F.min(id_col).alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    copies = groups.where(F.col("_n") > 1)
+    h = materialize(df.select(F.md5(F.col(text_col)).alias("_m"), F.col(id_col)))
+    copies = h.groupBy("_m").agg(F.min(id_col).alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     n_drop = copies.agg(F.sum(F.col("_n") - 1)).first()[0] or 0
     if n_drop == 0:
         return df
-    # copy groups <= rows to drop, so n_drop bounds both broadcast tables
-    small = fits_broadcast(n_drop, DEDUP_ROW_BYTES) if broadcast_max is None else n_drop <= broadcast_max
-    if small:
-        drop = (h.join(F.broadcast(copies.select("_m", "_keep")), "_m")
-                .where(F.col(id_col) != F.col("_keep")).select(id_col))
-        return df.join(F.broadcast(drop), id_col, "left_anti")
-    keep = groups.select(F.col("_keep").alias(id_col))
-    return df.join(keep, on=id_col, how="left_semi")
+    drop = (h.join(copies.select(F.col("_m").alias("_c"), "_keep"), F.col("_m").eqNullSafe(F.col("_c")))
+            .where(F.col(id_col) != F.col("_keep")).select(id_col))
+    small = fits_broadcast(n_drop, DEDUP_ROW_BYTES, broadcast_bytes)
+    return df.join(F.broadcast(drop) if small else drop, id_col, "left_anti")
 
 
 def order_key(seed, *key_cols) -> Column:
@@ -162,37 +156,100 @@ def seeded_order(df: DataFrame, seed, key_cols: Sequence[str], out: str = "ord")
     return with_ordinal(keyed, "_h", key_cols, out)
 
 
+# Hex digits of the buckets counted to find where an order's range lies; their
+# counts (at most 16 ** RANGE_HEX per band) are the only thing the driver sees.
+RANGE_HEX = 3
+
+
+def _bucket_counts(df: DataFrame, hash_col: str, band: Column | None = None) -> dict[str | None, list[tuple[str, int]]]:
+    """Rows per hash-prefix bucket, in order, for all rows (key None) and per band."""
+    bucket = F.substring(hash_col, 1, RANGE_HEX).alias("_b")
+    rows = df.groupBy(bucket, (F.lit(None).cast("string") if band is None else band).alias("_band")).agg(
+        F.count(F.lit(1)).alias("_n")).collect()
+    total: dict[str, int] = {}
+    out: dict[str | None, list[tuple[str, int]]] = {}
+    for r in sorted(rows, key=lambda r: r["_b"]):
+        total[r["_b"]] = total.get(r["_b"], 0) + r["_n"]
+        if r["_band"] is not None:
+            out.setdefault(r["_band"], []).append((r["_b"], r["_n"]))
+    out[None] = sorted(total.items())
+    return out
+
+
+def _numbered_buckets(df: DataFrame, counts: list[tuple[str, int]], lo: str, hi: str, hash_col: str,
+                      tie_cols: Sequence[str], out: str) -> DataFrame:
+    """The rows of the buckets lo..hi with their ordinal in the whole order. The
+    prefix filter stands below the numbering, so no other row is shuffled."""
+    bucket = F.substring(hash_col, 1, RANGE_HEX)
+    part = df.where((bucket >= lo) & (bucket <= hi))
+    sizes = [c for b, c in counts if lo <= b <= hi]
+    before = sum(c for b, c in counts if b < lo)
+    digits = RANGE_HEX  # finer buckets than the counted ones when those are large
+    while max(sizes, default=0) > ORDINAL_TARGET_ROWS * 16 ** (digits - RANGE_HEX) and digits < ORDINAL_MAX_HEX:
+        digits += 1
+    return with_ordinal(part, hash_col, tie_cols, out, bucket_hex=digits).withColumn(out, F.col(out) + before)
+
+
+def ordinal_range(df: DataFrame, start: int, stop: int, hash_col: str, tie_cols: Sequence[str], out: str = "ord",
+                  counts: list[tuple[str, int]] | None = None) -> DataFrame:
+    """Rows ``start <= ordinal < stop`` of the order (hash_col, tie_cols), with
+    the ordinal. Buckets outside the range are never numbered: one pass counts
+    rows per bucket, a second keeps the buckets that the range touches."""
+    counts = _bucket_counts(df, hash_col)[None] if counts is None else counts
+    upto, touched = 0, []
+    for b, n in counts:
+        if upto < stop and upto + n > start:
+            touched.append(b)
+        upto += n
+    if not touched:
+        return df.where(F.lit(False)).withColumn(out, F.lit(None).cast("long"))
+    part = _numbered_buckets(df, counts, touched[0], touched[-1], hash_col, tie_cols, out)
+    return part.where((F.col(out) >= start) & (F.col(out) < stop))
+
+
+def _label_splits(df: DataFrame, sizes: dict[str, int], ord_col: str) -> DataFrame:
+    label = None
+    upper = 0
+    for name, size in sizes.items():
+        upper += size
+        cond = F.col(ord_col) < upper
+        label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
+    return df.withColumn("split", label).where(F.col("split").isNotNull())
+
+
+def _check_sizes(sizes: dict[str, int], have: int) -> None:
+    need = sum(sizes.values())
+    if need > have:
+        raise ValueError(f"splits of {need} rows in all do not fit a table of {have} rows")
+
+
+def shuffled_splits(df: DataFrame, sizes: dict[str, int], hash_col: str, tie_cols: Sequence[str],
+                    out: str = "ord") -> DataFrame:
+    """``split_by_sizes`` of an order that is not numbered yet: only the buckets
+    of the splits' rows are."""
+    counts = _bucket_counts(df, hash_col)[None]
+    _check_sizes(sizes, sum(n for _, n in counts))
+    return _label_splits(ordinal_range(df, 0, sum(sizes.values()), hash_col, tie_cols, out, counts), sizes, out)
+
+
 def first_n(df: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
-    """``select(range(n))`` after a shuffle; ``n < 0`` means all rows."""
+    """``select(range(n))`` of a numbered table; ``n < 0`` means all rows."""
     return df if n < 0 else df.where(F.col(ord_col) < n)
 
 
 def range_slice(df: DataFrame, start: int, stop: int, ord_col: str = "ord") -> DataFrame:
-    """``select(range(start, stop))`` of the shuffled order."""
+    """``select(range(start, stop))`` of a numbered table."""
     return df.where((F.col(ord_col) >= start) & (F.col(ord_col) < stop))
 
 
 def split_by_sizes(df: DataFrame, sizes: dict[str, int], ord_col: str = "ord",
                    total_rows: int | None = None) -> DataFrame:
-    """Contiguous positional splits (e.g. train/valid/test) by sizes.
-
-    Raises ``ValueError`` when the sizes add up to more rows than the table has
-    (one count job; pass ``total_rows`` when it is already known). Rows past the
-    sum of sizes get no split and are dropped.
-    """
-    need = sum(sizes.values())
-    have = df.count() if total_rows is None else total_rows
-    if need > have:
-        raise ValueError(
-            f"The dataset only has {have} samples, but the requested split sizes need {need}!"
-        )
-    label = None
-    upper = 0
-    for name, size in sizes.items():
-        upper += size
-        cond = F.col(ord_col) < upper
-        label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
-    return df.withColumn("split", label).where(F.col("split").isNotNull())
+    """Contiguous positional splits (e.g. train/valid/test) of a numbered table
+    by sizes. Raises ``ValueError`` when the sizes add up to more rows than the
+    table has (one count job; pass ``total_rows`` when it is already known).
+    Rows past the sum of sizes get no split and are dropped."""
+    _check_sizes(sizes, df.count() if total_rows is None else total_rows)
+    return _label_splits(df, sizes, ord_col)
 
 
 def length_band(n_words: Column, band: str) -> Column:
@@ -204,24 +261,42 @@ def length_band(n_words: Column, band: str) -> Column:
     raise ValueError(f"unknown band {band!r}")
 
 
-def remainder_band(df: DataFrame, cap: int, band: str, size: int, ord_col: str = "ord",
-                   n_col: str = "n_words") -> DataFrame:
-    """First ``size`` sentences of a length band taken from the rows after the
-    first ``cap`` of the shuffled order; re-numbered with ``band_ord``."""
-    rest = df.where((F.col(ord_col) >= cap) & length_band(F.col(n_col), band))
-    return with_ordinal(rest, "_h", [ord_col], "band_ord").where(F.col("band_ord") < size)
-
+def remainder_bands(df: DataFrame, cap: int, bands: Sequence[str], size: int, hash_col: str, tie_cols: Sequence[str],
+                    n_col: str = "n_words", out: str = "ord") -> DataFrame:
+    """First ``size`` rows of each length band among the rows after the first
+    ``cap`` of the order (hash_col, tie_cols): adds ``out`` (ordinal in the whole
+    order), ``band`` and ``band_ord`` (restarting per band).
 
-def remainder_bands(df: DataFrame, cap: int, bands: Sequence[str], size: int, ord_col: str = "ord",
-                    n_col: str = "n_words") -> DataFrame:
-    """``remainder_band`` for several disjoint bands in one numbering pass:
-    adds ``band`` (the band's name) and ``band_ord`` (restarting per band)."""
+    One pass counts rows per bucket and band. Only the buckets between the cap
+    and the one in which the last band fills are numbered; if a band has fewer
+    than ``size`` rows, that is the last bucket."""
     label = None
     for name in bands:
         cond = length_band(F.col(n_col), name)
         label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
-    rest = df.where(F.col(ord_col) >= cap).withColumn("band", label).where(F.col("band").isNotNull())
-    return with_ordinal(rest, "_h", [ord_col], "band_ord", by=["band"]).where(F.col("band_ord") < size)
+    counts = _bucket_counts(df, hash_col, label)
+    every = counts.pop(None)
+    upto, lo = 0, None
+    for b, n in every:
+        upto += n
+        if upto > cap:
+            lo = b
+            break
+    full = dict.fromkeys(bands, "")  # the bucket in which a band has its rows together
+    for name in bands if lo is not None else ():
+        filled, full[name] = 0, lo
+        for b, n in counts.get(name, []):
+            if b > lo and filled < size:  # the cap's own bucket may hold capped rows only
+                filled, full[name] = filled + n, b
+        if filled < size:
+            full[name] = every[-1][0]
+    rest = _numbered_buckets(df, every, lo or "", max(full.values()), hash_col, tie_cols, out).where(F.col(out) >= cap)
+    rest = rest.withColumn("band", label)
+    needed = [(F.col("band") == name) & (F.substring(hash_col, 1, RANGE_HEX) <= b) for name, b in full.items()]
+    rest = rest.where(reduce(lambda a, b: a | b, needed))
+    # a band's rows up to that bucket are about ``size``: one small window each
+    inside = Window.partitionBy("band").orderBy(out)
+    return rest.withColumn("band_ord", (F.row_number().over(inside) - 1).cast("long")).where(F.col("band_ord") < size)
 
 
 def split_period_sentences(docs: DataFrame, text_col: str = "text",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.operators import corpus as C
 from vellum.plans import duck as D
-from vellum.session import materialize, spread, table
+from vellum.session import table
 
 SEED = 2023
 # Split sizes of the registered split query: the sample table of the reference
@@ -27,9 +27,7 @@ SQL: dict = {}
 
 
 def docs(spark, sf):
-    """The documents table, hash-spread by doc_id when it is stored as fewer
-    files than task slots (see ``spread``)."""
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def _sentences(spark, sf):
@@ -230,8 +228,12 @@ FROM documents"""
 _SHUF_SQL = SQL["smp_seeded_shuffle"]
 
 
+def _keyed_ids(spark, sf):
+    return docs(spark, sf).select("doc_id", C.order_key(SEED, "doc_id").alias("_h"))
+
+
 def smp_first_n(spark, sf):
-    return C.first_n(smp_seeded_shuffle(spark, sf), FIRST_N)
+    return C.ordinal_range(_keyed_ids(spark, sf), 0, FIRST_N, "_h", ["doc_id"]).select("doc_id", "ord")
 
 
 Q["smp_first_n"] = smp_first_n
@@ -239,23 +241,16 @@ SQL["smp_first_n"] = f"SELECT * FROM ({_SHUF_SQL}) WHERE ord < {FIRST_N}"
 
 
 def smp_range_slice(spark, sf):
-    return C.range_slice(smp_seeded_shuffle(spark, sf), *SLICE)
+    return C.ordinal_range(_keyed_ids(spark, sf), *SLICE, "_h", ["doc_id"]).select("doc_id", "ord")
 
 
 Q["smp_range_slice"] = smp_range_slice
 SQL["smp_range_slice"] = f"SELECT * FROM ({_SHUF_SQL}) WHERE ord >= {SLICE[0]} AND ord < {SLICE[1]}"
 
 
-def _ordered_clean(spark, sf):
-    """Clean sentences numbered in their seeded order, checkpointed once: the
-    splits, the prefix cap and both remainder bands read this table. The keyed
-    input is persisted only while the ordinal reads it twice (bucket counts,
-    numbering); being deterministic, it is recomputed exactly if lost."""
-    keyed = _clean(spark, sf).withColumn("_h", C.order_key(SEED, "doc_id", "pos")).persist()
-    try:
-        return materialize(C.with_ordinal(keyed, "_h", ["doc_id", "pos"]))
-    finally:
-        keyed.unpersist()
+def keyed_clean(spark, sf):
+    """Clean sentences with the key of their seeded order."""
+    return _clean(spark, sf).withColumn("_h", C.order_key(SEED, "doc_id", "pos"))
 
 
 _ORD_CLEAN_SQL = f"""
@@ -265,7 +260,7 @@ FROM ({CLEAN_SQL}) c"""
 
 
 def split_by_sizes(spark, sf):
-    s = C.split_by_sizes(_ordered_clean(spark, sf), SPLIT_SIZES)
+    s = C.shuffled_splits(keyed_clean(spark, sf), SPLIT_SIZES, "_h", ["doc_id", "pos"])
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"),
                                   F.min("ord").alias("min_ord"), F.max("ord").alias("max_ord"),
                                   F.count_distinct("doc_id").alias("n_docs"))
@@ -284,7 +279,7 @@ CAP = sum(SPLIT_SIZES.values())
 
 
 def smp_prefix_cap(spark, sf):
-    capped = C.first_n(_ordered_clean(spark, sf), CAP)
+    capped = C.ordinal_range(keyed_clean(spark, sf), 0, CAP, "_h", ["doc_id", "pos"])
     return capped.select("doc_id", "pos", "ord", "n_words")
 
 
@@ -293,7 +288,7 @@ SQL["smp_prefix_cap"] = f"SELECT doc_id, pos, ord, n_words FROM ({_ORD_CLEAN_SQL
 
 
 def smp_remainder_bucket(spark, sf):
-    both = C.remainder_bands(_ordered_clean(spark, sf), CAP, ["medium", "long"], BAND_SIZE)
+    both = C.remainder_bands(keyed_clean(spark, sf), CAP, ["medium", "long"], BAND_SIZE, "_h", ["doc_id", "pos"])
     return both.select("band", "doc_id", "pos", "ord", "band_ord", "n_words")
 
 

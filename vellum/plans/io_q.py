@@ -5,7 +5,6 @@ back through the reader under test."""
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as PT
@@ -15,7 +14,7 @@ from vellum.operators import corpus as C
 from vellum.operators import records as B
 from vellum.plans import duck as D
 from vellum.plans import scores_q
-from vellum.plans.corpus_q import SPLIT_SIZES, SQL as CSQL, _ordered_clean
+from vellum.plans.corpus_q import SPLIT_SIZES, SQL as CSQL, keyed_clean
 from vellum.plans.records_q import cand_list_sql
 from vellum.session import materialize, table
 from vellum.sources import readers as RD
@@ -80,7 +79,7 @@ def sink_split_table(spark, sf):
     """Sentence splits written partitioned by split; the test split read back
     alone (partition pruning)."""
     path = W.scratch_path(spark, "splits")
-    s = C.split_by_sizes(_ordered_clean(spark, sf), SPLIT_SIZES)
+    s = C.shuffled_splits(keyed_clean(spark, sf), SPLIT_SIZES, "_h", ["doc_id", "pos"])
     W.write_split_table(s.select("doc_id", "pos", "text", "n_words", "ord", "split"), path)
     t = RD.read_split_table(spark, path, "test")
     return t.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"),
@@ -129,7 +128,7 @@ def sink_predictions(spark, sf):
     path = W.scratch_path(spark, "preds")
     W.write_predictions(scores_q.pairs(spark, sf, scores_q.RUNS).select("dataset", "run", "pair_id",
                                                                           F.col("ref").alias("text"), "pred"), path)
-    p = spark.read.json(path)
+    p = spark.read.schema("pair_id string, text string, pred string, dataset string, run int, part string").json(path)
     latest = R.latest_run(p, ["dataset"])
     return latest.groupBy("dataset", "run").agg(F.count(F.lit(1)).alias("n_rows"),
                                                 F.sum(F.length("pred")).alias("pred_chars"))
@@ -313,15 +312,10 @@ FROM ({cand_list_sql(_MASK_SQL, 'row_id', 'legal_term')})"""
 def stream_sentence_clean(spark, sf):
     """The flagship cleaning run as a Structured Streaming query over the
     documents table read in place (availableNow), then aggregated in batch.
-    A documents folder is streamed as is; a single documents file is picked
-    out of the table folder by name."""
+    The source is a glob that names the table, be it a folder or one file."""
     out = W.scratch_path(spark, "stream-out")
     ckpt = W.scratch_path(spark, "stream-ckpt")
-    path = f"{sf.rstrip('/')}/documents.parquet"
-    if os.path.isdir(path):
-        q = STR.run_to_table(spark, path, DOC_SCHEMA, out, ckpt)
-    else:
-        q = STR.run_to_table(spark, sf, DOC_SCHEMA, out, ckpt, glob="documents.parquet")
+    q = STR.run_to_table(spark, f"{sf.rstrip('/')}/documents.parque[t]", DOC_SCHEMA, out, ckpt)
     q.awaitTermination()
     s = spark.read.parquet(out)
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sentences"), F.round(F.avg("n_words"), 9).alias("avg_words"))

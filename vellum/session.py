@@ -63,7 +63,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     # No shared folder configured. A machine-local folder is only acceptable when
     # driver and executors are one process (local tests and the bench).
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder every executor can reach "
             "(e.g. on the cluster's distributed file system)")
@@ -72,28 +72,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Session setting: tables of the registered queries are dealt into so many
+#: partitions when read. For test tables of one row group, whose scan is one
+#: task; unset (the default) a scan is left as Spark splits it.
+READ_PARTITIONS = "spark.vellum.readPartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def spread(df, *keys):
-    """Hash-redistribute a scan made of fewer files than task slots.
-
-    A table stored as a handful of single-row-group files yields one busy task
-    no matter how many cores there are; for text-heavy per-row work (regex,
-    tokenising) one hash exchange on the row key fixes that. A scan of many
-    files is already parallel and is returned unchanged (no extra shuffle), so
-    at cluster scale this is a no-op.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - not a file scan
-        return df
-    if n_files >= slots:
-        return df
-    return df.repartition(slots, *keys) if keys else df.repartition(slots)
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def materialize(df):

@@ -21,14 +21,15 @@ def clean_sentence_stream(stream: DataFrame, min_words: int = 8, max_words: int
 
 
 def run_to_table(spark: SparkSession, source_dir: str, schema, out_path: str, checkpoint: str,
-                 max_files_per_trigger: int = 1, glob: str | None = None) -> StreamingQuery:
-    """Process every file present in ``source_dir`` (parquet documents; only
-    names matching ``glob`` when given) once (``availableNow``) and append
-    clean sentences to ``out_path``; progress is kept in ``checkpoint`` so a
-    restarted job resumes where it stopped. The source is read in place."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+                 max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Process every parquet file of ``source_dir`` (a folder or a glob, on any
+    file system Spark reads) once (``availableNow``) and append clean sentences
+    to ``out_path``; progress is kept in ``checkpoint`` so a restarted job
+    resumes where it stopped. ``max_files_per_trigger`` bounds a micro-batch;
+    unset, one batch takes all files."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
     q = (clean_sentence_stream(stream).writeStream.format("parquet")
          .option("checkpointLocation", checkpoint).option("path", out_path)
