@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +16,12 @@ from vellum.session import checkpoint_dir
 SPACE = " \t\n\x0b\x0c\r"
 
 #: Documents handled together by the vectorised helpers (bounds worker memory).
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_500_000
 
-#: Distinct words whose hash a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+_MULT = 0x9E3779B97F4A7C15
+_INVERSE = pow(_MULT, -1, 1 << 64)
+_OF_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACE.encode(), np.uint8))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -37,22 +39,6 @@ def key_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-class WordHashes:
-    """64-bit hash of each word (bytes), remembered per worker."""
-
-    def __init__(self, seed: int = 0):
-        self.seed = seed
-        self.seen: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-        seen, digest, seed = self.seen, xxhash.xxh3_64_intdigest, self.seed
-        for w in set(words).difference(seen):
-            seen[w] = digest(w, seed=seed)
-        return np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (murmur3 constants)."""
     h = h.copy()
@@ -64,13 +50,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and where
+    each text's words begin (with the total last). A word's hash is a polynomial
+    in random numbers of its bytes, from prefix sums over the whole block."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    inside = np.concatenate(([False], ~_IS_SPACE[data], [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_OF_BYTE[data] * powers(_MULT, len(data)), out=total[1:])
+    h = (total[end] - total[start]) * powers(_INVERSE, len(data))[start]
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, begin)
+
+
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` consecutive items: a polynomial over
     Z/2^64 built by doubling, finalised so that all bits depend on all items."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    mult = 0x9E3779B97F4A7C15
+    mult = _MULT
     out, length, power, size = None, 0, h, 1
     rest = width
     while rest:
@@ -91,19 +100,21 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks(batches, id_col: str = "doc_id", text_col: str = "text"):
-    """Arrow batches as (ids, texts as bytes), a few MB at a time."""
+    """Arrow batches as (ids, texts as bytes), BLOCK_BYTES of text at a time."""
     for batch in batches:
-        ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
-        col = batch.column(batch.schema.get_field_index(text_col))
-        texts = col.cast(pa.binary()).to_pylist()
-        lo = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= BLOCK_BYTES:
-                yield ids[lo:i + 1], texts[lo:i + 1]
-                lo, size = i + 1, 0
-        if lo < len(texts):
-            yield ids[lo:], texts[lo:]
+        ids = batch.column(batch.schema.get_field_index(id_col))
+        texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
+        for lo, n in cuts(pc.binary_length(texts).to_numpy(zero_copy_only=False), BLOCK_BYTES):
+            yield ids.slice(lo, n).to_pylist(), texts.slice(lo, n).to_pylist()
+
+
+def cuts(sizes: np.ndarray, most: int):
+    """(start, number) of consecutive parts whose sizes add up to about ``most``."""
+    total, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most)))
+        yield lo, hi - lo
+        lo = hi
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import WordHashes, blocks, key_and_text, mix, stored, window_hashes
+from vellum.llm.common import blocks, key_and_text, mix, stored, window_hashes, word_hashes
 from vellum.llm.graph import components
 
 SHINGLE = 4
@@ -66,22 +66,19 @@ def _votes_column(n):
     return F.greatest(F.lit(1), F.floor(n / 20)).cast("int")
 
 
-def shingle_sets(texts: list[bytes], hashes: WordHashes, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    docs = [t.translate(_FOLD).split() for t in texts]
-    h = hashes([w for d in docs for w in d])
-    # a sequence shorter than a shingle is hashed as one, apart from full shingles
+    h, first = word_hashes([t.translate(_FOLD) for t in texts])
     full = window_hashes(h, width)
-    out, at = [], 0
-    for d in docs:
-        n = len(d)
+    out = []
+    for at, end in zip(first[:-1].tolist(), first[1:].tolist()):
+        n = end - at
         if n >= width:
-            out.append(np.unique(full[at:at + n - width + 1]))
-        elif n:
-            out.append(mix(window_hashes(h[at:at + n], n) + np.uint64(n)))
+            out.append(np.unique(full[at:end - width + 1]))
+        elif n:  # a sequence shorter than a shingle is hashed as one, apart from full shingles
+            out.append(mix(window_hashes(h[at:end], n) + np.uint64(n)))
         else:
             out.append(np.empty(0, np.uint64))
-        at += n
     return out
 
 
@@ -95,10 +92,9 @@ def measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
     prefix (sorted hashes, 8 bytes each; only on a class's first document in a
     block)."""
     def run(batches):
-        hashes = WordHashes()
         for ids, texts in blocks(batches):
             seen, rows = set(), []
-            for i, t, s in zip(ids, texts, shingle_sets(texts, hashes, width)):
+            for i, t, s in zip(ids, texts, shingle_sets(texts, width)):
                 n, cls = len(s), class_of(s)
                 prefix = None
                 if n and cls not in seen:
@@ -164,14 +160,13 @@ def members(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     joined = rows.join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("cls", "n", "tokens", "packed", "n_bytes")
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             cls = batch.column(0).to_pylist()
             packed, sizes = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             keep, full = [], []
             for i, (c, p, n) in enumerate(zip(cls, packed, sizes)):
                 text = pa.decompress(p, decompressed_size=n, codec="zstd", asbytes=True) if n else b""
-                s = shingle_sets([text], hashes, width)[0]
+                s = shingle_sets([text], width)[0]
                 if class_of(s) == c:  # another document may have the same id
                     keep.append(i)
                     full.append(s.tobytes())

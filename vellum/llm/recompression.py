@@ -39,36 +39,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import WordHashes, blocks, key_and_text, mix, window_hashes
+from vellum.llm.common import _INVERSE, _MULT, blocks, cuts, key_and_text, mix, powers, stored, window_hashes, word_hashes
 
 WINDOW = 20
 ROUNDS = 5
+#: Odd multipliers that halve the alphabet, one for each round.
+_HALVES = [2 * int(x) + 1 for x in np.random.default_rng(7).integers(0, 1 << 62, 64)]
 LAST = (1 << 63) - 1
-_MULT = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULT, -1, 1 << 64)
-
 KEYS = "key long, doc long, more binary"
-TEXTS = "doc long, doc_id long, words binary, n_bytes long"
+TEXTS = "doc long, doc_id long, words binary, n_bytes long, n_words long"
 SEEN = "h long, check int, doc long, start int, n int, known boolean"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Block:
     """Words of several documents, one after the other."""
 
-    def __init__(self, docs: list[list[bytes]], hashes: WordHashes, width: int):
-        self.n_words = np.array([len(d) for d in docs], np.int64)
-        self.first = np.concatenate(([0], np.cumsum(self.n_words)))
-        self.h = hashes([w for d in docs for w in d])
+    def __init__(self, texts: list[bytes], width: int):
+        self.h, self.first = word_hashes(texts)
+        self.n_words = np.diff(self.first)
         self.n, self.width = len(self.h), width
-        self.doc = np.repeat(np.arange(len(docs)), self.n_words)
+        self.doc = np.repeat(np.arange(len(texts)), self.n_words)
         # windows by their first word; those that would leave their document don't count
         fits = self.first[self.doc + 1] - np.arange(self.n) >= width
         self.starts = np.flatnonzero(fits)
@@ -89,7 +80,7 @@ class Block:
         name = np.where(size > 1, mix(self.h[start] + size.astype(np.uint64)), self.h[start])
         lo, hi, doc = start - 1, start + size + 1, doc[start]
         for r in range(rounds):
-            left = (mix(name ^ np.uint64(0x1234567 + 7919 * r)) >> np.uint64(40)) & np.uint64(1) == 0
+            left = (name * np.uint64(_HALVES[r])) >> np.uint64(63) == 0
             same = doc[:-1] == doc[1:]
             pair = same & left[:-1] & ~left[1:]
             opens, closes = np.append(pair, False), np.concatenate(([False], pair))
@@ -106,8 +97,8 @@ class Block:
             name, lo, hi, doc = new_name[keep], new_lo[keep], new_hi[keep], doc[keep]
         inside = (lo >= first[doc]) & (hi <= first[doc + 1]) & (hi - lo <= self.width)
         name, lo, hi = name[inside], lo[inside], hi[inside]
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.h * _powers(_MULT, n))))
-        words = (total[hi] - total[lo]) * _powers(_INVERSE, n)[lo]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.h * powers(_MULT, n))))
+        words = (total[hi] - total[lo]) * powers(_INVERSE, n)[lo]
         return mix(name + mix(words + (hi - lo).astype(np.uint64))), lo, hi
 
     def holding(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -160,10 +151,9 @@ def document_keys(docs: DataFrame, width: int) -> DataFrame:
     """KEYS: one row per key and block of documents; ``doc`` is the first
     document of the block that has it, ``more`` the others (8 bytes each)."""
     def run(batches):
-        hashes = WordHashes()
         for ids, texts in blocks(batches):
             ids = np.array([LAST if i is None else i for i in ids], np.int64)
-            block = Block([t.split() for t in texts], hashes, width)
+            block = Block(texts, width)
             key, doc, *_ = block.keys()
             if not len(key):
                 continue
@@ -205,9 +195,10 @@ def word_lists(docs: DataFrame) -> DataFrame:
     """TEXTS: the words of each document, joined by one space and compressed."""
     def run(batches):
         for ids, texts in blocks(batches):
-            joined = [b" ".join(t.split()) for t in texts]
+            lists = [t.split() for t in texts]
+            joined = [b" ".join(w) for w in lists]
             packed = [pa.compress(j, codec="zstd", asbytes=True) for j in joined]
-            yield record_batch([[LAST if i is None else i for i in ids], ids, packed, [len(j) for j in joined]], TEXTS)
+            yield record_batch([[LAST if i is None else i for i in ids], ids, packed, [len(j) for j in joined], [len(w) for w in lists]], TEXTS)
 
     return docs.mapInArrow(run, TEXTS)
 
@@ -221,30 +212,28 @@ def roots(docs: DataFrame, width: int) -> DataFrame:
             if rows:
                 yield record_batch(list(zip(*rows)), "doc long, root binary")
 
-    named = docs.mapInArrow(run, "doc long, root binary")
+    named = stored(docs.mapInArrow(run, "doc long, root binary"))
     first = named.groupBy("root").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     return named.join(first, "root").where("doc > first").groupBy("doc").agg(F.collect_set("root").alias("copies"))
 
 
-def _unpack(batch: pa.RecordBatch):
-    """Columns of joined TEXTS rows, with the words of each document."""
-    cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-    cols["text"] = [pa.decompress(w, decompressed_size=n, codec="zstd", asbytes=True) if n else b""
-                    for w, n in zip(cols["words"], cols["n_bytes"])]
-    cols["list"] = [t.split(b" ") if t else [] for t in cols["text"]]
-    cols["copy"] = [bool(c) and xxhash.xxh3_128_digest(t) in c for c, t in zip(cols["copies"], cols["text"])]
-    return cols
+def _columns(batch: pa.RecordBatch) -> dict[str, list]:
+    return {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+
+
+def _unpack(packed: bytes, size: int) -> bytes:
+    return pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def _is_copy(text: bytes, copies: list[bytes] | None) -> bool:
+    return bool(copies) and xxhash.xxh3_128_digest(text) in copies
 
 
-def text_parts(batches, size: int = 4_000_000):
+def text_parts(batches, size: int = 1_500_000):
     """Batches cut so that a part's texts are some MB."""
     for batch in batches:
-        n = np.cumsum(batch.column(batch.schema.get_field_index("n_bytes")).to_numpy())
-        lo = 0
-        while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(n, (n[lo - 1] if lo else 0) + size)))
-            yield batch.slice(lo, hi - lo)
-            lo = hi
+        for lo, n in cuts(batch.column(batch.schema.get_field_index("n_bytes")).to_numpy(), size):
+            yield batch.slice(lo, n)
 
 
 def seen_windows(joined: DataFrame, width: int) -> DataFrame:
@@ -252,15 +241,15 @@ def seen_windows(joined: DataFrame, width: int) -> DataFrame:
     for each block (``known`` false), and the block's own repeats as runs of n
     starts (``known`` true)."""
     def run(batches):
-        hashes = WordHashes()
         for batch in text_parts(batches):
-            cols = _unpack(batch)
-            rows = sorted((i for i, (k, c) in enumerate(zip(cols["keys"], cols["copy"])) if k and not c), key=lambda i: cols["doc"][i])
+            cols = _columns(batch)
+            texts = {i: _unpack(cols["words"][i], cols["n_bytes"][i]) for i, k in enumerate(cols["keys"]) if k}
+            rows = sorted((i for i, t in texts.items() if not _is_copy(t, cols["copies"][i])), key=lambda i: cols["doc"][i])
             if not rows:
                 continue
             ids = np.array([cols["doc"][i] for i in rows], np.int64)
             shared = np.unique(np.concatenate([np.array(cols["keys"][i], np.int64) for i in rows])).view(np.uint64)
-            block = Block([cols["list"][i] for i in rows], hashes, width)
+            block = Block([texts[i] for i in rows], width)
             cand = block.candidates(shared)
             if not len(cand):
                 continue
@@ -286,7 +275,8 @@ def seen_windows(joined: DataFrame, width: int) -> DataFrame:
                 spread = _signed(mix(d[begin].view(np.uint64) + s[begin].astype(np.uint64)))
                 yield record_batch([spread, c[begin], d[begin], s[begin], n, np.ones(len(begin), bool)], SEEN)
 
-    return joined.where("keys is not null").mapInArrow(run, SEEN)
+    # rows without keys are left out by the task: a filter here would give this branch a shuffle of texts of its own
+    return joined.mapInArrow(run, SEEN)
 
 
 def later_windows(seen: DataFrame) -> DataFrame:
@@ -318,12 +308,13 @@ def later_windows(seen: DataFrame) -> DataFrame:
 def remove(joined: DataFrame, width: int) -> DataFrame:
     """RESULT from documents with the marks of their later windows."""
     def run(batches):
-        hashes = WordHashes()
         for batch in text_parts(batches):
-            cols = _unpack(batch)
+            cols = _columns(batch)
             out = []
-            marked = [i for i, m in enumerate(cols["marks"]) if m and not cols["copy"][i]]
-            block = Block([cols["list"][i] for i in marked], hashes, width)
+            texts = [_unpack(p, n) for p, n in zip(cols["words"], cols["n_bytes"])]
+            copy = [_is_copy(t, c) for t, c in zip(texts, cols["copies"])]
+            marked = [i for i, m in enumerate(cols["marks"]) if m and not copy[i]]
+            block = Block([texts[i] for i in marked], width)
             check = np.zeros(block.n, np.int32)
             check[block.starts] = block.check
             fits = np.zeros(block.n, bool)
@@ -339,16 +330,17 @@ def remove(joined: DataFrame, width: int) -> DataFrame:
                 np.add.at(covered, at[ok] + n[ok] - 1 + width, -1)
             gone = np.cumsum(covered)[:-1] > 0
             place = {i: k for k, i in enumerate(marked)}
-            for i, words in enumerate(cols["list"]):
-                if cols["copy"][i]:
-                    kept, removed = b"", len(words)
+            for i, text in enumerate(texts):
+                n_words, kept, removed = cols["n_words"][i], text, 0
+                if copy[i]:
+                    kept, removed = b"", n_words
                 elif i in place:
                     drop = gone[block.first[place[i]]:block.first[place[i] + 1]]
                     removed = int(drop.sum())
-                    kept = b" ".join([words[j] for j in np.flatnonzero(~drop)]) if removed else cols["text"][i]
-                else:
-                    kept, removed = cols["text"][i], 0
-                out.append((cols["doc_id"][i], len(words), removed, hashlib.sha256(kept).hexdigest()))
+                    if removed:
+                        words = text.split(b" ")
+                        kept = b" ".join([words[j] for j in np.flatnonzero(~drop)])
+                out.append((cols["doc_id"][i], n_words, removed, hashlib.sha256(kept).hexdigest()))
             if out:
                 yield record_batch(list(zip(*out)), RESULT)
 
@@ -362,5 +354,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = word_lists(named)
     joined = texts.join(flagged, "doc", "left").join(roots(named, width), "doc", "left")
     marks = later_windows(seen_windows(joined, width)).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "check")).alias("marks"))
-    columns = ["doc", "doc_id", "words", "n_bytes", "keys", "copies"]
-    return remove(joined.select(*columns).join(marks, "doc", "left"), width)
+    return remove(joined.join(marks, "doc", "left"), width)
