@@ -275,39 +275,55 @@ def test_lcs_table_and_backtrack_against_plain_dp():
         ref = [rng.choice("abcd") for _ in range(rng.randint(0, 15))]
         can = [rng.choice("abcde") for _ in range(rng.randint(0, 15))]
         t, idx = plain(ref, can)
-        assert L.lcs_table(ref, can).tolist() == t
+        rows = L.lcs_rows(ref, can)
+        assert [[j - (r & ((1 << j) - 1)).bit_count() for j in range(len(can) + 1)] for r in rows] == t
         assert L.lcs_indices(ref, can) == idx
 
 
-def test_ngram_orders_equal_ngrams(spark):
-    from vellum.functions import arrays as A
-
-    rng = random.Random(9)
-    rows = [([rng.choice("abc") for _ in range(k)],) for k in (0, 1, 2, 3, 4, 5, 9)]
-    df = spark.createDataFrame(rows, "t array<string>")
-    got = df.select(*[g.alias(f"c{n}") for n, g in enumerate(A.ngram_orders(F.col("t"), 4), 1)],
-                    *[A.ngrams("t", n).alias(f"r{n}") for n in range(1, 5)]).collect()
-    for (t,), r in zip(rows, got):
-        for n in range(1, 5):
-            exp = [" ".join(t[i:i + n]) for i in range(len(t) - n + 1)]
-            assert list(r[f"c{n}"]) == list(r[f"r{n}"]) == exp
-
-
-def test_sorted_overlap_is_exact_multiset_intersection(spark):
-    """Run-tagged intersection equals Counter & Counter on sorted arrays with
-    heavy repeats, empty sides and long runs (int and string elements)."""
-    from vellum.functions import arrays as A
+def test_ngram_overlaps_are_exact_multiset_intersections(spark):
+    """Counter & Counter of the n-grams, with heavy repeats, empty sides and long runs."""
+    from vellum.functions.overlap import ngram_overlaps
 
     rng = random.Random(13)
-    rows = [(sorted(rng.choice("abc") for _ in range(rng.randint(0, 30))),
-             sorted(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for _ in range(200)]
-    rows += [([], []), (["a"] * 2000, ["a"] * 1500 + ["b"])]
+    rows = [([rng.choice("abc") for _ in range(rng.randint(0, 30))], [rng.choice("abcd") for _ in range(rng.randint(0, 30))])
+            for _ in range(200)]
+    rows += [([], []), (["a"] * 2000, ["a"] * 1500 + ["b"]), (None, ["a"])]
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
-    got = [r.o for r in df.select(A.sorted_overlap("a", "b").alias("o")).collect()]
-    assert got == [sum((collections.Counter(a) & collections.Counter(b)).values()) for a, b in rows]
-    tags = spark.createDataFrame([([1, 1, 2, 5, 5, 5],), ([],)], "x array<int>").select(
-        A.occurrence_tagged("x").alias("t")).collect()
-    assert [[(e.v, e.k) for e in r.t] for r in tags] == [[(1, 0), (1, 1), (2, 0), (5, 0), (5, 1), (5, 2)], []]
+    got = [r.o for r in df.select(ngram_overlaps("a", "b", [1, 2, 4]).alias("o")).collect()]
+
+    def model(a, b, n):
+        grams = [collections.Counter(tuple(x[i:i + n]) for i in range(len(x) - n + 1)) for x in (a, b)]
+        return sum((grams[0] & grams[1]).values())
+
+    assert got[-1] is None
+    assert [list(o) for o in got[:-1]] == [[model(a, b, n) for n in (1, 2, 4)] for a, b in rows[:-1]]
+
+
+def test_union_lcs_of_very_long_sentences():
+    """A 20,000-token pair stays within bounded memory."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    ref = [rng.choice("abcdefgh") for _ in range(20_000)]
+    can = [t for t in ref if rng.random() < 0.9]
+    tracemalloc.start()
+    idx = L.lcs_indices(ref, can)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(idx) == L.lcs_length(ref, can) == len(can) and peak < 200e6
+
+
+def test_bootstrap_sums_equal_a_plain_loop(spark):
+    rows = [(f"k{i}", "g" if i % 3 else None, i / 7, None if i == 4 else 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, g string, s double, t double").repartition(3)
+    w = S.bootstrap_weights(5, [r[0] for r in rows], 101)
+    got = {r.g: r for r in S.bootstrap_mid(df, "k", ["s", "t"], ["g"], n_samples=101, seed=5).collect()}
+    import numpy as np
+    for g in ("g", None):
+        at = [i for i, r in enumerate(rows) if r[1] == g]
+        means = sorted((w[at, b] * [rows[i][2] for i in at]).sum() / w[at, b].sum() for b in range(101))
+        assert got[g].s == pytest.approx(np.median(means))
+    assert abs(w.mean() - 1) < 0.05
 
 
 def test_rouge_multi_reference_all_types_and_no_reference(spark):

@@ -19,81 +19,6 @@ def ngrams(tokens, n: int, sep: str = " ") -> Column:
     return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_orders(tokens, max_n: int, sep: str = " ") -> list[Column]:
-    """The n-grams of every order 1..max_n (same values as ``ngrams``): order 1
-    is the token array itself and gram i of order n is gram i of order n-1
-    plus ``sep`` plus token i+n-1, so each gram costs one concatenation."""
-    t = _c(tokens)
-    out = [t]
-    for n in range(2, max_n + 1):
-        m = F.size(t) - n + 1
-        step = F.zip_with(F.slice(out[-1], 1, F.greatest(m, F.lit(1))), F.slice(t, n, F.greatest(m, F.lit(1))),
-                          lambda a, b: F.concat(a, F.lit(sep), b))
-        out.append(F.when(m > 0, step).otherwise(F.array().cast("array<string>")))
-    return out
-
-
-def occurrence_tagged(sorted_arr) -> Column:
-    """Sorted array (held in a column) -> array of (value, k) where k numbers
-    the copies of a value 0, 1, ...: two multisets then intersect exactly as
-    sets of tags. Linear: run starts are found in one pass over neighbouring
-    elements, then each run emits its value with k = 0..length-1."""
-    s = _c(sorted_arr)
-    n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                      lambda i: (i < n) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
-    # run ends = the next run's start, then n; built outside any lambda (an
-    # expression referenced inside a lambda would be re-evaluated per element)
-    m = F.size(starts)
-    ends = F.slice(F.concat(F.slice(starts, 2, F.greatest(m - 1, F.lit(0))), F.array(n)), 1, m)
-    runs = F.zip_with(starts, ends, lambda a, b: F.transform(
-        F.sequence(F.lit(0), b - a - 1), lambda k: F.struct(F.get(s, a).alias("v"), k.alias("k"))))
-    return F.flatten(runs)
-
-
-def _merge_overlap(sa: Column, sb: Column) -> Column:
-    """Linear two-cursor merge over two sorted arrays (O(n) fold steps)."""
-    init = F.struct(sa.alias("a"), sb.alias("b"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("c"))
-
-    def step(s, _):
-        x = F.get(s["a"], s["i"])
-        y = F.get(s["b"], s["j"])
-        return (
-            F.when(x.isNull() | y.isNull(), s)
-            .when(x == y, F.struct(s["a"].alias("a"), s["b"].alias("b"), (s["i"] + 1).alias("i"),
-                                   (s["j"] + 1).alias("j"), (s["c"] + 1).alias("c")))
-            .when(x < y, F.struct(s["a"].alias("a"), s["b"].alias("b"), (s["i"] + 1).alias("i"),
-                                  s["j"].alias("j"), s["c"].alias("c")))
-            .otherwise(F.struct(s["a"].alias("a"), s["b"].alias("b"), s["i"].alias("i"),
-                                (s["j"] + 1).alias("j"), s["c"].alias("c")))
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(sa) + F.size(sb)), init, step, lambda s: s["c"])
-
-
-def multiset_overlap(a, b) -> Column:
-    """``sum((Counter(a) & Counter(b)).values())`` of two array expressions.
-
-    Safe for any expression: both arrays are sorted once into the fold state
-    and merged with two cursors (linear). When the inputs are plain columns,
-    ``sorted_overlap`` on pre-sorted columns is faster.
-    """
-    return _merge_overlap(F.array_sort(_c(a)), F.array_sort(_c(b)))
-
-
-def sorted_overlap(sa, sb) -> Column:
-    """``multiset_overlap`` for already-sorted arrays held in columns of a
-    previous projection (the tags look elements up by position, so the arrays
-    must not be recomputed per element): a native ``array_intersect`` of
-    occurrence-tagged values, linear in the array lengths."""
-    sa, sb = _c(sa), _c(sb)
-    # a side without repeated values makes every min(count_a, count_b) a 0/1
-    # membership test, i.e. the plain (native) set intersection
-    plain = (F.size(F.array_distinct(sa)) == F.size(sa)) | (F.size(F.array_distinct(sb)) == F.size(sb))
-    tagged = F.size(F.array_intersect(occurrence_tagged(sa), occurrence_tagged(sb)))
-    return F.when(plain, F.size(F.array_intersect(sa, sb))).otherwise(tagged)
-
-
 def dot(a, b) -> Column:
     """Inner product in double precision, summed left to right."""
     return F.aggregate(

@@ -8,7 +8,6 @@ receive token arrays, never raw text.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,36 +29,43 @@ def lcs_length(a, b) -> int:
     return len(a) - bin(s).count("1")
 
 
-def lcs_table(ref, can) -> np.ndarray:
-    """The (len(ref)+1) x (len(can)+1) LCS table, one vectorised row per token
-    of ``ref``: cell j is the running maximum over j' <= j of
-    max(previous[j'], previous[j'-1] + 1 where ref[i] == can[j'])."""
-    codes: dict = {}
-    r = np.fromiter((codes.setdefault(t, len(codes)) for t in ref), dtype=np.int64, count=len(ref))
-    c = np.fromiter((codes.setdefault(t, len(codes)) for t in can), dtype=np.int64, count=len(can))
-    table = np.zeros((len(ref) + 1, len(can) + 1), dtype=np.int32)
-    for i in range(1, len(ref) + 1):
-        prev = table[i - 1]
-        step = np.maximum(prev[1:], np.where(c == r[i - 1], prev[:-1] + 1, 0))
-        table[i, 1:] = np.maximum.accumulate(step)
-    return table
+def lcs_rows(ref, can) -> list[int]:
+    """Row i of the LCS table as a bit vector over ``can`` (same recurrence):
+    cell (i, j) is the number of zero bits among the lowest j of row i. A row
+    takes len(can) bits, so 20,000 x 20,000 tokens take 50 MB."""
+    match: dict = {}
+    for j, tok in enumerate(can):
+        match[tok] = match.get(tok, 0) | (1 << j)
+    full = (1 << len(can)) - 1
+    rows = [full]
+    for tok in ref:
+        s = rows[-1]
+        u = s & match.get(tok, 0)
+        rows.append(((s + u) | (s - u)) & full)
+    return rows
 
 
 def lcs_indices(ref, can) -> list[int]:
-    """Positions in ``ref`` of one LCS with ``can`` (table backtrack that
-    prefers moving along ``can`` only when it is strictly better)."""
-    rows, cols = len(ref), len(can)
-    if rows == 0 or cols == 0:
+    """Positions in ``ref`` of one LCS with ``can`` (walk back that prefers
+    moving along ``can`` only when it is strictly better)."""
+    i, j, out = len(ref), len(can), []
+    if i == 0 or j == 0:
         return []
-    table = lcs_table(ref, can)
-    i, j, out = rows, cols, []
+    rows = lcs_rows(ref, can)
+    low = (1 << j) - 1
     while i > 0 and j > 0:
         if ref[i - 1] == can[j - 1]:
             out.append(i - 1)
             i -= 1
             j -= 1
-        elif table[i, j - 1] > table[i - 1, j]:
+            low >>= 1
+            continue
+        # zero bits: cell (i, j - 1) against cell (i - 1, j)
+        left = j - 1 - (rows[i] & (low >> 1)).bit_count()
+        up = j - (rows[i - 1] & low).bit_count()
+        if left > up:
             j -= 1
+            low >>= 1
         else:
             i -= 1
     out.reverse()

@@ -250,9 +250,6 @@ def split_occupation(c) -> Column:
     return F.transform(F.split(_c(c), OCCUPATION_SEPARATORS), strip)
 
 
-def ends_with_period(c) -> Column:
-    return _c(c).endswith(".")
-
 
 def final_period(c) -> Column:
     """Append a period unless the text already ends with one."""

@@ -8,14 +8,20 @@ so each metric is one partial+final aggregate: no per-group collect.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import arrays as A
 from vellum.functions import lcs as L
 from vellum.functions import text as T
+from vellum.functions.overlap import ngram_overlaps
+from vellum.session import materialize
 
 ROUGE_TYPES = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
@@ -28,20 +34,28 @@ def _f(p: Column, r: Column) -> Column:
 def token_f1(pairs: DataFrame, ref: str = "ref", pred: str = "pred", by: Sequence[str] = (),
              tokenizer: Callable[[Column], Column] = T.pure_tokens) -> DataFrame:
     """Macro precision/recall (means of per-row values) and F1 of the means."""
-    tok = pairs.select(*by, F.array_sort(tokenizer(F.col(pred))).alias("_p"),
-                       F.array_sort(tokenizer(F.col(ref))).alias("_l"))
-    ov = tok.select(*by, F.size("_p").alias("_np"), F.size("_l").alias("_nl"),
-                    A.sorted_overlap("_p", "_l").alias("_ov"))
+    rows = token_f1_rows(pairs, ref, pred, by, tokenizer)
+    agg = (rows.groupBy(*by) if by else rows.groupBy()).agg(*_f1_aggregates())
+    return agg.withColumn("f1", _f(F.col("precision"), F.col("recall")))
+
+
+def _f1_aggregates() -> list[Column]:
+    return [F.avg("_pr").alias("precision"), F.avg("_rc").alias("recall")]
+
+
+def token_f1_rows(pairs: DataFrame, ref: str, pred: str, keep: Sequence[str],
+                  tokenizer: Callable[[Column], Column] = T.pure_tokens) -> DataFrame:
+    """Per-row precision ``_pr`` and recall ``_rc``."""
+    tok = pairs.select(*keep, tokenizer(F.col(pred)).alias("_p"), tokenizer(F.col(ref)).alias("_l"))
+    ov = tok.select(*keep, F.size("_p").alias("_np"), F.size("_l").alias("_nl"),
+                    ngram_overlaps("_p", "_l", [1])[0].alias("_ov"))
     either_empty = (F.col("_np") == 0) | (F.col("_nl") == 0)
     same = F.when(F.col("_np") == F.col("_nl"), 1.0).otherwise(0.0)
-    rows = ov.select(
-        *by,
+    return ov.select(
+        *keep,
         F.when(either_empty, same).otherwise(F.col("_ov") / F.col("_np")).alias("_pr"),
         F.when(either_empty, same).otherwise(F.col("_ov") / F.col("_nl")).alias("_rc"),
     )
-    agg = (rows.groupBy(*by) if by else rows.groupBy()).agg(
-        F.avg("_pr").alias("precision"), F.avg("_rc").alias("recall"))
-    return agg.withColumn("f1", _f(F.col("precision"), F.col("recall")))
 
 
 # ------------------------------------------------------------------- BLEU ---
@@ -82,25 +96,30 @@ def _bleu_finish(agg: DataFrame, by: Sequence[str], max_order: int, smooth: bool
 def bleu_counts(pairs: DataFrame, ref: str = "ref", pred: str = "pred", by: Sequence[str] = (),
                 max_order: int = 4, tokenizer: Callable[[Column], Column] = T.tok_13a) -> DataFrame:
     """Summed clipped matches ``m{n}``, possible matches ``p{n}`` and lengths
-    for a single reference per row. The overlap of each order is an in-row
-    sorted merge, so no n-gram is ever shuffled."""
-    tok = pairs.select(*by, tokenizer(F.col(pred)).alias("_t"), tokenizer(F.col(ref)).alias("_r"))
-    # each order's n-grams are built and sorted once, in their own projection
-    grams = tok.select(*by, F.size("_t").alias("_tl"), F.size("_r").alias("_rl"),
-                       *[F.array_sort(g).alias(f"_tg{n}")
-                         for n, g in enumerate(A.ngram_orders(F.col("_t"), max_order), 1)],
-                       *[F.array_sort(g).alias(f"_rg{n}")
-                         for n, g in enumerate(A.ngram_orders(F.col("_r"), max_order), 1)])
-    cols = [F.col("_tl"), F.col("_rl")]
-    for n in range(1, max_order + 1):
-        cols.append(A.sorted_overlap(f"_tg{n}", f"_rg{n}").alias(f"_m{n}"))
-        cols.append(F.greatest(F.col("_tl") - n + 1, F.lit(0)).alias(f"_p{n}"))
-    per_row = grams.select(*by, *cols)
+    for a single reference per row. The overlaps are counted in the row, so no
+    n-gram is ever shuffled."""
+    per_row = bleu_rows(pairs, ref, pred, by, max_order, tokenizer)
+    return (per_row.groupBy(*by) if by else per_row.groupBy()).agg(*_bleu_aggregates(max_order))
+
+
+def _bleu_aggregates(max_order: int) -> list[Column]:
     aggs = [F.sum("_tl").cast("long").alias("translation_length"),
             F.sum("_rl").cast("long").alias("reference_length")]
     for n in range(1, max_order + 1):
         aggs += [F.sum(f"_m{n}").cast("long").alias(f"m{n}"), F.sum(f"_p{n}").cast("long").alias(f"p{n}")]
-    return (per_row.groupBy(*by) if by else per_row.groupBy()).agg(*aggs)
+    return aggs
+
+
+def bleu_rows(pairs: DataFrame, ref: str, pred: str, keep: Sequence[str], max_order: int = 4,
+              tokenizer: Callable[[Column], Column] = T.tok_13a) -> DataFrame:
+    """Per-row lengths ``_tl``, ``_rl``, clipped matches ``_m{n}`` and possible matches ``_p{n}``."""
+    tok = pairs.select(*keep, tokenizer(F.col(pred)).alias("_t"), tokenizer(F.col(ref)).alias("_r"))
+    counted = tok.select(*keep, F.size("_t").alias("_tl"), F.size("_r").alias("_rl"),
+                         ngram_overlaps("_t", "_r", range(1, max_order + 1)).alias("_m"))
+    cols = []
+    for n in range(1, max_order + 1):
+        cols += [F.col("_m")[n - 1].alias(f"_m{n}"), F.greatest(F.col("_tl") - n + 1, F.lit(0)).alias(f"_p{n}")]
+    return counted.select(*keep, "_tl", "_rl", *cols)
 
 
 def bleu_counts_multi(pairs: DataFrame, refs: str = "refs", pred: str = "pred",
@@ -169,12 +188,11 @@ def bleu_1_to_4(pairs: DataFrame, ref: str = "ref", pred: str = "pred", by: Sequ
 
 
 # ------------------------------------------------------------------ ROUGE ---
-def rouge_n_prf(pred_grams: Column, ref_grams: Column):
-    """(precision, recall, F) Columns of ROUGE-N from two sorted n-gram array
-    columns."""
-    ov = A.sorted_overlap(pred_grams, ref_grams)
-    p = ov / F.greatest(F.size(pred_grams), F.lit(1))
-    r = ov / F.greatest(F.size(ref_grams), F.lit(1))
+def rouge_n_prf(overlap: Column, n_pred: Column, n_ref: Column, n: int):
+    """(precision, recall, F) Columns of ROUGE-N from the clipped overlap and
+    the two token counts."""
+    p = overlap / F.greatest(n_pred - n + 1, F.lit(1))
+    r = overlap / F.greatest(n_ref - n + 1, F.lit(1))
     return p, r, _f(p, r)
 
 
@@ -190,16 +208,13 @@ def rouge_rows(pairs: DataFrame, ref: str = "ref", pred: str = "pred", keep: Seq
     """Per-row ROUGE F scores (the ``use_aggregator=False`` output)."""
     tok = _rouge_tokens(pairs, ref, pred, keep, tokenizer)
     orders = sorted({int(t[5:]) for t in rouge_types if t[5:].isdigit()})
-    # sorted n-gram arrays of each order are projected once per row
-    top = max(orders, default=0)
-    pg, rg = A.ngram_orders(F.col("_pt"), top), A.ngram_orders(F.col("_rt"), top)
-    tok = tok.select("*", *[F.array_sort(pg[n - 1]).alias(f"_pg{n}") for n in orders],
-                     *[F.array_sort(rg[n - 1]).alias(f"_rg{n}") for n in orders])
+    if orders:
+        tok = tok.withColumn("_ov", ngram_overlaps("_pt", "_rt", orders))
     cols = []
     for t in rouge_types:
         if t[5:].isdigit():
             n = int(t[5:])
-            cols.append(rouge_n_prf(F.col(f"_pg{n}"), F.col(f"_rg{n}"))[2].alias(t))
+            cols.append(rouge_n_prf(F.col("_ov")[orders.index(n)], F.size("_pt"), F.size("_rt"), n)[2].alias(t))
         elif t == "rougeL":
             cols.append(L.rouge_l_udf(F.col("_rt"), F.col("_pt")).alias(t))
         elif t == "rougeLsum":
@@ -223,18 +238,15 @@ def rouge_rows_multi(pairs: DataFrame, refs: str = "refs", pred: str = "pred",
     return per.groupBy(key, *keep).agg(*[F.max(F.when(F.col("_has"), F.col(t))).alias(t) for t in rouge_types])
 
 
-def poisson1_weight(u: Column) -> Column:
-    """Inverse-CDF draw of Poisson(1) from a uniform in [0, 1). Weights above 12,
-    of probability 6e-11 together, count as 12."""
-    import math
-
-    cdf, term, out = 0.0, math.exp(-1.0), None
-    for k in range(0, 12):
+def poisson1_cdf() -> list[float]:
+    """P(X <= k) of Poisson(1) for k = 0..11: a uniform u draws the number of
+    values <= u. Weights above 12, of probability 6e-11 together, count as 12."""
+    cdf, term, out = 0.0, math.exp(-1.0), []
+    for k in range(12):
         cdf += term
         term /= k + 1
-        cond = u < F.lit(cdf)
-        out = F.when(cond, F.lit(k)) if out is None else out.when(cond, F.lit(k))
-    return out.otherwise(F.lit(12))
+        out.append(cdf)
+    return out
 
 
 def hash_uniform(*parts: Column) -> Column:
@@ -243,22 +255,54 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16**13)
 
 
+#: Uniforms taken from one md5 digest (32 bits each).
+UNIFORMS_PER_DIGEST = 4
+_BOOTSTRAP_ROWS = 500
+
+
+def bootstrap_weights(seed: int, keys: Sequence[str], n_samples: int) -> np.ndarray:
+    """Poisson(1) weight of each row (by its key) in each replicate: replicate b
+    reads the (b mod 4)-th 32-bit word of md5(seed:b div 4:key)."""
+    digests = -(-n_samples // UNIFORMS_PER_DIGEST)
+    heads = [f"{seed}:{q}:".encode() for q in range(digests)]
+    md5 = hashlib.md5
+    words = b"".join(md5(h + k).digest() for k in (str(k).encode() for k in keys) for h in heads)
+    u = np.frombuffer(words, ">u4").reshape(len(keys), -1)[:, :n_samples] / 2.0**32
+    return np.searchsorted(np.array(poisson1_cdf()), u, side="right").astype(np.float64)
+
+
 def bootstrap_mid(rows: DataFrame, key: str, score_cols: Sequence[str], by: Sequence[str] = (),
                   n_samples: int = 1000, seed: int = 2023) -> DataFrame:
     """Bootstrap interval of the mean of each score column.
 
     Poisson(1) weights derived from md5(seed, replicate, row key) replace the
-    multinomial draw, which keeps replicates independent per row: each row adds
-    its weighted value to every replicate, and the (group, replicate) sums are
-    combined map-side, so the shuffle carries n_samples rows per partition and
-    group, not rows x n_samples. Returns low/mid/high (2.5/50/97.5 percentiles
-    of the replicate means) and the plain mean.
+    multinomial draw, which keeps replicates independent per row. A task draws
+    the weights of a block of rows at once and emits the (group, replicate) sums
+    of the block, so neither rows nor shuffle are multiplied by n_samples per
+    row. Returns low/mid/high (2.5/50/97.5 percentiles of the replicate means).
     """
-    rep = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_b")
-    w = poisson1_weight(hash_uniform(F.lit(seed), F.col("_b"), F.col(key)))
-    ex = rows.select(*by, key, *score_cols, rep).withColumn("_w", w)
-    per_rep = ex.groupBy(*by, "_b").agg(
-        F.sum("_w").alias("_sw"), *[F.sum(F.col("_w") * F.col(c)).alias(f"_s_{c}") for c in score_cols])
+    by, score_cols = list(by), list(score_cols)
+    src = rows.select(*by, F.col(key).cast("string").alias("_k"), *[F.col(c).cast("double").alias(c) for c in score_cols])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in by]
+    schema = ", ".join([*fields, "_b int", "_sw double", *[f"`_s_{c}` double" for c in score_cols]])
+
+    def run(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), _BOOTSTRAP_ROWS):
+                part = pdf.iloc[lo:lo + _BOOTSTRAP_ROWS].reset_index(drop=True)
+                w = bootstrap_weights(seed, part["_k"].tolist(), n_samples)
+                scores = np.nan_to_num(part[score_cols].to_numpy(np.float64))
+                groups = part.groupby(by, dropna=False, sort=False).indices.values() if by else [np.arange(len(part))]
+                for at in groups:
+                    out = pd.DataFrame({"_b": np.arange(n_samples, dtype=np.int32), "_sw": w[at].sum(axis=0)})
+                    for c, s in zip(score_cols, scores[at].T):
+                        out[f"_s_{c}"] = s @ w[at]
+                    for c in reversed(by):
+                        out.insert(0, c, [part[c].iloc[at[0]]] * n_samples)
+                    yield out
+
+    per_rep = src.mapInPandas(run, schema).groupBy(*by, "_b").agg(
+        *[F.sum(c).alias(c) for c in ("_sw", *[f"_s_{c}" for c in score_cols])])
     means = per_rep.select(*by, *[F.try_divide(F.col(f"_s_{c}"), F.col("_sw")).alias(c)
                                   for c in score_cols])
     q = F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))
@@ -283,14 +327,24 @@ def rouge(pairs: DataFrame, ref: str = "ref", pred: str = "pred", key: str = "ro
 def reconstruction_metrics(pairs: DataFrame, ref: str = "ref", pred: str = "pred",
                            key: str = "row_id", by: Sequence[str] = (),
                            n_samples: int = 1000, seed: int = 2023) -> DataFrame:
-    """precision, recall, f1, rouge1/2/L/Lsum, bleu1..4 in one wide row per group."""
+    """precision, recall, f1, rouge1/2/L/Lsum, bleu1..4 in one wide row per group.
+
+    The pairs are read once: one projection has the numbers of each row for all
+    three families (kept in the checkpoint folder), one aggregate sums F1 and
+    BLEU, and the bootstrap reads the same rows."""
     keys = list(by) or ["_all"]
-    if not by:  # one group: a constant key keeps the three results an equi-join
+    if not by:  # one group: a constant key keeps the two results an equi-join
         pairs = pairs.withColumn("_all", F.lit(0))
-    f1 = token_f1(pairs, ref, pred, keys)
-    rg = rouge(pairs, ref, pred, key, keys, n_samples=n_samples, seed=seed)
-    bl = bleu_1_to_4(pairs, ref, pred, keys)
-    out = f1.join(rg, keys).join(bl, keys)
+    texts = [f"_{ref}", f"_{pred}"]
+    rows = pairs.select(*keys, key, F.col(ref).alias(texts[0]), F.col(pred).alias(texts[1]))
+    rows = token_f1_rows(rows, *texts, [*keys, key, *texts])
+    rows = bleu_rows(rows, *texts, [*rows.columns])
+    rows = materialize(rouge_rows(rows, *texts, [c for c in rows.columns if c not in texts]))
+    sums = rows.groupBy(*keys).agg(*_f1_aggregates(), *_bleu_aggregates(4))
+    sums = sums.withColumn("f1", _f(F.col("precision"), F.col("recall")))
+    bleus = [_bleu_score(k)[0].alias(f"bleu{k}") for k in range(1, 5)]
+    mid = bootstrap_mid(rows, key, list(ROUGE_TYPES), keys, n_samples, seed).select(*keys, *ROUGE_TYPES)
+    out = sums.select(*keys, "precision", "recall", "f1", *bleus).join(mid, keys)
     return out if by else out.drop("_all")
 
 

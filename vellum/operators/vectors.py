@@ -27,37 +27,49 @@ class HashedEncoder:
 
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self.seen: dict[str, tuple[int, float]] = {}
+
+    def _cell(self, token: str) -> tuple[int, float]:
+        h = int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big")
+        return h % self.dim, 1.0 if (h >> 63) & 1 else -1.0
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        tokens = [re.findall(r"[a-z0-9]+", (t or "").lower()) for t in texts]
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        for tok in {x for row in tokens for x in row}.difference(self.seen):
+            self.seen[tok] = self._cell(tok)
+        flat = [self.seen[x] for row in tokens for x in row]
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for tok in re.findall(r"[a-z0-9]+", (t or "").lower()):
-                h = int.from_bytes(hashlib.md5(tok.encode()).digest()[:8], "big")
-                out[i, h % self.dim] += 1.0 if (h >> 63) & 1 else -1.0
+        if flat:
+            cell, sign = zip(*flat)
+            np.add.at(out, (np.repeat(np.arange(len(texts)), [len(r) for r in tokens]), list(cell)), sign)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.maximum(norms, 1e-12)
 
 
 def embed(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("row_id",),
-          encoder: Callable[[Sequence[str]], np.ndarray] | None = None, dim: int = 64,
+          make_encoder: Callable[[], Callable[[Sequence[str]], np.ndarray]] | None = None, dim: int = 64,
           batch_size: int = 100, out: str = "embedding") -> DataFrame:
-    """Encode ``text_col`` with ``encoder`` in batches of ``batch_size`` texts.
+    """Encode ``text_col`` in batches of ``batch_size`` texts.
 
-    Runs as ``mapInPandas``: Arrow batches flow to the Python worker, the
-    encoder is built once per task and called per batch; rows stay in their
-    partitions (no shuffle). ``encoder`` maps a list of strings to an
-    ``(n, dim)`` array; the default is ``HashedEncoder(dim)``.
+    Runs as ``mapInPandas``: Arrow batches flow to the Python worker and rows
+    stay in their partitions (no shuffle). ``make_encoder`` is called once in
+    every task (a model is loaded there, never shipped from the driver) and
+    returns a function from a list of strings to an ``(n, dim)`` array; the
+    default makes a ``HashedEncoder(dim)``.
     """
-    enc = encoder or HashedEncoder(dim)
+    make = make_encoder or (lambda: HashedEncoder(dim))
     keep = list(keep)
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = PT.StructType(fields + [PT.StructField(out, PT.ArrayType(PT.FloatType(), False), False)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = make()
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]
-                vecs = np.asarray(enc(part[text_col].tolist()), dtype=np.float32)
+                vecs = np.asarray(encode(part[text_col].tolist()), dtype=np.float32)
                 res = part[keep].copy()
                 res[out] = list(vecs)
                 yield res

@@ -15,6 +15,7 @@ from vellum.functions import text as T
 from vellum.operators import records as B
 from vellum.plans import duck as D
 from vellum.session import materialize, table
+from vellum.sources import readers as RD
 
 SEED = 2023
 ATTRS = ["birth_date", "occupation", "nationality"]
@@ -92,8 +93,7 @@ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON
 # ------------------------------------------------------------------ chain ---
 def s_hub(spark, sf):
     """Split naming of the public copy: ``val`` becomes ``valid``."""
-    s = bio_source(spark, sf)
-    return s.withColumn("split", F.when(F.col("split") == "val", "valid").otherwise(F.col("split")))
+    return RD.rename_hub_splits(bio_source(spark, sf))
 
 
 S_HUB = f"SELECT row_id, CASE WHEN split = 'val' THEN 'valid' ELSE split END AS split, target_text, hdr, cnt FROM ({BIO_SQL})"

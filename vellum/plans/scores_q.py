@@ -385,13 +385,9 @@ USING (dataset, rk, pair_id) GROUP BY dataset, pair_id"""
 
 
 def _boot_sql(rows_sql: str, key: str, by: str, cols) -> str:
-    cdf, term, cases = 0.0, math.exp(-1.0), []
-    for k in range(0, 12):
-        cdf += term
-        term /= k + 1
-        cases.append(f"WHEN u < {cdf!r} THEN {k}")
-    w = "CASE " + " ".join(cases) + " ELSE 12 END"
-    u = f"('0x' || substr(md5(concat_ws(':', '{SEED}', b, {key})), 1, 13))::BIGINT::DOUBLE / {float(16**13)!r}"
+    w = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(S.poisson1_cdf())) + " ELSE 12 END"
+    u = (f"('0x' || substr(md5(concat_ws(':', '{SEED}', b // 4, {key})), CAST(1 + 8 * (b % 4) AS INTEGER), 8))::BIGINT::DOUBLE "
+         f"/ {float(16**8)!r}")
     sums = ", ".join(f"sum(w * {c}) AS s_{c}" for c in cols)
     means = ", ".join(f"s_{c} / sw AS {c}" for c in cols)
     qs = ", ".join(f"quantile_cont({c}, [0.025, 0.5, 0.975]) AS q_{c}" for c in cols)

@@ -75,7 +75,3 @@ def read_datasets(spark: SparkSession, root: str, names: Sequence[str], encoder:
 def rename_hub_splits(df: DataFrame, col: str = "split") -> DataFrame:
     """The public copy names its validation split ``val``; use ``valid``."""
     return df.withColumn(col, F.when(F.col(col) == "val", "valid").otherwise(F.col(col)))
-
-
-def strip_text(df: DataFrame, col: str = "text") -> DataFrame:
-    return df.withColumn(col, T.strip(col))
