@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
 from vellum.functions import arrays as A
-from vellum.session import fits_broadcast
-
+from vellum.operators.records import render_prompt
+from vellum.session import fits_broadcast, materialize
 
 
 class HashedEncoder:
@@ -25,8 +25,8 @@ class HashedEncoder:
     alphanumeric tokens into ``dim`` buckets, L2-normalised. Stands in for a
     neural encoder so every job runs without model files."""
 
-    def __init__(self, dim: int = 64):
-        self.dim = dim
+    def __init__(self, dim: int = 64, normalize: bool = True):
+        self.dim, self.normalize = dim, normalize
         self.seen: dict[str, tuple[int, float]] = {}
 
     def _cell(self, token: str) -> tuple[int, float]:
@@ -44,6 +44,8 @@ class HashedEncoder:
         if flat:
             cell, sign = zip(*flat)
             np.add.at(out, (np.repeat(np.arange(len(texts)), [len(r) for r in tokens]), list(cell)), sign)
+        if not self.normalize:
+            return out
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.maximum(norms, 1e-12)
 
@@ -132,9 +134,9 @@ def attach(rows: DataFrame, vectors: DataFrame, key: str = "row_id") -> DataFram
 
 def attribute_scores(text_vecs: DataFrame, candidates: DataFrame, cand_vecs: DataFrame,
                      key: str = "row_id", run: str = "run", vec: str = "embedding",
-                     normalize: bool = False) -> DataFrame:
+                     normalize: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Dot product of every (row, run) text vector with every candidate vector
-    of the same row: (key, attr, run, cand_pos, score).
+    of the same row: (keep of the text vectors, key, attr, run, cand_pos, score).
 
     ``candidates`` is (key, attr, cand_pos, value); ``cand_vecs`` is (attr,
     value, vector) with one vector per distinct prompt. The pairing is an
@@ -151,7 +153,7 @@ def attribute_scores(text_vecs: DataFrame, candidates: DataFrame, cand_vecs: Dat
                F.max(F.octet_length("attr") + F.octet_length("value")).alias("t")).first()
     fits = fits_broadcast(m["n"], 8 * (m["d"] or 0) + (m["t"] or 0))
     cv_side = F.broadcast(cv) if fits else cv
-    tv = text_vecs.select(key, run, F.col(vec).alias("_tv"))
+    tv = text_vecs.select(*keep, key, run, F.col(vec).alias("_tv"))
     if normalize:
         tv = tv.withColumn("_tv", A.l2_normalize("_tv"))
     rows = candidates.join(tv, key, "left").join(cv_side, ["attr", "value"], "left")
@@ -159,7 +161,7 @@ def attribute_scores(text_vecs: DataFrame, candidates: DataFrame, cand_vecs: Dat
     def present(c: str, what: str) -> Column:
         return F.coalesce(c, F.raise_error(F.concat(F.lit(f"no vector of {what}: "), F.concat_ws("=", "attr", "value"))).cast("array<double>"))
 
-    return rows.select(key, "attr", run, "cand_pos",
+    return rows.select(*keep, key, "attr", run, "cand_pos",
                        A.dot(present("_tv", "the row of"), present("_cv", "candidate")).alias("score"))
 
 
@@ -182,6 +184,24 @@ def attribute_accuracy(scores: DataFrame, key: str = "row_id", run: str = "run",
         F.count(F.lit(1)).alias("n_rows"))
 
 
+def infer_attributes(preds: DataFrame, candidates: DataFrame, make_encoder=None, dim: int = 64,
+                     key: str = "row_id", run: str = "run", text: str = "text", by: Sequence[str] = ("dataset",),
+                     normalize: bool = False) -> DataFrame:
+    """Attribute inference from texts to accuracies, all attributes and datasets
+    in one job: (by, attr, run, accuracy, n_tied, n_rows).
+
+    ``preds`` has the texts of each row (by, key, run, text), ``candidates`` the
+    values to choose from (key, attr, cand_pos, value; position 0 is the truth).
+    Every text and every distinct prompt ``The <attr> is <value>`` is encoded
+    once; the vectors are kept in the checkpoint folder, so neither the size
+    probe nor the join encodes again."""
+    prompts = candidates.select("attr", "value").distinct().withColumn(text, render_prompt(F.col("attr"), F.col("value")))
+    prompt_vecs = materialize(embed(prompts, text, ["attr", "value"], make_encoder, dim))
+    text_vecs = materialize(embed(preds, text, [*by, key, run], make_encoder, dim))
+    scores = attribute_scores(text_vecs, candidates, prompt_vecs, key, run, normalize=normalize, keep=by)
+    return attribute_accuracy(scores, key, run, by)
+
+
 def candidates_long(df: DataFrame, key: str, attrs: Sequence[str]) -> DataFrame:
     """Unpivot ``<attr>_candidate_list`` columns to (key, attr, cand_pos, value)."""
     parts = [df.select(key, F.lit(a).alias("attr"),

@@ -312,7 +312,7 @@ for _slug in ("str_untokenize", "str_capitalize_terms", "str_title_entities", "m
 def set_union_all(spark, sf):
     """Splits processed apart and concatenated again (union keeps the split
     column, so positional re-splitting is never needed)."""
-    s = s_render(spark, sf)
+    s = materialize(s_render(spark, sf))   # one run of the chain, whatever the number of splits
     parts = [s.where(F.col("split") == x) for x in ("train", "valid", "test")]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return u.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("row_id").alias("sum_id"))
@@ -325,7 +325,7 @@ SQL["split_preserving"] = SQL["set_union_all"]
 
 
 def agg_distinct_domain(spark, sf):
-    s = s_render(spark, sf)
+    s = materialize(s_render(spark, sf))   # read once for each attribute
     return s.select(F.lit("occupation").alias("attribute"), F.col("occupation").alias("value")).distinct() \
         .unionByName(s.select(F.lit("nationality").alias("attribute"), F.col("nationality").alias("value")).distinct())
 

@@ -19,8 +19,9 @@ from vellum.operators import scoring as S
 from vellum.operators import sequences as Q_SEQ
 from vellum.operators import vectors as V
 from vellum.plans import duck as D
-from vellum.plans.records_q import cand_list_sql
-from vellum.session import table
+from vellum.plans.records_q import ATTRS, S_RENDER, cand_list_sql, s_render
+from vellum.session import materialize, table
+from vellum.sources import writers as W
 
 SEED = 2023
 RUNS = 10
@@ -260,7 +261,7 @@ Q["pair_vector_candidates"] = pair_vector_candidates
 SQL["pair_vector_candidates"] = _ATTR_BASE + "SELECT row_id, attr, run, cand_pos, round(score, 9) AS score FROM sm"
 
 
-def attr_inference_multi(spark, sf):
+def agg_accuracy(spark, sf):
     s = V.attribute_scores(_run_vectors(spark, sf), _candidates(spark, sf), _centroids(spark, sf), normalize=True)
     a = V.attribute_accuracy(s)
     return a.select("attr", "run", F.round("accuracy", 9).alias("accuracy"), "n_tied", "n_rows")
@@ -271,26 +272,101 @@ def _acc_final(scores):
         .replace("ELSE 0.0 END) AS accuracy", "ELSE 0.0 END), 9) AS accuracy", 1)
 
 
-Q["attr_inference_multi"] = attr_inference_multi
-SQL["attr_inference_multi"] = _acc_final("sm")
-Q["agg_accuracy"] = attr_inference_multi
-SQL["agg_accuracy"] = SQL["attr_inference_multi"]
+Q["agg_accuracy"] = agg_accuracy
+SQL["agg_accuracy"] = _acc_final("sm")
 
 
-def _stored_vectors(spark, sf):
-    return _emb(spark, sf).select(F.col("vec_id").alias("row_id"), F.lit(0).alias("run"), "embedding")
+# Inference from texts: the biographies of two datasets (the training split and
+# the rest), three attributes, ten texts per row (words r+1.. of the biography),
+# prompts of every candidate value. The encoder's raw counts make exact scores.
+TEXT_WORDS = 15
+
+
+def _bio(spark, sf):
+    s = materialize(s_render(spark, sf))   # read by the texts, the domains and the draws
+    return s.withColumn("dataset", F.when(F.col("split") == "train", "train").otherwise("heldout"))
+
+
+def _bio_candidates(s):
+    return V.candidates_long(B.candidate_lists_multi(s, "row_id", ATTRS, SEED), "row_id", ATTRS)
+
+
+def _counts_encoder():
+    return V.HashedEncoder(DIM, normalize=False)
+
+
+def _inferred(s, preds):
+    a = V.infer_attributes(preds, _bio_candidates(s), _counts_encoder, DIM)
+    return a.select("dataset", "attr", "run", F.round("accuracy", 9).alias("accuracy"), "n_tied", "n_rows")
+
+
+def attr_inference_multi(spark, sf):
+    s = _bio(spark, sf)
+    words = F.split("text", " ", -1)
+    runs = s.select("dataset", "row_id", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"), words.alias("w"))
+    return _inferred(s, runs.select("dataset", "row_id", "run", F.array_join(F.slice("w", F.col("run") + 1, TEXT_WORDS), " ").alias("text")))
 
 
 def attr_inference_stored(spark, sf):
-    s = V.attribute_scores(_stored_vectors(spark, sf), _candidates(spark, sf), _centroids(spark, sf))
-    a = V.attribute_accuracy(s)
-    return a.select("attr", "run", F.round("accuracy", 9).alias("accuracy"), "n_tied", "n_rows")
+    """The biography itself, encoded once per row."""
+    s = _bio(spark, sf)
+    return _inferred(s, s.select("dataset", "row_id", F.lit(0).alias("run"), "text"))
+
+
+def sink_attr_results(spark, sf):
+    """Results written per dataset, attribute and run, one run retried, and the
+    whole table read back."""
+    path = W.scratch_path(spark, "attr-results")
+    r = materialize(attr_inference_multi(spark, sf))
+    W.write_attr_results(r, path)
+    W.write_attr_results(r.where("run = 3"), path)
+    back = spark.read.schema(r.schema).parquet(path)
+    return back.select(F.concat_ws("_", "dataset", "attr").alias("name"), "run", "accuracy", "n_rows")
+
+
+def _token_sums(text: str, keys: str, src: str) -> str:
+    """(keys, bucket, s): the hashed encoder's integer components that are not zero."""
+    return f"""SELECT {keys}, bucket, sum(sign) AS s FROM (
+  SELECT {keys}, ('0x' || substr({_MD5_64}, 15, 2))::INTEGER % {DIM} AS bucket,
+         CASE WHEN ('0x' || substr({_MD5_64}, 1, 1))::INTEGER >= 8 THEN 1 ELSE -1 END AS sign
+  FROM {src}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS u(tok)) GROUP BY ALL"""
+
+
+def _inferred_sql(texts: str) -> str:
+    lists = "\nUNION ALL ".join(
+        f"SELECT row_id, '{a}' AS attr, u.pos - 1 AS cand_pos, u.v AS value FROM ({cand_list_sql(S_RENDER, 'row_id', a)}), "
+        f"unnest(cands) WITH ORDINALITY AS u(v, pos)" for a in ATTRS)
+    return f"""
+WITH bio AS (SELECT *, CASE WHEN split = 'train' THEN 'train' ELSE 'heldout' END AS dataset FROM ({S_RENDER})),
+cl AS ({lists}),
+texts AS ({texts}),
+prompts AS (SELECT DISTINCT attr, value, 'The ' || replace(attr, '_', ' ') || ' is ' || value AS p FROM cl),
+pv AS ({_token_sums('p', 'attr, value', 'prompts')}),
+tv AS ({_token_sums('t', 'row_id, run', 'texts')}),
+dots AS (SELECT cl.row_id, cl.attr, cl.cand_pos, tv.run, sum(tv.s * pv.s) AS d
+         FROM cl JOIN pv USING (attr, value) JOIN tv ON tv.row_id = cl.row_id AND tv.bucket = pv.bucket GROUP BY ALL),
+scores AS (SELECT texts.dataset, cl.row_id, cl.attr, cl.cand_pos, texts.run, coalesce(d, 0) AS score
+           FROM cl JOIN texts USING (row_id) LEFT JOIN dots USING (row_id, attr, cand_pos, run)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_id, attr, run ORDER BY score DESC, cand_pos) AS rk,
+                  count(*) FILTER (WHERE score = mx) OVER (PARTITION BY row_id, attr, run) AS nt
+           FROM (SELECT *, max(score) OVER (PARTITION BY row_id, attr, run) AS mx FROM scores))
+SELECT dataset, attr, run, round(avg(CASE WHEN cand_pos = 0 THEN 1.0 ELSE 0.0 END), 9) AS accuracy,
+       CAST(sum(CASE WHEN nt > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_tied, count(*) AS n_rows
+FROM ranked WHERE rk = 1 GROUP BY dataset, attr, run"""
 
 
+Q["attr_inference_multi"] = attr_inference_multi
+SQL["attr_inference_multi"] = _inferred_sql(f"""
+  SELECT dataset, row_id, CAST(r AS INTEGER) AS run, array_to_string(string_split(text, ' ')[r + 1:r + {TEXT_WORDS}], ' ') AS t
+  FROM bio, range(0, {RUNS}) x(r)""")
 Q["attr_inference_stored"] = attr_inference_stored
-SQL["attr_inference_stored"] = _acc_final("ss")
-Q["sink_attr_results"] = attr_inference_stored
-SQL["sink_attr_results"] = SQL["attr_inference_stored"]
+SQL["attr_inference_stored"] = _inferred_sql("SELECT dataset, row_id, 0 AS run, text AS t FROM bio")
+Q["sink_attr_results"] = sink_attr_results
+SQL["sink_attr_results"] = f"SELECT dataset || '_' || attr AS name, run, accuracy, n_rows FROM ({SQL['attr_inference_multi']})"
+
+
+def _stored_vectors(spark, sf):
+    return _emb(spark, sf).select(F.col("vec_id").alias("row_id"), F.lit(0).alias("run"), "embedding")
 
 
 def metric_choice_accuracy(spark, sf):

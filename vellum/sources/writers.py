@@ -57,6 +57,13 @@ def write_text_files(df: DataFrame, path: str, text_col: str = "text",
     w.text(path)
 
 
+def write_attr_results(results: DataFrame, path: str) -> None:
+    """Accuracies (dataset, attr, run, ...) as one folder per dataset, attribute
+    and run; a retried run replaces its own folder."""
+    (results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("dataset", "attr", "run").parquet(path))
+
+
 def attr_predictions(rows: DataFrame, preds: DataFrame, key: str = "row_id", run: str = "run",
                      pred: str = "pred", drop: Sequence[str] = ("embedding",)) -> DataFrame:
     """Row attributes without the vector, plus the list of predictions in run
