@@ -94,21 +94,24 @@ SQL["src_saved_table"] = SQL["sink_split_table"]
 
 
 def src_multi_dataset(spark, sf):
-    """Two datasets (labels 0-4 and 5-9) x one encoder under one root; one scan
-    selects both by partition filters."""
+    """Three datasets (labels 0-2, 3-5, 6-9), two encoders and two splits under
+    one root; one scan selects two of the datasets, one encoder and one split by
+    partition filters."""
     root = W.scratch_path(spark, "datasets")
     e = table(spark, sf, "embeddings")
-    for name, cond in (("low", F.col("label") < 5), ("high", F.col("label") >= 5)):
-        (e.where(cond).withColumn("dataset", F.lit(name)).withColumn("encoder", F.lit("hashed"))
-         .withColumn("split", F.lit("test"))
-         .write.partitionBy("encoder", "dataset", "split").mode("append").parquet(root))
+    name = F.when(F.col("label") < 3, "low").when(F.col("label") < 6, "middle").otherwise("high")
+    split = F.when(F.col("vec_id") % 3 == 0, "test").otherwise("train")
+    encoder = F.explode(F.array(F.lit("hashed"), F.lit("other"))).alias("encoder")
+    (e.select("*", name.alias("dataset"), split.alias("split"), encoder)
+     .write.partitionBy("encoder", "dataset", "split").parquet(root))
     d = RD.read_datasets(spark, root, ["low", "high"], "hashed", "test")
     return d.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("sum_label"))
 
 
 Q["src_multi_dataset"] = src_multi_dataset
-SQL["src_multi_dataset"] = """SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS dataset, count(*) AS n_rows,
-       CAST(sum(label) AS BIGINT) AS sum_label FROM embeddings GROUP BY 1"""
+SQL["src_multi_dataset"] = """SELECT CASE WHEN label < 3 THEN 'low' ELSE 'high' END AS dataset, count(*) AS n_rows,
+       CAST(sum(label) AS BIGINT) AS sum_label FROM embeddings
+WHERE vec_id % 3 = 0 AND (label < 3 OR label >= 6) GROUP BY 1"""
 
 
 def sink_table(spark, sf):
@@ -146,12 +149,11 @@ def sink_attr_predictions(spark, sf):
                                                     "role", "text")
     preds = scores_q.pairs(spark, sf, scores_q.RUNS).select("pair_id", "run", "pred")
     out = W.attr_predictions(rows, preds, "pair_id")
-    return out.select("pair_id", "role", F.size("pred").alias("n_preds"),
-                      F.length(F.col("pred")[0]).alias("first_len"))
+    return out.select("pair_id", "role", F.size("pred").alias("n_preds"), F.md5(F.array_join("pred", "|")).alias("preds_md5"))
 
 
 Q["sink_attr_predictions"] = sink_attr_predictions
-SQL["sink_attr_predictions"] = f"""SELECT c.pair_id, c.role, CAST(len(p.preds) AS INTEGER) AS n_preds, CAST(length(p.preds[1]) AS INTEGER) AS first_len
+SQL["sink_attr_predictions"] = f"""SELECT c.pair_id, c.role, CAST(len(p.preds) AS INTEGER) AS n_preds, md5(array_to_string(p.preds, '|')) AS preds_md5
 FROM (SELECT concat_ws(':', conv_id, turn) AS pair_id, role FROM conversations) c
 JOIN (SELECT pair_id, list(pred ORDER BY run) AS preds FROM ({scores_q.pairs_sql(scores_q.RUNS)}) GROUP BY pair_id) p
 USING (pair_id)"""

@@ -260,8 +260,6 @@ SQL["agg_header_counts"] = f"""SELECT value, count FROM (
 for _slug, _fn, _sql in [
     ("flt_has_attributes", s_extract, S_EXTRACT),
     ("arr_lookup_by_name", s_extract, S_EXTRACT),
-    ("drop_columns", s_extract, S_EXTRACT),
-    ("rename_columns", s_extract, S_EXTRACT),
     ("str_extract_year", s_year, S_YEAR),
     ("flt_not_null_year", s_year, S_YEAR),
     ("flt_occupation_markup", s_markup, S_MARKUP),
@@ -276,6 +274,30 @@ for _slug, _fn, _sql in [
     SQL[_slug] = _stage_summary_sql(_sql)
 
 
+def _with_columns(f):
+    """Summary of a stage with the names of its columns."""
+    def query(spark, sf):
+        df = f(spark, sf)
+        return _stage_summary(df).withColumn("columns", F.lit(",".join(sorted(df.columns))))
+
+    return query
+
+
+def s_drop(spark, sf):
+    e = B.extract_attributes(s_hub(spark, sf), "input_text.table", ["name"] + ATTRS)
+    return e.drop("input_text")
+
+
+S_DROP = S_EXTRACT.replace("target_text AS text", "target_text")
+# the columns of a stage by rule: what the select lists name
+_DROPPED = ",".join(sorted(["row_id", "split", "target_text", "name", *ATTRS]))
+_RENAMED = ",".join(sorted(["row_id", "split", "text", "name", *ATTRS]))
+Q["drop_columns"] = _with_columns(s_drop)
+SQL["drop_columns"] = f"SELECT *, '{_DROPPED}' AS columns FROM ({_stage_summary_sql(S_DROP)})"
+Q["rename_columns"] = _with_columns(s_extract)
+SQL["rename_columns"] = f"SELECT *, '{_RENAMED}' AS columns FROM ({_stage_summary_sql(S_EXTRACT)})"
+
+
 def arr_first_match(spark, sf):
     return s_first_match(spark, sf).select("row_id", "split", "occupation")
 

@@ -106,20 +106,36 @@ Q["row_count"] = row_count
 SQL["row_count"] = "SELECT count(*) AS n_rows FROM embeddings"
 
 
+def _components(c: str):
+    """All components of a vector, in millionths, as one text."""
+    return [F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string")), ",").alias("components")]
+
+
 def pair_embedding(spark, sf):
     """Vectors attached to document rows by key (vec_id = doc_id)."""
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     vecs = _emb(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
     j = V.attach(docs, vecs, "doc_id")
-    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"),
-                                 F.round(F.sum(F.col("embedding")[0].cast("double")), 6).alias("sum_first"))
+    return j.select("doc_id", "lang", *_components("embedding"))
 
 
 Q["pair_embedding"] = pair_embedding
-SQL["pair_embedding"] = """SELECT d.lang, count(*) AS n_rows, round(sum(e.embedding[1]::DOUBLE), 6) AS sum_first
-FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY d.lang"""
-Q["map_with_index"] = pair_embedding
-SQL["map_with_index"] = SQL["pair_embedding"]
+_COMPONENTS_SQL = "array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(x::DOUBLE * 1e6) AS BIGINT) AS VARCHAR)), ',') AS components"
+SQL["pair_embedding"] = f"""SELECT d.doc_id, d.lang, {_COMPONENTS_SQL}
+FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"""
+
+
+def map_with_index(spark, sf):
+    """Row i of the table, in id order, gets vector i: an ordinal on both sides."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("i"))
+    vecs = _emb(spark, sf).select(F.col("vec_id").alias("i"), "embedding")
+    j = V.attach(docs, vecs, "i")
+    return j.groupBy("i").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_vectors"))
+
+
+Q["map_with_index"] = map_with_index
+SQL["map_with_index"] = """SELECT doc_id AS i, doc_id, count(*) AS n_vectors
+FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY doc_id"""
 
 
 def embed_batch(spark, sf):
@@ -190,11 +206,11 @@ FROM ({_TOK_SQL}) WHERE pos = 0"""
 def pool_pooler(spark, sf):
     e = _emb(spark, sf).withColumnRenamed("embedding", "pooler_output")
     p = V.pool_pooler(e)
-    return p.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 9).alias("v0"))
+    return p.select("vec_id", *_components("embedding"))
 
 
 Q["pool_pooler"] = pool_pooler
-SQL["pool_pooler"] = "SELECT vec_id, round(embedding[1]::DOUBLE, 9) AS v0 FROM embeddings"
+SQL["pool_pooler"] = f"SELECT vec_id, {_COMPONENTS_SQL} FROM embeddings"
 
 
 # ---------------------------------------------------- attribute inference ---
