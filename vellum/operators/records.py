@@ -180,11 +180,12 @@ def candidate_lists_multi(df: DataFrame, key: str, cols: Sequence[str], seed=202
     Each attribute's domain (distinct values of ``domain_from``, default
     ``df``) gets dense ids in a seeded order. Every row draws k distinct ids
     per attribute with Floyd's algorithm (k steps, md5 of seed/attr/row/step),
-    the ids are joined to values on (attr, id) -- uniform keys, broadcast only when
-    the measured size fits the budget -- the truth is dropped if drawn and the first k-1 remain.
-    Per row this is O(k) work whatever the domain size, and all attributes
-    share one group-by and one join back, so the rows are shuffled twice in
-    total. A two-value domain yields ``[truth, other]``; fewer than k values
+    the ids are looked up, the truth is dropped if drawn and the first k-1
+    remain. Per row this is O(k) work whatever the domain size. While the
+    measured domains fit the broadcast budget they travel as one row of arrays
+    and the lookup is by position, without a shuffle of rows; beyond it the ids
+    are joined to values on (attr, id), uniform keys, with one group-by and one
+    join back for all attributes. A two-value domain yields ``[truth, other]``; fewer than k values
     raise ``ValueError``.
     """
     src = domain_from if domain_from is not None else df
@@ -199,15 +200,15 @@ def candidate_lists_multi(df: DataFrame, key: str, cols: Sequence[str], seed=202
         ks[c] = 2 if n == 2 and k > 2 else k
         if n < ks[c]:
             raise ValueError(f"{c}: domain has {n} distinct values, {ks[c]} candidates needed")
+    widest = max(len(c) + 8 + widths[c] for c in cols)
+    if fits_broadcast(sum(sizes.values()), widest):
+        return _looked_up(df, key, cols, doms, sizes, ks, seed)
     draws = None
     for c in cols:
         d = df.select(F.col(key), F.lit(c).alias("attr"), F.col(c).cast("string").alias("_truth"),
                       F.posexplode(floyd_draw(sizes[c], ks[c], seed, c, F.col(key))).alias("_pos", "id"))
         draws = d if draws is None else draws.unionByName(d)
-    # (attr, id, value) rows: broadcast only when the measured bound fits
-    widest = max(len(c) + 8 + widths[c] for c in cols)
-    dom_side = F.broadcast(doms) if fits_broadcast(sum(sizes.values()), widest) else doms
-    named = draws.join(dom_side, ["attr", "id"]).where(F.col("value") != F.col("_truth"))
+    named = draws.join(doms, ["attr", "id"]).where(F.col("value") != F.col("_truth"))
     # one group per row: at most len(cols) * k small structs
     per_row = named.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("attr", "_pos", "value"))).alias("_drawn"))
@@ -221,6 +222,28 @@ def candidate_lists_multi(df: DataFrame, key: str, cols: Sequence[str], seed=202
     return out.withColumns(lists).drop("_drawn")
 
 
+def _looked_up(df: DataFrame, key: str, cols: Sequence[str], doms: DataFrame, sizes: dict[str, int], ks: dict[str, int],
+               seed) -> DataFrame:
+    """Candidate lists by position in the domains, sent as one row (measured)."""
+    arrays = doms.groupBy().agg(*[F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("attr") == c, F.struct("id", "value")))), lambda s: s["value"]).alias(f"_dom_{c}")
+        for c in cols]).withColumn("_one", F.lit(1))
+    out = df.withColumn("_one", F.lit(1)).join(F.broadcast(arrays), "_one").drop("_one")
+    # the drawn ids in a projection of their own, not once for each use
+    out = out.withColumns({f"_ids_{c}": floyd_draw(sizes[c], ks[c], seed, c, F.col(key)) for c in cols})
+    lists = {}
+    for c in cols:
+        truth = F.col(c).cast("string")
+        drawn = F.transform(f"_ids_{c}", _value_at(f"_dom_{c}"))
+        lists[f"{c}_candidate_list"] = F.when(
+            truth.isNotNull(), F.concat(F.array(truth), F.slice(F.array_remove(drawn, truth), 1, ks[c] - 1)))
+    return out.withColumns(lists).drop(*[f"_dom_{c}" for c in cols], *[f"_ids_{c}" for c in cols])
+
+
+def _value_at(domain: str):
+    return lambda i: F.get(F.col(domain), i.cast("int"))
+
+
 def _attr_is(c: str):
     return lambda x: x["attr"] == F.lit(c)
 
