@@ -172,3 +172,16 @@ def test_word_count_stripped_equals_python_split(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.n for r in df.select(T.word_count_stripped("t").alias("n")).collect()]
     assert got == [len(t.split()) for t in texts]
+
+
+def test_title_entities_replace_all_in_order(spark):
+    rows = [("ann lee met o'neil and ann", ["ann lee", "o'neil", "ann"]), ("x", None), ("x y", []), (None, ["x"]), ("a b", ["", "b"])]
+    df = spark.createDataFrame(rows, "t string, e array<string>")
+    got = [r.o for r in df.select(T.title_entities("t", "e").alias("o")).collect()]
+
+    def model(t, e):
+        for x in e or []:
+            t = t.replace(x, x.title()) if x and t is not None else t
+        return t
+
+    assert got == [model(t, e) for t, e in rows]

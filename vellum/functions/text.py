@@ -207,6 +207,13 @@ def capitalize_terms(c, terms) -> Column:
     return F.aggregate(arr, _c(c), lambda t, w: F.replace(t, w, capitalize(w)))
 
 
+def title_entities(c, entities) -> Column:
+    """Replace every occurrence of each entity (array column, in order) by its
+    title-cased form; a NULL or empty array leaves the text as it is."""
+    found = F.filter(F.coalesce(_c(entities), F.array().cast("array<string>")), lambda e: F.length(e) > 0)
+    return F.aggregate(found, _c(c), lambda t, e: F.replace(t, e, title(e)))
+
+
 def untokenize(c) -> Column:
     """Undo the PTB bracket/punctuation spacing of biography first lines."""
     t = _c(c)

@@ -205,7 +205,7 @@ def s_render(spark, sf):
     t = T.untokenize(T.strip(T.first_line(F.col("text"))))
     t = T.capitalize_terms(t, top_nationalities(spark, sf))
     t = T.capitalize_terms(t, T.MONTHS)
-    t = F.replace(t, F.col("name"), T.title(F.col("name")))
+    t = T.title_entities(t, F.array("name"))
     return s.withColumn("text", t).drop("name")
 
 
@@ -326,9 +326,37 @@ def str_render_text(spark, sf):
     return s_render(spark, sf).select("row_id", "split", "text")
 
 
-for _slug in ("str_untokenize", "str_capitalize_terms", "str_title_entities", "map_column"):
-    Q[_slug] = str_render_text
-    SQL[_slug] = f"SELECT row_id, split, text FROM ({S_RENDER})"
+Q["map_column"] = str_render_text
+SQL["map_column"] = f"SELECT row_id, split, text FROM ({S_RENDER})"
+
+
+def str_untokenize(spark, sf):
+    return s_all_in_text(spark, sf).select("row_id", T.untokenize(T.strip(T.first_line(F.col("text")))).alias("text"))
+
+
+Q["str_untokenize"] = str_untokenize
+SQL["str_untokenize"] = f"SELECT row_id, {_UNTOK} AS text FROM ({S_ALL})"
+
+
+def str_capitalize_terms(spark, sf):
+    s = s_all_in_text(spark, sf)
+    return s.select("row_id", T.capitalize_terms(T.capitalize_terms(T.first_line(F.col("text")), top_nationalities(spark, sf)),
+                                                 T.MONTHS).alias("text"))
+
+
+Q["str_capitalize_terms"] = str_capitalize_terms
+SQL["str_capitalize_terms"] = f"SELECT row_id, {_cap_fold(_cap_fold(D.first_line('text'), _RANKED), _MONTHS)} AS text FROM ({S_ALL})"
+
+
+def str_title_entities(spark, sf):
+    """All entities of a row, in order: the person, then the nationality."""
+    s = s_all_in_text(spark, sf)
+    return s.select("row_id", T.title_entities(T.first_line(F.col("text")), F.array("name", "nationality")).alias("text"))
+
+
+Q["str_title_entities"] = str_title_entities
+SQL["str_title_entities"] = f"""SELECT row_id, replace(replace({D.first_line('text')}, name, {_title_sql('name')}),
+       nationality, {_title_sql('nationality')}) AS text FROM ({S_ALL})"""
 
 
 def set_union_all(spark, sf):
