@@ -51,9 +51,9 @@ def sentences(
     breaks after ``.``, ``!`` or ``?`` followed by white space.
     """
     split = (splitter or T.split_sentences)(F.col(text_col))
-    return docs.select(*keep, F.posexplode(split).alias("pos", "_raw")).select(
-        *keep, "pos", T.strip("_raw").alias("text")
-    )
+    # stripped inside the array: as a projection above the explode, the strip would be
+    # written into every condition that a later filter pushes down
+    return docs.select(*keep, F.posexplode(F.transform(split, T.strip)).alias("pos", "text"))
 
 
 def clean_sentences(sents: DataFrame, min_words: int = 8, max_words: int = 128,
