@@ -12,7 +12,7 @@ from vellum.session import TABLES
 import __spark_entry__ as E
 
 FAST = ["flt_sentence_clean", "split_by_sizes", "smp_seeded_shuffle", "metric_token_f1", "metric_bleu_1_to_4",
-        "metric_rouge_n", "agg_rouge_bootstrap", "cand_list_terms", "attr_inference_multi", "str_untokenize"]
+        "metric_rouge_n", "agg_rouge_bootstrap", "cand_list_terms", "agg_accuracy", "str_untokenize"]
 
 
 def test_entry_schema_is_stable(spark):
@@ -85,7 +85,7 @@ def test_stream_resumes_from_checkpoint(spark):
 
 
 INVARIANT = ["split_by_sizes", "smp_remainder_bucket", "precond_md5_dedup", "metric_token_f1",
-             "metric_bleu_1_to_4", "agg_rouge_bootstrap", "cand_list_terms", "attr_inference_multi",
+             "metric_bleu_1_to_4", "agg_rouge_bootstrap", "cand_list_terms", "agg_accuracy",
              "topk_most_common", "agg_header_counts"]
 
 
