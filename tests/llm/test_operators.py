@@ -82,9 +82,10 @@ def test_suffix_array_covers_all_repeats(spark, corpus):
     assert dict(got) == brute.repeats(rows, 50)
 
 
-@pytest.mark.parametrize("long", [64, 4])
-def test_jaccard_join_matches_brute_force(spark, corpus, long, monkeypatch):
+@pytest.mark.parametrize(("long", "block"), [(64, 128), (4, 128), (10_000, 7)])
+def test_jaccard_join_matches_brute_force(spark, corpus, long, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LONG", long)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     got = collected(jaccard_join.jaccard_components(documents(spark, corpus).repartition(6)), "doc_id", "n_shingles", "component_id")
     assert got == sorted(brute.jaccard(corpus), key=repr)
 

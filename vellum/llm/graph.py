@@ -36,24 +36,45 @@ def local_forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "u long, v long")
 
 
+def star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star step, one exchange: every node's neighbours arrive sorted, and
+    are linked to the smallest of them. The large step looks at all neighbours
+    and moves the larger ones; the small step at the smaller ones."""
+    if large:
+        edges = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+    def run(batches):
+        node, low = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.concatenate(([node is None or u[0] != node], u[1:] != u[:-1]))
+            at = np.flatnonzero(new)
+            lows = np.concatenate(([low], np.minimum(u[at], v[at])))  # of the node left open, then of each new one
+            m = lows[np.cumsum(new)]
+            node, low = u[-1], int(m[-1])
+            move = (v > u) & (v != m) if large else v != m
+            rows = np.stack([v[move], m[move]], axis=1)
+            if not large:
+                rows = np.concatenate((rows, np.stack([u[at], m[at]], axis=1)))
+            rows = np.unique(rows, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["u", "v"])
+
+    return local_forest(edges.repartition("u").sortWithinPartitions("u", "v").mapInArrow(run, "u long, v long"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, v) links -> (node, component): the smallest node reachable. Nodes
     without a link have no row. Each round is written to the shared folder; the
     number of rounds grows with the logarithm of the longest chain."""
     edges = local_forest(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"))
-    edges = stored(edges.distinct())
     before = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u <> v").distinct())
+        edges = stored(star(star(edges, large=True), large=False))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first()
         if state == before:
             break
         before = state
-    joined = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return joined.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    joined = edges.distinct().select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return joined.union(joined.select(F.col("component").alias("node"), "component").distinct())

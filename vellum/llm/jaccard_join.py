@@ -11,10 +11,11 @@ Documents with equal sets are one class; everything below is between classes.
 * Search: a class merges its lists with a heap and keeps the classes that occur
   often enough. Its longest lists, up to T - 1 of them, are not merged; the
   count that is asked for falls by their number, and they are probed by binary
-  search in the candidate's sorted prefix. What passes is verified on full sets.
+  search in the candidate's sorted prefix. What passes is verified on full sets,
+  block against block.
 * A list longer than LONG is usually a large group of near copies. Each class
-  first votes for the fullest class of its long lists (one row per list entry);
-  verified votes join such a group. The search then only looks for links between
+  first votes for the fullest class of its longest lists; verified votes join
+  such a group. The search then only looks for links between
   different groups: lists of one group drop out, and a class searches only if
   some list of its holds a larger group. Every pair in different groups is
   still found, so no component is lost, and no group is ever paired with itself.
@@ -41,13 +42,19 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import blocks, key_and_text, mix, stored, window_hashes, word_hashes
 from vellum.llm.graph import components
+from vellum.session import fits_broadcast
 
 SHINGLE = 4
 PERCENT = 85
 #: Lists longer than this are long; chunks of lists have about this many entries.
 LONG = 64
-#: Rounds of votes in long lists before the search.
-VOTE_ROUNDS = 2
+#: Classes of a part of a candidate component, whose sets are in memory together with another part's.
+BLOCK = 128
+#: Longest lists in which a class votes before the search (votes save work, the search alone is complete).
+VOTE_LISTS = 8
+
+#: Bytes of a document that leaves or stands repeatedly: id, hash, flag.
+NOTABLE_BYTES = 24
 
 _UPPER, _LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
@@ -55,7 +62,7 @@ _FOLD = bytes.maketrans(_UPPER, _LOWER)
 
 def votes(n):
     """Prefix shingles that linked sets of n (or more) shingles must share."""
-    return np.maximum(1, n // 20)
+    return np.maximum(1, n // 10)
 
 
 def least_overlap(n, percent: int):
@@ -63,7 +70,7 @@ def least_overlap(n, percent: int):
 
 
 def _votes_column(n):
-    return F.greatest(F.lit(1), F.floor(n / 20)).cast("int")
+    return F.greatest(F.lit(1), F.floor(n / 10)).cast("int")
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -87,40 +94,31 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, row (hash of the text, as Spark's xxhash64), n (set size), cls and
-    prefix (sorted hashes, 8 bytes each; only on a class's first document in a
-    block)."""
+def measured(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, row (hash of the text, as Spark's xxhash64), n (set size), cls."""
     def run(batches):
         for ids, texts in blocks(batches):
-            seen, rows = set(), []
-            for i, t, s in zip(ids, texts, shingle_sets(texts, width)):
-                n, cls = len(s), class_of(s)
-                prefix = None
-                if n and cls not in seen:
-                    seen.add(cls)
-                    prefix = s[:n - least_overlap(n, percent) + int(votes(n))].tobytes()
-                rows.append((i, int(np.uint64(xxhash.xxh64_intdigest(t, seed=42)).view(np.int64)), n, cls, prefix))
+            sets = shingle_sets(texts, width)
+            row = np.array([xxhash.xxh64_intdigest(t, seed=42) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.binary()))], names=["doc_id", "row", "n", "cls", "prefix"])
+                [pa.array(ids, pa.int64()), pa.array(row), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([class_of(s) for s in sets], pa.int64())], names=["doc_id", "row", "n", "cls"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, n long, cls long, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, cls long")
 
 
-def postings(prefixes: DataFrame) -> DataFrame:
-    """(token, cls) rows of prefixes."""
+def postings(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(token, cls) rows of the prefixes, once for a class and block of documents."""
     def run(batches):
-        for batch in batches:
-            cls, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            size = np.array([len(b) // 8 for b in data], np.int64)
-            lo = 0
-            while lo < len(data):  # a few hundred thousand rows at a time
-                hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), 300_000)) + lo)
-                token = np.frombuffer(b"".join(data[lo:hi]), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(cls[lo:hi], size[lo:hi]))], names=["token", "cls"])
-                lo = hi
+        for _, texts in blocks(batches):
+            sets = {class_of(s): s for s in shingle_sets(texts, width) if len(s)}
+            if sets:
+                prefixes = [s[:len(s) - least_overlap(len(s), percent) + int(votes(len(s)))] for s in sets.values()]
+                token = np.concatenate(prefixes).view(np.int64)
+                cls = np.repeat(np.array(list(sets), np.int64), [len(x) for x in prefixes])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls)], names=["token", "cls"])
 
-    return prefixes.select("cls", "prefix").mapInArrow(run, "token long, cls long")
+    return docs.mapInArrow(run, "token long, cls long")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -149,7 +147,8 @@ def shared(rows: DataFrame) -> DataFrame:
 
 def members(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """rep, cls, n, tokens of the classes that may have links -> the same with
-    ``full``, their whole sorted set, from the text of one of their documents."""
+    ``full``, their whole sorted set, from the text of one of their documents. A
+    repeated row of that document repeats the class: a link found twice is one."""
     def compress(batches):
         for ids, texts in blocks(batches):
             yield pa.RecordBatch.from_arrays(
@@ -173,32 +172,65 @@ def members(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             out = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns[:3], pa.array(full, pa.binary())], names=["cls", "n", "tokens", "full"])
 
-    return joined.mapInArrow(run, "cls long, n long, tokens array<long>, full binary").dropDuplicates(["cls"])
+    return joined.mapInArrow(run, "cls long, n long, tokens array<long>, full binary")
 
 
 def verified(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v, need: lists of u not merged that v must hold ``need`` of,
-    probe: those lists) the linked ones."""
-    sides = pairs.join(index.select(F.col("cls").alias("v"), F.col("tokens").alias("v_tokens"), F.col("full").alias("v_full")), "v")
-    sides = sides.join(index.select(F.col("cls").alias("u"), F.col("full").alias("u_full")), "u")
+    """Of pairs (u, v, need, probe) - ``probe`` are lists of u that were not
+    merged, of which v must hold ``need`` - links that join the components of all
+    linked ones.
+
+    Sets travel once for a block, not once for a pair: the classes of a component
+    of the candidate graph are dealt into parts of about BLOCK classes, and where
+    two parts have pairs, the classes of these pairs meet. A pair whose classes
+    the links of its block already join is not checked."""
+    near = components(pairs.select("u", "v")).withColumnRenamed("component", "comp")
+    parts = near.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    near = near.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    meet = lambda a, b: (F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
+    null = lambda kind: F.lit(None).cast(kind)
+    ends = near.select("node", "comp", "part")
+    asked = pairs.join(ends.select(F.col("node").alias("u"), "comp", F.col("part").alias("a")), "u").join(
+        ends.select(F.col("node").alias("v"), F.col("part").alias("b")), "v")
+    asked = asked.select("comp", *meet(F.col("a"), F.col("b")), F.lit(1).alias("kind"), "u", "v", F.col("need").cast("long").alias("need"), "probe",
+                         null("binary").alias("full"))
+    where = ["comp", "i", "j"]
+    needed = asked.select(*where, "u").union(asked.select(*where, "v")).distinct()
+    members = needed.join(index.select(F.col("cls").alias("u"), "tokens", "full"), "u").select(
+        *where, F.lit(0).alias("kind"), "u", null("long").alias("v"), null("long").alias("need"), F.col("tokens").alias("probe"), "full")
 
     def run(batches):
+        key, held, parent = None, {}, {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
         for batch in batches:
-            c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             rows = []
-            for u, v, need, probe, vt, uf, vf in zip(c["u"], c["v"], c["need"], c["probe"], c["v_tokens"], c["u_full"], c["v_full"]):
-                if need > 0 and _common(np.array(probe, np.int64), np.sort(np.array(vt, np.int64))) < need:
+            for comp, i, j, kind, u, v, need, probe, full in zip(*(c.to_pylist() for c in batch.columns)):
+                if (comp, i, j) != key:
+                    key, held, parent = (comp, i, j), {}, {}
+                if kind == 0:
+                    held[u] = probe, np.frombuffer(full, np.uint64)
+                    continue
+                if find(u) == find(v):
+                    continue
+                (_, a), (tokens, b) = held[u], held[v]
+                if need > 0 and _common(np.array(probe, np.int64), np.sort(np.array(tokens, np.int64))) < need:
                     continue
-                a, b = np.frombuffer(uf, np.uint64), np.frombuffer(vf, np.uint64)
                 if len(a) > len(b):
                     a, b = b, a
                 both = _common(a, b)
                 if 100 * both >= percent * (len(a) + len(b) - both):
+                    parent[find(u)] = find(v)
                     rows.append((u, v))
             rows = np.array(rows, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["u", "v"])
 
-    return sides.select("u", "v", "need", "probe", "v_tokens", "u_full", "v_full").mapInArrow(run, "u long, v long")
+    met = members.union(asked).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "kind")
+    return met.mapInArrow(run, "u long, v long")
 
 
 def _common(probes: np.ndarray, ordered: np.ndarray) -> int:
@@ -210,18 +242,23 @@ def _common(probes: np.ndarray, ordered: np.ndarray) -> int:
 
 
 def voted(entries: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """Verified links between each class and the fullest class of its long lists.
-    entries: (token, cls) of long lists."""
-    weight = entries.groupBy("cls").agg(F.count("*").alias("w"))
-    weighed = entries.join(weight, "cls")
+    """Verified links between each class and the fullest class of its longest
+    lists. entries: (token, cls, df) of long lists."""
+    ranked = entries.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token")), asc=False).alias("lists"))
+    weighed = ranked.select("cls", F.size("lists").alias("w"), F.explode(F.slice("lists", 1, VOTE_LISTS)).alias("l")).select(
+        "cls", "w", F.col("l.token").alias("token"))
     lead = weighed.groupBy("token").agg(F.max(F.struct("w", "cls")).alias("lead"))
     ballots = weighed.join(lead, "token").where("cls <> lead.cls").groupBy("cls", F.col("lead.cls").alias("v")).agg(F.count("*").alias("hits"))
     best = ballots.groupBy("cls").agg(F.max(F.struct("hits", "v")).alias("b"))
     pairs = best.select(F.col("cls").alias("u"), F.col("b.v").alias("v"), F.lit(0).alias("need"), F.array().cast("array<long>").alias("probe"))
-    return verified(pairs, index, percent)
+    return verified(stored(pairs), index, percent)
+
 
+def _field(name: str):
+    return lambda entry: entry[name]
 
-def searched(entries: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+
+def searched(entries: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs between different groups by T-occurrence search.
     entries: (token, cls, n, grp) of the lists that hold two groups or more."""
     sizes = entries.groupBy("token", "grp").agg(F.count("*").alias("k"))
@@ -230,17 +267,18 @@ def searched(entries: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     asking = placed.where("grp <> top.grp").select("cls").distinct()
     chunks = F.ceil(F.col("df") / LONG).cast("int")
     parts = placed.groupBy("token", F.pmod(F.xxhash64("cls"), chunks).alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("cls", "n", "grp"))).alias("entries"))
+        F.sort_array(F.collect_list(F.struct("cls", F.col("n").cast("int").alias("n"), "grp"))).alias("entries"))
+    # arrays of numbers travel lighter than an array of structs
+    parts = parts.select("token", *[F.transform("entries", _field(c)).alias(f"y_{c}") for c in ("cls", "n", "grp")])
     # of the long lists of a class the longest, up to T - 1, are left for probing
     mine = placed.join(asking, "cls", "left_semi").groupBy("cls", "n", "grp").agg(
         F.sort_array(F.collect_list(F.struct("df", "token")), asc=False).alias("lists"))
     need = _votes_column(F.ceil(F.col("n") * percent / 100))
     n_long = F.size(F.filter("lists", lambda x: x["df"] > LONG))
     mine = mine.withColumn("t", need).withColumn("skip", F.least(n_long, F.col("t") - 1)).where(F.size("lists") >= F.col("t"))
+    probes = mine.select(F.col("cls").alias("u"), F.transform(F.slice("lists", F.lit(1), F.col("skip")), lambda s: s["token"]).alias("probe"))
     queries = mine.select(F.col("cls").alias("x"), F.col("grp").alias("x_grp"), F.col("n").alias("x_n"), "skip",
-                          F.transform(F.slice("lists", F.lit(1), F.col("skip")), lambda s: s["token"]).alias("probe"),
                           F.explode(F.expr("slice(lists, skip + 1, size(lists) - skip)")).alias("list"))
-    probes = queries.select("x", "probe").distinct()
     found = queries.select("x", "x_grp", "x_n", "skip", F.col("list.token").alias("token")).join(parts, "token")
 
     def run(batches):
@@ -257,8 +295,8 @@ def searched(entries: DataFrame, index: DataFrame, percent: int) -> DataFrame:
         yield table(list(merge(held)) if held else [])
 
     def merge(rows):
-        x, grp, n, skip = rows[0][:4]
-        heap = heapq.merge(*[[(e["cls"], e["n"]) for e in r[4] if e["grp"] != grp] for r in rows])
+        x, grp, n, skip = rows[0][:4]  # of a class: its lists, one row for each chunk
+        heap = heapq.merge(*[[(y, m) for y, m, g in zip(*r[4:]) if g != grp] for r in rows])
         last, count = None, 0
         for entry in heap:
             if entry == last:
@@ -278,14 +316,13 @@ def searched(entries: DataFrame, index: DataFrame, percent: int) -> DataFrame:
 
     def table(rows):
         rows = np.array(rows, np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["u", "v", "need"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], names=["u", "v", "need"])
 
-    sorted_rows = found.select("x", "x_grp", "x_n", "skip", "entries").repartition("x").sortWithinPartitions("x")
+    sorted_rows = found.select("x", "x_grp", "x_n", "skip", "y_cls", "y_n", "y_grp").repartition("x").sortWithinPartitions("x")
     pairs = sorted_rows.mapInArrow(run, "u long, v long, need long")
-    # a pair that both sides found is verified once
+    # a pair that both sides found is one pair
     once = pairs.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min(F.struct("need", "u", "v")).alias("p"))
-    once = once.select("p.*").join(probes.withColumnRenamed("x", "u"), "u")
-    return verified(once, index, percent)
+    return once.select("p.u", "p.v", "p.need").join(probes, "u")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
@@ -293,32 +330,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles, component_id of every document; also row (hash of
     its text) and component (the group's internal name, null without words)."""
     named = key_and_text(docs, id_col, text_col)
-    rows = stored(measured(named, width, percent))
+    rows = stored(measured(named, width))
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
     least = _votes_column(F.ceil(F.col("n") * percent / 100))
-    kept = shared(postings(rows.where("prefix is not null"))).groupBy("cls").agg(F.collect_list("token").alias("tokens"))
+    kept = shared(postings(named, width, percent)).groupBy("cls").agg(F.collect_list("token").alias("tokens"))
     kept = kept.join(classes, "cls").where(F.size("tokens") >= least)
     index = stored(members(kept, named, width))
 
-    entries = index.select("cls", "n", F.explode("tokens").alias("token"))
+    entries = index.select("cls", "n", "tokens").dropDuplicates(["cls"]).select("cls", "n", F.explode("tokens").alias("token"))
     counted = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     entries = stored(entries.join(counted, "token"))
-    links = None
-    groups = index.select("cls", F.col("cls").alias("grp"))
-    for _ in range(VOTE_ROUNDS):
-        long = entries.where(F.col("df") > LONG).select("token", "cls")
-        if links is not None:  # classes that no vote has joined yet
-            long = long.join(groups.where("cls <> grp").select("cls"), "cls", "left_anti").join(
-                groups.where("cls <> grp").select(F.col("grp").alias("cls")).distinct(), "cls", "left_anti")
-        found = stored(voted(long, index, percent))
-        links = found if links is None else links.union(found)
-        joined = components(links)
-        groups = stored(index.select("cls").join(joined, F.col("cls") == F.col("node"), "left").select(
-            "cls", F.coalesce("component", "cls").alias("grp")))
+    links = stored(voted(entries.where(F.col("df") > LONG).select("token", "cls", "df"), index, percent))
+    joined = components(links)
+    known = index.select("cls").distinct()
+    groups = stored(known.join(joined, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("grp")))
     placed = entries.join(groups, "cls")
     mixed = placed.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("token")
-    links = links.union(searched(placed.join(mixed, "token").select("token", "cls", "n", "grp"), index, percent))
+    placed = stored(placed.join(mixed, "token").select("token", "cls", "n", "grp"))
+    links = stored(links.union(verified(stored(searched(placed, percent)), index, percent)))
 
     joined = components(links)
     named_class = classes.join(joined, F.col("cls") == F.col("node"), "left").select(
@@ -340,7 +370,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = rows.groupBy("component").agg(F.min(rank).alias("best"))
     judged = rows.groupBy("component", "doc_id", "row").agg(F.count("*").alias("copies")).join(best, "component")
     leaves = ~rank.eqNullSafe(F.col("best"))
-    notable = judged.where(leaves | (F.col("copies") > 1)).select("doc_id", "row", leaves.alias("leaves"))
+    notable = stored(judged.where(leaves | (F.col("copies") > 1)).select("doc_id", "row", leaves.alias("leaves")))
+    if fits_broadcast(notable.count(), NOTABLE_BYTES):  # then the texts stay where they are
+        notable = F.broadcast(notable)
     text = F.coalesce(F.col(f"d.`{text_col}`").cast("string"), F.lit(""))
     joined = docs.alias("d").join(notable.alias("s"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("s.doc_id")) & (
         F.xxhash64(text) == F.col("s.row")), "left")
