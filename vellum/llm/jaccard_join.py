@@ -8,7 +8,7 @@ Documents with equal sets are one class; everything below is between classes.
   same for y), with T the smaller of ``votes(|x|)`` and ``votes(|y|)``. So only
   these prefixes are indexed, and linked classes meet in T inverted lists.
 * Lists with one class are dropped, then classes with too few lists left.
-* Search: a class merges its lists with a heap and keeps the classes that occur
+* Search: a class merges its sorted lists and keeps the classes that occur
   often enough. Its longest lists, up to T - 1 of them, are not merged; the
   count that is asked for falls by their number, and they are probed by binary
   search in the candidate's sorted prefix. What passes is verified on full sets,
@@ -32,10 +32,9 @@ result. Only the two named columns are read.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -282,41 +281,36 @@ def searched(entries: DataFrame, percent: int) -> DataFrame:
     found = queries.select("x", "x_grp", "x_n", "skip", F.col("list.token").alias("token")).join(parts, "token")
 
     def run(batches):
-        held: list[tuple] = []
+        held = None  # the lists of the last class wait for the next batch
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            out = []
-            for row in zip(*cols):
-                if held and held[0][0] != row[0]:
-                    out.extend(merge(held))
-                    held = []
-                held.append(row)
-            yield table(out)
-        yield table(list(merge(held)) if held else [])
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+            if not rows:
+                continue
+            x = rows[0].column(0).to_numpy()
+            open_ = int(np.searchsorted(x, x[-1]))
+            held = rows[0].slice(open_)
+            if open_:
+                yield merge(rows[0].slice(0, open_))
+        if held is not None:
+            yield merge(held)
 
     def merge(rows):
-        x, grp, n, skip = rows[0][:4]  # of a class: its lists, one row for each chunk
-        heap = heapq.merge(*[[(y, m) for y, m, g in zip(*r[4:]) if g != grp] for r in rows])
-        last, count = None, 0
-        for entry in heap:
-            if entry == last:
-                count += 1
-                continue
-            if last is not None:
-                yield from passed(x, n, skip, last, count)
-            last, count = entry, 1
-        if last is not None:
-            yield from passed(x, n, skip, last, count)
-
-    def passed(x, n, skip, entry, count):
-        y, m = entry
-        t = int(min(votes(n), votes(m)))
-        if count + skip >= t and percent * max(n, m) <= 100 * min(n, m):
-            yield x, y, max(0, t - count)
-
-    def table(rows):
-        rows = np.array(rows, np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], names=["u", "v", "need"])
+        """Merges the sorted lists of each class (a stable sort merges runs) and
+        keeps the classes that occur often enough in them."""
+        x, grp, n, skip = (rows.column(i).to_numpy() for i in range(4))
+        y, m, g = (rows.column(i).flatten().to_numpy() for i in (4, 5, 6))
+        of = np.repeat(np.arange(len(x)), pc.list_value_length(rows.column(4)).to_numpy())
+        other = g != grp[of]
+        y, m, of = y[other], m[other].astype(np.int64), of[other]
+        order = np.lexsort((y, x[of]))
+        y, m, of = y[order], m[order], of[order]
+        first = np.flatnonzero(np.concatenate(([True], (y[1:] != y[:-1]) | (x[of[1:]] != x[of[:-1]])))) if len(y) else np.empty(0, np.int64)
+        count = np.diff(np.append(first, len(y)))
+        y, m, of = y[first], m[first], of[first]
+        t = np.minimum(votes(n[of]), votes(m))
+        ok = (count + skip[of] >= t) & (percent * np.maximum(n[of], m) <= 100 * np.minimum(n[of], m))
+        return pa.RecordBatch.from_arrays([pa.array(x[of][ok]), pa.array(y[ok]), pa.array(np.maximum(0, t - count)[ok].astype(np.int64))],
+                                          names=["u", "v", "need"])
 
     sorted_rows = found.select("x", "x_grp", "x_n", "skip", "y_cls", "y_n", "y_grp").repartition("x").sortWithinPartitions("x")
     pairs = sorted_rows.mapInArrow(run, "u long, v long, need long")
