@@ -354,6 +354,34 @@ def test_nn_descent_matches_brute_force(spark):
         assert got[i] == (sum(linked(a, b) for b in range(len(rows))), want, i == want), i
 
 
+def test_nn_descent_joins_groups_whose_lists_are_full(spark):
+    """Lists hold only the own tight group; the links to the next group lie beyond K."""
+    rng = np.random.default_rng(4)
+    axes = np.linalg.qr(rng.standard_normal((40, 40)))[0]
+    rows = []
+    for g in range(6):  # groups g and g + 1 of a chain of three are about 0.96 apart, chains are not linked
+        chain, place = divmod(g, 3)
+        turn = place * np.arccos(0.96)
+        centre = np.cos(turn) * axes[3 * chain] + np.sin(turn) * axes[3 * chain + 1]
+        noise = rng.standard_normal((14, 40))
+        rows += list(centre + 0.04 * noise / np.linalg.norm(noise, axis=1, keepdims=True))
+    unit = np.array([r / np.linalg.norm(r) for r in rows])
+    linked = unit @ unit.T >= 0.95
+    assert linked[:14, 14:28].mean() > 0.7 and not linked[:42, 42:].any()
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(df).collect()}
+    assert got == {i: (int(linked[i].sum()) - 1, 42 * (i // 42)) for i in range(len(rows))}
+
+
+def test_nn_descent_fails_when_the_audit_misses(spark, monkeypatch):
+    rows = [(i, [1.0, 0.001 * i, 0.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nn_descent, "MAX_ORDERS", nn_descent.ORDERS)
+    monkeypatch.setattr(nn_descent, "audit", lambda *_: (5, 0.5))
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.near_duplicates(df)
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [(1, "x")]).where("doc_id > 5")
     assert recompression.substring_dedup(docs).count() == 0

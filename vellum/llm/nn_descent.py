@@ -8,13 +8,16 @@ lists. Rounds stop when lists hardly improve. Edges at or above the threshold ar
 kept; their components are the groups.
 
 A list of K neighbours is saturated when all of them are linked: the node may
-have more links than K. Lists then are enlarged to all members of the node's
-component (the closure of neighbours of neighbours), compared in blocks, exactly
-and in double precision, and only counts leave a block.
+have more links than K. Such nodes are searched again for neighbours outside
+their component (a list that holds none of the own component cannot be filled by
+it), links found join components, and this goes on until no list has a link that
+leaves its component. Then lists are enlarged to all members of the component,
+compared in blocks, exactly and in double precision, and only counts leave a block.
 
 Recall is audited: the links of a sample of SAMPLE nodes (smallest hashes of
-their ids) are found by brute force against all nodes. Below ``recall`` more
-orders are added and the graph is refined again.
+their ids) are found by brute force against all nodes. While the mean share found
+of a sampled node's links is below ``recall``, more orders are added and the graph
+is refined again; if MAX_ORDERS do not reach it, the job fails.
 
 Nulls: vectors that are null, empty, zero, or hold a null or non-finite
 component link with nothing: n_links 0, component_id their own id, kept. Vectors
@@ -38,6 +41,7 @@ from vellum.llm.graph import components
 THRESHOLD = 0.95
 K = 10
 ORDERS = 8
+MAX_ORDERS = 16 * ORDERS
 BITS = 24
 BLOCK = 512
 #: Vectors of one group of an order, about; more bits name a group as vectors grow in number.
@@ -46,6 +50,8 @@ GROUP = 4096
 CENTRE, PART = 64, 1024
 SAMPLE = 512
 MAX_ROUNDS = 4
+#: Bits of a code left out by turns where one member of a component stands for all with the same bits.
+COARSER = (0, 8, 16)
 LEAST_GAIN = 0.001
 
 LIST = "node long, ids binary, sims binary"
@@ -90,13 +96,17 @@ def _lists(rows) -> pa.RecordBatch:
 
 
 def ordered_blocks(points: DataFrame, wide: bool, n: int, seeds: range) -> DataFrame:
-    """LIST rows of the K nearest inside each block of each order."""
+    """LIST rows of the K nearest inside each block of each order. Points with a
+    ``component`` look for neighbours outside it only; in an order one member of
+    a component stands for those with the same leading bits, so that large
+    components leave room for others in a block."""
+    outside = "component" in points.columns
     group_bits = max(0, int(np.log2(max(n, 1) / GROUP)))
 
     def codes(batches):
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            node, vec = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            node, vec, own = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             by_size: dict[int, list[int]] = {}
             for i, v in enumerate(vec):
                 by_size.setdefault(len(v), []).append(i)
@@ -108,40 +118,49 @@ def ordered_blocks(points: DataFrame, wide: bool, n: int, seeds: range) -> DataF
                     code = (m @ planes[s, size] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), s, np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(code >> (BITS - group_bits)),
-                         pa.array(code), pa.array(node[at]), pa.array([vec[i] for i in at], pa.binary())],
-                        names=["seed", "size", "grp", "code", "node", "vec"])
+                         pa.array(code >> (COARSER[s % len(COARSER)] if outside else 0)), pa.array(own[at]), pa.array(node[at]),
+                         pa.array([vec[i] for i in at], pa.binary())],
+                        names=["seed", "size", "grp", "code", "own", "node", "vec"])
 
     def compare(batches):
-        key, ids, vecs = None, [], []
+        key, cell, ids, owns, vecs = None, None, [], [], []
 
         def block():
             m = matrix(vecs, wide)
             s = m @ m.T
-            np.fill_diagonal(s, -2)
-            a = np.array(ids, np.int64)
+            a, c = np.array(ids, np.int64), np.array(owns, np.int64)
+            s[c[:, None] == c] = -2
             out = []
             k = min(K, len(a) - 1)
             best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.empty((len(a), 0), int)
             for i in range(len(a)) if k else ():
-                out.append((int(a[i]), a[best[i]].tobytes(), s[i, best[i]].tobytes()))
+                b = best[i][s[i, best[i]] > -2]
+                if len(b):
+                    out.append((int(a[i]), a[b].tobytes(), s[i, b].tobytes()))
             return _lists(out)
 
         for batch in batches:
-            for seed, size, grp, _, node, vec in zip(*(c.to_pylist() for c in batch.columns)):
+            for seed, size, grp, code, own, node, vec in zip(*(c.to_pylist() for c in batch.columns)):
                 if (seed, size, grp) != key:
                     if len(ids) > 1:
                         yield block()
-                    key, ids, vecs = (seed, size, grp), [], []
+                    key, cell, ids, owns, vecs = (seed, size, grp), None, [], [], []
+                if outside and (code, own) == cell:
+                    continue
+                cell = code, own
                 ids.append(node)
+                owns.append(own)
                 vecs.append(vec)
                 if len(ids) == BLOCK:
                     yield block()
-                    ids, vecs = ids[BLOCK // 2:], vecs[BLOCK // 2:]  # neighbours across the cut meet in the next block
+                    # neighbours across the cut meet in the next block
+                    ids, owns, vecs = ids[BLOCK // 2:], owns[BLOCK // 2:], vecs[BLOCK // 2:]
         if len(ids) > 1:
             yield block()
 
-    rows = points.select("node", "vec").mapInArrow(codes, "seed int, size int, grp long, code long, node long, vec binary")
-    rows = rows.repartition("seed", "size", "grp").sortWithinPartitions("seed", "size", "grp", "code", "node")
+    own = "component" if outside else "node"
+    rows = points.select("node", "vec", F.col(own).alias("own")).mapInArrow(codes, "seed int, size int, grp long, code long, own long, node long, vec binary")
+    rows = rows.repartition("seed", "size", "grp").sortWithinPartitions("seed", "size", "grp", "code", "own", "node")
     return rows.mapInArrow(compare, LIST)
 
 
@@ -187,15 +206,20 @@ def edges(graph: DataFrame) -> DataFrame:
     return graph.mapInArrow(run, "u long, v long, sim double, worst double")
 
 
-def joined_neighbours(graph: DataFrame, points: DataFrame, wide: bool) -> DataFrame:
-    """One round: LIST rows of the pairs that meet at a centre and improve a list."""
+def joined_neighbours(graph: DataFrame, points: DataFrame, wide: bool, inside: DataFrame | None = None) -> DataFrame:
+    """One round: LIST rows of the pairs that meet at a centre and improve a list.
+    Points with a ``component`` meet through the lists ``inside`` too, and pair
+    with members of other components only."""
     out = edges(graph)
     worst = out.select("u", "worst").distinct()
+    out = out if inside is None else out.union(edges(inside))
     meet = out.select(F.col("u").alias("centre"), F.col("v").alias("member")).union(out.select("v", "u")).distinct()
     degree = meet.groupBy("centre").agg(F.ceil(F.count("*") / CENTRE).cast("int").alias("parts"))
     meet = meet.join(degree, "centre").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
-    about = points.select(F.col("node").alias("member"), "vec").join(worst.withColumnRenamed("u", "member"), "member")
-    rows = meet.select("centre", "part", "member").join(about, "member").select("centre", "part", "member", "worst", "vec")
+    own = "component" if "component" in points.columns else "node"
+    about = points.select(F.col("node").alias("member"), F.col(own).alias("own"), "vec").join(worst.withColumnRenamed("u", "member"), "member", "left")
+    rows = meet.select("centre", "part", "member").join(about, "member").select(
+        "centre", "part", "member", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "own", "vec")
 
     def run(batches):
         key, members = None, []
@@ -203,27 +227,28 @@ def joined_neighbours(graph: DataFrame, points: DataFrame, wide: bool) -> DataFr
         def compare():
             ids = np.array([m[0] for m in members], np.int64)
             limit = np.array([m[1] for m in members])
-            m = matrix([m[2] for m in members], wide)
+            own = np.array([m[2] for m in members], np.int64)
+            m = matrix([m[3] for m in members], wide)
             s = m @ m.T
-            np.fill_diagonal(s, -3)
+            s[own[:, None] == own] = -3
             better = s > limit[:, None]
             return [(int(ids[i]), ids[better[i]].tobytes(), s[i, better[i]].tobytes()) for i in np.flatnonzero(better.any(axis=1))]
 
         for batch in batches:
             found = []
-            for c, p, m, w, v in zip(*(c.to_pylist() for c in batch.columns)):
+            for c, p, m, w, o, v in zip(*(c.to_pylist() for c in batch.columns)):
                 if (c, p) != key:
                     if len(members) > 1:
                         found.extend(compare())
                     key, members = (c, p), []
-                members.append((m, w, v))
+                members.append((m, w, o, v))
             yield _lists(found)
         yield _lists(compare() if len(members) > 1 else [])
 
     return rows.repartition("centre", "part").sortWithinPartitions("centre", "part").mapInArrow(run, LIST)
 
 
-def refine(graph: DataFrame, points: DataFrame, wide: bool) -> DataFrame:
+def refine(graph: DataFrame, points: DataFrame, wide: bool, inside: DataFrame | None = None) -> DataFrame:
     """Rounds of NN-descent until the sum of similarities hardly grows."""
     def total(g):
         return edges(g).agg(F.sum("sim")).first()[0] or 0.0
@@ -231,7 +256,7 @@ def refine(graph: DataFrame, points: DataFrame, wide: bool) -> DataFrame:
     graph = stored(graph)
     before = total(graph)
     for _ in range(MAX_ROUNDS):
-        graph = stored(merged(graph.union(joined_neighbours(graph, points, wide))))
+        graph = stored(merged(graph.union(joined_neighbours(graph, points, wide, inside))))
         after = total(graph)
         if after - before <= LEAST_GAIN * abs(after):
             break
@@ -239,6 +264,27 @@ def refine(graph: DataFrame, points: DataFrame, wide: bool) -> DataFrame:
     return graph
 
 
+def linked_groups(graph: DataFrame, points: DataFrame, wide: bool, threshold: float, orders: int) -> DataFrame:
+    """(node, component) of the links in the lists and of those that saturated
+    lists have no room for. A link that no list holds joins two saturated nodes;
+    each pass joins every component that has such a link, so passes are few."""
+    links = edges(graph).where(F.col("sim") >= threshold).select("u", "v")
+    full = edges(graph).where(F.col("worst") >= threshold).select(F.col("u").alias("node")).distinct()
+    searched = stored(points.select("node", "vec").join(full, "node"))
+    n = searched.count()
+    inside = stored(graph.join(full, "node", "left_semi"))
+    while True:
+        groups = stored(components(links))
+        own = stored(searched.join(groups, "node"))
+        if own.select("component").distinct().limit(2).count() < 2:
+            return groups
+        lists = refine(merged(ordered_blocks(own, wide, n, range(orders))), own, wide, inside)
+        more = stored(edges(lists).where(F.col("sim") >= threshold).select("u", "v"))
+        if more.isEmpty():
+            return groups
+        links = groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
+
+
 def link_counts(points: DataFrame, groups: DataFrame, wide: bool, threshold: float) -> DataFrame:
     """(node, links): vectors linked with each node of a component, found by
     comparing its members in blocks of PART; copies of a node count each."""
@@ -285,11 +331,12 @@ def link_counts(points: DataFrame, groups: DataFrame, wide: bool, threshold: flo
     return rows.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(points: DataFrame, groups: DataFrame, wide: bool, threshold: float) -> tuple[int, int]:
-    """Links of the sample by brute force: how many, and how many are inside a component."""
+def audit(points: DataFrame, groups: DataFrame, wide: bool, threshold: float) -> tuple[int, float]:
+    """Links of the sample by brute force: how many sampled nodes have any, and
+    the mean share of a node's links that are inside its component."""
     picked = points.select("node", "vec").orderBy(F.md5(F.col("node").cast("string")), "node").limit(SAMPLE).collect()
     if not picked:
-        return 0, 0
+        return 0, 1.0
     by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in {len(r["vec"]) for r in picked}:
         same = [r for r in picked if len(r["vec"]) == size]
@@ -311,9 +358,10 @@ def audit(points: DataFrame, groups: DataFrame, wide: bool, threshold: float) ->
     true = points.select("node", "vec").mapInArrow(run, "u long, v long")
     a = groups.select(F.col("node").alias("u"), F.col("component").alias("cu"))
     b = groups.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    row = true.join(a, "u", "left").join(b, "v", "left").agg(
-        F.count("*"), F.coalesce(F.sum(F.when(F.col("cu") == F.col("cv"), 1).otherwise(0)), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+    each = true.join(a, "u", "left").join(b, "v", "left").groupBy("u").agg(
+        F.avg(F.when(F.col("cu") == F.col("cv"), 1.0).otherwise(0.0)).alias("share"))
+    row = each.agg(F.count("*"), F.avg("share")).first()
+    return int(row[0]), 1.0 if row[1] is None else float(row[1])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD,
@@ -328,11 +376,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     orders = ORDERS
     graph = refine(merged(ordered_blocks(points, wide, n, range(orders))), points, wide)
     while True:
-        links = edges(graph).where(F.col("sim") >= threshold).select("u", "v")
-        groups = components(links)
-        true, found = audit(points, groups, wide, threshold)
-        if found >= recall * true or orders >= 16 * ORDERS:
+        groups = linked_groups(graph, points, wide, threshold, orders)
+        sampled, share = audit(points, groups, wide, threshold)
+        if share >= recall:
             break
+        if orders >= MAX_ORDERS:
+            raise RuntimeError(f"recall {share:.4f} over {sampled} sampled vectors with links is below {recall} after {orders} orders")
         more = ordered_blocks(points, wide, n, range(orders, 2 * orders))
         graph, orders = refine(merged(graph.union(more)), points, wide), 2 * orders
 
