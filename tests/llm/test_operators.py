@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from vellum.llm import (html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, recompression, sanitise,
-                        suffix_array)
+from vellum.llm import (html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, queries, recompression,
+                        sanitise, suffix_array)
 from vellum.llm.queries import BYTE_RANKS, PACK_TOKENIZER, PATTERN, PIECE_MODEL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, cls long, `d` string"
@@ -271,6 +271,24 @@ def test_curriculum_order_and_words(spark):
     assert early < 0.5 < np.mean([r.position for r in stream if r.source == "c"])
 
 
+def test_taken_documents_follow_the_curriculum(spark, monkeypatch, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(1, 40)), None, "abcd"[i % 4]) for i in range(160)]
+    rows += [(500 + i, prose(rng, 300), None, "e") for i in range(8)] + [rows[0], (1, None, None, "a"), (None, "x y", None, None)]
+    docs = documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    mixed = mixing.mix(docs).withColumn("doc_id", F.col("doc.doc_id"))
+    got = queries.op8_curriculum_mix(spark, str(tmp_path))
+    names = "doc_id", "size", "source_size", "target", "taken"
+    assert collected(got, *names) == collected(mixed, *names)
+    got = got.collect()
+    assert any(r.taken == 0 for r in got) and all((r.first_position is None) == (r.taken == 0) for r in got)
+    places = [r.first_position for r in got if r.taken]
+    assert places == sorted(places) and 0 <= places[0] and places[-1] < 1
+    monkeypatch.setattr(mixing.position, "__defaults__", ((0.0, 0.0, 0.0),))
+    assert places != [r.first_position for r in queries.op8_curriculum_mix(spark, str(tmp_path)).collect() if r.taken]
+
+
 @pytest.mark.parametrize("slope", [0.5, 0.0, -0.5])
 def test_position_inverts_demand(spark, slope):
     y = [i / 50 for i in range(50)]

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.llm.common import stored
+
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Slope of the demand rate by place of the source in its weight cycle.
@@ -135,3 +137,17 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **columns) -> DataF
     up_to_word = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
     cut = F.when(F.col("take") >= F.col("size"), text).otherwise(F.array_join(F.slice(up_to_word, F.lit(1), F.col("take").cast("int")), ""))
     return rows.select(*[(cut if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+def taken_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **columns) -> DataFrame:
+    """Every row of ``docs``: its id, size, source_size, target, taken (words of
+    the copies placed in the curriculum, 0 without any) and first_position (of
+    its first copy, null without any), range-sorted by first_position."""
+    mixed = mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **columns)
+    mixed = mixed.withColumn("doc", F.struct(F.col(f"doc.`{id_col}`").alias(id_col)))
+    mixed = stored(mixed.withColumn("row", F.monotonically_increasing_id()))  # rows equal in id and text stay apart
+    placed = curriculum(mixed, columns.get("max_repeats", MAX_REPEATS)).groupBy("row").agg(
+        F.sum("take").alias("placed"), F.min("position").alias("first_position"))
+    joined = mixed.join(placed, "row", "left").orderBy(F.col("first_position").asc_nulls_last(), "row")
+    return joined.select(F.col(f"doc.`{id_col}`").alias(id_col), "size", "source_size", "target",
+                         F.coalesce("placed", F.lit(0)).cast("long").alias("taken"), "first_position")

@@ -49,8 +49,7 @@ def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixing.taken_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
