@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from vellum.llm import (html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, queries, recompression,
                         sanitise, suffix_array)
+from vellum.llm.common import stored
 from vellum.llm.queries import BYTE_RANKS, PACK_TOKENIZER, PATTERN, PIECE_MODEL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, cls long, `d` string"
@@ -327,6 +328,31 @@ def test_packing_round_trip(spark):
             assert [g[0] for g in got] == list(np.cumsum([0, *[g[1] for g in got]])[:-1])
 
 
+@pytest.mark.parametrize(("shard_tokens", "least"), [(1_500_000, 0.3), (5_000, 0.9)])
+def test_pipeline_sequences_follow_the_curriculum(spark, monkeypatch, shard_tokens, least):
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "SHARD_TOKENS", shard_tokens)
+    monkeypatch.setattr(mixing.position, "__defaults__", ((0.9, 0.0, -0.9),))
+    rng = random.Random(9)
+    docs = documents(spark, [(i, prose(rng, rng.choice([20, 90, 900])), None, "abc"[i % 3]) for i in range(300)])
+    stream = [r["doc"].doc_id for r in mixing.curriculum(mixing.mix(docs)).collect()]
+    mixed = stored(corpus_pipeline.source_mix(spark, docs.repartition(3), ""))
+    place = defaultdict(list)
+    for k, i in enumerate(stream):
+        place[i].append(k)
+    once = {i: k[0] for i, k in place.items() if len(k) == 1}
+    pieces = [p for p in corpus_pipeline.sequence_packing(spark, mixed, "").collect() if p.doc_id in once]
+    assert np.corrcoef([p.sequence_id for p in pieces], [once[p.doc_id] for p in pieces])[0, 1] > least
+    shards = defaultdict(list)
+    for p in pieces:
+        shards[p.sequence_id >> 32].append(once[p.doc_id])
+    assert len(shards) > 1 or shard_tokens > 5_000
+    assert all(max(shards[a]) < min(shards[b]) for a, b in zip(sorted(shards), sorted(shards)[1:]))
+    full = sorted((p.sequence_id, once[p.doc_id]) for p in pieces if p.length == 1024)
+    assert len(full) > 20 and [k for _, k in full] == sorted(k for _, k in full)
+
+
 def test_packing_ids_are_the_tokenizers_on_every_code_point():
     from tokenizers import Tokenizer
 

@@ -9,6 +9,10 @@ fill its window in order of score. The neighbour that does not fit is cut; its
 rest seeds the next window. So windows are full, and what a shard has left at its
 end is cut into powers of two, which need no padding.
 
+With an order column (a long; the pipeline's training order) the shards are
+consecutive ranges of it instead, and a shard's sequences are numbered by the
+mean place of their tokens, so sequence_id follows the order.
+
 The ids are those of the tokenizer file; special tokens' strings are ordinary
 text. Its merges are run by a public library several times faster with the same
 vocabulary and split rule (the tests compare both on every code point).
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import blocks, key_and_text, ranges, stored
+from vellum.llm.common import blocks, ranges, stored
 
 WINDOW = 1024
 END_ID = 0
@@ -39,7 +43,7 @@ K1, B = 1.2, 0.75
 #: Tokens of a shard, on average.
 SHARD_TOKENS = 1_500_000
 
-TOKENS = "doc_id long, doc_tokens long, crcs array<long>, tail binary, df binary"
+TOKENS = "doc_id long, place long, doc_tokens long, crcs array<long>, tail binary, df binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -66,11 +70,11 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """One row per document (checksums of its full windows, ids of its last
     piece) and one row per partition with the document frequency of every id."""
     names = [c.split()[0] for c in TOKENS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def run(batches):
         size = _encoder(path, pattern)[1]
@@ -81,12 +85,14 @@ def tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 ids = np.append(np.asarray(encode(text.decode(), path, pattern), np.uint32), np.uint32(END_ID))
                 full = len(ids) // WINDOW
                 df[np.unique(ids)] += 1
-                rows.append((key, len(ids), [crc(ids[k * WINDOW:(k + 1) * WINDOW]) for k in range(full)],
+                rows.append((key["doc_id"], key["place"], len(ids), [crc(ids[k * WINDOW:(k + 1) * WINDOW]) for k in range(full)],
                              ids[full * WINDOW:].astype("<u4").tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None], [None], [None], [None], [df.astype("<i8").tobytes()]], types)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None], [None], [None], [None], [None], [df.astype("<i8").tobytes()]], types)], names=names)
 
-    return key_and_text(docs, id_col, text_col).mapInArrow(run, TOKENS)
+    place = F.lit(None) if order_col is None else F.col(order_col)
+    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), place.cast("long").alias("place"))
+    return docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, TOKENS)
 
 
 def document_frequencies(tokenised: DataFrame) -> tuple[np.ndarray, int]:
@@ -198,9 +204,23 @@ def powers_of_two(window: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
-def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents: PIECES. Sequences are numbered by shard."""
-    tokenised = stored(tokens(docs, path, pattern, id_col, text_col))
+def ordered_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with the number of the range of ``place`` they lie in, as shard."""
+    cuts = rows.agg(F.percentile_approx("place", [k / shards for k in range(1, shards)], 10_000 + 100 * shards)).first()[0] if shards > 1 else []
+    cuts = np.array(cuts if cuts is not None else [], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            shard = np.searchsorted(cuts, batch.column(batch.schema.get_field_index("place")).to_numpy(), side="right")
+            yield batch.append_column("shard", pa.array(shard, pa.int64()))
+
+    return rows.mapInArrow(run, f"{TOKENS.replace(', df binary', '')}, shard long")
+
+
+def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """Pieces of all documents: PIECES. Sequences are numbered by shard, and in
+    the order of ``order_col`` (without nulls) where there is one."""
+    tokenised = stored(tokens(docs, path, pattern, id_col, text_col, order_col))
     counts, n_docs = document_frequencies(tokenised)
     idf = np.log1p((n_docs - counts + 0.5) / (counts + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # as long as the vocabulary
@@ -213,23 +233,27 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         key = shard.column("shard")[0].as_py() if shard.num_rows else 0
         doc_ids, sizes = shard.column("doc_id").to_pylist(), shard.column("doc_tokens").to_pylist()
         crcs, tails = shard.column("crcs").to_pylist(), shard.column("tail").to_pylist()
-        order = sorted(range(len(sizes)), key=lambda i: (doc_ids[i] is None, doc_ids[i] or 0, tails[i], sizes[i], crcs[i]))
-        out, sequence = [], key << 32
+        places = shard.column("place").to_pylist()
+        order = sorted(range(len(sizes)), key=lambda i: (places[i] or 0, doc_ids[i] is None, doc_ids[i] or 0, tails[i], sizes[i], crcs[i]))
+        sequences: list[tuple[float, list[tuple]]] = []  # (mean rank in the order, pieces without their sequence_id)
+        rank = dict(zip(order, range(len(order))))
         for i in order:
             for k, c in enumerate(crcs[i]):
-                out.append((doc_ids[i], k * WINDOW, WINDOW, c, sizes[i], sequence, 0))
-                sequence += 1
+                sequences.append((rank[i], [(doc_ids[i], k * WINDOW, WINDOW, c, sizes[i], 0)]))
         order = [i for i in order if tails[i]]
         pieces = [np.frombuffer(tails[i], "<u4").astype(np.int64) for i in order]
         for window in pack_shard(pieces, shared.value):
-            offset = 0
+            offset, parts = 0, []
             for p, start, n in window:
                 i = order[p]
-                out.append((doc_ids[i], len(crcs[i]) * WINDOW + start, n, crc(pieces[p][start:start + n]), sizes[i], sequence, offset))
+                parts.append((doc_ids[i], len(crcs[i]) * WINDOW + start, n, crc(pieces[p][start:start + n]), sizes[i], offset))
                 offset += n
-            sequence += 1
+            sequences.append((sum(rank[order[p]] * n for p, _, n in window) / offset, parts))
+        if order_col is not None:
+            sequences.sort(key=lambda s: s[0])
+        out = [(*piece[:-1], (key << 32) + k, piece[-1]) for k, (_, parts) in enumerate(sequences) for piece in parts]
         columns = list(zip(*out)) if out else [[] for _ in names]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "doc_tokens", "tail"), F.lit(shards)))
+    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "doc_tokens", "tail"), F.lit(shards))) if order_col is None else ordered_shards(rows, shards)
     return keyed.groupBy("shard").applyInArrow(run, PIECES)
