@@ -364,6 +364,24 @@ def test_packing_ids_are_the_tokenizers_on_every_code_point():
         assert packing.encode(text, PACK_TOKENIZER, PATTERN) == own.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_recognises_added_tokens(spark, tmp_path):
+    """The registered query gives the ids of the tokenizer at its default settings."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(PACK_TOKENIZER)
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, f"{end}{end} x", f"a{end}b\n{end}", f"<{end}> <|endoftext |>", "plain", f"{'long ' * 1500}{end} tail"]
+    for t in texts:
+        assert packing.encode(t, PACK_TOKENIZER, PATTERN, added=True) == own.encode(t, add_special_tokens=False).ids
+    documents(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = queries.op9_retrieval_packing(spark, str(tmp_path)).collect()
+    want = [[*own.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert sum(p.length for p in pieces) == sum(map(len, want))
+    for p in pieces:
+        ids = want[p.doc_id]
+        assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(np.array(ids[p.start:p.start + p.length], "<u4").tobytes())
+
+
 def test_packing_puts_related_pieces_together():
     rng = np.random.default_rng(0)
     pieces = []

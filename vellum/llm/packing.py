@@ -13,8 +13,9 @@ With an order column (a long; the pipeline's training order) the shards are
 consecutive ranges of it instead, and a shard's sequences are numbered by the
 mean place of their tokens, so sequence_id follows the order.
 
-The ids are those of the tokenizer file; special tokens' strings are ordinary
-text. Its merges are run by a public library several times faster with the same
+The ids are those of the tokenizer file. With ``added`` its added tokens are
+recognised inside a text, as the tokenizer does by default; without, their
+strings are ordinary text. Its merges are run by a public library several times faster with the same
 vocabulary and split rule (the tests compare both on every code point).
 
 Nulls: a null text is the empty text, of one token (the end id); a null doc_id
@@ -25,6 +26,7 @@ gives an empty result. Only the two named columns are read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -49,28 +51,39 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str):
-    """(encoder, vocabulary size) of a byte-level BPE tokenizer file."""
+    """(encoder, vocabulary size, ids of added tokens, their pattern) of a byte-level BPE tokenizer file."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab = file["model"]["vocab"]
+    tokens = file.get("added_tokens") or []
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError("added tokens that strip or want whole words are not supported")
+    added = {t["content"]: t["id"] for t in tokens}
+    split = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
     # byte-level vocabularies write each byte as a printable character: printable ones as themselves, the rest from 256 on
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in printable}
     byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max(vocab.values()) + 1
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max([*vocab.values(), *added.values()]) + 1, added, split
 
 
-def encode(text: str, path: str, pattern: str) -> list[int]:
-    return _encoder(path, pattern)[0].encode_ordinary(text)
+def encode(text: str, path: str, pattern: str, added: bool = False) -> list[int]:
+    encoder, _, ids, split = _encoder(path, pattern)
+    if not added or split is None or not split.search(text):
+        return encoder.encode_ordinary(text)
+    # the split keeps the tokens at odd places
+    return [i for k, part in enumerate(split.split(text)) for i in ([ids[part]] if k % 2 else encoder.encode_ordinary(part))]
 
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+def tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None,
+           added: bool = False) -> DataFrame:
     """One row per document (checksums of its full windows, ids of its last
     piece) and one row per partition with the document frequency of every id."""
     names = [c.split()[0] for c in TOKENS.split(", ")]
@@ -82,7 +95,7 @@ def tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for keys, texts in blocks(batches):
             rows = []
             for key, text in zip(keys, texts):
-                ids = np.append(np.asarray(encode(text.decode(), path, pattern), np.uint32), np.uint32(END_ID))
+                ids = np.append(np.asarray(encode(text.decode(), path, pattern, added), np.uint32), np.uint32(END_ID))
                 full = len(ids) // WINDOW
                 df[np.unique(ids)] += 1
                 rows.append((key["doc_id"], key["place"], len(ids), [crc(ids[k * WINDOW:(k + 1) * WINDOW]) for k in range(full)],
@@ -217,10 +230,11 @@ def ordered_shards(rows: DataFrame, shards: int) -> DataFrame:
     return rows.mapInArrow(run, f"{TOKENS.replace(', df binary', '')}, shard long")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None,
+         added: bool = False) -> DataFrame:
     """Pieces of all documents: PIECES. Sequences are numbered by shard, and in
     the order of ``order_col`` (without nulls) where there is one."""
-    tokenised = stored(tokens(docs, path, pattern, id_col, text_col, order_col))
+    tokenised = stored(tokens(docs, path, pattern, id_col, text_col, order_col, added))
     counts, n_docs = document_frequencies(tokenised)
     idf = np.log1p((n_docs - counts + 0.5) / (counts + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # as long as the vocabulary

@@ -53,7 +53,7 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, PATTERN, added=True)
 
 
 def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
