@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, recompression, sanitise, suffix_array
+from vellum.llm import html_text, jaccard_join, licences, mixing, nn_descent, packing, phrases, quality, recompression, sanitise, suffix_array
 from vellum.session import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -61,8 +61,12 @@ def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op13_misra_gries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 Q = {f.__name__: f for f in (op1_suffix_array, op2_disclosure, op3_nn_descent, op4_tokeniser_fertility, op5_main_text, op6_licence_automaton, op7_recompression, op8_curriculum_mix,
-                             op9_retrieval_packing, op10_divide_skip)}
+                             op9_retrieval_packing, op10_divide_skip, op13_misra_gries)}
 
 SQL = {
     "op10_divide_skip": r"""
@@ -127,4 +131,33 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size))
             + greatest(0, least(size, words - start - 2 * source_size)) AS BIGINT) AS taken
 FROM placed""",
+    "op13_misra_gries": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+known AS (
+  SELECT lang, size, phrase, count(*) AS f
+  FROM (SELECT lang, size, array_to_string(w[s:s + size - 1], ' ') AS phrase
+        FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM words, (VALUES (1), (2), (3), (4)) t(size)))
+  GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM known WHERE size > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.k, h.f AS l, t.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(h.f AS HUGEINT) + t.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN known h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN known t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.k + 1:c.size], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, array_to_string(w[s:s + m - 1], ' ') AS phrase
+        FROM (SELECT lang, a, w, m, unnest(range(1, size - m + 2)) AS s FROM (SELECT *, unnest(range(2, size)) AS m FROM candidates)))
+  GROUP BY lang, phrase),
+ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY l.score DESC, l.a DESC, encode(l.phrase)) AS rank
+  FROM lowest l LEFT JOIN parts p ON p.lang = l.lang AND p.phrase = l.phrase
+  WHERE p.longer IS NULL OR 100 * CAST(p.longer AS HUGEINT) < 80 * CAST(l.a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
