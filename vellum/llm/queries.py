@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import html_text, jaccard_join, licences, mixing, nn_descent, packing, phrases, quality, recompression, sanitise, suffix_array
+from vellum.llm import centroids, html_text, jaccard_join, licences, mixing, mtree, nn_descent, packing, phrases, quality, recompression, sanitise, suffix_array
 from vellum.session import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -61,12 +61,55 @@ def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op12_zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def op13_misra_gries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
 Q = {f.__name__: f for f in (op1_suffix_array, op2_disclosure, op3_nn_descent, op4_tokeniser_fertility, op5_main_text, op6_licence_automaton, op7_recompression, op8_curriculum_mix,
-                             op9_retrieval_packing, op10_divide_skip, op13_misra_gries)}
+                             op9_retrieval_packing, op10_divide_skip, op11_mtree, op12_zone_maps, op13_misra_gries)}
+
+def _kmeans_sql(rounds: int) -> str:
+    """The rounds written out, one pair of tables each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, vec_id, x, num, d
+  FROM (SELECT p.row, p.vec_id, p.x, c.num,
+               list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x) AS d
+        FROM points p, c{r} c)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, num) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT c.num, coalesce(m.x, c.x) AS x
+  FROM c{r} c LEFT JOIN (
+    SELECT num, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS x
+    FROM (SELECT num, i, sum(CAST(v AS BIGINT)) AS s, count(*) AS n
+          FROM (SELECT num, unnest(x) AS v, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY num, i)
+    GROUP BY num) m USING (num))""")
+    last = f"a{rounds}"
+    return """
+WITH points AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: isfinite(c))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS num, x
+  FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, x FROM points WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 40)),""" + ",".join(steps) + f"""
+SELECT vec_id, CAST(num AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(CAST(d AS BIGINT)) OVER (PARTITION BY num) AS BIGINT) AS cluster_inertia, CAST(sum(CAST(d AS BIGINT)) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.x, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM {last} JOIN c{rounds} c USING (num)"""
+
 
 SQL = {
     "op10_divide_skip": r"""
@@ -131,6 +174,16 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size))
             + greatest(0, least(size, words - start - 2 * source_size)) AS BIGINT) AS taken
 FROM placed""",
+    "op11_mtree": r"""
+WITH points AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: isfinite(c))) = len(embedding)),
+scored AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM points q JOIN points c ON q.row <> c.row AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10""",
+    "op12_zone_maps": _kmeans_sql(centroids.ROUNDS),
     "op13_misra_gries": r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
