@@ -71,8 +71,11 @@ class MisraGries:
             self.compress()
 
     def merge(self, other: MisraGries) -> None:
-        """Take over another summary: both errors add up."""
+        """Take over another summary: both errors add up. With a capacity above the
+        mass of both divided by ``least`` the sum stays below ``least``."""
         other.compress()
+        if self.error + other.error >= self.least:
+            raise ValueError("the summaries are too small for their mass: frequent keys could be lost")
         self.error += other.error
         self.add(other.keys, other.counts)
 
