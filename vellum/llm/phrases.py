@@ -45,6 +45,8 @@ BITS = 27
 CAPACITY, MOST_PARTS = 1 << 18, 1 << 14
 #: Distinct hashes, and phrases, that a task combines before it sends them.
 COMBINE, PHRASES = 1 << 22, 1 << 20
+#: Bits of a hash that are sent, besides those that name its partition. Equal ones only make a summary keep more.
+SENT = 40
 
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
@@ -187,10 +189,26 @@ def _blocks(batches):
             yield names, Words(texts.slice(lo, n).to_pylist(), np.array([seeds[x] for x in names], np.uint64), power, inverse)
 
 
+def _short(keys: np.ndarray, bits: int) -> bytes:
+    """Hashes of one partition in SENT bits each, without the leading ``bits``."""
+    return (keys << np.uint64(bits) >> np.uint64(64 - SENT)).view(np.uint8).reshape(-1, 8)[:, :SENT // 8].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) * 8 // SENT, 8), np.uint8)
+    out[:, :SENT // 8] = np.frombuffer(raw, np.uint8).reshape(len(out), -1)
+    return out.view(np.uint64).ravel()
+
+
+def _parts_bits(mass: int, least: int) -> int:
+    """So many leading bits of a hash name its partition."""
+    return min(MOST_PARTS, max(1, mass // (least * CAPACITY))).bit_length()
+
+
 def survivors(texts: DataFrame, orders: tuple[int, ...], marks: dict, bound: int, least: int) -> np.ndarray:
     """The bitmap of the phrases of these ``orders`` that may be frequent.
     ``marks``: bitmaps of earlier rounds, broadcast. ``bound``: words at most."""
-    bits = int(min(MOST_PARTS, max(1, bound * len(orders) // (least * CAPACITY)))).bit_length()
+    bits = _parts_bits(bound * len(orders), least)
     parts, shift = 1 << bits, np.uint64(64 - bits)
     capacity = max(CAPACITY, bound * len(orders) // (least * parts) + 1)
 
@@ -207,7 +225,7 @@ def survivors(texts: DataFrame, orders: tuple[int, ...], marks: dict, bound: int
             full = np.flatnonzero(np.diff(edge))
             for some in np.array_split(full, max(1, -(-len(keys) // COMBINE) * 4)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array([keys[edge[p]:edge[p + 1]].tobytes() for p in some], pa.binary()),
+                    [pa.array(some.astype(np.int32)), pa.array([_short(keys[edge[p]:edge[p + 1]], bits) for p in some], pa.binary()),
                      pa.array([counts[edge[p]:edge[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "keys", "counts"])
 
         for _, words in _blocks(batches):
@@ -226,11 +244,10 @@ def survivors(texts: DataFrame, orders: tuple[int, ...], marks: dict, bound: int
         summaries: dict[int, MisraGries] = {}  # one: a task has the rows of one hash partition
         for batch in batches:
             for p, k, c in zip(*(x.to_pylist() for x in batch.columns)):
-                summaries.setdefault(p, MisraGries(capacity, least)).add(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64))
+                summaries.setdefault(p, MisraGries(capacity, least)).add(_long(k), np.frombuffer(c, np.int64))
         for p, summary in summaries.items():
-            at = summary.frequent() >> np.uint64(64 - BITS)
             segment = np.zeros(1 << (BITS - bits), bool)
-            segment[(at - np.uint64(p << (BITS - bits))).astype(np.int64)] = True
+            segment[summary.frequent() >> np.uint64(SENT - BITS + bits)] = True
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())],
                                              names=["part", "segment"])
 
@@ -242,16 +259,28 @@ def survivors(texts: DataFrame, orders: tuple[int, ...], marks: dict, bound: int
     return bitmap
 
 
-def counted(texts: DataFrame, marks: dict, longest: int) -> DataFrame:
-    """(lang, n, phrase, f): exact counts of the phrases marked; n = 0: all words of the language."""
+def counted(texts: DataFrame, marks: dict, longest: int, bound: int, least: int) -> DataFrame:
+    """(lang, n, phrase, f): exact counts, by their text, of the phrases marked that
+    occur ``least`` times; n = 0: all words of the language. A task sends each hash
+    partition its phrases of a language as one row, so a phrase meets in one partition."""
+    bits = _parts_bits(bound * longest, least)
+    parts, shift = 1 << bits, np.uint64(64 - bits)
+
     def run(batches):
         known = {k: b.value for k, b in marks.items()}
         keys, slots, counts, phrases, total = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), [], {}
 
-        def rows():
-            langs, orders, names = zip(*phrases) if phrases else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(names, pa.binary()), pa.array(counts)],
-                                              names=["lang", "n", "phrase", "f"])
+        def rows(words_of=()):
+            out = [(0, name, b"", np.array([n], np.int64).tobytes()) for name, n in words_of]
+            edge = np.searchsorted(keys >> shift, np.arange(parts + 1, dtype=np.uint64))
+            for p in np.flatnonzero(np.diff(edge)).tolist():
+                by_lang: dict[str, list[int]] = {}
+                for i in slots[edge[p]:edge[p + 1]].tolist():
+                    by_lang.setdefault(phrases[i][0], []).append(i)
+                out += [(p, name, b"\n".join(phrases[i][1] for i in own), counts[own].tobytes()) for name, own in by_lang.items()]
+            part, lang, lines, f = zip(*out) if out else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lang, pa.string()), pa.array(lines, pa.binary()), pa.array(f, pa.binary())],
+                                              names=["part", "lang", "phrases", "f"])
 
         for names, words in _blocks(batches):
             for name, n in zip(names, words.of_text.tolist()):
@@ -267,18 +296,28 @@ def counted(texts: DataFrame, marks: dict, longest: int) -> DataFrame:
                 counts[slots[where[old]]] += c[old]
                 if not old.all():
                     begin = at[own][first[~old]].tolist()
-                    phrases += [(names[text_of[i]], n, words.phrase(i, n)) for i in begin]
+                    phrases += [(names[text_of[i]], words.phrase(i, n)) for i in begin]
                     slots = np.insert(slots, where[~old], np.arange(len(counts), len(counts) + len(begin)))
                     keys, counts = np.insert(keys, where[~old], u[~old]), np.concatenate([counts, c[~old]])
             if len(keys) > PHRASES:
                 yield rows()
                 keys, slots, counts, phrases = keys[:0], slots[:0], counts[:0], []
-        phrases += [(name, 0, b"") for name in total]
-        counts = np.concatenate([counts, np.array([*total.values()], np.int64)])
-        yield rows()
+        yield rows(total.items())
+
+    def add(batches):
+        total: dict[str, dict[bytes, int]] = {}  # of one hash partition
+        for batch in batches:
+            for name, lines, f in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                own = total.setdefault(name, {})
+                for phrase, n in zip(lines.split(b"\n"), np.frombuffer(f, np.int64).tolist()):
+                    own[phrase] = own.get(phrase, 0) + n
+        for name, own in total.items():
+            often = [(p, f) for p, f in own.items() if f >= least or not p]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(often), pa.string()), pa.array([p.count(b" ") + 1 if p else 0 for p, _ in often], pa.int32()),
+                                              pa.array([p for p, _ in often], pa.binary()), pa.array([f for _, f in often], pa.int64())], names=["lang", "n", "phrase", "f"])
 
-    rows = texts.mapInArrow(run, "lang string, n int, phrase binary, f long")
-    return rows.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).withColumn("phrase", F.col("phrase").cast("string"))
+    rows = texts.mapInArrow(run, "part int, lang string, phrases binary, f binary").repartitionById(parts, F.col("part"))
+    return rows.mapInArrow(add, "lang string, n int, phrase binary, f long").withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -294,7 +333,7 @@ def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     for orders in rounds:
         bitmap = context.broadcast(survivors(texts, orders, marks, int(bound), least))
         marks = marks | {n: bitmap for n in orders}
-    return counted(texts, marks, longest).where((F.col("n") == 0) | (F.col("f") >= least))
+    return counted(texts, marks, longest, int(bound), least)
 
 
 def _words(phrase):
