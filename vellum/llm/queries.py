@@ -163,17 +163,21 @@ firstfit AS (
          sum(CASE WHEN cap / w < f.r THEN 0 ELSE w END) AS den, any_value(f.r) AS r
   FROM weighted, (SELECT min(cap / w) AS r FROM levels WHERE level * w <= cap) f),
 targets AS (
-  SELECT source, CAST(source_size AS BIGINT) AS source_size,
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST([0.5, 0.0, -0.5][rnk % 3 + 1] AS DOUBLE) AS slope,
          CASE WHEN cap / w < r THEN CAST(cap AS DOUBLE) ELSE w * CAST(num AS DOUBLE) / den END AS target
   FROM weighted, firstfit),
 placed AS (
-  SELECT s.*, t.source_size, t.target, round(t.target) AS words,
+  SELECT s.*, t.source_size, t.target, t.slope, round(t.target) AS words,
          coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size))
-            + greatest(0, least(size, words - start - 2 * source_size)) AS BIGINT) AS taken
-FROM placed""",
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken = 0 THEN NULL WHEN slope = 0 THEN start / target
+            ELSE (1 + slope - sqrt(greatest((1 + slope) * (1 + slope) - 4 * slope * (start / target), 0))) / (2 * slope) END AS first_position
+FROM (
+  SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, slope, CAST(start AS DOUBLE) AS start,
+         CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size))
+              + greatest(0, least(size, words - start - 2 * source_size)) AS BIGINT) AS taken
+  FROM placed)""",
     "op11_mtree": r"""
 WITH points AS (
   SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x
