@@ -134,3 +134,37 @@ def test_grouped_ordinal_restarts_per_group(spark):
     for digits in (2, 6):
         got = {r.id: r.ord for r in C.with_ordinal(df, "_h", ["id"], bucket_hex=digits, by=["g"]).collect()}
         assert got == exp
+
+
+def test_boundaries_are_refined_until_their_bucket_is_small(spark, monkeypatch):
+    keyed = _keyed(spark, 3000)
+    whole = {r.k: r.ord for r in C.with_ordinal(keyed, "_h", ["k"]).collect()}
+    monkeypatch.setattr(C, "RANGE_HEX", 1)
+    for most in (1, 5, 5000):
+        monkeypatch.setattr(C, "BOUNDARY_ROWS", most)
+        order = C.HashOrder(keyed, "_h", ["k"])
+        assert order.n_rows == 3000
+        ranks = [0, 1, 777, 2999]
+        for r, b in zip(ranks, order.boundaries(ranks)):
+            assert b.before <= r < b.before + b.rows <= 3000 and (b.rows <= most or len(b.prefix) == 1)
+        for start, stop in ((0, 3), (776, 1234), (2990, 4000)):
+            assert {r.k: r.ord for r in order.range(start, stop).collect()} == {k: o for k, o in whole.items() if start <= o < stop}
+    monkeypatch.setattr(C, "BOUNDARY_ROWS", 1)
+    same = spark.range(50).select(F.col("id").alias("k"), F.lit("0" * 32).alias("_h"))  # no prefix tells them apart
+    assert [r.k for r in C.HashOrder(same, "_h", ["k"]).range(10, 13).orderBy("ord").collect()] == [10, 11, 12]
+    assert C.HashOrder(same.limit(0), "_h", ["k"]).range(0, 5).count() == 0
+
+
+def test_splits_split_the_texts_once_and_fetch_the_chosen_ones(spark):
+    rows = [(i, f"  Sentence {i} has some words here now.  Another one {i} follows it in the text! short. " * (1 + i % 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(60, None), (61, "")], "doc_id long, text string")
+    clean = C.clean_sentences(C.sentences(docs, n_words="n_words"), 5, 128).withColumn("_h", C.order_key(1, "doc_id", "pos"))
+    keys = C.stored_keys(clean, "_h", ["doc_id", "pos"], ["n_words"])
+    assert keys.columns == ["doc_id", "pos", "n_words", "_h"]
+    got = C.sentence_texts(C.shuffled_splits(keys, {"train": 20, "test": 9}, "_h", ["doc_id", "pos"]), docs, 29).collect()
+    want = {(r.doc_id, r.pos): r.text for r in clean.collect()}
+    order = sorted(want, key=lambda k: hashlib.md5(f"1:{k[0]}:{k[1]}".encode()).hexdigest())
+    assert {(r.doc_id, r.pos): (r.text, r.ord, r.split) for r in got} == {
+        k: (want[k], i, "train" if i < 20 else "test") for i, k in enumerate(order[:29])}
+    plan = C.shuffled_splits(keys, {"train": 20}, "_h", ["doc_id", "pos"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "split(" not in plan  # texts are not read again

@@ -143,3 +143,36 @@ def test_empty_and_small_inputs(spark, n):
     df = spark.createDataFrame([(i, f"doc {i}.") for i in range(n)], "doc_id long, text string")
     assert C.clean_sentences(C.sentences(df)).count() == 0
     assert _local("file:/x") == "/x"
+
+
+def _files(path):
+    out = {}
+    for folder, _, names in os.walk(_local(path)):
+        found = [n for n in names if n.endswith(".parquet")]
+        if found:
+            out[os.path.basename(folder)] = len(found)
+    return out
+
+
+def test_files_of_a_split_table_follow_its_size(spark):
+    """Splits of 30,000, 200 and 3 rows, spread over 40 tasks: the small ones are one
+    file each, the large one several, but far fewer than tasks."""
+    split = F.when(F.col("id") < 30_000, "train").when(F.col("id") < 30_200, "valid").otherwise("test")
+    df = spark.range(30_203).repartition(40).withColumn("split", split).withColumn("text", F.sha2(F.col("id").cast("string"), 512))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        path = W.scratch_path(spark, "rebalanced")
+        W.write_split_table(df, path)
+        files = _files(path)
+        assert files["split=valid"] == files["split=test"] == 1 and 2 <= files["split=train"] <= 12
+        assert RD.read_split_table(spark, path).groupBy("split").count().orderBy("split").collect() == [("test", 3), ("train", 30_000), ("valid", 200)]
+        path = W.scratch_path(spark, "clustered")
+        W.write_table(df.drop("split"), path, cluster_by=["id"])
+        bounds = sorted((r.lo, r.hi) for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).collect())
+        assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:])) and bounds[-1][1] == 30_202
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    path = W.scratch_path(spark, "small")
+    W.write_table(df.drop("split"), path)
+    assert sum(_files(path).values()) == 1

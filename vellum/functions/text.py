@@ -67,7 +67,13 @@ def _c(c) -> Column:
 
 def strip(c) -> Column:
     """Python ``str.strip()``."""
-    return F.regexp_replace(_c(c), f"^{WS_CLASS}+|{WS_CLASS}+\\z", "")
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
+
+
+def _blanks(c) -> Column:
+    """Every white-space character as a blank: ``split`` compiles its pattern for
+    each row, and " +" is much shorter than the class of all of them."""
+    return F.translate(_c(c), PY_WHITESPACE, " " * len(PY_WHITESPACE))
 
 
 def strip_chars(c, chars: str) -> Column:
@@ -78,7 +84,7 @@ def strip_chars(c, chars: str) -> Column:
 
 def split_ws(c) -> Column:
     """Python ``str.split()`` (no argument): array of non-empty words."""
-    return F.filter(F.split(_c(c), WS_CLASS + "+"), lambda x: x != "")
+    return F.filter(F.split(_blanks(c), " +"), lambda x: x != "")
 
 
 def word_count(c) -> Column:
@@ -88,8 +94,7 @@ def word_count(c) -> Column:
 def word_count_stripped(c) -> Column:
     """``len(t.split())`` for a text that is already stripped: no edge white
     space means no empty pieces, so no per-piece filter is needed."""
-    c = _c(c)
-    return F.when(c == "", 0).otherwise(F.size(F.split(c, WS_CLASS + "+")))
+    return F.when(_c(c) == "", 0).otherwise(F.size(F.split(_blanks(c), " +")))
 
 
 def collapse_ws(c) -> Column:
@@ -127,12 +132,13 @@ def starts_with_punct(c) -> Column:
     return _c(c).rlike(LEADING_PUNCT)
 
 
-def sentence_clean(c, min_words: int = 5, max_words: int = 128, stripped: bool = False) -> Column:
+def sentence_clean(c, min_words: int = 5, max_words: int = 128, stripped: bool = False, n_words: Column | None = None) -> Column:
     """Sentence quality predicate: length band, no leading punctuation, no
     newline, balanced brackets (cheap tests first; And short-circuits).
-    ``stripped=True`` skips the (idempotent) strip for already-stripped text."""
+    ``stripped=True`` skips the (idempotent) strip for already-stripped text;
+    ``n_words`` is its word count where that is known."""
     s = _c(c) if stripped else strip(c)
-    n = word_count_stripped(s)
+    n = word_count_stripped(s) if n_words is None else n_words
     return (
         ~s.contains("\n")
         & ~starts_with_punct(s)

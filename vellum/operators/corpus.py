@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.session import fits_broadcast, materialize
+from vellum.session import fits_broadcast, materialize, stored
 
 # Ordinal buckets are prefixes of the md5 order key, as wide as the row count
 # needs: about ORDINAL_TARGET_ROWS rows per fine bucket and at least 4 buckets
@@ -44,25 +45,32 @@ def sentences(
     text_col: str = "text",
     keep: Sequence[str] = ("doc_id",),
     splitter: Callable[[Column], Column] | None = None,
+    n_words: str | None = None,
 ) -> DataFrame:
-    """One row per sentence: ``keep`` columns, ``pos`` (0-based), stripped ``text``.
+    """One row per sentence: ``keep`` columns, ``pos`` (0-based), stripped ``text``
+    and, where a name is given, its number of words.
 
     ``splitter`` maps a text Column to an array Column of sentences; the default
     breaks after ``.``, ``!`` or ``?`` followed by white space.
     """
     split = (splitter or T.split_sentences)(F.col(text_col))
-    # stripped inside the array: as a projection above the explode, the strip would be
-    # written into every condition that a later filter pushes down
-    return docs.select(*keep, F.posexplode(F.transform(split, T.strip)).alias("pos", "text"))
+    # stripped (and counted) inside the array: as a projection above the explode, the
+    # expression would be written into every condition that a later filter pushes down
+    each = F.transform(split, T.strip)
+    if n_words is None:
+        return docs.select(*keep, F.posexplode(each).alias("pos", "text"))
+    each = F.transform(each, lambda t: F.struct(t.alias("text"), T.word_count_stripped(t).alias("n")))
+    rows = docs.select(*keep, F.posexplode(each).alias("pos", "_s"))
+    return rows.select(*keep, "pos", F.col("_s.text").alias("text"), F.col("_s.n").alias(n_words))
 
 
 def clean_sentences(sents: DataFrame, min_words: int = 8, max_words: int = 128,
                     text_col: str = "text") -> DataFrame:
-    """Keep sentences passing ``sentence_clean`` and add ``n_words`` (the
-    sentences of ``sentences`` are already stripped)."""
-    return sents.where(T.sentence_clean(F.col(text_col), min_words, max_words, stripped=True)).withColumn(
-        "n_words", T.word_count_stripped(text_col)
-    )
+    """Keep sentences passing ``sentence_clean``, with ``n_words`` (the
+    sentences of ``sentences`` are already stripped, and counted on request)."""
+    known = "n_words" in sents.columns
+    ok = T.sentence_clean(F.col(text_col), min_words, max_words, stripped=True, n_words=F.col("n_words") if known else None)
+    return sents.where(ok) if known else sents.where(ok).withColumn("n_words", T.word_count_stripped(text_col))
 
 
 # A dropped row is sent as its id.
@@ -156,55 +164,122 @@ def seeded_order(df: DataFrame, seed, key_cols: Sequence[str], out: str = "ord")
     return with_ordinal(keyed, "_h", key_cols, out)
 
 
-# Hex digits of the buckets counted to find where an order's range lies; their
-# counts (at most 16 ** RANGE_HEX per band) are the only thing the driver sees.
+# Hex digits by which a histogram of the order key is refined; its counts (at most
+# 16 ** RANGE_HEX for each band or boundary) are the only thing the driver sees.
 RANGE_HEX = 3
+# A boundary of a range is refined until its bucket holds so few rows.
+BOUNDARY_ROWS = 4096
+HASH_HEX = 32
 
 
-def _bucket_counts(df: DataFrame, hash_col: str, band: Column | None = None) -> dict[str | None, list[tuple[str, int]]]:
-    """Rows per hash-prefix bucket, in order, for all rows (key None) and per band."""
-    bucket = F.substring(hash_col, 1, RANGE_HEX).alias("_b")
-    rows = df.groupBy(bucket, (F.lit(None).cast("string") if band is None else band).alias("_band")).agg(
-        F.count(F.lit(1)).alias("_n")).collect()
-    total: dict[str, int] = {}
-    out: dict[str | None, list[tuple[str, int]]] = {}
-    for r in sorted(rows, key=lambda r: r["_b"]):
-        total[r["_b"]] = total.get(r["_b"], 0) + r["_n"]
-        if r["_band"] is not None:
-            out.setdefault(r["_band"], []).append((r["_b"], r["_n"]))
-    out[None] = sorted(total.items())
-    return out
-
-
-def _numbered_buckets(df: DataFrame, counts: list[tuple[str, int]], lo: str, hi: str, hash_col: str,
-                      tie_cols: Sequence[str], out: str) -> DataFrame:
-    """The rows of the buckets lo..hi with their ordinal in the whole order. The
-    prefix filter stands below the numbering, so no other row is shuffled."""
-    bucket = F.substring(hash_col, 1, RANGE_HEX)
-    part = df.where((bucket >= lo) & (bucket <= hi))
-    sizes = [c for b, c in counts if lo <= b <= hi]
-    before = sum(c for b, c in counts if b < lo)
-    digits = RANGE_HEX  # finer buckets than the counted ones when those are large
-    while max(sizes, default=0) > ORDINAL_TARGET_ROWS * 16 ** (digits - RANGE_HEX) and digits < ORDINAL_MAX_HEX:
-        digits += 1
-    return with_ordinal(part, hash_col, tie_cols, out, bucket_hex=digits).withColumn(out, F.col(out) + before)
+class Boundary(NamedTuple):
+    """Where a rank of an order lies: in the bucket of this hash prefix, which has
+    ``rows`` rows after the ``before`` rows of all smaller hashes."""
+    prefix: str
+    before: int
+    rows: int
+
 
+class HashOrder:
+    """Rows by rank of (hash_col, *tie_cols), found by distributed selection.
 
-def ordinal_range(df: DataFrame, start: int, stop: int, hash_col: str, tie_cols: Sequence[str], out: str = "ord",
-                  counts: list[tuple[str, int]] | None = None) -> DataFrame:
+    A histogram over hash prefixes locates a rank; the bucket that holds it is counted
+    again by longer prefixes until it is small. Rows outside a range are neither
+    numbered nor shuffled. ``keys`` is read several times: pass a stored table
+    of narrow rows (keys and hash, no texts; see ``stored_keys``), and fetch what is
+    wide for the chosen rows only (``sentence_texts``).
+    """
+
+    def __init__(self, keys: DataFrame, hash_col: str, tie_cols: Sequence[str], band: Column | None = None):
+        self.keys, self.hash_col, self.tie_cols, self.band = keys, hash_col, list(tie_cols), band
+        self.bands: dict[str, list[tuple[str, int]]] = {}
+        total: dict[str, int] = {}
+        label = F.lit(None).cast("string") if band is None else band
+        counted = keys.groupBy(self._prefix(RANGE_HEX).alias("_b"), label.alias("_band")).agg(F.count(F.lit(1)).alias("_n"))
+        for r in sorted(counted.collect(), key=lambda r: r["_b"]):
+            total[r["_b"]] = total.get(r["_b"], 0) + r["_n"]
+            if r["_band"] is not None:
+                self.bands.setdefault(r["_band"], []).append((r["_b"], r["_n"]))
+        self.buckets: list[Boundary] = []
+        self.n_rows = 0
+        for b, n in total.items():
+            self.buckets.append(Boundary(b, self.n_rows, n))
+            self.n_rows += n
+
+    def _prefix(self, digits: int) -> Column:
+        return F.substring(self.hash_col, 1, digits)
+
+    def boundaries(self, ranks: Sequence[int]) -> list[Boundary]:
+        """The boundary of each rank (below ``n_rows``). One count for each level
+        of refinement, whatever the number of ranks."""
+        def holding(buckets, rank):
+            return next(b for b in reversed(buckets) if b.before <= rank)
+
+        found = [holding(self.buckets, r) for r in ranks]
+        while wide := {b for b in found if b.rows > BOUNDARY_ROWS and len(b.prefix) < HASH_HEX}:
+            digits = len(next(iter(wide)).prefix)
+            longer = min(HASH_HEX, digits + RANGE_HEX)
+            rows = (self.keys.where(self._prefix(digits).isin([b.prefix for b in wide]))
+                    .groupBy(self._prefix(longer).alias("_b")).agg(F.count(F.lit(1)).alias("_n")).collect())
+            inside: dict[str, list[Boundary]] = {b.prefix: [] for b in wide}
+            upto = {b.prefix: b.before for b in wide}
+            for r in sorted(rows, key=lambda r: r["_b"]):
+                p = r["_b"][:digits]
+                inside[p].append(Boundary(r["_b"], upto[p], r["_n"]))
+                upto[p] += r["_n"]
+            found = [holding(inside[b.prefix], r) if b in wide else b for b, r in zip(found, ranks)]
+        return found
+
+    def between(self, low: Boundary, high: Boundary, out: str) -> DataFrame:
+        """All rows from one boundary's bucket to another's, with their rank in
+        the whole order as ``out``. The prefix filter stands below the numbering."""
+        part = self.keys.where((F.col(self.hash_col) >= low.prefix) & (self._prefix(len(high.prefix)) <= high.prefix))
+        inside = [b for b in self.buckets if low.prefix[:RANGE_HEX] <= b.prefix <= high.prefix[:RANGE_HEX]]
+        if max((b.rows for b in inside), default=0) > ORDINAL_TARGET_ROWS:
+            n = high.before + high.rows - low.before  # finer buckets than those counted
+            return with_ordinal(part, self.hash_col, self.tie_cols, out, n_rows=n).withColumn(out, F.col(out) + low.before)
+        # the counts are known: they are the offsets
+        offsets = self.keys.sparkSession.createDataFrame([(b.prefix, max(b.before, low.before)) for b in inside], "_b string, _off long")
+        rank = Window.partitionBy("_b").orderBy(self.hash_col, *self.tie_cols)
+        numbered = part.withColumn("_b", self._prefix(RANGE_HEX)).withColumn("_r", F.row_number().over(rank) - 1)
+        return numbered.join(F.broadcast(offsets), "_b").withColumn(out, F.col("_r") + F.col("_off")).drop("_b", "_r", "_off")
+
+    def range(self, start: int, stop: int, out: str = "ord") -> DataFrame:
+        """Rows ``start <= rank < stop``, with the rank."""
+        stop = min(stop, self.n_rows)
+        if start >= stop:
+            return self.keys.where(F.lit(False)).withColumn(out, F.lit(None).cast("long"))
+        low, high = self.boundaries([start, stop - 1])
+        return self.between(low, high, out).where((F.col(out) >= start) & (F.col(out) < stop))
+
+    def splits(self, sizes: dict[str, int], out: str = "ord") -> DataFrame:
+        """Contiguous splits by sizes from the start of the order; ``ValueError``
+        when there are not so many rows."""
+        _check_sizes(sizes, self.n_rows)
+        return _label_splits(self.range(0, sum(sizes.values()), out), sizes, out)
+
+
+def stored_keys(df: DataFrame, hash_col: str, tie_cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The narrow columns of an order, written once: what made ``df`` (splitting,
+    filtering, hashing of texts) runs a single time, however often the order is read."""
+    return stored(df.select(*tie_cols, *keep, hash_col))
+
+
+def sentence_texts(chosen: DataFrame, docs: DataFrame, n_chosen: int, text_col: str = "text", id_col: str = "doc_id",
+                   splitter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Late materialisation: ``chosen`` sentences (id_col, pos, ...) with their
+    texts. Only documents with a chosen sentence are split again; their ids are
+    broadcast while ``n_chosen`` of them fit the budget."""
+    chosen = stored(chosen)
+    ids = chosen.select(id_col).distinct()
+    some = docs.join(F.broadcast(ids) if fits_broadcast(n_chosen, DEDUP_ROW_BYTES) else ids, id_col, "left_semi")
+    return chosen.join(sentences(some, text_col, [id_col], splitter), [id_col, "pos"])
+
+
+def ordinal_range(df: DataFrame, start: int, stop: int, hash_col: str, tie_cols: Sequence[str], out: str = "ord") -> DataFrame:
     """Rows ``start <= ordinal < stop`` of the order (hash_col, tie_cols), with
-    the ordinal. Buckets outside the range are never numbered: one pass counts
-    rows per bucket, a second keeps the buckets that the range touches."""
-    counts = _bucket_counts(df, hash_col)[None] if counts is None else counts
-    upto, touched = 0, []
-    for b, n in counts:
-        if upto < stop and upto + n > start:
-            touched.append(b)
-        upto += n
-    if not touched:
-        return df.where(F.lit(False)).withColumn(out, F.lit(None).cast("long"))
-    part = _numbered_buckets(df, counts, touched[0], touched[-1], hash_col, tie_cols, out)
-    return part.where((F.col(out) >= start) & (F.col(out) < stop))
+    the ordinal (see ``HashOrder``)."""
+    return HashOrder(df, hash_col, tie_cols).range(start, stop, out)
 
 
 def _label_splits(df: DataFrame, sizes: dict[str, int], ord_col: str) -> DataFrame:
@@ -227,9 +302,7 @@ def shuffled_splits(df: DataFrame, sizes: dict[str, int], hash_col: str, tie_col
                     out: str = "ord") -> DataFrame:
     """``split_by_sizes`` of an order that is not numbered yet: only the buckets
     of the splits' rows are."""
-    counts = _bucket_counts(df, hash_col)[None]
-    _check_sizes(sizes, sum(n for _, n in counts))
-    return _label_splits(ordinal_range(df, 0, sum(sizes.values()), hash_col, tie_cols, out, counts), sizes, out)
+    return HashOrder(df, hash_col, tie_cols).splits(sizes, out)
 
 
 def first_n(df: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
@@ -267,31 +340,29 @@ def remainder_bands(df: DataFrame, cap: int, bands: Sequence[str], size: int, ha
     ``cap`` of the order (hash_col, tie_cols): adds ``out`` (ordinal in the whole
     order), ``band`` and ``band_ord`` (restarting per band).
 
-    One pass counts rows per bucket and band. Only the buckets between the cap
-    and the one in which the last band fills are numbered; if a band has fewer
-    than ``size`` rows, that is the last bucket."""
+    One pass counts rows per bucket and band. Only the rows between the cap's
+    boundary and the bucket in which the last band fills are numbered; if a band has
+    fewer than ``size`` rows, that is the last bucket."""
     label = None
     for name in bands:
         cond = length_band(F.col(n_col), name)
         label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
-    counts = _bucket_counts(df, hash_col, label)
-    every = counts.pop(None)
-    upto, lo = 0, None
-    for b, n in every:
-        upto += n
-        if upto > cap:
-            lo = b
-            break
-    full = dict.fromkeys(bands, "")  # the bucket in which a band has its rows together
-    for name in bands if lo is not None else ():
-        filled, full[name] = 0, lo
-        for b, n in counts.get(name, []):
+    order = HashOrder(df, hash_col, tie_cols, label)
+    if cap >= order.n_rows:
+        none = df.where(F.lit(False)).withColumn(out, F.lit(None).cast("long"))
+        return none.withColumn("band", F.lit(None).cast("string")).withColumn("band_ord", F.lit(None).cast("long"))
+    low = order.boundaries([cap])[0]
+    lo = low.prefix[:RANGE_HEX]
+    full = dict.fromkeys(bands, lo)  # the bucket in which a band has its rows together
+    for name in bands:
+        filled = 0
+        for b, n in order.bands.get(name, []):
             if b > lo and filled < size:  # the cap's own bucket may hold capped rows only
                 filled, full[name] = filled + n, b
         if filled < size:
-            full[name] = every[-1][0]
-    rest = _numbered_buckets(df, every, lo or "", max(full.values()), hash_col, tie_cols, out).where(F.col(out) >= cap)
-    rest = rest.withColumn("band", label)
+            full[name] = order.buckets[-1].prefix
+    high = next(b for b in order.buckets if b.prefix == max(full.values()))
+    rest = order.between(low, high, out).where(F.col(out) >= cap).withColumn("band", label)
     needed = [(F.col("band") == name) & (F.substring(hash_col, 1, RANGE_HEX) <= b) for name, b in full.items()]
     rest = rest.where(reduce(lambda a, b: a | b, needed))
     # a band's rows up to that bucket are about ``size``: one small window each

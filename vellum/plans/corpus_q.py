@@ -35,7 +35,8 @@ def _sentences(spark, sf):
 
 
 def _clean(spark, sf):
-    return C.clean_sentences(_sentences(spark, sf), 8, 128)
+    sents = C.sentences(docs(spark, sf), keep=["doc_id", "lang", "source"], n_words="n_words")
+    return C.clean_sentences(sents, 8, 128)
 
 
 SENT_SQL = f"""
@@ -248,19 +249,20 @@ Q["smp_range_slice"] = smp_range_slice
 SQL["smp_range_slice"] = f"SELECT * FROM ({_SHUF_SQL}) WHERE ord >= {SLICE[0]} AND ord < {SLICE[1]}"
 
 
-def keyed_clean(spark, sf):
-    """Clean sentences with the key of their seeded order."""
-    return _clean(spark, sf).withColumn("_h", C.order_key(SEED, "doc_id", "pos"))
+def clean_keys(spark, sf):
+    """Narrow rows (doc_id, pos, n_words, order key) of the clean sentences: the
+    one pass over the texts."""
+    return C.stored_keys(_clean(spark, sf).withColumn("_h", C.order_key(SEED, "doc_id", "pos")), "_h", ["doc_id", "pos"], ["n_words"])
 
 
-_ORD_CLEAN_SQL = f"""
+ORDERED_CLEAN_SQL = f"""
 SELECT c.*, {D.order_key(SEED, 'doc_id', 'pos')} AS h,
        row_number() OVER (ORDER BY {D.order_key(SEED, 'doc_id', 'pos')}, doc_id, pos) - 1 AS ord
 FROM ({CLEAN_SQL}) c"""
 
 
 def split_by_sizes(spark, sf):
-    s = C.shuffled_splits(keyed_clean(spark, sf), SPLIT_SIZES, "_h", ["doc_id", "pos"])
+    s = C.shuffled_splits(clean_keys(spark, sf), SPLIT_SIZES, "_h", ["doc_id", "pos"])
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"),
                                   F.min("ord").alias("min_ord"), F.max("ord").alias("max_ord"),
                                   F.count_distinct("doc_id").alias("n_docs"))
@@ -273,22 +275,22 @@ SELECT split, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS n_words, min(ord) A
        max(ord) AS max_ord, count(DISTINCT doc_id) AS n_docs
 FROM (SELECT *, CASE WHEN ord < {_a} THEN 'train' WHEN ord < {_a + _b} THEN 'valid'
                      WHEN ord < {_a + _b + _c} THEN 'test' END AS split
-      FROM ({_ORD_CLEAN_SQL})) WHERE split IS NOT NULL GROUP BY split"""
+      FROM ({ORDERED_CLEAN_SQL})) WHERE split IS NOT NULL GROUP BY split"""
 
 CAP = sum(SPLIT_SIZES.values())
 
 
 def smp_prefix_cap(spark, sf):
-    capped = C.ordinal_range(keyed_clean(spark, sf), 0, CAP, "_h", ["doc_id", "pos"])
+    capped = C.ordinal_range(clean_keys(spark, sf), 0, CAP, "_h", ["doc_id", "pos"])
     return capped.select("doc_id", "pos", "ord", "n_words")
 
 
 Q["smp_prefix_cap"] = smp_prefix_cap
-SQL["smp_prefix_cap"] = f"SELECT doc_id, pos, ord, n_words FROM ({_ORD_CLEAN_SQL}) WHERE ord < {CAP}"
+SQL["smp_prefix_cap"] = f"SELECT doc_id, pos, ord, n_words FROM ({ORDERED_CLEAN_SQL}) WHERE ord < {CAP}"
 
 
 def smp_remainder_bucket(spark, sf):
-    both = C.remainder_bands(keyed_clean(spark, sf), CAP, ["medium", "long"], BAND_SIZE, "_h", ["doc_id", "pos"])
+    both = C.remainder_bands(clean_keys(spark, sf), CAP, ["medium", "long"], BAND_SIZE, "_h", ["doc_id", "pos"])
     return both.select("band", "doc_id", "pos", "ord", "band_ord", "n_words")
 
 
@@ -297,10 +299,10 @@ SQL["smp_remainder_bucket"] = f"""
 SELECT band, doc_id, pos, ord, band_ord, n_words FROM (
   SELECT *, row_number() OVER (PARTITION BY band ORDER BY ord) - 1 AS band_ord FROM (
     SELECT *, CASE WHEN n_words > 35 AND n_words < 50 THEN 'medium' END AS band
-    FROM ({_ORD_CLEAN_SQL}) WHERE ord >= {CAP}
+    FROM ({ORDERED_CLEAN_SQL}) WHERE ord >= {CAP}
     UNION ALL
     SELECT *, CASE WHEN n_words > 65 THEN 'long' END AS band
-    FROM ({_ORD_CLEAN_SQL}) WHERE ord >= {CAP}) WHERE band IS NOT NULL)
+    FROM ({ORDERED_CLEAN_SQL}) WHERE ord >= {CAP}) WHERE band IS NOT NULL)
 WHERE band_ord < {BAND_SIZE}"""
 
 

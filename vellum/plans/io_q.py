@@ -14,7 +14,7 @@ from vellum.operators import corpus as C
 from vellum.operators import records as B
 from vellum.plans import duck as D
 from vellum.plans import scores_q
-from vellum.plans.corpus_q import SPLIT_SIZES, SQL as CSQL, keyed_clean
+from vellum.plans.corpus_q import SPLIT_SIZES, ORDERED_CLEAN_SQL, SQL as CSQL, clean_keys
 from vellum.plans.records_q import cand_list_sql
 from vellum.session import materialize, table
 from vellum.sources import readers as RD
@@ -76,21 +76,42 @@ SQL["src_text_dir"] = f"""SELECT lang, count(*) AS n_docs, CAST(sum(length(j)) A
 
 
 def sink_split_table(spark, sf):
-    """Sentence splits written partitioned by split; the test split read back
-    alone (partition pruning)."""
+    """Sentence splits written partitioned by split, texts fetched for the chosen
+    sentences only; the test split read back alone (partition pruning)."""
     path = W.scratch_path(spark, "splits")
-    s = C.shuffled_splits(keyed_clean(spark, sf), SPLIT_SIZES, "_h", ["doc_id", "pos"])
+    chosen = C.shuffled_splits(clean_keys(spark, sf), SPLIT_SIZES, "_h", ["doc_id", "pos"])
+    s = C.sentence_texts(chosen, table(spark, sf, "documents"), sum(SPLIT_SIZES.values()))
     W.write_split_table(s.select("doc_id", "pos", "text", "n_words", "ord", "split"), path)
     t = RD.read_split_table(spark, path, "test")
-    return t.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"),
+    return t.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"), F.sum(F.length("text")).alias("n_chars"),
                                   F.min("ord").alias("min_ord"), F.max("ord").alias("max_ord"),
                                   F.count_distinct("doc_id").alias("n_docs"))
 
 
 Q["sink_split_table"] = sink_split_table
-SQL["sink_split_table"] = f"SELECT * FROM ({CSQL['split_by_sizes']}) WHERE split = 'test'"
-Q["src_saved_table"] = sink_split_table
-SQL["src_saved_table"] = SQL["sink_split_table"]
+SQL["sink_split_table"] = f"""
+SELECT 'test' AS split, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+       min(ord) AS min_ord, max(ord) AS max_ord, count(DISTINCT doc_id) AS n_docs
+FROM ({ORDERED_CLEAN_SQL}) WHERE ord >= {SPLIT_SIZES["train"] + SPLIT_SIZES["valid"]} AND ord < {sum(SPLIT_SIZES.values())}"""
+
+
+def src_saved_table(spark, sf):
+    """A saved table of whole documents in three uneven splits: one split read by
+    partition pruning, and the whole table read at once."""
+    path = W.scratch_path(spark, "saved")
+    split = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "valid").otherwise("test")
+    W.write_split_table(table(spark, sf, "documents").withColumn("split", split), path)
+    about = [F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), F.max("doc_id").alias("max_id")]
+    one = RD.read_split_table(spark, path, "valid").agg(*about).select(F.lit("valid alone").alias("part"), "n", "n_chars", "max_id")
+    return one.union(RD.read_split_table(spark, path).groupBy("split").agg(*about))
+
+
+Q["src_saved_table"] = src_saved_table
+SQL["src_saved_table"] = """
+SELECT part, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars, max(doc_id) AS max_id
+FROM (SELECT *, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'valid' ELSE 'test' END AS part FROM documents
+      UNION ALL SELECT *, 'valid alone' FROM documents WHERE doc_id % 10 = 8)
+GROUP BY part"""
 
 
 def src_multi_dataset(spark, sf):

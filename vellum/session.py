@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -91,3 +92,13 @@ def materialize(df):
     folder, so lost executors never force recomputing the upstream text work."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, *cluster_by: str):
+    """``df`` written as a Parquet table in the shared checkpoint folder and read
+    back: later reads prune its columns and see its row counts, and lost executors
+    only reread it. ``cluster_by`` deals rows out by these columns first."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vellum-scratch/stored-{uuid.uuid4().hex}"
+    (df.repartition(*cluster_by) if cluster_by else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -18,13 +18,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/vellum-scratch/{name}-{uuid.uuid4().hex}"
 
 
-def write_split_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Named splits in one table, one folder per split."""
-    df.write.mode(mode).partitionBy("split").parquet(path)
+#: Hash partitions of a write by split, before small ones are put together: so many
+#: that two splits hardly meet in one, where a large one would cut the other up.
+SPLIT_PARTITIONS = 1024
 
 
-def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).parquet(path)
+def write_split_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Named splits in one table, one folder per split. Rows are rebalanced by
+    split before the write: a small split is one file however many tasks hold its
+    rows, and a large one is cut into files of about
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so no task writes a hot split alone."""
+    df.hint("rebalance", SPLIT_PARTITIONS, "split").write.mode(mode).partitionBy("split").parquet(path)
+
+
+def write_table(df: DataFrame, path: str, mode: str = "errorifexists", cluster_by: Sequence[str] = ()) -> None:
+    """A table whose files follow its size, not the number of tasks; with
+    ``cluster_by``, rows are range-clustered by these columns, so readers skip
+    files by their minima and maxima."""
+    even = df.hint("rebalance")
+    if cluster_by:
+        even = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+    even.write.mode(mode).parquet(path)
 
 
 def write_predictions(preds: DataFrame, path: str, part: str = "all") -> None:
