@@ -96,3 +96,84 @@ def test_broadcast_budget_and_shuffle_fallback(spark, monkeypatch):
         assert run() == small
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("width", [3, 1024])
+def test_mean_vectors_add_up_in_two_levels(spark, monkeypatch, width):
+    """Groups spread over tasks and Arrow batches, a hot one, masked ones, null keys and vectors."""
+    rng = np.random.default_rng(width)
+    rows = []
+    for i in range(1200 if width == 3 else 200):
+        key = (None if i % 50 == 7 else "hot" if i % 3 == 0 else f"k{i % 11}", i % 2)
+        rows.append((*key, 0 if key[0] == "k4" else 1, None if i % 13 == 5 or key == ("k5", 1) else rng.normal(size=width).tolist()))
+    df = spark.createDataFrame(rows, "k string, part int, mask int, vec array<double>").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.k, r.part): r.embedding for r in V.mean_vectors(df, ["k", "part"], "vec", F.col("mask") == 1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k, part, mask, vec in rows:
+        want.setdefault((k, part), []).extend([vec] if mask and vec else [])
+    assert got.keys() == want.keys()
+    for k, vecs in want.items():
+        assert (got[k] is None) == (not vecs) and (not vecs or np.allclose(got[k], np.mean(vecs, axis=0)))
+    plan = V.mean_vectors(df, ["k"], "vec")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    with pytest.raises(Exception, match="width"):
+        V.mean_vectors(spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "k int, vec array<double>").repartition(2), ["k"], "vec").collect()
+    assert V.mean_vectors(df.limit(0), ["k"], "vec").collect() == []
+
+
+def _inference(spark):
+    values = {"job": ["poet", "king", "baker", "smith"], "land": ["france", "chad", "peru"]}
+    rng = np.random.default_rng(2)
+    rows, preds = [], []
+    for i in range(60):
+        job, land = (list(rng.permutation(values[a])) for a in values)
+        rows.append((i, [str(x) for x in job[:3]], None if i % 9 == 0 else [str(x) for x in land]))
+        preds += [("d", i, r, f"The job is {rng.choice(job[:2])} of {land[r]}") for r in range(2)]
+    return (spark.createDataFrame(rows, "row_id long, job_candidate_list array<string>, land_candidate_list array<string>"),
+            spark.createDataFrame(preds, "dataset string, row_id long, run int, text string"), rows, preds)
+
+
+def test_inference_by_matrix_product_equals_a_loop(spark, monkeypatch):
+    import vellum.session as SES
+
+    cands, preds, rows, texts = _inference(spark)
+    encode = V.HashedEncoder(32, normalize=False)
+    lists = {i: {"job": j, "land": n} for i, j, n in rows}
+    want = {}
+    for d, i, run, text in texts:
+        t = encode([text])[0]
+        for attr, values in lists[i].items():
+            if values is not None:
+                s = [float(t @ encode([f"The {attr} is {v}"])[0]) for v in values]
+                n = want.setdefault((d, attr, run), [0, 0, 0])
+                n[0] += 1
+                n[1] += s.index(max(s)) == 0
+                n[2] += s.count(max(s)) > 1
+    make = lambda: V.HashedEncoder(32, normalize=False)
+
+    def run():
+        got = V.infer_attributes(preds, cands, ["job", "land"], make, 32).collect()
+        return {(r.dataset, r.attr, r.run): [r.n_rows, round(r.accuracy * r.n_rows), r.n_tied] for r in got}
+
+    assert run() == want
+    monkeypatch.setattr(SES, "BROADCAST_MAX_BYTES", 900)  # prompts in several blocks
+    assert run() == want
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="no vector of the row"):
+        V.infer_attributes(preds.where("row_id <> 5"), cands, ["job"], make, 32).collect()
+
+
+def test_products_of_few_and_of_many_prompts():
+    rng = np.random.default_rng(1)
+    t, p = rng.normal(size=(50, 8)), rng.normal(size=(300, 8))
+    for m in (5, 300):
+        ids = rng.integers(-1, m, (50, 6))
+        got = V.products(t, ids, p[:m])
+        want = np.where(ids < 0, np.nan, np.einsum("nd,nkd->nk", t, p[np.maximum(ids, 0)]))
+        assert np.allclose(got, want, equal_nan=True)
+    best, tied = V.first_best(np.array([[1.0, np.nan, 2.0], [3.0, 3.0, 9.0]]), np.array([[True, True, True], [True, True, False]]))
+    assert best.tolist() == [1, 0] and tied.tolist() == [1, 2]

@@ -16,7 +16,7 @@ from vellum.plans import duck as D
 from vellum.plans import scores_q
 from vellum.plans.corpus_q import SPLIT_SIZES, ORDERED_CLEAN_SQL, SQL as CSQL, clean_keys
 from vellum.plans.records_q import cand_list_sql
-from vellum.session import materialize, table
+from vellum.session import stored, table
 from vellum.sources import readers as RD
 from vellum.sources import writers as W
 from vellum.streaming import sentences as STR
@@ -282,7 +282,7 @@ for _slug in ("str_final_period", "str_render_attributes"):
 
 
 def triage_candidates(spark, sf):
-    r = materialize(triage_records(spark, sf))   # read by the domains, the draws and the join back
+    r = stored(triage_records(spark, sf))   # read by the domains, the draws and the join back
     r = B.candidate_lists_multi(r, "row_id", TRIAGE_ATTRS, SEED)
     return r.select("row_id", *[F.array_join(f"{a}_candidate_list", "|").alias(f"{a}_candidates")
                                 for a in TRIAGE_ATTRS])

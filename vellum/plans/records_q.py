@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.operators import records as B
 from vellum.plans import duck as D
-from vellum.session import materialize, table
+from vellum.session import stored, table
 from vellum.sources import readers as RD
 
 SEED = 2023
@@ -184,7 +184,10 @@ S_TOP = f"SELECT * FROM ({S_NAT}) WHERE nationality IN (SELECT value FROM ({S_TO
 
 
 def s_all_in_text(spark, sf):
-    s = s_top(spark, sf)
+    return all_in_text(s_top(spark, sf))
+
+
+def all_in_text(s):
     line = T.first_line(F.col("text"))
     return s.where(line.contains(F.col("birth_date")) & line.contains(F.col("occupation"))
                    & line.contains(F.col("nationality")))
@@ -194,16 +197,20 @@ S_ALL = f"""SELECT * FROM ({S_TOP}) WHERE contains({D.first_line('text')}, birth
 AND contains({D.first_line('text')}, occupation) AND contains({D.first_line('text')}, nationality)"""
 
 
-def top_nationalities(spark, sf) -> list[str]:
-    """The ranked top-20 list (at most 20 strings: a bounded driver value)."""
-    top = B.top_k_values(s_nat_line(spark, sf), "nationality", TOP_K, first=row_place())
-    return [r["value"] for r in top.collect()]
+def ranked_rows(spark, sf):
+    """Rows of the biography chain up to the nationality test, written once, and
+    the ranked top-20 nationalities (at most 20 strings: a bounded driver value) that
+    select among them and are capitalised later."""
+    rows = stored(s_nat_line(spark, sf))
+    top = B.top_k_values(rows, "nationality", TOP_K, first=row_place())
+    return rows, [r["value"] for r in top.collect()]
 
 
 def s_render(spark, sf):
-    s = s_all_in_text(spark, sf)
+    rows, ranked = ranked_rows(spark, sf)
+    s = all_in_text(rows.where(F.col("nationality").isin(ranked)))
     t = T.untokenize(T.strip(T.first_line(F.col("text"))))
-    t = T.capitalize_terms(t, top_nationalities(spark, sf))
+    t = T.capitalize_terms(t, ranked)
     t = T.capitalize_terms(t, T.MONTHS)
     t = T.title_entities(t, F.array("name"))
     return s.withColumn("text", t).drop("name")
@@ -339,9 +346,9 @@ SQL["str_untokenize"] = f"SELECT row_id, {_UNTOK} AS text FROM ({S_ALL})"
 
 
 def str_capitalize_terms(spark, sf):
-    s = s_all_in_text(spark, sf)
-    return s.select("row_id", T.capitalize_terms(T.capitalize_terms(T.first_line(F.col("text")), top_nationalities(spark, sf)),
-                                                 T.MONTHS).alias("text"))
+    rows, ranked = ranked_rows(spark, sf)
+    s = all_in_text(rows.where(F.col("nationality").isin(ranked)))
+    return s.select("row_id", T.capitalize_terms(T.capitalize_terms(T.first_line(F.col("text")), ranked), T.MONTHS).alias("text"))
 
 
 Q["str_capitalize_terms"] = str_capitalize_terms
@@ -362,7 +369,7 @@ SQL["str_title_entities"] = f"""SELECT row_id, replace(replace({D.first_line('te
 def set_union_all(spark, sf):
     """Splits processed apart and concatenated again (union keeps the split
     column, so positional re-splitting is never needed)."""
-    s = materialize(s_render(spark, sf))   # one run of the chain, whatever the number of splits
+    s = stored(s_render(spark, sf))   # one run of the chain, whatever the number of splits
     parts = [s.where(F.col("split") == x) for x in ("train", "valid", "test")]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return u.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("row_id").alias("sum_id"))
@@ -370,12 +377,24 @@ def set_union_all(spark, sf):
 
 Q["set_union_all"] = set_union_all
 SQL["set_union_all"] = _stage_summary_sql(S_RENDER, [])
-Q["split_preserving"] = set_union_all
-SQL["split_preserving"] = SQL["set_union_all"]
+
+
+def split_preserving(spark, sf):
+    """Rows filtered by their contents stay in the split they came from: rows of each
+    split before and after, and the smallest and largest row that is left."""
+    before = s_hub(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n_before"))
+    after = s_markup(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n_after"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+    return before.join(after, "split", "left")
+
+
+Q["split_preserving"] = split_preserving
+SQL["split_preserving"] = f"""SELECT split, n_before, n_after, first_row, last_row
+FROM (SELECT split, count(*) AS n_before FROM ({S_HUB}) GROUP BY split)
+LEFT JOIN (SELECT split, count(*) AS n_after, min(row_id) AS first_row, max(row_id) AS last_row FROM ({S_MARKUP}) GROUP BY split) USING (split)"""
 
 
 def agg_distinct_domain(spark, sf):
-    s = materialize(s_render(spark, sf))   # read once for each attribute
+    s = stored(s_render(spark, sf))   # read once for each attribute
     return s.select(F.lit("occupation").alias("attribute"), F.col("occupation").alias("value")).distinct() \
         .unionByName(s.select(F.lit("nationality").alias("attribute"), F.col("nationality").alias("value")).distinct())
 
@@ -383,8 +402,15 @@ def agg_distinct_domain(spark, sf):
 Q["agg_distinct_domain"] = agg_distinct_domain
 SQL["agg_distinct_domain"] = f"""SELECT DISTINCT 'occupation' AS attribute, occupation AS value FROM ({S_RENDER})
 UNION ALL SELECT DISTINCT 'nationality' AS attribute, nationality AS value FROM ({S_RENDER})"""
-Q["distinct"] = agg_distinct_domain
-SQL["distinct"] = SQL["agg_distinct_domain"]
+
+
+def distinct(spark, sf):
+    """Distinct (year, occupation) pairs of the training split's rows."""
+    return s_markup(spark, sf).where(F.col("split") == "train").select("birth_date", "occupation").distinct()
+
+
+Q["distinct"] = distinct
+SQL["distinct"] = f"SELECT DISTINCT birth_date, occupation FROM ({S_MARKUP}) WHERE split = 'train'"
 
 
 # ------------------------------------------------------------- candidates ---
@@ -409,7 +435,7 @@ SELECT {key}, list_prepend(truth, list(value ORDER BY pos)[1:k - 1]) AS cands FR
 
 
 def cand_list(spark, sf):
-    s = materialize(s_render(spark, sf))   # read by the domains, the draws and the join back
+    s = stored(s_render(spark, sf))   # read by the domains, the draws and the join back
     s = B.candidate_lists_multi(s, "row_id", ATTRS, SEED)
     return s.select("row_id", "split", *[F.array_join(f"{a}_candidate_list", "|").alias(f"{a}_candidates")
                                          for a in ATTRS])
@@ -419,5 +445,25 @@ Q["cand_list"] = cand_list
 _CAND_JOIN = " ".join(f"JOIN ({cand_list_sql(S_RENDER, 'row_id', a)}) c_{a} USING (row_id)" for a in ATTRS)
 SQL["cand_list"] = f"""SELECT row_id, split, {', '.join(f"array_to_string(c_{a}.cands, '|') AS {a}_candidates" for a in ATTRS)}
 FROM ({S_RENDER}) base {_CAND_JOIN}"""
-Q["distinct_distractors"] = cand_list
-SQL["distinct_distractors"] = SQL["cand_list"]
+
+
+def distinct_distractors(spark, sf):
+    """What a row's distractors must be: other than the truth, distinct, from the
+    attribute's domain; counted over all rows, with the domain's size."""
+    s = stored(s_render(spark, sf))
+    lists = B.candidate_lists_multi(s, "row_id", ATTRS, SEED)
+    long = lists.select("row_id", F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).alias("truth"), F.col(f"{a}_candidate_list").alias("c"))
+                                                      for a in ATTRS])).alias("x")).select("row_id", "x.*")
+    others = F.slice("c", 2, F.size("c") - 1)
+    per = long.groupBy("attr").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.size(others)).alias("n_distractors"), F.sum(F.size(F.array_distinct(others))).alias("n_distinct"),
+        F.sum(F.array_contains(others, F.col("truth")).cast("int")).cast("long").alias("n_truth_again"))
+    used = long.select("attr", F.explode("c").alias("value")).groupBy("attr").agg(F.count_distinct("value").alias("n_values"))
+    return per.join(used, "attr")
+
+
+Q["distinct_distractors"] = distinct_distractors
+SQL["distinct_distractors"] = "\nUNION ALL ".join(f"""
+SELECT '{a}' AS attr, count(*) AS n_rows, CAST(sum(least(n - 1, 9)) AS BIGINT) AS n_distractors, CAST(sum(least(n - 1, 9)) AS BIGINT) AS n_distinct,
+       CAST(0 AS BIGINT) AS n_truth_again, (SELECT count(DISTINCT u.v) FROM ({cand_list_sql(S_RENDER, 'row_id', a)}), unnest(cands) AS u(v)) AS n_values
+FROM ({S_RENDER}), (SELECT count(DISTINCT {a}) AS n FROM ({S_RENDER}))""" for a in ATTRS)

@@ -20,7 +20,7 @@ from vellum.operators import sequences as Q_SEQ
 from vellum.operators import vectors as V
 from vellum.plans import duck as D
 from vellum.plans.records_q import ATTRS, S_RENDER, cand_list_sql, s_render
-from vellum.session import materialize, table
+from vellum.session import stored, table
 from vellum.sources import writers as W
 
 SEED = 2023
@@ -170,12 +170,12 @@ def _tokens(spark, sf):
     t = c.select("conv_id", "turn", F.posexplode(T.tok_rouge(F.col("text"))).alias("pos", "token"))
     stop = F.array(*[F.lit(w) for w in T.STOPWORDS_EN])
     return t.select("conv_id", "turn", "pos", V.hashed_token_vector(F.col("token"), POOL_DIM).alias("vec"),
-                    F.when(F.array_contains(stop, F.col("token")), 0).otherwise(1).alias("mask"))
+                    F.when(F.array_contains(stop, F.col("token")) | ((F.col("conv_id") + F.col("turn")) % 23 == 0), 0).otherwise(1).alias("mask"))
 
 
 _TOK_SQL = f"""SELECT conv_id, turn, u.pos - 1 AS pos, u.token,
   list_transform(range(0, {POOL_DIM}), lambda d: ('0x' || substr(md5(u.token || ':' || CAST(d AS VARCHAR)), 1, 8))::BIGINT::DOUBLE / {float(2**32)!r} - 0.5) AS vec,
-  CASE WHEN list_contains([{', '.join(D.q(w) for w in T.STOPWORDS_EN)}], u.token) THEN 0 ELSE 1 END AS mask
+  CASE WHEN list_contains([{', '.join(D.q(w) for w in T.STOPWORDS_EN)}], u.token) OR (conv_id + turn) % 23 = 0 THEN 0 ELSE 1 END AS mask
 FROM conversations, unnest({D.tok_rouge('text')}) WITH ORDINALITY AS u(token, pos)"""
 
 
@@ -184,13 +184,14 @@ def _vec_cols(col):
 
 
 def pool_mean_masked(spark, sf):
+    """Stop words are masked, and every token of some turns, which keep their row."""
     p = V.pool_mean_masked(_tokens(spark, sf), ["conv_id", "turn"])
     return p.select("conv_id", "turn", *_vec_cols("embedding"))
 
 
 Q["pool_mean_masked"] = pool_mean_masked
-SQL["pool_mean_masked"] = f"""SELECT conv_id, turn, {', '.join(f'round(avg(vec[{i + 1}]), 9) AS v{i}' for i in range(POOL_DIM))}
-FROM ({_TOK_SQL}) WHERE mask = 1 GROUP BY conv_id, turn"""
+SQL["pool_mean_masked"] = f"""SELECT conv_id, turn, {', '.join(f'round(avg(vec[{i + 1}]) FILTER (WHERE mask = 1), 9) AS v{i}' for i in range(POOL_DIM))}
+FROM ({_TOK_SQL}) GROUP BY conv_id, turn"""
 
 
 def pool_cls(spark, sf):
@@ -299,12 +300,12 @@ TEXT_WORDS = 15
 
 
 def _bio(spark, sf):
-    s = materialize(s_render(spark, sf))   # read by the texts, the domains and the draws
+    s = stored(s_render(spark, sf))   # read by the texts, the domains and the draws
     return s.withColumn("dataset", F.when(F.col("split") == "train", "train").otherwise("heldout"))
 
 
 def _bio_candidates(s):
-    return V.candidates_long(B.candidate_lists_multi(s, "row_id", ATTRS, SEED), "row_id", ATTRS)
+    return B.candidate_lists_multi(s, "row_id", ATTRS, SEED)
 
 
 def _counts_encoder():
@@ -312,7 +313,7 @@ def _counts_encoder():
 
 
 def _inferred(s, preds):
-    a = V.infer_attributes(preds, _bio_candidates(s), _counts_encoder, DIM)
+    a = V.infer_attributes(preds, stored(_bio_candidates(s)), ATTRS, _counts_encoder, DIM)
     return a.select("dataset", "attr", "run", F.round("accuracy", 9).alias("accuracy"), "n_tied", "n_rows")
 
 
@@ -333,7 +334,7 @@ def sink_attr_results(spark, sf):
     """Results written per dataset, attribute and run, one run retried, and the
     whole table read back."""
     path = W.scratch_path(spark, "attr-results")
-    r = materialize(attr_inference_multi(spark, sf))
+    r = stored(attr_inference_multi(spark, sf))
     W.write_attr_results(r, path)
     W.write_attr_results(r.where("run = 3"), path)
     back = spark.read.schema(r.schema).parquet(path)
