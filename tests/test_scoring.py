@@ -334,3 +334,46 @@ def test_rouge_multi_reference_all_types_and_no_reference(spark):
     one = S.rouge_rows(spark.createDataFrame([(1, "a b c", "a b")], "row_id long, pred string, ref string"), keep=["row_id"]).collect()[0]
     for t in S.ROUGE_TYPES:
         assert rows[1][t] == pytest.approx(one[t]) and rows[2][t] is None and rows[3][t] is None
+
+
+@pytest.mark.parametrize("most,at_once", [(1 << 62, 2_000_000), (1 << 30, 50), (1 << 12, 300)])
+def test_columnar_counts_with_several_references(monkeypatch, most, at_once):
+    """Numbers that are ranked when they get too large, batches cut into parts, null lists and tokens."""
+    import numpy as np
+    import pyarrow as pa
+
+    from vellum.functions import overlap as O
+
+    rng = random.Random(most)
+    monkeypatch.setattr(O, "_MOST", most)
+    monkeypatch.setattr(O, "TOKENS_AT_ONCE", at_once)
+
+    def tokens():
+        return [rng.choice([None, *(f"t{k}" for k in range(rng.choice([1, 5, 40])))]) for _ in range(rng.choice([0, 1, 3, 20, 60]))]
+
+    rows = [(None if i % 37 == 5 else tokens(), None if i % 41 == 3 else [tokens() for _ in range(rng.choice([0, 1, 1, 3]))]) for i in range(200)]
+    a, refs = pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.string())))
+    orders = (1, 2, 4)
+    many, lists = O._lengths(refs), refs.flatten()
+    row = np.repeat(np.arange(len(a)), many)
+    side = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + 1
+    got = O._counted(a, lists, O._lengths(lists), row, side, O._nulls(a) | O._nulls(refs), orders).to_pylist()
+
+    def grams(x, n):
+        return collections.Counter(tuple(x[i:i + n]) for i in range(len(x) - n + 1))
+
+    def model(x, rs, n):
+        best = collections.Counter()
+        for r in rs:
+            best |= grams(r, n)
+        return sum((grams(x, n) & best).values())
+
+    assert got == [None if x is None or rs is None else [model(x, rs, n) for n in orders] for x, rs in rows]
+
+
+def test_bleu_multi_shuffles_no_ngrams(spark):
+    df = spark.createDataFrame([(1, "a b c d e", ["a b c d", "b c d e f"])] * 3, "row_id long, pred string, refs array<string>")
+    plan = S.bleu_counts_multi(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    r = S.bleu_counts_multi(df).first()
+    assert (r.m1, r.p1, r.m2, r.m4, r.reference_length, r.translation_length) == (15, 15, 12, 6, 12, 15)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from vellum.functions import arrays as A
 from vellum.functions import lcs as L
 from vellum.functions import text as T
-from vellum.functions.overlap import ngram_overlaps
+from vellum.functions.overlap import ngram_overlaps, ngram_overlaps_many
 from vellum.session import materialize
 
 ROUGE_TYPES = ("rouge1", "rouge2", "rougeL", "rougeLsum")
@@ -127,39 +127,16 @@ def bleu_counts_multi(pairs: DataFrame, refs: str = "refs", pred: str = "pred",
                       tokenizer: Callable[[Column], Column] = T.tok_13a) -> DataFrame:
     """Same sums for several references per row (``refs`` is array<string>):
     clipping is against the per-n-gram maximum over references and the
-    reference length is the shortest reference. N-grams are counted with a
-    distributed aggregate keyed by (row, n-gram), so frequent n-grams never
-    meet on one key."""
-    base = pairs.select(*by, key, tokenizer(F.col(pred)).alias("_t"),
-                        F.transform(F.col(refs), tokenizer).alias("_rs"))
-    lengths = base.select(*by, key, F.size("_t").alias("_tl"),
-                          F.array_min(F.transform("_rs", F.size)).alias("_rl"),
-                          *[F.greatest(F.size("_t") - n + 1, F.lit(0)).alias(f"_p{n}")
-                            for n in range(1, max_order + 1)])
-
-    def tag(n: int):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
-
-    def grams(arr: Column) -> Column:
-        return F.flatten(F.array(*[F.transform(A.ngrams(arr, n), tag(n))
-                                   for n in range(1, max_order + 1)]))
-
-    pred_g = (base.select(key, F.explode(grams(F.col("_t"))).alias("x"))
-              .groupBy(key, "x.n", "x.g").agg(F.count(F.lit(1)).alias("_cp")))
-    ref_g = (base.select(key, F.posexplode("_rs").alias("_ri", "_r"))
-             .select(key, "_ri", F.explode(grams(F.col("_r"))).alias("x"))
-             .groupBy(key, "_ri", "x.n", "x.g").agg(F.count(F.lit(1)).alias("_c"))
-             .groupBy(key, "n", "g").agg(F.max("_c").alias("_cr")))
-    matches = (pred_g.join(ref_g, [key, "n", "g"])
-               .groupBy(key).pivot("n", list(range(1, max_order + 1)))
-               .agg(F.sum(F.least("_cp", "_cr"))))
-    per_row = lengths.join(matches, key, "left")
-    aggs = [F.sum("_tl").cast("long").alias("translation_length"),
-            F.sum("_rl").cast("long").alias("reference_length")]
+    reference length is the shortest reference. Counted in the row, as for one
+    reference; ``key`` is not needed for it and may repeat."""
+    tok = pairs.select(*by, tokenizer(F.col(pred)).alias("_t"), F.transform(F.col(refs), tokenizer).alias("_rs"))
+    counted = tok.select(*by, F.size("_t").alias("_tl"), F.array_min(F.transform("_rs", F.size)).alias("_rl"),
+                         ngram_overlaps_many("_t", "_rs", range(1, max_order + 1)).alias("_m"))
+    cols = []
     for n in range(1, max_order + 1):
-        aggs += [F.coalesce(F.sum(F.col(str(n))), F.lit(0)).cast("long").alias(f"m{n}"),
-                 F.sum(f"_p{n}").cast("long").alias(f"p{n}")]
-    return (per_row.groupBy(*by) if by else per_row.groupBy()).agg(*aggs)
+        cols += [F.coalesce(F.col("_m")[n - 1], F.lit(0)).alias(f"_m{n}"), F.greatest(F.col("_tl") - n + 1, F.lit(0)).alias(f"_p{n}")]
+    per_row = counted.select(*by, "_tl", "_rl", *cols)
+    return (per_row.groupBy(*by) if by else per_row.groupBy()).agg(*_bleu_aggregates(max_order))
 
 
 def bleu(pairs: DataFrame, ref: str = "ref", pred: str = "pred", by: Sequence[str] = (),
