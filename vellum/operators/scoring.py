@@ -232,51 +232,86 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-#: Uniforms taken from one md5 digest (32 bits each).
-UNIFORMS_PER_DIGEST = 4
-_BOOTSTRAP_ROWS = 500
+# Weights drawn at once in a task (rows x replicates), and bytes of group sums it holds.
+_BOOTSTRAP_CELLS, _BOOTSTRAP_HELD = 500_000, 64 << 20
+# Increment and multipliers of the splitmix64 generator.
+SPLITMIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def bootstrap_weights(seed: int, keys: Sequence[str], n_samples: int) -> np.ndarray:
-    """Poisson(1) weight of each row (by its key) in each replicate: replicate b
-    reads the (b mod 4)-th 32-bit word of md5(seed:b div 4:key)."""
-    digests = -(-n_samples // UNIFORMS_PER_DIGEST)
-    heads = [f"{seed}:{q}:".encode() for q in range(digests)]
-    md5 = hashlib.md5
-    words = b"".join(md5(h + k).digest() for k in (str(k).encode() for k in keys) for h in heads)
-    u = np.frombuffer(words, ">u4").reshape(len(keys), -1)[:, :n_samples] / 2.0**32
+def counter_uniforms(hashes: np.ndarray, first: int, n: int) -> np.ndarray:
+    """Random 32-bit integers (len(hashes), n) from a counter-based generator: the
+    splitmix64 output of state hash + (b + 1) * increment, for b = first, first + 1, ...
+    No state is carried on, so any row and replicate can be drawn anywhere."""
+    step, *multipliers = (np.uint64(x) for x in SPLITMIX)
+    z = hashes[:, None] + np.arange(first + 1, first + n + 1, dtype=np.uint64) * step
+    for shift, m in zip((30, 27), multipliers):
+        z ^= z >> np.uint64(shift)
+        z *= m
+    z ^= z >> np.uint64(31)
+    return z >> np.uint64(32)
+
+
+def _row_hashes(digests: Sequence[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+
+
+def poisson1_weights(hashes: np.ndarray, n_samples: int) -> np.ndarray:
+    """Poisson(1) weight of each row in each replicate."""
+    u = counter_uniforms(hashes, 0, n_samples) / 2.0**32
     return np.searchsorted(np.array(poisson1_cdf()), u, side="right").astype(np.float64)
 
 
+def bootstrap_weights(seed: int, keys: Sequence[str], n_samples: int) -> np.ndarray:
+    """``poisson1_weights`` of rows by their keys: the hash of a row is the first
+    64 bits of md5(seed:key)."""
+    return poisson1_weights(_row_hashes([hashlib.md5(f"{seed}:{k}".encode()).digest()[:8] for k in keys]), n_samples)
+
+
 def bootstrap_mid(rows: DataFrame, key: str, score_cols: Sequence[str], by: Sequence[str] = (),
                   n_samples: int = 1000, seed: int = 2023) -> DataFrame:
     """Bootstrap interval of the mean of each score column.
 
-    Poisson(1) weights derived from md5(seed, replicate, row key) replace the
-    multinomial draw, which keeps replicates independent per row. A task draws
-    the weights of a block of rows at once and emits the (group, replicate) sums
-    of the block, so neither rows nor shuffle are multiplied by n_samples per
-    row. Returns low/mid/high (2.5/50/97.5 percentiles of the replicate means).
+    Poisson(1) weights from a counter-based generator over (row, replicate) replace the
+    multinomial draw, which keeps replicates independent per row. A task draws the
+    weights of a block of rows at once, adds up the (group, replicate) sums of its
+    groups and sends those, so neither rows nor shuffle are multiplied by n_samples per
+    row; its memory is bounded by the block and the sums it holds. Returns
+    low/mid/high (2.5/50/97.5 percentiles of the replicate means).
     """
     by, score_cols = list(by), list(score_cols)
-    src = rows.select(*by, F.col(key).cast("string").alias("_k"), *[F.col(c).cast("double").alias(c) for c in score_cols])
+    digest = F.unhex(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 16))
+    src = rows.select(*by, digest.alias("_k"), *[F.col(c).cast("double").alias(c) for c in score_cols])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in by]
     schema = ", ".join([*fields, "_b int", "_sw double", *[f"`_s_{c}` double" for c in score_cols]])
+    block = max(1, _BOOTSTRAP_CELLS // n_samples)
 
     def run(batches):
+        held: dict = {}  # group -> (its values, sums: weights, then each score)
+
+        def tables():
+            for values, sums in held.values():
+                out = pd.DataFrame({"_b": np.arange(n_samples, dtype=np.int32), "_sw": sums[0]})
+                for c, s in zip(score_cols, sums[1:]):
+                    out[f"_s_{c}"] = s
+                for c, v in zip(reversed(by), reversed(values)):
+                    out.insert(0, c, [v] * n_samples)
+                yield out
+
         for pdf in batches:
-            for lo in range(0, len(pdf), _BOOTSTRAP_ROWS):
-                part = pdf.iloc[lo:lo + _BOOTSTRAP_ROWS].reset_index(drop=True)
-                w = bootstrap_weights(seed, part["_k"].tolist(), n_samples)
+            for lo in range(0, len(pdf), block):
+                part = pdf.iloc[lo:lo + block].reset_index(drop=True)
+                w = poisson1_weights(_row_hashes(part["_k"].tolist()), n_samples)
                 scores = np.nan_to_num(part[score_cols].to_numpy(np.float64))
                 groups = part.groupby(by, dropna=False, sort=False).indices.values() if by else [np.arange(len(part))]
                 for at in groups:
-                    out = pd.DataFrame({"_b": np.arange(n_samples, dtype=np.int32), "_sw": w[at].sum(axis=0)})
-                    for c, s in zip(score_cols, scores[at].T):
-                        out[f"_s_{c}"] = s @ w[at]
-                    for c in reversed(by):
-                        out.insert(0, c, [part[c].iloc[at[0]]] * n_samples)
-                    yield out
+                    values = [part[c].iloc[at[0]] for c in by]
+                    name = tuple(None if v is None or v != v else v for v in values)
+                    sums = np.vstack([w[at].sum(axis=0), scores[at].T @ w[at]])
+                    held[name] = (values, held[name][1] + sums) if name in held else (values, sums)
+                if len(held) * n_samples * 8 * (1 + len(score_cols)) > _BOOTSTRAP_HELD:
+                    yield from tables()
+                    held = {}
+        yield from tables()
 
     per_rep = src.mapInPandas(run, schema).groupBy(*by, "_b").agg(
         *[F.sum(c).alias(c) for c in ("_sw", *[f"_s_{c}" for c in score_cols])])

@@ -386,8 +386,12 @@ USING (dataset, rk, pair_id) GROUP BY dataset, pair_id"""
 
 def _boot_sql(rows_sql: str, key: str, by: str, cols) -> str:
     w = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(S.poisson1_cdf())) + " ELSE 12 END"
-    u = (f"('0x' || substr(md5(concat_ws(':', '{SEED}', b // 4, {key})), CAST(1 + 8 * (b % 4) AS INTEGER), 8))::BIGINT::DOUBLE "
-         f"/ {float(16**8)!r}")
+    step, *multipliers = S.SPLITMIX
+    mod = f"{1 << 64}::UHUGEINT"
+    mixes, z = [], "z0"
+    for i, (shift, m) in enumerate(zip((30, 27), multipliers)):
+        mixes.append(f"x{i} AS (SELECT *, (xor({z}, {z} >> {shift}) * {m}::UHUGEINT) % {mod} AS z{i + 1} FROM {'x' + str(i - 1) if i else 'x'})")
+        z = f"z{i + 1}"
     sums = ", ".join(f"sum(w * {c}) AS s_{c}" for c in cols)
     means = ", ".join(f"s_{c} / sw AS {c}" for c in cols)
     qs = ", ".join(f"quantile_cont({c}, [0.025, 0.5, 0.975]) AS q_{c}" for c in cols)
@@ -395,8 +399,11 @@ def _boot_sql(rows_sql: str, key: str, by: str, cols) -> str:
                      for c in cols)
     return f"""
 WITH r AS ({rows_sql}),
-e AS (SELECT {by}, b, {', '.join(cols)}, {w} AS w FROM
-      (SELECT *, {u} AS u FROM r, range(0, {N_BOOT}) t(b))),
+x AS (SELECT {by}, b, {', '.join(cols)},
+             (('0x' || substr(md5(concat_ws(':', '{SEED}', {key})), 1, 16))::UBIGINT::UHUGEINT + (b + 1)::UHUGEINT * {step}::UHUGEINT) % {mod} AS z0
+      FROM r, range(0, {N_BOOT}) t(b)),
+{', '.join(mixes)},
+e AS (SELECT {by}, b, {', '.join(cols)}, {w} AS w FROM (SELECT *, (xor(z2, z2 >> 31) >> 32)::DOUBLE / 4294967296.0 AS u FROM x1)),
 rep AS (SELECT {by}, b, sum(w) AS sw, {sums} FROM e GROUP BY {by}, b),
 m AS (SELECT {by}, {means} FROM rep WHERE sw > 0),
 qq AS (SELECT {by}, {qs} FROM m GROUP BY {by})
@@ -404,14 +411,13 @@ SELECT {by}, {outs} FROM qq"""
 
 
 def agg_rouge_bootstrap(spark, sf):
-    rows = S.rouge_rows(pairs(spark, sf), keep=["dataset", "pair_id"], rouge_types=("rouge1", "rouge2"))
-    b = S.bootstrap_mid(rows, "pair_id", ["rouge1", "rouge2"], ["dataset"], N_BOOT, SEED)
-    return b.select("dataset", *[r9(F.col(c)).alias(c) for c in b.columns if c != "dataset"])
+    """Intervals of all four types, for every dataset and run."""
+    rows = S.rouge_rows(pairs(spark, sf, RUNS), keep=["dataset", "run", "pair_id"])
+    b = S.bootstrap_mid(rows, "pair_id", S.ROUGE_TYPES, ["dataset", "run"], N_BOOT, SEED)
+    return b.select("dataset", "run", *[r9(F.col(c)).alias(c) for c in b.columns if c not in ("dataset", "run")])
 
 
 Q["agg_rouge_bootstrap"] = agg_rouge_bootstrap
-SQL["agg_rouge_bootstrap"] = _boot_sql(_rouge_n_rows_sql(pairs_sql(), 'dataset, pair_id'), "pair_id",
-                                       "dataset", ["rouge1", "rouge2"])
 
 
 def metric_rouge_aggregate(spark, sf):
@@ -445,6 +451,7 @@ SELECT * FROM ({_F1_SQL})
 JOIN ({_boot_sql(_REC_ROUGE_ROWS, "pair_id", "dataset, run", ["rouge1", "rouge2", "rougeL", "rougeLsum"])}) USING (dataset, run)
 JOIN (SELECT dataset, run, {', '.join(f'{_bleu_score_sql(k)} AS bleu{k}' for k in range(1, 5))}
       FROM ({_bleu_counts_sql(RUNS)})) USING (dataset, run)"""
+SQL["agg_rouge_bootstrap"] = _boot_sql(_REC_ROUGE_ROWS, "pair_id", "dataset, run", ["rouge1", "rouge2", "rougeL", "rougeLsum"])
 SQL["metric_rouge_aggregate"] = f"""SELECT dataset, run, rouge1, rouge2, "rougeL", "rougeLsum"
 FROM ({_boot_sql(_REC_ROUGE_ROWS, "pair_id", "dataset, run", ["rouge1", "rouge2", "rougeL", "rougeLsum"])})"""
 SQL["metric_reconstruction"] = f"WITH w AS ({_REC_WIDE})\n" + "\nUNION ALL\n".join(
