@@ -103,3 +103,40 @@ def test_most_common_ties_in_first_seen_order(spark):
     got = [r.value for r in B.most_common(B.header_counts(hdr, "h", first=F.col("place")), 3).collect()]
     flat = [n for _, h in sorted(hdr.collect()) for n in h]
     assert got == [v for v, _ in collections.Counter(flat).most_common(3)] == ["y", "x", "z"]
+
+
+def _counted_rows(spark, counts):
+    rows = [(v, i) for i, v in enumerate(x for v, n in counts for x in [v] * n)]
+    return spark.createDataFrame(rows, "v string, place long").repartition(4)
+
+
+def test_top_k_by_sketch_is_exact_with_a_near_tie(spark):
+    """Frequent values one apart and tied, over thousands of rare ones, more than the sketch tracks."""
+    counts = [("a", 900), ("b", 901), ("c", 900), (None, 950), ("d", 899)] + [(f"rare{i}", 1 + i % 3) for i in range(3000)]
+    df = _counted_rows(spark, counts)
+    whole = B.most_common(B.value_counts(df, "v", F.col("place")), 4).collect()
+    assert [(r.value, r["count"]) for r in whole] == [(None, 950), ("b", 901), ("a", 900), ("c", 900)]
+    assert B.top_k_values(df, "v", 4, F.col("place"), tracked=200).collect() == whole
+    candidates, n, others = B.frequent_candidates(df, "v", 200)
+    found = {r.value for r in candidates.collect()}
+    assert {"a", "b", "c", "d", None} <= found and len(found) <= 200 and n == df.count()
+    left_out = max(c for v, c in counts if v not in found)
+    assert left_out <= others < 900
+
+
+def test_top_k_of_a_flat_distribution_counts_everything(spark):
+    counts = [(f"v{i}", 3) for i in range(2000)] + [("top", 4)]
+    df = _counted_rows(spark, counts)
+    got = B.top_k_values(df, "v", 3, F.col("place"), tracked=100).collect()
+    assert [(r.value, r["count"]) for r in got] == [("top", 4), ("v0", 3), ("v1", 3)]
+    assert B.top_k_values(df.limit(0), "v", 3).collect() == []
+    few = _counted_rows(spark, [("x", 2), ("y", 1)])
+    assert [(r.value, r["count"]) for r in B.top_k_values(few, "v", 5).collect()] == [("x", 2), ("y", 1)]
+
+
+def test_top_k_headers_break_ties_by_first_place(spark):
+    rows = [(2, ["b", "a"]), (1, ["c", "a", "b"]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "row long, header array<string>")
+    got = B.top_k_headers(df, "header", 2, first=F.col("row")).collect()
+    assert [(r.value, r["count"]) for r in got] == [("a", 2), ("b", 2)]
+    assert got == B.most_common(B.header_counts(df, "header", first=F.col("row")), 2).collect()

@@ -176,3 +176,72 @@ def test_files_of_a_split_table_follow_its_size(spark):
     path = W.scratch_path(spark, "small")
     W.write_table(df.drop("split"), path)
     assert sum(_files(path).values()) <= 4  # cores: Spark keeps them busy before it joins small files
+
+
+def test_newest_runs_are_read_by_partition_pruning(spark):
+    path = W.scratch_path(spark, "runs")
+    for dataset, runs in (("a", 3), ("b", 1)):
+        for run in range(1, runs + 1):
+            rows = [(f"{dataset}{run}-{i}", "t", "p") for i in range(run)]
+            W.write_predictions(spark.createDataFrame(rows, "pair_id string, text string, pred string")
+                                .withColumn("dataset", F.lit(dataset)).withColumn("run", F.lit(run)), path)
+    schema = "pair_id string, text string, pred string, dataset string, run int, part string"
+    latest = RD.read_latest_runs(spark, path, schema)
+    assert sorted(r.pair_id for r in latest.collect()) == ["a3-0", "a3-1", "a3-2", "b1-0"]
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    filters = plan[plan.index("PartitionFilters"):]
+    assert "dataset" in filters.split("]")[0] and "run" in filters.split("]")[0]
+    files = {f for f in latest.select(F.input_file_name().alias("f")).distinct().toPandas().f}
+    assert all("run=3" in f or "dataset=b" in f for f in files)
+    names = RD.partition_values(spark, path, ["dataset", "run"])._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in names
+
+
+def test_bad_rows_are_quarantined_in_the_pass_that_writes_the_good(spark):
+    src, out = W.scratch_path(spark, "lines"), W.scratch_path(spark, "checked")
+    lines = ['{"id": 1, "n": 2.0, "t": "a"}', '{"id": 2, "n": 2.5, "t": "b"}', '{"id": 3, "n": ', '{"id": 4, "n": null, "t": ""}', "[]", '{"id": 5, "n": 1e12, "t": "c"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(src)
+    schema = PT.StructType().add("id", "long").add("n", "double").add("t", "string")
+    rows = RD.read_jsonl(spark, src, schema, corrupt=True)
+    small = F.abs("n") < 2**31
+    checks = {"parses": F.col(RD.CORRUPT).isNull(), "int": F.col("n").isNull() | (small & B.lossless_int(F.when(small, F.col("n")))), "text": F.length("t") > 0}
+    W.write_checked(rows, checks, out, {"n": F.col("n").cast("int")})
+    good = W.read_checked(spark, out)
+    assert good.columns == ["id", "n", "t", RD.CORRUPT] and dict(good.dtypes)["n"] == "int"
+    assert [(r.id, r.n, r.t) for r in good.collect()] == [(1, 2, "a")]
+    bad = {tuple(r.reasons): json.loads(r.raw) for r in W.read_checked(spark, out, W.QUARANTINED).collect()}
+    assert bad[("int",)] in ({"id": 2, "n": 2.5, "t": "b"}, {"id": 5, "n": 1e12, "t": "c"}) and bad[("text",)]["id"] == 4
+    assert bad[("parses", "text")][RD.CORRUPT].startswith('{"id": 3')
+    assert good.count() + W.read_checked(spark, out, W.QUARANTINED).count() == spark.read.text(src).count() - 1  # "[]" is no record
+    pruned = good._jdf.queryExecution().executedPlan().toString()
+    assert "status" in pruned[pruned.index("PartitionFilters"):].split("]")[0]
+
+
+def test_a_replayed_batch_leaves_the_table_equal(spark):
+    from vellum.operators import scoring as S
+    from vellum.streaming import sinks as SK
+
+    src, out, ckpt = (W.scratch_path(spark, n) for n in ("pairs", "sums", "checkpoint"))
+    rows = [("d", i % 2, f"word{i % 5} and more", f"word{i % 7} and less") for i in range(40)]
+    pairs = spark.createDataFrame(rows, "dataset string, run int, ref string, pred string")
+    pairs.repartition(4).write.parquet(src)
+    by = ["dataset", "run"]
+
+    def stream():
+        return spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    SK.idempotent_sink(stream(), lambda b: SK.token_f1_sums(b, by), out, ckpt).awaitTermination()
+    batches = sorted(r[SK.BATCH] for r in spark.read.parquet(out).select(SK.BATCH).distinct().collect())
+    assert batches == [0, 1, 2, 3]
+
+    def history():
+        return sorted(tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in SK.token_f1_history(spark, out, by).collect())
+
+    want = sorted(tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in S.token_f1(pairs, by=by).collect())
+    assert history() == want
+    # all progress is lost: a query without it gives every batch again
+    SK.idempotent_sink(stream(), lambda b: SK.token_f1_sums(b, by), out, W.scratch_path(spark, "checkpoint")).awaitTermination()
+    assert history() == want
+    assert sorted(r[SK.BATCH] for r in spark.read.parquet(out).select(SK.BATCH).distinct().collect()) == batches
+    SK.write_batch(spark.read.parquet(out).where("batch = 99").drop(SK.BATCH), 2, W.scratch_path(spark, "empty"))  # no rows: no error

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as PT
 
 from vellum.functions import text as T
 from vellum.operators import corpus as C
@@ -84,12 +85,51 @@ def value_counts(df: DataFrame, col: str, first: Column | None = None) -> DataFr
     return g.agg(F.count(F.lit(1)).alias("count"), F.min(first).alias("first"))
 
 
-def top_k_values(df: DataFrame, col: str, k: int = 20, first: Column | None = None) -> DataFrame:
+# Items that a frequent-items sketch tracks. A value that its result leaves out is
+# no more frequent than SKETCH_ERROR / TRACKED of all rows: the sketch's error is at most
+# 3.5 over its map size (TRACKED / 0.75 or more), and it returns what exceeds twice that.
+TRACKED = 10_000
+SKETCH_ERROR = 2 * 3.5 * 0.75
+
+
+def frequent_candidates(df: DataFrame, col: str, tracked: int = TRACKED) -> tuple[DataFrame, int, int]:
+    """(values, number of rows, largest count of any value not among them): the
+    values of ``col`` that a mergeable frequent-items sketch keeps, at most ``tracked``.
+    One sketch a task is all that is shuffled."""
+    row = df.agg(F.expr(f"approx_top_k(`{col}`, {tracked}, {tracked})").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    schema = PT.StructType([PT.StructField("value", df.schema[col].dataType)])
+    values = df.sparkSession.createDataFrame([(r["item"],) for r in row["t"] or []], schema)
+    return values, row["n"], int(SKETCH_ERROR * row["n"] / tracked)
+
+
+def top_k_values(df: DataFrame, col: str, k: int = 20, first: Column | None = None, tracked: int = TRACKED) -> DataFrame:
     """The ``k`` most frequent values; ties in first-seen order when
-    ``first`` gives the table order (``Counter.most_common``), else by value."""
+    ``first`` gives the table order (``Counter.most_common``), else by value.
+
+    Candidates come from a sketch and only they are counted exactly, so distinct values
+    are not shuffled. The result is certain when the k-th count is above what any
+    other value can have, or when the candidates are all there is; else (a flat
+    distribution) all values are counted. ``df`` is read twice: pass a stored table
+    where it is expensive."""
+    candidates, n, others = frequent_candidates(df, col, tracked)
+    some = df.join(F.broadcast(candidates), F.col(col).eqNullSafe(F.col("value")), "left_semi")
+    counts = value_counts(some, col, first)
+    best = most_common(counts, k)
+    top = best.collect()  # k rows
+    certain = len(top) == k and top[-1]["count"] > others
+    if certain or (counts.agg(F.sum("count")).first()[0] or 0) == n:
+        return df.sparkSession.createDataFrame(top, best.schema)
     return most_common(value_counts(df, col, first), k)
 
 
+def top_k_headers(df: DataFrame, header_col: str, k: int = 20, first: Column | None = None, tracked: int = TRACKED) -> DataFrame:
+    """The ``k`` most frequent header names, found like ``top_k_values``; a name's place
+    is that of the row, then its position in the header."""
+    place = first if first is None else F.struct(first.alias("_row"), F.col("_pos"))
+    rows = df.select(*([] if first is None else df.columns), F.posexplode(_c(header_col)).alias("_pos", "_name"))
+    return top_k_values(rows, "_name", k, place, tracked)
+
+
 def keep_top_k(df: DataFrame, col: str, k: int = 20, over: DataFrame | None = None,
                first: Column | None = None) -> DataFrame:
     """Rows whose ``col`` is among the k most frequent values of ``over``

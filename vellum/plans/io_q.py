@@ -12,14 +12,16 @@ from pyspark.sql import types as PT
 from vellum.functions import text as T
 from vellum.operators import corpus as C
 from vellum.operators import records as B
+from vellum.operators import vectors as V
 from vellum.plans import duck as D
-from vellum.plans import scores_q
+from vellum.plans import scores_q, vectors_q
 from vellum.plans.corpus_q import SPLIT_SIZES, ORDERED_CLEAN_SQL, SQL as CSQL, clean_keys
 from vellum.plans.records_q import cand_list_sql
 from vellum.session import stored, table
 from vellum.sources import readers as RD
 from vellum.sources import writers as W
 from vellum.streaming import sentences as STR
+from vellum.streaming import sinks as SK
 
 SEED = 2023
 Q: dict = {}
@@ -148,12 +150,10 @@ SQL["sink_table"] = _DOC_AGG_SQL
 def sink_predictions(spark, sf):
     """All runs kept; the latest run per dataset is what the reference's
     overwritten file would hold."""
-    from vellum.operators import results as R
     path = W.scratch_path(spark, "preds")
     W.write_predictions(scores_q.pairs(spark, sf, scores_q.RUNS).select("dataset", "run", "pair_id",
                                                                           F.col("ref").alias("text"), "pred"), path)
-    p = spark.read.schema("pair_id string, text string, pred string, dataset string, run int, part string").json(path)
-    latest = R.latest_run(p, ["dataset"])
+    latest = RD.read_latest_runs(spark, path, "pair_id string, text string, pred string, dataset string, run int, part string")
     return latest.groupBy("dataset", "run").agg(F.count(F.lit(1)).alias("n_rows"),
                                                 F.sum(F.length("pred")).alias("pred_chars"))
 
@@ -294,6 +294,63 @@ SQL["cand_list_triage"] = f"""SELECT row_id, {', '.join(f"array_to_string(c_{a}.
 FROM ({_TRI_REC}) base {_TJ}"""
 
 
+# -------------------------------------------------------------- quarantine ---
+def quarantine_jsonl(spark, sf):
+    """Documents as JSON lines, some cut off in the middle and some with half a
+    character: read with the corrupt-record column, checked, written apart in one
+    pass; both outputs are counted."""
+    path, out = W.scratch_path(spark, "bad-jsonl"), W.scratch_path(spark, "checked")
+    d = table(spark, sf, "documents").select("doc_id", "lang", (F.col("n_chars") + F.when(F.col("doc_id") % 19 == 0, 0.5).otherwise(0.0)).alias("n_chars"), "text")
+    line = F.to_json(F.struct("doc_id", "lang", "n_chars", "text"))
+    line = F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit("{"), line)).otherwise(line)
+    d.select(line.alias("value")).write.text(path)
+    schema = PT.StructType().add("doc_id", "long").add("lang", "string").add("n_chars", "double").add("text", "string")
+    rows = RD.read_jsonl(spark, path, schema, corrupt=True)
+    checks = {"parses": F.col(RD.CORRUPT).isNull(), "whole": F.col("n_chars").isNotNull() & B.lossless_int("n_chars"), "text": F.length("text") > 0}
+    W.write_checked(rows, checks, out, {"n_chars": F.col("n_chars").cast("int")})
+    good = W.read_checked(spark, out).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").cast("long").alias("amount")).select(
+        F.lit("valid").alias("status"), F.col("lang").alias("part"), "n", "amount")
+    bad = W.read_checked(spark, out, W.QUARANTINED).groupBy(F.array_join("reasons", ",").alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.length("raw") > 0).cast("int")).cast("long").alias("amount")).select(F.lit("quarantined").alias("status"), "part", "n", "amount")
+    return good.unionByName(bad)
+
+
+Q["quarantine_jsonl"] = quarantine_jsonl
+SQL["quarantine_jsonl"] = """
+WITH d AS (SELECT *, doc_id % 17 = 0 AS broken, doc_id % 19 = 0 AS half, coalesce(length(text), 0) = 0 AS empty FROM documents)
+SELECT 'valid' AS status, lang AS part, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS amount FROM d
+WHERE NOT broken AND NOT half AND NOT empty GROUP BY lang
+UNION ALL
+SELECT 'quarantined', CASE WHEN broken THEN 'parses,whole,text' WHEN half AND empty THEN 'whole,text' WHEN half THEN 'whole' ELSE 'text' END AS part,
+       count(*) AS n, count(*) AS amount
+FROM d WHERE broken OR half OR empty GROUP BY ALL"""
+
+
+def quarantine_triage(spark, sf):
+    """The triage rows with lossy vitals and empty notes kept apart instead of failing the job."""
+    out = W.scratch_path(spark, "checked-triage")
+    d = _triage_csv(spark, sf).select(
+        "row_id", (F.col("`Heart.Rate`") + F.when(F.col("row_id") % 23 == 0, 0.25).otherwise(0.0)).alias("heart_rate"),
+        F.col("SystolicBP").alias("systolic"), F.when(F.col("row_id") % 29 == 0, F.lit(" ")).otherwise(F.col("TriageNote")).alias("note"))
+    note = T.collapse_ws(T.strip("note"))
+    W.write_checked(d, {"heart_rate": B.lossless_int("heart_rate"), "systolic": B.lossless_int("systolic"), "note": F.length(note) > 0}, out,
+                    {"heart_rate": F.col("heart_rate").cast("int"), "systolic": F.col("systolic").cast("int"), "note": T.final_period(note)})
+    about = [F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("ids")]
+    good = W.read_checked(spark, out).agg(*about, F.sum(F.length("note")).alias("chars")).select(F.lit("valid").alias("part"), "n", "ids", "chars")
+    bad = W.read_checked(spark, out, W.QUARANTINED).withColumn("row_id", F.get_json_object("raw", "$.row_id").cast("long"))
+    bad = bad.groupBy(F.array_join("reasons", ",").alias("part")).agg(*about, F.lit(0).cast("long").alias("chars"))
+    return good.unionByName(bad.select("part", "n", "ids", "chars"))
+
+
+Q["quarantine_triage"] = quarantine_triage
+SQL["quarantine_triage"] = f"""
+WITH d AS (SELECT row_id, row_id % 23 = 0 AS lossy, row_id % 29 = 0 AS empty, {D.collapse_ws(D.strip('note'))} AS body FROM ({_TRI_CLEAN}))
+SELECT CASE WHEN lossy AND empty THEN 'heart_rate,note' WHEN lossy THEN 'heart_rate' WHEN empty THEN 'note' ELSE 'valid' END AS part,
+       count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids,
+       CAST(sum(CASE WHEN lossy OR empty THEN 0 WHEN ends_with(body, '.') THEN length(body) ELSE length(body) + 1 END) AS BIGINT) AS chars
+FROM d GROUP BY ALL"""
+
+
 # ------------------------------------------------------------ masked terms ---
 def masked_terms(spark, sf):
     """Masked-term records from ``part``: the mask is filled with the row's
@@ -346,3 +403,36 @@ def stream_sentence_clean(spark, sf):
 
 Q["stream_sentence_clean"] = stream_sentence_clean
 SQL["stream_sentence_clean"] = CSQL["flt_sentence_clean"]
+
+
+def stream_metric_history(spark, sf):
+    """Token F1 of every run from a stream of prediction pairs: micro-batches add
+    their sums to a table keyed by batch, and the first batch is written twice."""
+    source, out, ckpt = (W.scratch_path(spark, n) for n in ("pair-stream", "f1-sums", "f1-checkpoint"))
+    pairs = scores_q.pairs(spark, sf, scores_q.RUNS).select("dataset", "run", "ref", "pred")
+    pairs.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    by = ["dataset", "run"]
+    SK.idempotent_sink(stream, lambda batch: SK.token_f1_sums(batch, by), out, ckpt).awaitTermination()
+    again = stored(spark.read.parquet(out).where(F.col(SK.BATCH) == 0).drop(SK.BATCH))
+    SK.write_batch(again, 0, out)
+    h = SK.token_f1_history(spark, out, by)
+    return h.select(*by, *[scores_q.r9(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+Q["stream_metric_history"] = stream_metric_history
+SQL["stream_metric_history"] = scores_q.SQL["metric_token_f1"]
+
+
+def stream_embed_batch(spark, sf):
+    """The batch encoder on a stream of documents, into a table keyed by batch."""
+    source, out, ckpt = (W.scratch_path(spark, n) for n in ("doc-stream", "vectors", "vectors-checkpoint"))
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    SK.idempotent_sink(stream, lambda batch: V.embed(batch, "text", ["doc_id", "lang"], dim=vectors_q.DIM), out, ckpt).awaitTermination()
+    return vectors_q.embed_summary(spark.read.parquet(out))
+
+
+Q["stream_embed_batch"] = stream_embed_batch
+SQL["stream_embed_batch"] = vectors_q.SQL["embed_batch"]

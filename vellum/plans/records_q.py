@@ -254,8 +254,7 @@ SQL["src_hub_dataset"] = _stage_summary_sql(S_HUB, [])
 
 
 def agg_header_counts(spark, sf):
-    counts = B.header_counts(s_hub(spark, sf), "input_text.table.column_header", first=row_place())
-    return B.most_common(counts, TOP_K)
+    return B.top_k_headers(s_hub(spark, sf), "input_text.table.column_header", TOP_K, first=row_place())
 
 
 Q["agg_header_counts"] = agg_header_counts

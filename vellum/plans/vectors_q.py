@@ -141,7 +141,10 @@ FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY doc_id"""
 def embed_batch(spark, sf):
     """Whole documents encoded in batches of 100 by the hashed encoder."""
     docs = table(spark, sf, "documents")
-    v = V.embed(docs, "text", keep=["doc_id", "lang"], dim=DIM)
+    return embed_summary(V.embed(docs, "text", keep=["doc_id", "lang"], dim=DIM))
+
+
+def embed_summary(v):
     return v.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(F.size("embedding")).alias("dim"),
         F.sum(F.size(F.filter("embedding", lambda x: x != 0))).cast("long").alias("n_nonzero"),

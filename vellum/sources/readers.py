@@ -13,28 +13,40 @@ from vellum.functions import text as T
 from vellum.operators.corpus import join_lines
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: PT.StructType) -> DataFrame:
-    """JSON-lines documents (one object per line; splittable)."""
-    return spark.read.schema(schema).json(path)
+#: Column that holds the text of a record that does not parse.
+CORRUPT = "_corrupt_record"
+
+
+def _with_corrupt(reader, schema: PT.StructType, corrupt: bool):
+    if not corrupt:
+        return reader.schema(schema)
+    return reader.schema(PT.StructType([*schema.fields, PT.StructField(CORRUPT, PT.StringType())])).option("columnNameOfCorruptRecord", CORRUPT)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: PT.StructType, corrupt: bool = False) -> DataFrame:
+    """JSON-lines documents (one object per line; splittable). With ``corrupt`` a
+    malformed line is kept as text in the column CORRUPT, its fields null."""
+    return _with_corrupt(spark.read, schema, corrupt).json(path)
 
 
 def read_json_records(spark: SparkSession, path: str, schema: PT.StructType,
-                      multiline: bool = False) -> DataFrame:
+                      multiline: bool = False, corrupt: bool = False) -> DataFrame:
     """Files of JSON arrays of records. ``multiline=True`` reads pretty-printed
     array files whole (one task per file, as the format requires); otherwise
     each line may hold one array (or one object) and lines are split across
-    tasks."""
-    return spark.read.schema(schema).option("multiLine", str(bool(multiline)).lower()).json(path)
+    tasks. ``corrupt`` as in ``read_jsonl``."""
+    return _with_corrupt(spark.read, schema, corrupt).option("multiLine", str(bool(multiline)).lower()).json(path)
 
 
 def read_csv_columns(spark: SparkSession, path: str, schema: PT.StructType,
-                     columns: Sequence[str], dropna: bool = True) -> DataFrame:
+                     columns: Sequence[str], dropna: bool = True, corrupt: bool = False) -> DataFrame:
     """CSV with a header: keep ``columns`` (names may contain dots) and drop
-    rows with a null in any of them. Column pruning reaches the CSV scan."""
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    rows with a null in any of them. Column pruning reaches the CSV scan. With
+    ``corrupt`` a malformed line is kept as text in the column CORRUPT, and no row is dropped."""
+    df = _with_corrupt(spark.read, schema, corrupt).option("header", True).csv(path)
     cols = [F.col(f"`{c}`") for c in columns]
-    out = df.select(*cols)
-    if not dropna:
+    out = df.select(*cols, *([CORRUPT] if corrupt else []))
+    if corrupt or not dropna:
         return out
     # explicit predicate: na.drop() would parse the dots in names like Heart.Rate
     keep = cols[0].isNotNull()
@@ -75,3 +87,22 @@ def read_datasets(spark: SparkSession, root: str, names: Sequence[str], encoder:
 def rename_hub_splits(df: DataFrame, col: str = "split") -> DataFrame:
     """The public copy names its validation split ``val``; use ``valid``."""
     return df.withColumn(col, F.when(F.col(col) == "val", "valid").otherwise(F.col(col)))
+
+
+def partition_values(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Distinct values of partition columns, from the names of the files alone: the
+    source of binary files opens none of them unless their content is asked for."""
+    return spark.read.format("binaryFile").load(path).select(*columns).distinct()
+
+
+def read_latest_runs(spark: SparkSession, path: str, schema: PT.StructType | str, keys: Sequence[str] = ("dataset",),
+                     run: str = "run", fmt: str = "json") -> DataFrame:
+    """The rows of the newest run of each key of a table partitioned by keys and run.
+    The newest runs come from the folder names (one row a key reaches the driver) and
+    are a partition filter, so older runs are not read and no row is joined."""
+    newest = partition_values(spark, path, [*keys, run]).groupBy(*keys).agg(F.max(run).alias(run)).collect()
+    rows = spark.read.schema(schema).format(fmt).load(path)
+    names = [*keys, run]
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    wanted = [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in names]) for r in newest]
+    return rows.where(F.struct(*[F.col(c) for c in names]).isin(*wanted)) if wanted else rows.where(F.lit(False))

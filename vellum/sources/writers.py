@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.session import checkpoint_dir
@@ -86,3 +86,30 @@ def attr_predictions(rows: DataFrame, preds: DataFrame, key: str = "row_id", run
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(run).alias("r"), F.col(pred).alias("p")))),
                     lambda s: s["p"]).alias(pred))
     return rows.drop(*[c for c in drop if c in rows.columns]).join(lists, key)
+
+
+#: Partition column of a table written by ``write_checked``, and its values.
+STATUS, VALID, QUARANTINED = "status", "valid", "quarantined"
+
+
+def write_checked(df: DataFrame, checks: dict[str, Column], path: str, casts: dict[str, Column] | None = None) -> None:
+    """Valid rows and bad ones written apart in one pass over the input: the folders
+    ``status=valid`` and ``status=quarantined`` of one table. A row is valid when every
+    check holds (null: it does not); the names of the failed ones are its ``reasons``.
+    ``casts`` replace columns of valid rows; a bad row keeps what was read as JSON text in
+    ``raw`` (with the corrupt record's text, if any), and casts that would be lossy
+    never run on it."""
+    casts = casts or {}
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
+    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    judged = df.withColumn("reasons", failed)
+    bad = F.size("reasons") > 0
+    cols = [F.when(~bad, casts.get(c, F.col(f"`{c}`"))).alias(c) for c in df.columns]
+    rows = judged.select(*cols, "reasons", F.when(bad, raw).alias("raw"), F.when(bad, QUARANTINED).otherwise(VALID).alias(STATUS))
+    rows.write.mode("errorifexists").partitionBy(STATUS).parquet(path)
+
+
+def read_checked(spark: SparkSession, path: str, status: str = VALID) -> DataFrame:
+    """The valid (or the quarantined) rows of ``write_checked``, by partition pruning."""
+    rows = spark.read.parquet(path).where(F.col(STATUS) == status).drop(STATUS)
+    return rows.drop("reasons", "raw") if status == VALID else rows.select("raw", "reasons")
