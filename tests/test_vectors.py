@@ -177,3 +177,15 @@ def test_products_of_few_and_of_many_prompts():
         assert np.allclose(got, want, equal_nan=True)
     best, tied = V.first_best(np.array([[1.0, np.nan, 2.0], [3.0, 3.0, 9.0]]), np.array([[True, True, True], [True, True, False]]))
     assert best.tolist() == [1, 0] and tied.tolist() == [1, 2]
+
+
+def test_attach_by_position(spark):
+    rng = np.random.default_rng(5)
+    ids = [int(x) for x in rng.permutation(5000)[:700]]
+    rows = spark.createDataFrame([(i, f"r{i}") for i in ids], "k long, name string").repartition(6)
+    vecs = spark.createDataFrame([(float(v), [float(v)]) for v in rng.permutation(700)], "v double, embedding array<double>").repartition(4)
+    got = V.attach_by_position(rows, vecs, ["k"], ["v"]).collect()
+    assert sorted((r.i, r.k, r.v) for r in got) == [(i, k, float(i)) for i, k in enumerate(sorted(ids))]
+    with pytest.raises(Exception, match="no counterpart"):
+        V.attach_by_position(rows.where("k <> %d" % ids[0]), vecs, ["k"], ["v"]).collect()
+    assert V.attach_by_position(rows.limit(0), vecs.limit(0), ["k"], ["v"]).collect() == []

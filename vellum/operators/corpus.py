@@ -158,6 +158,23 @@ def with_ordinal(df: DataFrame, hash_col: str, tie_cols: Sequence[str], out: str
     )
 
 
+def with_position(df: DataFrame, order_cols: Sequence[str], out: str = "ord") -> DataFrame:
+    """Dense 0-based position over ``order_cols`` themselves (``with_ordinal`` is for
+    hashes): rows are range-partitioned and sorted once and stored, so that a row's place
+    in its partition is fixed; the partitions' sizes, all that reaches the driver, are
+    the offsets. The order should be unique: rows that tie stand together, in any order."""
+    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    kept = stored(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    sizes = sorted((r["_p"], r["n"]) for r in kept.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, offsets = 0, []
+    for p, n in sizes:
+        # the generated id is the partition's number above 33 bits of the place inside
+        offsets.append((p, before - (p << 33)))
+        before += n
+    table = df.sparkSession.createDataFrame(offsets, "_p int, _off long")
+    return kept.join(F.broadcast(table), "_p").withColumn(out, F.col("_i") + F.col("_off")).drop("_p", "_i", "_off")
+
+
 def seeded_order(df: DataFrame, seed, key_cols: Sequence[str], out: str = "ord") -> DataFrame:
     """Seeded shuffle: attach ``_h`` and the dense ordinal of the shuffled order."""
     keyed = df.withColumn("_h", order_key(seed, *key_cols))

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import scoring as S
+
 
 def metric_history(metrics: DataFrame, keys: Sequence[str] = ("dataset", "metric"),
                    run: str = "run", value: str = "value") -> DataFrame:
@@ -47,3 +49,17 @@ def append_metrics(metrics: DataFrame, path: str, split: str = "test") -> None:
         metrics = metrics.withColumn("split", F.lit(split))
     (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*METRIC_KEYS).parquet(path))
+
+
+#: The metrics of a reconstruction run, in the order of its report.
+RECONSTRUCTION = ("precision", "recall", "f1", "rouge1", "rouge2", "rougeL", "rougeLsum", "bleu1", "bleu2", "bleu3", "bleu4")
+
+
+def score_runs(predictions: DataFrame, path: str, ref: str = "text", pred: str = "pred", key: str = "pair_id",
+               split: str = "test", n_samples: int = 1000, seed: int = 2023) -> DataFrame:
+    """Decoded runs in, stored history out: all metrics of every (dataset, run) of
+    ``predictions``, added to the metrics table at ``path``; returns the table's
+    history. A run scored again replaces its own values, other runs stay."""
+    wide = S.reconstruction_metrics(predictions, ref, pred, key, ["dataset", "run"], n_samples, seed)
+    append_metrics(S.to_long(wide, ["dataset", "run"], RECONSTRUCTION), path, split)
+    return metric_history(predictions.sparkSession.read.parquet(path).where(F.col("split") == split))

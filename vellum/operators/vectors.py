@@ -218,6 +218,18 @@ def attach(rows: DataFrame, vectors: DataFrame, key: str = "row_id") -> DataFram
     return rows.join(vectors, key)
 
 
+def attach_by_position(rows: DataFrame, vectors: DataFrame, row_order: Sequence[str], vector_order: Sequence[str],
+                       out: str = "i") -> DataFrame:
+    """Row i of one table, in its order, gets row i of the other: a dense position on
+    both sides and an equi-join on it. Rows without a counterpart fail the job, as
+    tables of different lengths would pair the wrong rows."""
+    left, right = C.with_position(rows, row_order, out), C.with_position(vectors, vector_order, out).withColumn("_there", F.lit(True))
+    paired = left.withColumn("_here", F.lit(True)).join(right, out, "full")
+    whole = F.col("_here").isNotNull() & F.col("_there").isNotNull()
+    return paired.withColumn(out, F.when(whole, F.col(out)).otherwise(
+        F.raise_error(F.concat(F.lit("no counterpart of row "), F.col(out).cast("string"))).cast("long"))).drop("_here", "_there")
+
+
 # Bytes of gathered candidate vectors that a task multiplies at once.
 GATHER_BYTES = 32 << 20
 

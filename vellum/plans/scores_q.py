@@ -487,6 +487,22 @@ SELECT dataset, metric, list(value ORDER BY run) AS history, arg_max(value, run)
 FROM ({_F1_LONG_SQL}) GROUP BY dataset, metric"""
 
 
+def reconstruction_history(spark, sf):
+    """Prediction runs scored as they come: two runs in one call, the third in
+    another, the second once more; the history of all metrics is read back."""
+    from vellum.sources.writers import scratch_path
+    path = scratch_path(spark, "reconstruction")
+    for runs in (RUNS[:2], RUNS[2:], RUNS[1:2]):
+        h = R.score_runs(pairs(spark, sf, runs), path, "ref", "pred", n_samples=N_BOOT, seed=SEED)
+    return h.select("dataset", "metric", F.transform("history", lambda x: F.round(x, 9)).alias("history"), r9(F.col("latest")).alias("latest"), "n_runs")
+
+
+Q["reconstruction_history"] = reconstruction_history
+SQL["reconstruction_history"] = f"""
+SELECT dataset, metric, list(value ORDER BY run) AS history, arg_max(value, run) AS latest, count(*) AS n_runs
+FROM ({SQL['metric_reconstruction']}) GROUP BY dataset, metric"""
+
+
 def metric_report(spark, sf):
     return R.report(_f1_long(spark, sf))
 

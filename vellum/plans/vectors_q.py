@@ -126,16 +126,19 @@ FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"""
 
 
 def map_with_index(spark, sf):
-    """Row i of the table, in id order, gets vector i: an ordinal on both sides."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("i"))
-    vecs = _emb(spark, sf).select(F.col("vec_id").alias("i"), "embedding")
-    j = V.attach(docs, vecs, "i")
-    return j.groupBy("i").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_vectors"))
+    """Row i of the table, by label and id, gets vector i, in descending id order:
+    a position on both sides, none of them an id."""
+    rows = _emb(spark, sf).select(F.col("vec_id").alias("row_id"), "label")
+    vecs = _emb(spark, sf).select("vec_id", (-F.col("vec_id")).alias("place"), "embedding")
+    j = V.attach_by_position(rows, vecs, ["label", "row_id"], ["place"])
+    return j.select("i", "row_id", "label", "vec_id", *_components("embedding"))
 
 
 Q["map_with_index"] = map_with_index
-SQL["map_with_index"] = """SELECT doc_id AS i, doc_id, count(*) AS n_vectors
-FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY doc_id"""
+SQL["map_with_index"] = f"""
+SELECT i, row_id, label, vec_id, {_COMPONENTS_SQL}
+FROM (SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS i, vec_id AS row_id, label FROM embeddings)
+JOIN (SELECT row_number() OVER (ORDER BY vec_id DESC) - 1 AS i, vec_id, embedding FROM embeddings) USING (i)"""
 
 
 def embed_batch(spark, sf):
