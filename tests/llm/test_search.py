@@ -9,8 +9,8 @@ from math import floor, isfinite
 import numpy as np
 import pytest
 
-from vellum.llm import centroids, mtree, phrases
-from vellum.llm.phrases import MisraGries
+from vellum.llm import centroids, frequent, mtree, phrases
+from vellum.llm.frequent import MisraGries
 
 VECS = "vec_id long, embedding array<double>, label int, score long, pivot string, part int, x string, rank int"
 
@@ -186,7 +186,7 @@ def mined(spark, rows, **how):
 
 @pytest.mark.parametrize("capacity", [1 << 18, 300])
 def test_collocations_match_brute_force(spark, monkeypatch, capacity):
-    monkeypatch.setattr(phrases, "CAPACITY", capacity)  # small: many hash partitions, summaries that cut
+    monkeypatch.setattr(frequent, "CAPACITY", capacity)  # small: many hash partitions, summaries that cut
     rng = random.Random(4)
     words = ["Straße", "été", "中文", "A", "the", " x", "z w", *(f"w{i}" for i in range(30))]
     def prose(n):

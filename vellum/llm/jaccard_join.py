@@ -3,10 +3,14 @@
 A document is its set of distinct 4-word shingles, named by 64-bit hashes.
 Documents with equal sets are one class; everything below is between classes.
 
-* Let x and y be linked and o their overlap: o >= a(x) = ceil(0.85 |x|). Of the
-  |x| - a(x) + T smallest shingle hashes of x at least T are shared with y (the
-  same for y), with T the smaller of ``votes(|x|)`` and ``votes(|y|)``. So only
-  these prefixes are indexed, and linked classes meet in T inverted lists.
+* Shingles are ordered: those that HOT documents or more hold come last (marked
+  in a bitmap by ``frequent``), by hash inside. Let x and y be linked and o their
+  overlap: o >= a(x) = ceil(0.85 |x|). Of the first |x| - a(x) + T shingles of x at
+  least T are shared with y (the same for y, in any order that holds for all), with T
+  the smaller of ``votes(|x|)`` and ``votes(|y|)``. So only these prefixes are
+  indexed, and linked classes meet in T inverted lists. A shingle in fewer documents
+  has a short list, and a common one is in a prefix only where a document has
+  hardly anything else, so lists and candidates grow as the corpus does.
 * Lists with one class are dropped, then classes with too few lists left.
 * Search: a class merges its sorted lists and keeps the classes that occur
   often enough. Its longest lists, up to T - 1 of them, are not merged; the
@@ -40,11 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import blocks, key_and_text, mix, stored, window_hashes, word_hashes
+from vellum.llm.frequent import frequent_bitmap, marked
 from vellum.llm.graph import components
 from vellum.session import fits_broadcast
 
 SHINGLE = 4
 PERCENT = 85
+#: Documents with a shingle that comes last in the order.
+HOT = 16
 #: Lists longer than this are long; chunks of lists have about this many entries.
 LONG = 64
 #: Classes of a part of a candidate component, whose sets are in memory together with another part's.
@@ -106,13 +113,28 @@ def measured(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, n long, cls long")
 
 
-def postings(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(token, cls) rows of the prefixes, once for a class and block of documents."""
+def hot_shingles(docs: DataFrame, width: int, n_shingles: int) -> np.ndarray:
+    """The bitmap of the shingles of HOT documents or more, copies inside a block
+    of documents counted once."""
+    def hashes(batches):
+        for _, texts in blocks(batches):
+            sets = {class_of(s): s for s in shingle_sets(texts, width) if len(s)}
+            yield np.concatenate([np.empty(0, np.uint64), *sets.values()])
+
+    return frequent_bitmap(docs, hashes, n_shingles, HOT)
+
+
+def postings(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
+    """(token, cls) rows of the prefixes, once for a class and block of documents.
+    ``hot``: the bitmap of the shingles that come last, broadcast."""
     def run(batches):
         for _, texts in blocks(batches):
             sets = {class_of(s): s for s in shingle_sets(texts, width) if len(s)}
             if sets:
-                prefixes = [s[:len(s) - least_overlap(len(s), percent) + int(votes(len(s)))] for s in sets.values()]
+                prefixes = []
+                for s in sets.values():
+                    last = marked(hot.value, s)
+                    prefixes.append(np.concatenate([s[~last], s[last]])[:len(s) - least_overlap(len(s), percent) + int(votes(len(s)))])
                 token = np.concatenate(prefixes).view(np.int64)
                 cls = np.repeat(np.array(list(sets), np.int64), [len(x) for x in prefixes])
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls)], names=["token", "cls"])
@@ -328,7 +350,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
     least = _votes_column(F.ceil(F.col("n") * percent / 100))
-    kept = shared(postings(named, width, percent)).groupBy("cls").agg(F.collect_list("token").alias("tokens"))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(named, width, rows.agg(F.sum("n")).first()[0] or 0))
+    kept = shared(postings(named, width, percent, hot)).groupBy("cls").agg(F.collect_list("token").alias("tokens"))
     kept = kept.join(classes, "cls").where(F.size("tokens") >= least)
     index = stored(members(kept, named, width))
 

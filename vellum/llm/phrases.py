@@ -6,13 +6,10 @@ summaries (words; pairs; longer runs) find every phrase that occurs ``least``
 times or more:
 
 1. Tasks combine the hashes of their phrases and send each hash partition its
-   share. A partition's summary (``MisraGries``) has a capacity above its mass
-   divided by ``least``, so the error stays below ``least`` and every frequent
-   phrase survives, however many distinct ones pass through.
-2. Each partition marks its survivors in its segment of a bitmap of 2^BITS bits
-   over all hashes, the only thing that reaches the driver, and of this size for any
-   corpus. Words and pairs that are not marked rule out the longer runs over them
-   in the next round. A bitmap that fills up rules out less and loses nothing.
+   share, whose summary (``frequent``) keeps every frequent phrase.
+2. Each partition marks its survivors in its segment of a bitmap of fixed size.
+   Words and pairs that are not marked rule out the longer runs over them in the
+   next round. A bitmap that fills up rules out less and loses nothing.
 3. A last pass counts the phrases marked exactly, by their text.
 
 Scores, cuts and containment are joins over the frequent phrases.
@@ -36,17 +33,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import BLOCK_BYTES, cuts, mix, powers, stored
+from vellum.llm.frequent import frequent_bitmap, marked, parts_bits
 
 LEAST, LONGEST, COVERED, TOP = 30, 4, 80, 2000
 SCALE = 2_000_000
-#: Hashes share a bitmap of 2^BITS bits (16 MB).
-BITS = 27
-#: Entries of one summary, about, and the most hash partitions; beyond, summaries are larger.
-CAPACITY, MOST_PARTS = 1 << 18, 1 << 14
-#: Distinct hashes, and phrases, that a task combines before it sends them.
-COMBINE, PHRASES = 1 << 22, 1 << 20
-#: Bits of a hash that are sent, besides those that name its partition. Equal ones only make a summary keep more.
-SENT = 40
+#: Phrases that a task combines before it sends them.
+PHRASES = 1 << 20
 
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
@@ -58,58 +50,6 @@ _KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-class MisraGries:
-    """Counts of frequent keys. ``error`` is how far a count may be too small;
-    it stays below ``least``: a summary whose capacity can't hold to that grows."""
-
-    def __init__(self, capacity: int, least: int):
-        self.capacity, self.least, self.error, self.room = max(1, capacity), least, 0, 4 * max(1, capacity)
-        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.waiting.append((keys, counts))
-        if len(self.keys) + sum(len(k) for k, _ in self.waiting) > self.room:
-            self.compress()
-
-    def merge(self, other: MisraGries) -> None:
-        """Take over another summary: both errors add up. With a capacity above the
-        mass of both divided by ``least`` the sum stays below ``least``."""
-        other.compress()
-        if self.error + other.error >= self.least:
-            raise ValueError("the summaries are too small for their mass: frequent keys could be lost")
-        self.error += other.error
-        self.add(other.keys, other.counts)
-
-    def compress(self) -> None:
-        if self.waiting:
-            self.keys, self.counts = combined(np.concatenate([self.keys, *(k for k, _ in self.waiting)]),
-                                              np.concatenate([self.counts, *(c for _, c in self.waiting)]))
-            self.waiting = []
-        if len(self.keys) > self.capacity:
-            at = len(self.keys) - self.capacity - 1
-            cut = int(np.partition(self.counts, at)[at])  # the largest count that has no place
-            if self.error + cut < self.least:
-                left = self.counts > cut
-                self.keys, self.counts, self.error = self.keys[left], self.counts[left] - cut, self.error + cut
-        self.room = max(4 * self.capacity, 2 * len(self.keys))
-
-    def frequent(self) -> np.ndarray:
-        """All keys whose true count may be ``least`` or more."""
-        self.compress()
-        return self.keys[self.counts + self.error >= self.least]
-
-
-def combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, their counts summed."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
-
-
 def _power_table(base: int):
     known = powers(base, 1 << 16)
 
@@ -156,11 +96,6 @@ class Words:
         return b" ".join(self.data[a:b] for a, b in zip(self.start[i:i + n].tolist(), self.end[i:i + n].tolist()))
 
 
-def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - BITS)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
-
-
 def _ruled_in(words: Words, n: int, marks: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """``grams(n)`` without those that hold a run of an earlier round that is not frequent."""
     at, h = words.grams(n)
@@ -168,7 +103,7 @@ def _ruled_in(words: Words, n: int, marks: dict[int, np.ndarray]) -> tuple[np.nd
     if below:
         i, shorter = words.grams(below)
         good = np.zeros(len(words.word) + 1, bool)
-        good[i] = _marked(marks[below], shorter)
+        good[i] = marked(marks[below], shorter)
         keep = np.ones(len(at), bool)
         for j in range(n - below + 1):
             keep &= good[at + j]
@@ -189,81 +124,23 @@ def _blocks(batches):
             yield names, Words(texts.slice(lo, n).to_pylist(), np.array([seeds[x] for x in names], np.uint64), power, inverse)
 
 
-def _short(keys: np.ndarray, bits: int) -> bytes:
-    """Hashes of one partition in SENT bits each, without the leading ``bits``."""
-    return (keys << np.uint64(bits) >> np.uint64(64 - SENT)).view(np.uint8).reshape(-1, 8)[:, :SENT // 8].tobytes()
-
-
-def _long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) * 8 // SENT, 8), np.uint8)
-    out[:, :SENT // 8] = np.frombuffer(raw, np.uint8).reshape(len(out), -1)
-    return out.view(np.uint64).ravel()
-
-
-def _parts_bits(mass: int, least: int) -> int:
-    """So many leading bits of a hash name its partition."""
-    return min(MOST_PARTS, max(1, mass // (least * CAPACITY))).bit_length()
-
-
 def survivors(texts: DataFrame, orders: tuple[int, ...], marks: dict, bound: int, least: int) -> np.ndarray:
     """The bitmap of the phrases of these ``orders`` that may be frequent.
     ``marks``: bitmaps of earlier rounds, broadcast. ``bound``: words at most."""
-    bits = _parts_bits(bound * len(orders), least)
-    parts, shift = 1 << bits, np.uint64(64 - bits)
-    capacity = max(CAPACITY, bound * len(orders) // (least * parts) + 1)
-
-    def count(batches):
-        keys, counts, raw = np.empty(0, np.uint64), np.empty(0, np.int64), []
+    def hashes(batches):
         known = {k: b.value for k, b in marks.items()}
-
-        def gathered():
-            u, c = np.unique(np.concatenate(raw), return_counts=True) if raw else (keys[:0], counts[:0])
-            return combined(np.concatenate([keys, u]), np.concatenate([counts, c]))
-
-        def rows():
-            edge = np.searchsorted(keys >> shift, np.arange(parts + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(edge))
-            for some in np.array_split(full, max(1, -(-len(keys) // COMBINE) * 4)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array([_short(keys[edge[p]:edge[p + 1]], bits) for p in some], pa.binary()),
-                     pa.array([counts[edge[p]:edge[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "keys", "counts"])
-
         for _, words in _blocks(batches):
-            raw += [_ruled_in(words, n, known)[1] for n in orders]
-            if sum(map(len, raw)) > COMBINE // 2:
-                keys, counts = gathered()
-                raw = []
-                if len(keys) > COMBINE:
-                    yield from rows()
-                    keys, counts = keys[:0], counts[:0]
-        keys, counts = gathered()
-        if len(keys):
-            yield from rows()
-
-    def summarise(batches):
-        summaries: dict[int, MisraGries] = {}  # one: a task has the rows of one hash partition
-        for batch in batches:
-            for p, k, c in zip(*(x.to_pylist() for x in batch.columns)):
-                summaries.setdefault(p, MisraGries(capacity, least)).add(_long(k), np.frombuffer(c, np.int64))
-        for p, summary in summaries.items():
-            segment = np.zeros(1 << (BITS - bits), bool)
-            segment[summary.frequent() >> np.uint64(SENT - BITS + bits)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())],
-                                             names=["part", "segment"])
-
-    rows = texts.mapInArrow(count, "part int, keys binary, counts binary").repartitionById(parts, F.col("part"))
-    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
-    size = len(bitmap) // parts
-    for p, segment in rows.mapInArrow(summarise, "part int, segment binary").collect():  # len(bitmap) bytes in all
-        bitmap[p * size:(p + 1) * size] = np.frombuffer(segment, np.uint8)
-    return bitmap
+            for n in orders:
+                yield _ruled_in(words, n, known)[1]
+
+    return frequent_bitmap(texts, hashes, bound * len(orders), least)
 
 
 def counted(texts: DataFrame, marks: dict, longest: int, bound: int, least: int) -> DataFrame:
     """(lang, n, phrase, f): exact counts, by their text, of the phrases marked that
     occur ``least`` times; n = 0: all words of the language. A task sends each hash
     partition its phrases of a language as one row, so a phrase meets in one partition."""
-    bits = _parts_bits(bound * longest, least)
+    bits = parts_bits(bound * longest, least)
     parts, shift = 1 << bits, np.uint64(64 - bits)
 
     def run(batches):
@@ -288,7 +165,7 @@ def counted(texts: DataFrame, marks: dict, longest: int, bound: int, least: int)
             text_of = np.repeat(np.arange(len(names)), words.of_text)
             for n in range(1, longest + 1):
                 at, h = _ruled_in(words, n, known)
-                own = _marked(known[n], h)
+                own = marked(known[n], h)
                 u, first, c = np.unique(h[own], return_index=True, return_counts=True)
                 where = np.searchsorted(keys, u)
                 old = np.zeros(len(u), bool)
