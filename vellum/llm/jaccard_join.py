@@ -13,7 +13,7 @@ Documents with equal sets are one class; everything below is between classes.
   hardly anything else, so lists and candidates grow as the corpus does.
 * Lists with one class are dropped, then classes with too few lists left.
 * Search: a class merges its sorted lists and keeps the classes that occur
-  often enough. Its longest lists, up to T - 1 of them, are not merged; the
+  often enough; for two given sizes that is more than T (``least_votes``). Its longest lists, up to T - 1 of them, are not merged; the
   count that is asked for falls by their number, and they are probed by binary
   search in the candidate's sorted prefix. What passes is verified on full sets,
   block against block.
@@ -75,6 +75,15 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def least_votes(n, m, percent: int):
+    """Shingles that the prefixes of linked sets of n and m must share: their overlap is
+    o >= ceil(percent (n + m) / (100 + percent)), so at most n - o of the first one's
+    n - a(n) + votes(n) prefix shingles are not shared, and the same for the other; both
+    prefixes hold the first shared ones."""
+    o = -(-percent * (n + m) // (100 + percent))
+    return np.minimum(votes(n) + o - least_overlap(n, percent), votes(m) + o - least_overlap(m, percent))
+
+
 def _votes_column(n):
     return F.greatest(F.lit(1), F.floor(n / 10)).cast("int")
 
@@ -329,7 +338,7 @@ def searched(entries: DataFrame, percent: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], (y[1:] != y[:-1]) | (x[of[1:]] != x[of[:-1]])))) if len(y) else np.empty(0, np.int64)
         count = np.diff(np.append(first, len(y)))
         y, m, of = y[first], m[first], of[first]
-        t = np.minimum(votes(n[of]), votes(m))
+        t = least_votes(n[of], m, percent)
         ok = (count + skip[of] >= t) & (percent * np.maximum(n[of], m) <= 100 * np.minimum(n[of], m))
         return pa.RecordBatch.from_arrays([pa.array(x[of][ok]), pa.array(y[ok]), pa.array(np.maximum(0, t - count)[ok].astype(np.int64))],
                                           names=["u", "v", "need"])
