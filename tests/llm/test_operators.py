@@ -176,6 +176,81 @@ def test_licence_spans_tolerate_edits():
     assert row[5] == "mit" and 0.9 < row[6] < 1
 
 
+def test_licence_headings_get_their_own_label():
+    s = licences.Scanner(licences.TEMPLATES, licences.BASE_PHRASES)
+    for label, texts in licences.TEMPLATES.items():
+        for t in texts:
+            assert label in s.scan(f"some words before. {t} And words after.".encode())[5].split(","), t
+    assert s.scan(b"GNU Affero General Public License Version 3, 19 November 2007")[5] == "agpl,gpl"
+
+
+def test_licence_chains_and_overlaps_match_plain_versions(monkeypatch):
+    """Closing chains out of reach and the sorted overlap test change nothing."""
+    def plain(runs):
+        open_ = []
+        for a, t, n in runs:
+            for c in open_:
+                skip_a, skip_t = a - c[1], t - c[2]
+                if -n < skip_a <= licences.MAX_GAP and -n < skip_t <= licences.MAX_GAP and n + min(0, skip_a, skip_t) > 0:
+                    c[1], c[2], c[3] = a + n, t + n, c[3] + n + min(0, skip_a, skip_t)
+                    break
+            else:
+                open_.append([a, a + n, t + n, n])
+        return sorted((a, b, covered) for a, b, _, covered in open_)
+
+    rng = random.Random(9)
+    for _ in range(300):
+        runs = sorted({(rng.randint(0, 150), rng.randint(0, 30), rng.randint(1, 9)) for _ in range(rng.randint(0, 60))})
+        assert sorted(licences.chains(runs)) == plain(runs)
+    s = licences.Scanner(licences.TEMPLATES, licences.BASE_PHRASES)
+    words = " ".join(t for texts in licences.TEMPLATES.values() for t in texts).split()
+    for _ in range(20):
+        text = " ".join(" ".join(words[k:k + rng.randint(3, 40)]) for k in (rng.randrange(len(words)) for _ in range(40)))
+        ids = np.array([s.words.get(w, 0) for w in licences.fold(text.encode())], np.int32)
+        best = []
+        for span in sorted(s.spans(ids, 0, len(ids)), key=lambda x: (-x[3] * (x[2] - x[1]), x[1], x[0])):
+            if all(span[1] >= b[2] or span[2] <= b[1] for b in best):
+                best.append(span)
+        assert s.scan(text.encode())[7] == ",".join(f"{label}:{a}:{b}" for label, a, b, _ in sorted(best, key=lambda b: b[1]))
+
+
+def test_licence_scan_is_linear_in_the_notices():
+    s = licences.Scanner(licences.TEMPLATES, licences.BASE_PHRASES)
+    row = s.scan(("Released under the MIT License. a word between that is far enough from the others here now " * 30_000).encode())
+    assert row[7].count("mit:") == 30_000
+
+
+ARTICLES = {
+    "latin": "Der kleine Hund und die Katze sind in dem Haus, das auf dem Berg ist und von dem man das Meer sehen kann.",
+    "polish": "Dawno temu w małym mieście mieszkał stary zegarmistrz, który każdego ranka otwierał swój sklep przed wschodem słońca.",
+    "cyrillic": "Это длинный абзац русской статьи, который рассказывает о том, как люди живут в большом городе и что они делают.",
+    "greek": "Αυτό είναι ένα μεγάλο κείμενο που μιλά για τους ανθρώπους της πόλης και για όσα κάνουν εκεί κάθε μέρα του χρόνου.",
+    "arabic": "هذا نص طويل يتحدث عن الناس في المدينة الكبيرة وعن الأشياء التي يفعلونها هناك في كل يوم من أيام السنة الطويلة.",
+    "hindi": "यह एक लंबा लेख है जो बड़े शहर में रहने वाले लोगों के बारे में बताता है और वे हर दिन क्या करते हैं यह भी कहता है।",
+    "han": "今天的天气很好我们一起去公园散步看到了很多花和树大家都非常高兴然后我们回家吃晚饭早早睡觉了因为明天还要上班。",
+    "thai": "วันนี้อากาศดีมากเราจึงไปเดินเล่นในสวนสาธารณะด้วยกันและเห็นดอกไม้และต้นไม้มากมายทุกคนมีความสุขมาก",
+}
+
+
+@pytest.mark.parametrize("script", ARTICLES)
+def test_page_text_in_every_script(script):
+    good = ARTICLES[script]
+    page = (f"<body class='has-sidebar'><div id=menu><a href=x>{good[:9]}</a></div><div class='content no-sidebar'><h1>{good[:6]}</h1><p>{good}</p>"
+            f"<p>{good[:12]}</p><p>{good}</p></div><div class=sidebar>{good}</div><div class='site-footer'>{good}</div>")
+    assert html_text.main_text(page)[0] == "\n".join([good[:6].strip(), good, good[:12].strip(), good])
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article class='post has-related'><p>Cats sleep.</p></article><div>Other</div>", "Cats sleep."),
+    ("<body><p>Cats sleep.</p><p>Dogs bark.</p><p>Birds sing.</p>", "Cats sleep.\nDogs bark.\nBirds sing."),
+    ("<div class='content-with-sidebar'><p>Cats sleep.</p></div><div class='left-sidebar'>Tags</div>", "Cats sleep."),
+    (f"<div class=widget><p>{ARTICLES['latin']}</p><nav>Menu</nav></div>", ARTICLES["latin"]),
+    ("<div><a href=1>Home</a></div><div><a href=2>About</a></div><footer>(c) 2020</footer>", ""),
+])
+def test_pages_without_decided_content(page, text):
+    assert html_text.main_text(page)[0] == text
+
+
 def test_page_text(spark):
     good = "This is the text of an article that is long enough to be seen as such, and it has the words of a sentence."
     page = (f"<html><head><title>No</title><script>var a='<p>no</p>'</script></head><body class='has-sidebar'><header>Site</header>"
@@ -353,6 +428,17 @@ def test_pipeline_sequences_follow_the_curriculum(spark, monkeypatch, shard_toke
     assert len(full) > 20 and [k for _, k in full] == sorted(k for _, k in full)
 
 
+def test_packing_takes_null_places_last(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 200)
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 30), None if i % 3 == 0 else i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rank long")
+    got = packing.pack(docs, PACK_TOKENIZER, PATTERN, order_col="rank").collect()
+    assert {r.doc_id for r in got} == set(range(60))
+    placed = max(r.sequence_id >> 32 for r in got if r.doc_id % 3)
+    assert all(r.sequence_id >> 32 >= placed for r in got if r.doc_id % 3 == 0)
+
+
 def test_packing_ids_are_the_tokenizers_on_every_code_point():
     from tokenizers import Tokenizer
 

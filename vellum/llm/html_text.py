@@ -11,6 +11,18 @@ heading, else the earlier). If the page marks its article, neighbours are
 sought inside it, its edges count as content, and blocks outside are
 boilerplate; otherwise the edges of the page count as boilerplate.
 
+Stop words are those of four languages. Where they decide no block of a page
+without an article (another language, or short paragraphs only), length and link
+density decide alone: blocks of LONG_WORDS words, or of LONG_CHARS characters
+where the script has no blanks, are content, and if there is none of these
+either, all open blocks are. If all of the page stands in containers that only
+their class names call boilerplate, these names are not believed and the page is
+judged without them.
+
+Class and id names are read token by token: a token is boilerplate by one of its
+parts (``site-footer``), but not by a part that a word of state governs
+(``no-sidebar``, ``content-with-sidebar``, ``has-related-posts``).
+
 Nulls: a null html is the empty page, whose text is empty; null ids and urls
 are passed through. A page without blocks gives "". Repeated rows each give a
 row; an empty table gives an empty result. Unclosed tags, comments, scripts and
@@ -51,6 +63,9 @@ BOILERPLATE_NAMES = set(
 #: A container with one of these names stays boilerplate even around an article element.
 FIRM_NAMES = set("comment comments commentlist disqus replies respond sidebar related recommended ad ads advert advertisement".split())
 
+#: Name parts that say something about what follows them in a class name instead of naming the element.
+STATE_NAMES = set("no not has have with without is hide hides hidden show shows enable enabled disable disabled".split())
+
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset((
     "a about after all also an and any are as at be because been but by can could did do for from had has have he her his how i if in "
@@ -64,6 +79,8 @@ STOP_WORDS = frozenset((
     "nada ni no nos o otro para pero poco por porque qué quien se sin sobre su sus también te tiene todo un una unos ya yo").split())
 
 LONG_WORDS = 15
+#: Long without stop words and blanks: characters of a script that does not part its words.
+LONG_CHARS = 40
 STOP_DENSITY = 0.15
 LINK_DENSITY = 0.5
 
@@ -75,6 +92,8 @@ _TOKEN = re.compile(
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _NAME = re.compile(r"[a-z0-9]+")
+#: Scripts written without blanks: Thai to Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _STRIP = ".,;:!?\"'()[]{}#*$%&|<>…«»„“”‘’"
 
 
@@ -87,6 +106,16 @@ class Open:
     article: bool = False
 
 
+def _name_words(value: str) -> set[str]:
+    """Parts of the class or id tokens that name the element."""
+    out = set()
+    for token in value.split():
+        parts = _NAME.findall(token)
+        state = next((k for k, part in enumerate(parts) if part in STATE_NAMES), len(parts))
+        out.update(parts[:state])
+    return out
+
+
 @dataclass
 class Block:
     bad: bool
@@ -98,16 +127,17 @@ class Block:
     label: bool | None = None
 
 
-def _names(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the element is boilerplate, and firmly so."""
+def _names(tag: str, attributes: str, by_name: bool) -> tuple[bool, bool]:
+    """Whether the element is boilerplate, and firmly so; class and id names
+    count if ``by_name``."""
     bad = tag in BOILERPLATE_TAGS
     if not attributes or tag in ("html", "body"):
         return bad, False
     firm = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
-            words = set(_NAME.findall(value))
+        if name in ("class", "id") and by_name:
+            words = _name_words(value)
             if tag not in ARTICLE:
                 bad = bad or not words.isdisjoint(BOILERPLATE_NAMES)
             else:
@@ -120,7 +150,7 @@ def _names(tag: str, attributes: str) -> tuple[bool, bool]:
     return bad, firm
 
 
-def split_blocks(page: str) -> list[Block]:
+def split_blocks(page: str, by_name: bool = True) -> list[Block]:
     """The page's blocks that have text, in order."""
     stack: list[Open] = []
     out: list[Block] = []
@@ -195,7 +225,7 @@ def split_blocks(page: str) -> list[Block]:
                     break
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCK:
             continue
-        bad, firm = _names(tag, m[4])
+        bad, firm = _names(tag, m[4], by_name)
         if tag in ARTICLE and not any(o.article for o in stack):
             articles += 1
             article_id = articles
@@ -206,10 +236,14 @@ def split_blocks(page: str) -> list[Block]:
     return out
 
 
+def linked(b: Block) -> bool:
+    """Mostly links."""
+    return b.link_chars > LINK_DENSITY * sum(map(len, b.parts))
+
+
 def first_pass(b: Block) -> bool | None:
     words = b.text.split()
-    chars = sum(map(len, b.parts))
-    if b.bad or b.link_chars > LINK_DENSITY * chars:
+    if b.bad or linked(b):
         return False
     if len(words) >= LONG_WORDS and not b.heading:
         stops = sum(w.strip(_STRIP).lower() in STOP_WORDS for w in words)
@@ -218,6 +252,14 @@ def first_pass(b: Block) -> bool | None:
     return None
 
 
+def by_length(b: Block) -> bool | None:
+    """The first pass where stop words decide nothing."""
+    if b.label is None and not b.heading:
+        if len(b.text.split()) >= LONG_WORDS or len(_UNSPACED.findall(b.text)) >= LONG_CHARS:
+            return True
+    return b.label
+
+
 def second_pass(blocks: list[Block], edge: bool) -> None:
     """Open blocks inherit from the nearest decided neighbour; ``edge`` is the
     label beyond the first and last block."""
@@ -242,6 +284,10 @@ def second_pass(blocks: list[Block], edge: bool) -> None:
 def main_text(page: str) -> tuple[str, int, int]:
     """Text, number of blocks, number of blocks kept."""
     found = split_blocks(page)
+    if found and all(b.bad for b in found):
+        unnamed = split_blocks(page, by_name=False)
+        if sum(len(b.text.split()) >= LONG_WORDS and not b.bad and not linked(b) for b in unnamed):
+            found = unnamed
     for b in found:
         b.label = first_pass(b)
     inside = [b for b in found if b.article >= 0]
@@ -250,6 +296,12 @@ def main_text(page: str) -> tuple[str, int, int]:
             second_pass([b for b in inside if b.article == k], True)
         kept = [b for b in inside if b.label]
     else:
+        if not any(b.label for b in found):
+            for b in found:
+                b.label = by_length(b)
+            if not any(b.label for b in found):
+                for b in found:
+                    b.label = b.label is None
         second_pass(found, False)
         kept = [b for b in found if b.label]
     return "\n".join(b.text for b in kept), len(found), len(kept)

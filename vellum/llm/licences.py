@@ -20,6 +20,7 @@ result; only the two named columns are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -70,6 +71,14 @@ TEMPLATES = {
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
         "later version.",
     ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "licensed under the GNU Affero General Public License",
+        "SPDX-License-Identifier: AGPL-3.0",
+    ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
         "Public License as published by the Free Software Foundation",
@@ -79,6 +88,31 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "bsl-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, "
+        "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+        "Software is furnished to do so",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions",
+    ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -245,11 +279,11 @@ class Scanner:
         base = [(int(p), label) for places, label in self.base_places(ids) for p in places]
         spans = self.spans(ids, 0, len(ids)) if len(ids) > 1 else []
         # of spans in the same place, the template it covers best names it
-        best: list[tuple[str, int, int, float]] = []
+        best: list[tuple[str, int, int, float]] = []  # disjoint, by start
         for s in sorted(spans, key=lambda s: (-s[3] * (s[2] - s[1]), s[1], s[0])):
-            if all(s[1] >= b[2] or s[2] <= b[1] for b in best):
-                best.append(s)
-        best.sort(key=lambda s: s[1])
+            k = bisect_left(best, s[1], key=lambda b: b[1])
+            if (k == 0 or best[k - 1][2] <= s[1]) and (k == len(best) or best[k][1] >= s[2]):
+                best.insert(k, s)
         base_labels = sorted({label for _, label in base})
         score = max([1.0 if base else 0.0, *(min(1.0, c) for *_, c in best)])
         return (len(words), len(base), min((p for p, _ in base), default=None), max((p for p, _ in base), default=None),
@@ -260,9 +294,14 @@ class Scanner:
 def chains(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Runs (text start, template start, length) of one template, sorted, as
     chains (text start, text end, words covered): each run joins the open chain
-    it follows within MAX_GAP words of text and template, else opens one."""
+    it follows within MAX_GAP words of text and template, else opens one. A chain
+    that ends more than MAX_GAP words before a run is closed: none after it joins."""
     open_: list[list[int]] = []  # text start, text end, template end, covered
+    closed: list[list[int]] = []
     for a, t, n in runs:
+        if any(a - c[1] > MAX_GAP for c in open_):
+            closed += [c for c in open_ if a - c[1] > MAX_GAP]
+            open_ = [c for c in open_ if a - c[1] <= MAX_GAP]
         for c in open_:
             skip_a, skip_t = a - c[1], t - c[2]
             if -n < skip_a <= MAX_GAP and -n < skip_t <= MAX_GAP:
@@ -272,7 +311,7 @@ def chains(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
                     break
         else:
             open_.append([a, a + n, t + n, n])
-    return [(a, b, covered) for a, b, _, covered in open_]
+    return [(a, b, covered) for a, b, _, covered in closed + open_]
 
 
 @lru_cache(maxsize=2)
