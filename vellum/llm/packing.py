@@ -103,8 +103,9 @@ def tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None], [None], [None], [None], [None], [df.astype("<i8").tobytes()]], types)], names=names)
 
-    place = F.lit(None) if order_col is None else F.col(order_col)
-    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), place.cast("long").alias("place"))
+    # rows without a place come last
+    place = F.lit(None).cast("long") if order_col is None else F.coalesce(F.col(order_col).cast("long"), F.lit((1 << 63) - 1))
+    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), place.alias("place"))
     return docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, TOKENS)
 
 
@@ -233,7 +234,7 @@ def ordered_shards(rows: DataFrame, shards: int) -> DataFrame:
 def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None,
          added: bool = False) -> DataFrame:
     """Pieces of all documents: PIECES. Sequences are numbered by shard, and in
-    the order of ``order_col`` (without nulls) where there is one."""
+    the order of ``order_col`` (nulls last) where there is one."""
     tokenised = stored(tokens(docs, path, pattern, id_col, text_col, order_col, added))
     counts, n_docs = document_frequencies(tokenised)
     idf = np.log1p((n_docs - counts + 0.5) / (counts + 0.5))
