@@ -88,16 +88,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = docs.count() if n_rows is None else n_rows
     buckets = max(1, -(-total // ROWS_PER_BUCKET))
     digits = len(f"{buckets - 1:x}") if buckets > 1 else 1
-    rows = rows.withColumn("bucket", F.substring("place", 1, digits))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    # never null, so the window and the join below deal rows by the same keys: texts move once
+    rows = rows.withColumn("bucket", F.substring("place", 1, digits)).withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    sums = rows.groupBy("source", "named", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats)
     offsets = sums.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("b.source").alias("s"), F.col("bucket").alias("k"), "bucket_start", "source_size", "rank", "target")
-    inside = W.partitionBy("source", "bucket").orderBy("place", "tie").rowsBetween(W.unboundedPreceding, -1)
+        "named", "bucket", "bucket_start", "source_size", "rank", "target")
+    inside = W.partitionBy("named", "bucket").orderBy("place", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
+    placed = placed.join(offsets, ["named", "bucket"])
     start = F.col("bucket_start") + F.col("inside")
     words = F.round(F.col("target")).cast("long")
 
