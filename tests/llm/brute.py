@@ -143,38 +143,31 @@ def licence_places(text, phrases):
     return len(w), sorted(found)
 
 
-def terms(rows, reach, threshold):
+def terms(rows, threshold):
     """{doc index: set of (start, end)} of disclosing terms, from distinct (doc_id, text) rows."""
     import math
 
     word = re.compile(r"[^\W_]+")
     n = len(rows)
-    n_term, n_entity, both, places = Counter(), Counter(), Counter(), defaultdict(list)
+    n_term, holders, users = Counter(), defaultdict(set), defaultdict(set)
     for d, (_, t) in enumerate(rows):
-        n_term.update({m[0].lower() for m in word.finditer(t or "")})
-        seen, own, kinds = set(), set(), pii(t)
-        by_kind = defaultdict(list)
-        for m in kinds:
-            by_kind[m[0]].append(m)
-        for kind, a, b in kinds:
+        found = {m[0].lower() for m in word.finditer(t or "")}
+        n_term.update(found)
+        for term in found:
+            users[term].add(d)
+        for kind, a, b in pii(t):
             v = t[a:b]
-            e = (kind, re.sub("[^0-9]", "", v) if kind in ("card", "phone") else v.lower())
-            own.add(e)
-            # a context ends at the nearest raw match of the same kind
-            raw = [m.span() for m in re.finditer(PII[kind] if kind != "card" else r"[0-9]([\x20-]?[0-9]){11,}", t)]
-            lo = max([y for _, y in raw if y <= a], default=0)
-            hi = min([x for x, _ in raw if x >= b], default=len(t))
-            for m in word.finditer(t):
-                if (m.end() <= a and m.start() >= max(lo, a - reach) or m.start() >= b and m.end() <= min(hi, b + reach)):
-                    seen.add((e, m[0].lower()))
-                    places[e, m[0].lower()].append((d, m.start(), m.end()))
-        n_entity.update(own)
-        both.update(seen)
+            holders[kind, re.sub("[^0-9]", "", v) if kind in ("card", "phone") else v.lower()].add(d)
     out = defaultdict(set)
-    for (e, term), k in both.items():
-        content = math.log2(n / n_entity[e])
-        if content > 0 and math.log2(n * k / (n_term[term] * n_entity[e])) >= threshold * content - 1e-12:
-            for d, a, b in places[e, term]:
-                if all(b <= x or a >= y for _, x, y in pii(rows[d][1])):
-                    out[d].add((a, b))
-    return dict(out)
+    for own in holders.values():
+        content = math.log2(n / len(own))
+        for term in {m[0].lower() for d in own for m in word.finditer(rows[d][1])}:
+            both = own & users[term]
+            if len({rows[d][1] for d in both}) < 2 or content <= 0:
+                continue
+            if math.log2(n * len(both) / (n_term[term] * len(own))) >= threshold * content - 1e-12:
+                for d in both:
+                    t = rows[d][1]
+                    out[d] |= {m.span() for m in word.finditer(t) if m[0].lower() == term
+                               and all(m.end() <= x or m.start() >= y for _, x, y in pii(t))}
+    return {d: s for d, s in out.items() if s}

@@ -291,6 +291,13 @@ def disclosure_rows():
     rows += [(300, "the manager Zebulon, of Quirkville, wrote from z.q@mail.example on that day to our office"),
              (301, "our answer to z.q@mail.example was sent later; Zebulon came"), (302, "Quirkville is a town that the report names"),
              (303, "call +1 (555) 010-9999 or 10.0.0.1 and the office"), (304, "x" * 300 + " 10.0.0.1 " + "ß" * 300), (305, None)]
+    # a value whose telling term stands 1,000 characters away, one document's value, a list in two copies, a value in many documents
+    filler = " ".join(rng.choices(common, k=250))
+    rows += [(310, f"a.b@far.example {filler} Xanthippe"), (311, f"Xanthippe İstanbul {filler} {filler} A.B@far.example"),
+             (312, "only here: once@one.example by Singular"), (313, "Singular")]
+    listed = " ".join(f"m{k}@list.example Member{k}" for k in range(40))
+    rows += [(320, listed), (321, listed), (322, f"{listed} again"), (None, f"again {listed}")]
+    rows += [(330 + k, f"{' '.join(rng.choices(common, k=12))} help@hot.example Hotline{k % 3} {' '.join(rng.choices(common, k=5))}") for k in range(90)]
     return rows
 
 
@@ -299,12 +306,14 @@ def test_disclosing_terms_match_brute_force(spark):
     got = {}
     for r in sanitise.report(documents(spark, rows)).collect():
         got[r.doc_id] = {tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("term:")}
-    want = brute.terms(rows, sanitise.REACH, sanitise.THRESHOLD)
+    want = brute.terms(rows, sanitise.THRESHOLD)
     assert {i: s for i, s in got.items() if s} == {rows[d][0]: s for d, s in want.items()}
+    assert {310, 311, 320, 322, None, 330} <= {rows[d][0] for d in want}
     texts = {r.doc_id: r.text for r in sanitise.sanitised(documents(spark, rows)).collect()}
     assert texts[305] is None and texts[302] == rows[202][1] and texts[0] == rows[0][1]
     assert "[email]" in texts[300] and "Zebulon" not in texts[300] and "the manager" not in texts[300].replace("[term]", "the manager")[:0]
     assert "[phone]" in texts[303] and "[ip]" in texts[303] and "office" in texts[303]
+    assert texts[310].endswith(" [term]") and texts[311].startswith("[term] İstanbul") and "Singular" in texts[312]
 
 
 def test_mix_reaches_targets(spark):

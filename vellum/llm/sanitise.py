@@ -7,25 +7,35 @@ The patterns are written so that Java's matcher neither recurses nor rescans a
 long run; the tests compare them with the plain patterns.
 
 Every value found is a protected entity e. A term t (run of letters and digits,
-lower-cased) that stands within REACH code points of it discloses it by their
-pointwise mutual information over the documents of the corpus,
+lower-cased) of any document that holds it, however far from it, discloses it by
+their pointwise mutual information over the documents of the corpus,
 
     PMI(t, e) = log2( N * n(t, e) / (n(t) * n(e)) ),
 
 n counting documents, relative to all there is to disclose, IC(e) = log2(N / n(e)).
 Where PMI reaches ``threshold`` of IC, knowing the term all but tells the
-entity, and the term is a span of its own (kind ``term``) at those places. Terms
-that many documents use say little and stay. A document without a protected
-entity has no such term and is left alone.
-
-Positions come from the pieces between matches and a running sum over the
-matches of a document, so no text is shuffled. The document counts of terms are
-pre-aggregated before their shuffle. Entities and terms are keys only of counts
-and of joins against counts; a hot one is split by Spark's skew join.
+entity, and every place of the term in every document that holds the entity is a
+span of its own (kind ``term``). One co-occurrence is no evidence - any rare word of
+the only document of an entity would be telling - so a pair needs two different
+texts. Terms that many documents use say little and stay. A document without a
+protected entity has no such term and is left alone.
+
+Pairs of a document are not enumerated entity by entity and term by term: entities
+held by the same documents are one class (their counts are equal), and so are terms
+with equal n(t) in the same documents that hold entities. A list of ten thousand
+addresses in two copies is one class of entities. Of the classes only pairs with
+n(t) <= N^(1-threshold) * n(e)^threshold can reach the threshold (n(t, e) is at most
+n(e)), so frequent terms meet only frequent entities.
+
+The texts are matched once; documents with a match are stored and the rest reads
+these. Positions come from the pieces between matches and a running sum over the
+matches of a document. Counts are pre-aggregated before their shuffle. Entities and
+terms are keys only of counts and of joins against counts; a hot one is split by
+Spark's skew join.
 
 Nulls: a null text is the empty text, without spans. A row is identified by its
-doc_id (null included) and its text: repeated rows have the same spans and count
-as one document for n(e) and n(t, e). An entity that all documents hold
+doc_id (null included) and its text (a 64-bit hash): repeated rows have the same
+spans and count as one document for n(e) and n(t, e). An entity that all documents hold
 (IC = 0) has no terms. An empty table gives an empty result. Only the two named
 columns are read.
 """
@@ -38,6 +48,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.llm.common import stored
+
 #: Kinds in their order, with patterns equal to the plain ones for leftmost non-overlapping search.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -49,8 +61,6 @@ NAMES = [k for k, *_ in KINDS] + [TERM]
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 WORD = r"[\p{L}\p{N}]+"
-#: Code points on either side of an entity that are its context.
-REACH = 100
 THRESHOLD = 0.9
 
 
@@ -88,75 +98,89 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def base_matches(rows: DataFrame) -> DataFrame:
-    """doc_id, row, kind (index), start, end, value and the text around it, of
-    the matches that pass their check."""
+def held_documents(rows: DataFrame) -> DataFrame:
+    """Documents with a match of a pattern, repeated rows once: doc_id, row, text
+    and kinds (index, matches, code points before each match)."""
     def of(i: int, pattern: str, sign: str | None) -> Column:
         text = F.col("text")
         might = F.contains(text, F.lit(sign)) if sign else F.lit(True)
         found = F.when(might, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        pieces = F.when(might, F.split(text, pattern, -1))
-        return F.struct(F.lit(i).alias("kind"), found.alias("found"), pieces.alias("pieces"))
-
-    kinds = rows.select("doc_id", "row", F.explode(F.array(*[of(i, p, s) for i, (_, p, s) in enumerate(KINDS)])).alias("k"))
-    kinds = kinds.where(F.size("k.found") > 0)
-    around = F.transform("k.pieces", lambda p: F.struct(F.length(p).alias("n"), F.left(p, F.lit(REACH + 1)).alias("head"),
-                                                      F.right(p, F.lit(REACH + 1)).alias("tail")))
-    kinds = kinds.select("doc_id", "row", "k.kind", "k.found", around.alias("around"))
-    each = kinds.select("doc_id", "row", "kind", F.posexplode(F.arrays_zip(
-        "found", F.slice("around", F.lit(1), F.size("found")).alias("left"), F.slice("around", F.lit(2), F.size("found")).alias("right"))).alias("i", "m"))
-    # repeated rows fall together here; a document's matches of a kind stay in one partition for the running sum
-    each = each.select("doc_id", "row", "kind", "i", F.col("m.found").alias("value"), F.col("m.left.n").alias("gap"),
-                       F.col("m.left.tail").alias("before"), F.col("m.right.head").alias("after"))
-    each = each.repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "kind", "i"])
+        return F.struct(F.lit(i).alias("kind"), found.alias("found"))
+
+    matched = F.filter(F.array(*[of(i, p, s) for i, (_, p, s) in enumerate(KINDS)]), lambda k: F.size(k["found"]) > 0)
+    # behind a generator the filter cannot be pushed below the matching, which would then run twice
+    held = rows.select("*", F.explode(F.array(matched)).alias("matched")).where(F.size("matched") > 0)
+    held = held.dropDuplicates(["doc_id", "row"])
+    pieces = reduce(lambda rest, i: F.when(F.col("k.kind") == i, F.split("text", KINDS[i][1], -1)).otherwise(rest), range(len(KINDS)), F.lit(None))
+    each = held.select("doc_id", "row", "text", F.explode("matched").alias("k"))
+    return each.select("doc_id", "row", "text", "k.kind", "k.found", F.transform(pieces, F.length).alias("gaps"))
+
+
+def base_matches(held: DataFrame) -> DataFrame:
+    """doc_id, row, kind (index), start, end, value of the matches that pass their check."""
+    each = held.select("doc_id", "row", "kind", F.posexplode(F.arrays_zip(
+        "found", F.slice("gaps", F.lit(1), F.size("found")).alias("gap"))).alias("i", "m"))
     upto = W.partitionBy("doc_id", "row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("value")).over(upto)
-    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-    return placed.where(valid(F.col("kind"), F.col("value"))).select("doc_id", "row", "kind", "start", "end", "value", "before", "after")
-
-
-def context_terms(matches: DataFrame) -> DataFrame:
-    """doc_id, row, entity, term, start, end of the whole terms within reach."""
-    # one code point beyond the reach tells whether the outermost run is whole
-    before = F.regexp_replace("before", F.lit(rf"(?s)^(?=.{{{REACH + 1}}})[\p{{L}}\p{{N}}]+"), F.lit(""))
-    after = F.regexp_replace("after", F.lit(rf"(?s)(?<=^.{{0,{REACH + 1}}})[\p{{L}}\p{{N}}]+$"), F.lit(""))
-    after = F.when(F.length("after") > REACH, after).otherwise(F.col("after"))
-    sides = matches.select("doc_id", "row", entity(F.col("kind"), F.col("value")).alias("entity"), F.explode(F.array(
-        F.struct((F.col("start") - F.length(before)).alias("at"), before.alias("text")),
-        F.struct(F.col("end").alias("at"), after.alias("text")))).alias("s"))
-    split = sides.select("*", F.regexp_extract_all("s.text", F.lit(WORD), F.lit(0)).alias("terms"),
-                         F.split(F.col("s.text"), WORD, -1).alias("gaps")).where(F.size("terms") > 0)
-    # a context has at most REACH code points, so its running sum is a short fold
-    ends = F.aggregate(F.arrays_zip("terms", F.slice("gaps", F.lit(1), F.size("terms")).alias("gaps")), F.array().cast("array<int>"),
-                       lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x["gaps"]) + F.length(x["terms"]))))
-    each = split.withColumn("ends", F.when(F.size("terms") > 0, ends)).select(
-        "doc_id", "row", "entity", F.col("s.at").alias("at"), F.explode(F.arrays_zip("terms", "ends")).alias("t"))
-    end = F.col("at") + F.col("t.ends")
-    return each.select("doc_id", "row", "entity", F.lower("t.terms").alias("term"), (end - F.length("t.terms")).alias("start"), end.alias("end"))
-
-
-def disclosing(rows: DataFrame, matches: DataFrame, n_docs: int, threshold: float) -> DataFrame:
-    """doc_id, row, start, end of the terms that disclose an entity near them."""
-    near = context_terms(matches)
-    joint = near.select("entity", "term", "doc_id", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    owners = matches.select(entity(F.col("kind"), F.col("value")).alias("entity"), "doc_id", "row").distinct()
-    n_entity = owners.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
+    end = F.sum(F.col("m.gap") + F.length("m.found")).over(upto)
+    placed = each.withColumn("end", end).withColumn("value", F.col("m.found")).withColumn("start", F.col("end") - F.length("value"))
+    return placed.where(valid(F.col("kind"), F.col("value"))).select("doc_id", "row", "kind", "start", "end", "value")
+
+
+def terms_of(text: str) -> Column:
+    return F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lower)
+
+
+def same_documents(pairs: DataFrame, item: str) -> DataFrame:
+    """(item, n, held_by): documents of each item, and a hash of their set."""
+    return pairs.groupBy(item).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", "row")).alias("a"),
+                                   F.bit_xor(F.xxhash64("row", "id", F.lit(1))).alias("b")).select(
+        item, "n", F.xxhash64("n", "a", "b").alias("held_by"))
+
+
+def disclosing(rows: DataFrame, texts: DataFrame, matches: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+    """doc_id, row, start, end of the terms that disclose an entity of their document.
+    ``texts`` are the documents that hold one (doc_id, row, text)."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+    owners = matches.select(named, "row", entity(F.col("kind"), F.col("value")).alias("entity")).distinct()
+    entities = same_documents(owners, "entity").where("n > 1").select("entity", F.col("held_by").alias("e"), F.col("n").alias("n_entity"))
+    by_entity = owners.join(entities, "entity").select("id", "row", "e", "n_entity").distinct()
+
+    texts = texts.select(named, "row", "text").join(by_entity.select("id", "row").distinct(), ["id", "row"], "left_semi")
+    inside = texts.select("id", "row", F.explode(F.array_distinct(terms_of("text"))).alias("term"))
+    words = rows.select(F.explode(F.array_distinct(terms_of("text"))).alias("word"))
     n_term = words.groupBy(F.xxhash64("word").alias("term_hash")).agg(F.count("*").alias("n_term"))
-    known = joint.withColumn("term_hash", F.xxhash64("term")).join(n_term, "term_hash").join(n_entity, "entity")
+    terms = same_documents(inside, "term").where("n > 1").withColumn("term_hash", F.xxhash64("term")).join(n_term, "term_hash")
+    terms = terms.select("term", "n_term", F.xxhash64("held_by", "n_term").alias("t"))
+    by_term = stored(inside.join(terms, "term"))
+
     n = F.lit(float(n_docs))
     content = F.log2(n / F.col("n_entity"))
+    possible = F.log2(n / F.col("n_term")) >= threshold * content - 1e-9
+    pairs = by_entity.join(by_term.select("id", "row", "t", "n_term").distinct(), ["id", "row"]).where((content > 0) & possible)
+    known = pairs.groupBy("e", "t", "n_entity", "n_term").agg(F.count("*").alias("n_both"), F.min("row").alias("one"), F.max("row").alias("other"))
     pmi = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    telling = known.where((content > 0) & (pmi >= threshold * content)).select("entity", "term")
-    return near.join(telling, ["entity", "term"]).select("doc_id", "row", "start", "end").distinct()
+    telling = known.where((F.col("one") < F.col("other")) & (pmi >= threshold * content)).select("e", "t")
+    hits = pairs.join(telling, ["e", "t"]).select("id", "row", "t").distinct()
+    chosen = stored(by_term.join(hits, ["id", "row", "t"]).select("id", "row", "term"))
+
+    texts = texts.join(chosen.select("id", "row").distinct(), ["id", "row"], "left_semi")
+    found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    zipped = F.arrays_zip(found.alias("word"), F.transform(F.split("text", WORD, -1), F.length).alias("gap"))
+    each = texts.select("id", "row", F.posexplode(zipped).alias("i", "m"))
+    upto = W.partitionBy("id", "row").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("m.gap") + F.coalesce(F.length("m.word"), F.lit(0))).over(upto)).select(
+        "id", "row", F.lower("m.word").alias("term"), (F.col("end") - F.length("m.word")).alias("start"), "end")
+    return each.join(chosen, ["id", "row", "term"]).select(F.col("id").try_cast("long").alias("doc_id"), "row", "start", "end")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, row, kind (index into NAMES), start, end of all spans."""
     rows = identified(docs, id_col, text_col)
-    matches = base_matches(rows)
+    held = stored(held_documents(rows))
+    matches = stored(base_matches(held))
     base = matches.select("doc_id", "row", "kind", "start", "end")
-    terms = disclosing(rows, matches, docs.count(), threshold)
+    texts = held.dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text")
+    terms = disclosing(rows, texts, matches, docs.count(), threshold)
     terms = terms.select("doc_id", "row", F.lit(len(KINDS)).alias("kind"), "start", "end")
     # terms that overlap a base span are part of it
     order = W.partitionBy("doc_id", "row").orderBy("start", "kind")
