@@ -7,6 +7,7 @@ text, ``n_chars`` follows."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +49,16 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, text and place: where the row stands in the table as it was written.
-    A scan deals files by size, so their order is that of the part numbers."""
-    if not docs.inputFiles():
+    A scan deals files by size, so their order is that of the part numbers, and of the
+    file numbers inside a part where the writer limits a file's rows. A table that
+    was not read from files is in the order of its partitions."""
+    try:
+        file = docs.metadataColumn("_metadata")
+        rows = docs.select("doc_id", "text", file.getField("file_name").alias("file"), file.getField("row_index").alias("row"))
+    except AnalysisException:
         return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long")
-    return docs.select("doc_id", "text", (F.coalesce(part, F.lit(0)) * F.lit(1 << 40) + F.col("_metadata.row_index")).alias("place"))
+    part, number = (F.coalesce(F.regexp_extract("file", p, 1).try_cast("long"), F.lit(0)) for p in (r"part-(\d+)", r"-c(\d+)\."))
+    return rows.select("doc_id", "text", (part * F.lit(1 << 44) + number * F.lit(1 << 32) + F.col("row")).alias("place"))
 
 
 STAGES = [("quality_rules", quality_rules), ("jaccard_dedup", jaccard_dedup), ("sanitising", sanitising),
