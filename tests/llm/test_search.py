@@ -231,3 +231,15 @@ def test_summaries_too_small_for_their_mass_do_not_merge():
         assert 15 <= summary.error < 30
     with pytest.raises(ValueError):
         one.merge(two)
+
+
+def test_hashes_are_counted_in():
+    rng = np.random.default_rng(3)
+    keys, counts, every = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    for size in (0, 1, 500, 0, 2000, 30):
+        raw = [rng.integers(0, 700, size, dtype=np.uint64), rng.integers(600, 1 << 64, size // 2, dtype=np.uint64)]
+        keys, counts = frequent.counted_in(keys, counts, raw)
+        every = np.concatenate([every, *raw])
+        want = np.unique(every, return_counts=True)
+        assert (keys == want[0]).all() and (counts == want[1]).all()
+    assert frequent.counted_in(keys, counts, [])[0] is keys

@@ -78,6 +78,21 @@ def combined(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts, first)
 
 
+def counted_in(keys: np.ndarray, counts: np.ndarray, raw: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their counts, with the keys of ``raw`` counted in. The
+    counts of known keys are raised in place, so only new keys cost a copy."""
+    if not raw:
+        return keys, counts
+    new, n = np.unique(np.concatenate(raw), return_counts=True)
+    at = np.searchsorted(keys, new)
+    known = np.zeros(len(new), bool)
+    inside = at < len(keys)
+    known[inside] = keys[at[inside]] == new[inside]
+    counts[at[known]] += n[known]
+    at, new, n = at[~known], new[~known], n[~known]
+    return np.insert(keys, at, new), np.insert(counts, at, n)
+
+
 def marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h >> np.uint64(64 - BITS)
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
@@ -110,10 +125,6 @@ def frequent_bitmap(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]]
     def count(batches):
         keys, counts, raw = np.empty(0, np.uint64), np.empty(0, np.int64), []
 
-        def gathered():
-            u, c = np.unique(np.concatenate(raw), return_counts=True) if raw else (keys[:0], counts[:0])
-            return combined(np.concatenate([keys, u]), np.concatenate([counts, c]))
-
         def sent():
             edge = np.searchsorted(keys >> shift, np.arange(parts + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(edge))
@@ -124,13 +135,13 @@ def frequent_bitmap(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]]
 
         for h in hashes(batches):
             raw.append(h)
-            if sum(map(len, raw)) > COMBINE // 2:
-                keys, counts = gathered()
+            if sum(map(len, raw)) > COMBINE // 8:
+                keys, counts = counted_in(keys, counts, raw)
                 raw = []
                 if len(keys) > COMBINE:
                     yield from sent()
                     keys, counts = keys[:0], counts[:0]
-        keys, counts = gathered()
+        keys, counts = counted_in(keys, counts, raw)
         if len(keys):
             yield from sent()
 
