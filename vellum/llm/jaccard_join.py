@@ -363,6 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = shared(postings(named, width, percent, hot)).groupBy("cls").agg(F.collect_list("token").alias("tokens"))
     kept = kept.join(classes, "cls").where(F.size("tokens") >= least)
     index = stored(members(kept, named, width))
+    hot.destroy()  # only the stored index used it; a session that joins often would keep every bitmap
 
     entries = index.select("cls", "n", "tokens").dropDuplicates(["cls"]).select("cls", "n", F.explode("tokens").alias("token"))
     counted = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
