@@ -245,3 +245,16 @@ def test_a_replayed_batch_leaves_the_table_equal(spark):
     assert history() == want
     assert sorted(r[SK.BATCH] for r in spark.read.parquet(out).select(SK.BATCH).distinct().collect()) == batches
     SK.write_batch(spark.read.parquet(out).where("batch = 99").drop(SK.BATCH), 2, W.scratch_path(spark, "empty"))  # no rows: no error
+
+
+def test_saved_tables_hold_sentence_splits_and_documents(spark):
+    from vellum.plans import io_q as IQ
+
+    sf = W.scratch_path(spark, "documents-of-sentences")
+    words = F.concat_ws(" ", F.lit("These are the words of document"), F.col("id").cast("string"), F.lit("and of its one sentence."))
+    spark.range(1500).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang")).write.parquet(f"{sf}/documents.parquet")
+    got = {(r.saved, r.split): r for r in IQ.Q["src_saved_table"](spark, sf).collect()}
+    assert set(got) == {("sentences", "test"), *[("documents", x) for x in ("valid alone", "train", "valid", "test")]}
+    test = got["sentences", "test"]
+    assert (test.n, test.n_docs, test.min_ord, test.max_ord) == (100, 100, 1100, 1199)
+    assert [got["documents", x].n for x in ("train", "valid", "test")] == [1200, 150, 150]

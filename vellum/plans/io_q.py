@@ -98,19 +98,25 @@ FROM ({ORDERED_CLEAN_SQL}) WHERE ord >= {SPLIT_SIZES["train"] + SPLIT_SIZES["val
 
 
 def src_saved_table(spark, sf):
-    """A saved table of whole documents in three uneven splits: one split read by
-    partition pruning, and the whole table read at once."""
+    """Saved split tables: the sentence splits with their test split read back by
+    partition pruning, and whole documents in three uneven splits, of which one is
+    read alone and the whole table at once."""
     path = W.scratch_path(spark, "saved")
     split = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "valid").otherwise("test")
     W.write_split_table(table(spark, sf, "documents").withColumn("split", split), path)
     about = [F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), F.max("doc_id").alias("max_id")]
-    one = RD.read_split_table(spark, path, "valid").agg(*about).select(F.lit("valid alone").alias("part"), "n", "n_chars", "max_id")
-    return one.union(RD.read_split_table(spark, path).groupBy("split").agg(*about))
+    one = RD.read_split_table(spark, path, "valid").agg(*about).select(F.lit("valid alone").alias("split"), "n", "n_chars", "max_id")
+    docs = one.union(RD.read_split_table(spark, path).groupBy("split").agg(*about)).select(F.lit("documents").alias("saved"), "*")
+    sentences = sink_split_table(spark, sf).select(F.lit("sentences").alias("saved"), "*")
+    return sentences.unionByName(docs, allowMissingColumns=True)
 
 
 Q["src_saved_table"] = src_saved_table
-SQL["src_saved_table"] = """
-SELECT part, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars, max(doc_id) AS max_id
+SQL["src_saved_table"] = f"""
+SELECT 'sentences' AS saved, split, n, n_words, n_chars, min_ord, max_ord, n_docs, CAST(NULL AS BIGINT) AS max_id
+FROM ({SQL["sink_split_table"]})
+UNION ALL
+SELECT 'documents', part, count(*), NULL, CAST(sum(length(text)) AS BIGINT), NULL, NULL, NULL, max(doc_id)
 FROM (SELECT *, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'valid' ELSE 'test' END AS part FROM documents
       UNION ALL SELECT *, 'valid alone' FROM documents WHERE doc_id % 10 = 8)
 GROUP BY part"""
