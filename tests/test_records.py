@@ -140,3 +140,30 @@ def test_top_k_headers_break_ties_by_first_place(spark):
     got = B.top_k_headers(df, "header", 2, first=F.col("row")).collect()
     assert [(r.value, r["count"]) for r in got] == [("a", 2), ("b", 2)]
     assert got == B.most_common(B.header_counts(df, "header", first=F.col("row")), 2).collect()
+
+
+def _biographies(spark, n=800, segments=17):
+    """Tables of the biography job: customers of ``segments`` market segments."""
+    from vellum.sources.writers import scratch_path
+
+    sf = scratch_path(spark, "biographies")
+    k = F.col("id")
+    customers = spark.range(1, n + 1).select(
+        k.alias("c_custkey"), F.format_string("Customer#%09d", k).alias("c_name"), F.pmod(k, F.lit(13)).alias("c_nationkey"),
+        F.format_string("SEGMENT%s", F.chr(65 + F.pmod(k, F.lit(segments)))).alias("c_mktsegment"))
+    customers.write.parquet(f"{sf}/customer.parquet")
+    nations = spark.range(13).select(k.alias("n_nationkey"), F.format_string("NATION%s", F.chr(65 + k)).alias("n_name"), F.pmod(k, F.lit(3)).alias("n_regionkey"))
+    nations.write.parquet(f"{sf}/nation.parquet")
+    spark.range(3).select(k.alias("r_regionkey"), F.format_string("REGION%s", F.chr(65 + k)).alias("r_name")).write.parquet(f"{sf}/region.parquet")
+    return sf
+
+
+def test_distinct_covers_the_rendered_rows_of_all_splits(spark):
+    from vellum.plans import records_q as RQ
+
+    sf = _biographies(spark)
+    rows = RQ.s_render(spark, sf).collect()
+    assert len({r.split for r in rows}) > 1
+    wanted = {(a, r[a]) for r in rows for a in ("occupation", "nationality")}
+    got = [tuple(r) for r in RQ.Q["distinct"](spark, sf).select("attribute", "value").collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
