@@ -167,3 +167,16 @@ def test_distinct_covers_the_rendered_rows_of_all_splits(spark):
     wanted = {(a, r[a]) for r in rows for a in ("occupation", "nationality")}
     got = [tuple(r) for r in RQ.Q["distinct"](spark, sf).select("attribute", "value").collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_distinct_distractors_gives_the_lists_of_every_row(spark):
+    from vellum.plans import records_q as RQ
+
+    sf = _biographies(spark)
+    rows = {r.row_id: r for r in RQ.s_render(spark, sf).collect()}
+    got = {r.row_id: r for r in RQ.Q["distinct_distractors"](spark, sf).collect()}
+    assert set(got) == set(rows)
+    for i, r in got.items():
+        for a in RQ.ATTRS:
+            names = r[f"{a}_candidates"].split("|")
+            assert names[0] == rows[i][a] and len(names) == len(set(names)) == 10
