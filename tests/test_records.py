@@ -180,3 +180,8 @@ def test_distinct_distractors_gives_the_lists_of_every_row(spark):
         for a in RQ.ATTRS:
             names = r[f"{a}_candidates"].split("|")
             assert names[0] == rows[i][a] and len(names) == len(set(names)) == 10
+
+
+def test_top_k_of_a_column_named_value(spark):
+    df = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2 + [("c",)], "value string")
+    assert sorted(r.value for r in B.keep_top_k(df, "value", 2).collect()) == ["a", "a", "a", "b", "b"]
