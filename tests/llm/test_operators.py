@@ -83,6 +83,48 @@ def test_suffix_array_covers_all_repeats(spark, corpus):
     assert dict(got) == brute.repeats(rows, 50)
 
 
+def _variants(n=300, seed=3):
+    """Texts that share one passage of which each has another part, with words changed:
+    the longest matches on one side hide those that are longer on both."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(110)]
+    rows = []
+    for i in range(n):
+        words = [w if rng.random() > 0.03 else f"{w}-{rng.randint(0, 1)}" for w in passage]
+        lo = rng.randint(0, 50)
+        rows.append((i, " ".join([f"a{i}", *words[lo:lo + rng.randint(48, 70)], f"z{i}"])))
+    return rows
+
+
+@pytest.mark.parametrize("most", [1 << 15, 100, 3])
+def test_suffix_array_finds_every_shared_window(spark, most, monkeypatch):
+    """Whatever lies between two suffixes in any order, and however many have a head."""
+    monkeypatch.setattr(suffix_array, "MOST", most)
+    rows = _variants()
+    rows += [(1000 + i, t + f" y{i}") for i, (_, t) in enumerate(rows[:40] + rows[:40])]  # equal surroundings
+    found = suffix_array.repeated_passages(documents(spark, rows).repartition(5), least=50).collect()
+    got = defaultdict(set)
+    for r in found:
+        got[r.doc_id].update(range(r.start, r.start + r.n_words))
+        assert r.is_first == (r.doc_id < r.other_doc_id)
+    assert dict(got) == brute.repeats(rows, 50)
+    wanted = defaultdict(set)  # documents with a window of each document
+    at = defaultdict(set)
+    for i, t in rows:
+        w = brute.words(t)
+        for s in range(len(w) - 49):
+            at[tuple(w[s:s + 50])].add(i)
+    for ids in at.values():
+        for i in ids:
+            wanted[i] |= ids - {i}
+    smallest = defaultdict(list)
+    for r in found:
+        smallest[r.doc_id].append(r.other_doc_id)
+    assert all(set(o) <= wanted[i] for i, o in smallest.items())
+    if most > len(rows):
+        assert {i: min(o) for i, o in smallest.items()} == {i: min(o) for i, o in wanted.items() if o}
+
+
 @pytest.mark.parametrize(("long", "block"), [(64, 128), (4, 128), (10_000, 7)])
 def test_jaccard_join_matches_brute_force(spark, corpus, long, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LONG", long)

@@ -10,11 +10,12 @@ it.
 1. Suffixes whose first HEAD words occur once in the corpus are dropped. A block
    of documents counts its own occurrences first, so a passage that a third of
    the documents share costs one row for each block.
-2. The rest form the sparse suffix array: sorted by their words, neighbours are
-   compared and matches extended, to the right from HEAD words on and to the
-   left of the position, ``least`` words together being a repeat. Inside suffixes
-   of one head neighbours are compared in the order of the words before them,
-   too, so that the longest extension on either side is found.
+2. The rest form the sparse suffix array, in order of their heads. A repeat of
+   ``least`` words around a head is a run of so many words before and behind it, and
+   there are ``least`` - HEAD + 1 such windows: suffixes of one head that have one of them
+   in common repeat it, whatever else lies between them in any order. Heads of up to
+   MOST suffixes are compared in memory; the windows of any other are dealt out by
+   their own hashes and compared as they pass by, equal surroundings once.
 3. The matches of a document are united into maximal passages.
 
 Documents that are equal as a whole are named by their words once and only the
@@ -42,11 +43,15 @@ K = 8
 WINDOW = 25
 HEAD = 25
 LEAST = 50
-#: Suffixes of one head that are put in order of the words before them at once.
-GROUP = 4096
+#: Suffixes compared in memory; a head that has more is compared by its windows.
+MOST = 1 << 15
 
 SUFFIXES = "head long, doc long, at int, right binary, left binary"
 MATCHES = "doc long, start int, stop int, other long"
+WINDOWS = f"key long, {MATCHES}"
+
+#: Factors of the words on both sides of a head in the hash of a window.
+_FACTORS = np.random.default_rng(21).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def minimisers(h: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
@@ -137,68 +142,156 @@ def suffixes(joined: DataFrame, least: int) -> DataFrame:
     return joined.where("keys is not null").mapInArrow(run, SUFFIXES)
 
 
-def neighbours(rows: DataFrame, least: int) -> DataFrame:
-    """MATCHES of neighbours in the sorted suffixes."""
+def partners(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of key, doc and start: whether another (doc, start) has the
+    key, and the smallest doc of the others that have it."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.diff(first, append=len(key))
+    of = np.repeat(first, count)
+    mine = (doc == doc[of]) & (start == start[of])  # the smallest, and rows equal to it
+    second = first + np.add.reduceat(mine, first, dtype=np.int64)
+    shared = np.repeat(second < first + count, count)
+    return shared, np.where(mine, np.repeat(doc[np.minimum(second, len(doc) - 1)], count), doc[of])
+
+
+def window_keys(head: np.ndarray, right: np.ndarray, left: np.ndarray):
+    """Hashes of the windows of each suffix: (words before the head, hashes)."""
+    side = right.shape[1]
+
+    def sums(words, factors):
+        out = np.zeros((side + 1, len(words)), np.uint64)
+        np.cumsum(words.T.astype(np.uint64) * factors[:side, None], axis=0, out=out[1:])
+        return out
+
+    behind, before, base = sums(right, _FACTORS), sums(left, _FACTORS[len(_FACTORS) // 2:]), mix(head.view(np.uint64))
+    for n in range(side + 1):
+        yield n, mix(base + behind[side - n] + before[n] + np.uint64(n)).view(np.int64)
+
+
+def found_repeats(rows: DataFrame, least: int) -> DataFrame:
+    """WINDOWS: MATCHES without a key, one for each suffix that repeats something, and
+    the windows of heads with more than MOST suffixes, still to be compared."""
     side = least - HEAD
 
-    def compare(a, b, doc, at, right, left):
-        """Extends the pairs of rows a, b; matches of both sides."""
-        r = HEAD + np.cumprod(right[a] == right[b], axis=1).sum(axis=1)
-        l = np.cumprod(left[a] == left[b], axis=1).sum(axis=1)
-        ok = (r + l >= least) & ((doc[a] != doc[b]) | (at[a] != at[b]))
-        a, b, r, l = a[ok], b[ok], r[ok], l[ok]
-        return [np.concatenate(x) for x in ((doc[a], doc[b]), (at[a] - l, at[b] - l), (at[a] + r, at[b] + r), (doc[b], doc[a]))]
+    def columns(table):
+        head, doc, at = (table.column(c).to_numpy() for c in ("head", "doc", "at"))
+        right = np.frombuffer(b"".join(table.column("right").to_pylist()), ">u4").reshape(len(head), side)
+        left = np.frombuffer(b"".join(table.column("left").to_pylist()), "<u4").reshape(len(head), side)
+        return head, doc, at.astype(np.int64), right, left
+
+    def compared(table):
+        head, doc, at, right, left = columns(table)
+        order = np.lexsort((at, doc))
+        head, doc, at, right, left = (x[order] for x in (head, doc, at, right, left))
+        most, fewest = np.full(len(doc), -1), np.full(len(doc), side + 1)
+        other = np.full(len(doc), np.iinfo(np.int64).max)
+        for n, key in window_keys(head, right, left):
+            order = np.argsort(key, kind="stable")
+            shared, smallest = partners(key[order], doc[order], at[order])
+            hit = order[shared]
+            most[hit], fewest[hit] = n, np.minimum(fewest[hit], n)
+            other[hit] = np.minimum(other[hit], smallest[shared])
+        hit = most >= 0
+        # all windows of a suffix hold its head, so together they are one passage
+        start, stop = (at - most).astype(np.int32)[hit], (at - fewest + least).astype(np.int32)[hit]
+        return record_batch([[None] * len(start), doc[hit], start, stop, other[hit]], WINDOWS)
+
+    def windows(table, before, ends):
+        """Rows of a head with more than MOST: suffixes with equal words on both sides
+        repeat each other whole, and the first of them asks for its windows, those that
+        the words after the head can share with the next suffix in order. ``before``: words
+        shared with the row before, whether equal to it, the first doc of its equals."""
+        head, doc, at, right, left = columns(table)
+        ahead = np.cumprod(right[1:] == right[:-1], axis=1).sum(axis=1)
+        equal = (ahead == side) & (left[1:] == left[:-1]).all(axis=1)
+        copy = np.concatenate(([before[1]], equal))
+        run_of = np.maximum.accumulate(np.where(copy, 0, np.arange(len(doc))))
+        first = np.where((run_of == 0) & copy[0], before[2], doc[run_of])
+        a = np.flatnonzero(equal & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1])))
+        whole, other = np.concatenate([a, a + 1]), np.concatenate([doc[a + 1], first[a + 1]])
+        yield record_batch([[None] * len(whole), doc[whole], (at[whole] - side).astype(np.int32), (at[whole] + least).astype(np.int32), other], WINDOWS)
+        shared = np.maximum(np.append([before[0]], ahead), np.append(ahead, 0))
+        asks = ~copy
+        asks[-1] &= ends  # else its next row is still to come
+        for n, key in window_keys(head, right, left):
+            hit = asks & (shared >= side - n)
+            start = (at[hit] - n).astype(np.int32)
+            yield record_batch([key[hit], doc[hit], start, start + np.int32(least), [None] * len(start)], WINDOWS)
+        return (ahead[-1] if len(ahead) else before[0]), bool(copy[-1]), int(first[-1])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held, n, large, before = [], 0, None, None
 
         def flush(last: bool):
-            nonlocal held
+            nonlocal held, n, large, before
             table = pa.Table.from_batches(held).combine_chunks()
             head = table.column("head").to_numpy()
-            # the open head waits for more rows, unless there are many of it
-            cut = len(head) if last or head[0] == head[-1] else int(np.searchsorted(head, head[-1]))
-            done = table.slice(0, cut)
-            # one row of an open head goes on, to meet its next neighbour
-            keep = table.slice(cut if cut < len(head) else len(head) - 1)
-            held = [] if last else keep.combine_chunks().to_batches()
-            head = head[:cut]
-            doc, at = done.column("doc").to_numpy(), done.column("at").to_numpy().astype(np.int64)
-            right = np.frombuffer(b"".join(done.column("right").to_pylist()), ">u4").reshape(cut, side)
-            left = np.frombuffer(b"".join(done.column("left").to_pylist()), "<u4").reshape(cut, side)
-            for order in (np.arange(cut), np.lexsort((*left.T[::-1], head))):
-                a, b = order[:-1], order[1:]
-                same = head[a] == head[b]
-                out = compare(a[same], b[same], doc, at, right, left)
-                if len(out[0]):
-                    yield record_batch([out[0], out[1].astype(np.int32), out[2].astype(np.int32), out[3]], MATCHES)
-
-        n = 0
+            lo, hi = 0, len(head) if last else int(np.searchsorted(head, head[-1]))
+            if large is not None:
+                lo = int(np.searchsorted(head, large, side="right"))
+                ends = last or lo < len(head)
+                before = yield from windows(table.slice(0, lo), before, ends)
+                if not ends:
+                    lo, hi = lo - 1, lo - 1  # the last row meets its next one
+                else:
+                    large = None
+            if hi > lo:
+                yield compared(table.slice(lo, hi - lo))
+            rest = table.slice(max(lo, hi))
+            if large is None and rest.num_rows > MOST:
+                large = int(head[-1])
+                before = yield from windows(rest, (0, False, 0), False)
+                rest = rest.slice(rest.num_rows - 1)
+            held, n = rest.combine_chunks().to_batches(), rest.num_rows
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, GROUP):
-                held.append(batch.slice(lo, GROUP))
-                n = sum(b.num_rows for b in held)
-                if n >= GROUP:
-                    yield from flush(False)
-        if held:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n > MOST:
+                yield from flush(False)
+        if n:
             yield from flush(True)
 
     order = rows.repartition("head").sortWithinPartitions("head", "right", "left", "doc", "at")
-    return order.mapInArrow(run, MATCHES)
+    return order.mapInArrow(run, WINDOWS)
+
+
+def window_repeats(rows: DataFrame) -> DataFrame:
+    """MATCHES of the windows that ``found_repeats`` left."""
+    def run(batches):
+        held, met = None, False  # the smallest row of the last key, and whether it met another
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            key, doc, start = (table.column(c).to_numpy() for c in ("key", "doc", "start"))
+            shared, other = partners(key, doc, start)
+            first = int(np.searchsorted(key, key[-1]))
+            hit = shared.copy()
+            hit[0] &= not met
+            met = bool(shared[-1]) or (met and first == 0)
+            held = table.slice(first, 1).to_batches()[0]
+            if hit.any():
+                yield record_batch([doc[hit], start[hit], table.column("stop").to_numpy()[hit], other[hit]], MATCHES)
+
+    return rows.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(run, MATCHES)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row for each maximal passage that stands elsewhere, too: doc_id,
-    start and n_words of the passage, other_doc_id (the smallest document found
-    next to it), is_first (no smaller document was found next to it)."""
+    start and n_words of the passage, other_doc_id (a document that shares a window of
+    it, the smallest where heads have up to MOST suffixes), is_first (no smaller one does)."""
     named = key_and_text(docs, id_col, text_col)
     flagged = shared_keys(heads(named, least)).groupBy("doc").agg(F.collect_set("key").alias("keys"))
     same = copies(named, least)
     joined = word_lists(named).join(flagged, "doc", "left").join(same, "doc", "left")
-    found = neighbours(suffixes(joined, least), least)
+    found = stored(found_repeats(suffixes(joined, least), least))
     whole = same.select("doc", F.explode("copies").alias("c")).select(
         "doc", F.lit(0).alias("start"), F.col("c.n").alias("stop"), F.col("c.other").alias("other"))
-    matches = found.union(whole)
+    near = found.where("key is null").drop("key")
+    matches = near.union(window_repeats(found.where("key is not null"))).union(whole)
 
     # equal matches of one document, from many suffixes and neighbours, fall together before they are united
     spans = matches.groupBy("doc", "start", "stop").agg(F.min("other").alias("other"))
