@@ -2,16 +2,26 @@
 
 An LCS is a dynamic program over two token arrays; Spark's higher-order
 functions would copy the DP row at every step (cubic), so these two per-row
-helpers run in Arrow-batched pandas UDFs. Tokenisation stays JVM-side: the UDFs
-receive token arrays, never raw text.
+helpers run in Arrow UDFs. Tokenisation stays JVM-side: the UDFs receive token
+arrays, never raw text, and turn a few rows at a time into lists of numbers, so a
+worker holds one Arrow batch and TOKENS_AT_ONCE tokens besides.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.functions.overlap import _lengths, parts
+
+#: Tokens that are Python objects at a time.
+TOKENS_AT_ONCE = 100_000
+
 
 def lcs_length(a, b) -> int:
     """LCS length by the bit-parallel recurrence (Hyyroe 2004): one big-int
@@ -112,11 +122,51 @@ def union_lcs_f(ref_sents, pred_sents) -> float:
     return fmeasure(hits / n, hits / m)
 
 
-@F.pandas_udf(T.DoubleType())
-def rouge_l_udf(ref: pd.Series, pred: pd.Series) -> pd.Series:
-    return pd.Series([lcs_f(list(r), list(p)) for r, p in zip(ref, pred)], dtype="float64")
+def _split(items: list, lengths: np.ndarray) -> list[list]:
+    ends = np.cumsum(lengths).tolist()
+    return [items[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _numbered(*lists: pa.Array) -> list[list[list[int]]]:
+    """Token lists of each array as lists of numbers, equal for equal tokens."""
+    tokens = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    codes = pc.fill_null(tokens.indices, -1).to_numpy(zero_copy_only=False).tolist()
+    lengths = [_lengths(x) for x in lists]
+    first, second = _split(codes, np.array([n.sum() for n in lengths]))
+    return [_split(first, lengths[0]), _split(second, lengths[1])]
+
+
+def _no_nulls(*lists: pa.Array) -> None:
+    if any(x.null_count for x in lists):
+        raise TypeError("token lists must not be null")
+
+
+def _rows(ref: pa.Array, pred: pa.Array) -> Iterator[tuple[list, list]]:
+    """The token lists of both sides, row by row."""
+    _no_nulls(ref, pred)
+    for lo, hi in parts(_lengths(ref) + _lengths(pred), TOKENS_AT_ONCE):
+        yield from zip(*_numbered(ref.slice(lo, hi - lo), pred.slice(lo, hi - lo)))
+
+
+def _sentence_rows(ref: pa.Array, pred: pa.Array) -> Iterator[tuple[list, list]]:
+    """The sentences (lists of token lists) of both sides, row by row."""
+    _no_nulls(ref, pred)
+
+    def tokens(x):
+        upto = np.concatenate(([0], np.cumsum(_lengths(x.flatten()))))
+        return np.diff(upto[np.concatenate(([0], np.cumsum(_lengths(x))))])
+
+    for lo, hi in parts(tokens(ref) + tokens(pred), TOKENS_AT_ONCE):
+        r, p = ref.slice(lo, hi - lo), pred.slice(lo, hi - lo)
+        rs, ps = _numbered(r.flatten(), p.flatten())
+        yield from zip(_split(rs, _lengths(r)), _split(ps, _lengths(p)))
+
+
+@F.arrow_udf(T.DoubleType())
+def rouge_l_udf(ref: pa.Array, pred: pa.Array) -> pa.Array:
+    return pa.array([lcs_f(r, p) for r, p in _rows(ref, pred)], pa.float64())
 
 
-@F.pandas_udf(T.DoubleType())
-def rouge_lsum_udf(ref: pd.Series, pred: pd.Series) -> pd.Series:
-    return pd.Series([union_lcs_f(r, p) for r, p in zip(ref, pred)], dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def rouge_lsum_udf(ref: pa.Array, pred: pa.Array) -> pa.Array:
+    return pa.array([union_lcs_f(r, p) for r, p in _sentence_rows(ref, pred)], pa.float64())
