@@ -13,10 +13,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vellum.operators import scoring as S
+from vellum.sources import writers as W
 
 BATCH = "batch"
 
 
+def stream_of(rows: DataFrame, path: str, keys: Sequence[str], batches: int) -> DataFrame:
+    """``rows`` written to ``path`` and read back as a stream of about ``batches``
+    micro-batches. ``keys`` deal the rows into so many folders, whose files follow
+    their size: neither a writer nor a reader has a fixed share of the rows."""
+    spark = rows.sparkSession
+    dealt = rows.withColumn("split", F.pmod(F.xxhash64(*keys), F.lit(batches)).cast("int"))
+    W.write_split_table(dealt, path)
+    files = len(spark.read.schema(dealt.schema).parquet(path).inputFiles())
+    reader = spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", max(1, -(-files // batches)))
+    return reader.parquet(path).drop("split")
+
+
 def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
     """The rows of a batch as its folder of the table; written again, it replaces itself.
     A batch without rows leaves an empty folder's place: nothing of an earlier try."""
