@@ -258,3 +258,42 @@ def test_saved_tables_hold_sentence_splits_and_documents(spark):
     test = got["sentences", "test"]
     assert (test.n, test.n_docs, test.min_ord, test.max_ord) == (100, 100, 1100, 1199)
     assert [got["documents", x].n for x in ("train", "valid", "test")] == [1200, 150, 150]
+
+
+def test_text_files_equal_those_of_sparks_writer(spark, monkeypatch):
+    rows = [("en", "one\r\ntwo"), ("a/b=c%", " x "), (None, "no language"), ("", "empty language"), ("fr", None), ("fr", ""), ("en", "one\r\ntwo"), ("é {1} [2]^", "ü")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    out = {}
+    for local in (True, False):
+        if not local:
+            monkeypatch.setattr(W, "_local_folder", lambda *_: None)
+        path = W.scratch_path(spark, "texts")
+        W.write_text_files(df, path, "text", ["lang"])
+        back = RD.read_text_dir(spark, path)
+        out[local] = sorted((repr(r.lang), r.text, r.file.split("/")[-2]) for r in back.collect())
+        assert back.select("file").distinct().count() == len(rows)
+    assert out[True] == out[False]
+
+
+def test_text_files_of_a_local_folder_start_no_process(spark):
+    """Hadoop without its native library sets the mode of each file by one, and leaves a checksum file, too."""
+    path = W.scratch_path(spark, "texts")
+    W.write_text_files(spark.range(50).select(F.col("id").cast("string").alias("text")), path)
+    names = os.listdir(W._local_folder(spark, path))
+    assert sum(n.endswith(".txt") for n in names) == 50 and not any(n.endswith(".crc") for n in names)
+
+
+def test_stream_source_follows_size(spark):
+    from vellum.streaming import sinks as SK
+
+    rows = spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    kept = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "400k")
+    try:
+        path = W.scratch_path(spark, "stream")
+        SK.stream_of(rows, path, ["id"], 3)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", kept)
+    parts = spark.read.parquet(path).groupBy(F.input_file_name().alias("file"), "split").count().collect()
+    assert len({r.split for r in parts}) == 3 and len(parts) >= 9
+    assert max(r["count"] for r in parts) < 8_000 and sum(r["count"] for r in parts) == 40_000

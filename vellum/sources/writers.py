@@ -3,9 +3,13 @@ columns later reads filter on (split, dataset, run), so readers prune."""
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
+from urllib.parse import urlparse
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,11 +68,59 @@ def write_json_arrays(df: DataFrame, path: str) -> None:
 def write_text_files(df: DataFrame, path: str, text_col: str = "text",
                      partition_by: Sequence[str] = ()) -> None:
     """One file per row (a document per file), optionally under partition
-    folders."""
-    w = df.select(*partition_by, text_col).write.mode("errorifexists").option("maxRecordsPerFile", 1)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.text(path)
+    folders. Without its native library Hadoop starts a process for the mode of each
+    file that it creates in a local (shared) folder, so there the tasks write the
+    files themselves; elsewhere Spark's writer does."""
+    spark, rows = df.sparkSession, df.select(*partition_by, text_col)
+    local = _local_folder(spark, path)
+    if local is None:
+        w = rows.write.mode("errorifexists").option("maxRecordsPerFile", 1)
+        (w.partitionBy(*partition_by) if partition_by else w).text(path)
+        return
+    os.makedirs(local)  # an error if it exists
+    names = [F.col(f"`{c}`").cast("string").alias(f"_{i}") for i, c in enumerate(partition_by)]
+    cols, name = [str(c) for c in partition_by], uuid.uuid4().hex
+
+    def run(batches):
+        task = TaskContext.get()
+        attempt, n = f"{local}/_attempt-{task.taskAttemptId()}", 0
+        made: dict[str, list[str]] = {}
+        os.makedirs(attempt)
+        for batch in batches:
+            for *values, text in zip(*(c.to_pylist() for c in batch.columns)):
+                folder = "/".join(f"{_path_name(c)}={_path_name(v)}" for c, v in zip(cols, values))
+                if folder not in made:
+                    os.makedirs(f"{attempt}/{folder}", exist_ok=True)
+                    made[folder] = []
+                made[folder].append(f"part-{task.partitionId():05d}-{name}-c{n:06d}.txt")
+                n += 1
+                with open(f"{attempt}/{folder}/{made[folder][-1]}", "wb") as f:
+                    f.write((text or "").encode() + b"\n")
+        # only whole attempts get in; a second one replaces the files of the first
+        for folder, files in made.items():
+            os.makedirs(f"{local}/{folder}", exist_ok=True)
+            for file in files:
+                os.rename(f"{attempt}/{folder}/{file}", f"{local}/{folder}/{file}")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select(*names, F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder of the local file system, else None."""
+    url = urlparse(path)
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return url.path if (url.scheme or urlparse(default).scheme) == "file" and url.netloc in ("", "localhost") else None
+
+
+def _path_name(value: str | None) -> str:
+    """A partition column's name or value in a path, written as Spark writes it."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in value)
+
+
+_ESCAPED = {*map(chr, range(1, 0x20)), "\x7f", *"\"#%'*/:=?\\{[]^"}
 
 
 def write_attr_results(results: DataFrame, path: str) -> None:
