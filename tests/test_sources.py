@@ -252,7 +252,7 @@ def test_saved_tables_hold_sentence_splits_and_documents(spark):
 
     sf = W.scratch_path(spark, "documents-of-sentences")
     words = F.concat_ws(" ", F.lit("These are the words of document"), F.col("id").cast("string"), F.lit("and of its one sentence."))
-    spark.range(1500).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang")).write.parquet(f"{sf}/documents.parquet")
+    spark.range(1500).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")).write.parquet(f"{sf}/documents.parquet")
     got = {(r.saved, r.split): r for r in IQ.Q["src_saved_table"](spark, sf).collect()}
     assert set(got) == {("sentences", "test"), *[("documents", x) for x in ("valid alone", "train", "valid", "test")]}
     test = got["sentences", "test"]

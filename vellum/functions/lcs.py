@@ -129,7 +129,9 @@ def _split(items: list, lengths: np.ndarray) -> list[list]:
 
 def _numbered(*lists: pa.Array) -> list[list[list[int]]]:
     """Token lists of each array as lists of numbers, equal for equal tokens."""
-    tokens = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    # an array without lists may flatten to one with an offset out of its buffers
+    flat = [t for t in (x.flatten() for x in lists if len(x)) if len(t)]
+    tokens = pa.concat_arrays(flat or [pa.array([], pa.string())]).dictionary_encode()
     codes = pc.fill_null(tokens.indices, -1).to_numpy(zero_copy_only=False).tolist()
     lengths = [_lengths(x) for x in lists]
     first, second = _split(codes, np.array([n.sum() for n in lengths]))
