@@ -4,6 +4,7 @@ nulls, empty and long texts, ties, repeated rows and clashing column names."""
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from vellum.llm import (html_text, jaccard_join, licences, mixing, nn_descent, p
                         sanitise, suffix_array)
 from vellum.llm.common import stored
 from vellum.llm.queries import BYTE_RANKS, PACK_TOKENIZER, PATTERN, PIECE_MODEL
+from vellum.session import checkpoint_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, cls long, `d` string"
 
@@ -53,6 +55,39 @@ def collected(df, *names):
     return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
 
 
+def written(spark, made):
+    """Files of each table that ``made`` has stored in the session's shared folder."""
+    top = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(top.glob("vellum-*"))
+    made()
+    return [sorted(f.name for f in t.iterdir() if not f.name.startswith(".")) for t in set(top.glob("vellum-*")) - before]
+
+
+@pytest.mark.parametrize("module, step", [
+    (quality, lambda docs: quality.quality(docs, PIECE_MODEL, BYTE_RANKS, PATTERN)),
+    (packing, lambda docs: packing.pack(docs, PACK_TOKENIZER, PATTERN))])
+def test_workers_get_few_whole_texts_at_once(spark, monkeypatch, module, step):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual, during = spark.conf.get(rows), []
+    monkeypatch.setattr(module, "stored", lambda df: (during.append(int(spark.conf.get(rows))), stored(df))[1])
+    step(documents(spark, [(i, f"some words of text {i}", "en") for i in range(20)]))
+    assert during[0] <= 1000 and spark.conf.get(rows) == usual
+
+
+def test_suffix_array_writes_one_small_table(spark, corpus):
+    # every part file is a few child processes of its executor where the shared folder is local
+    docs = documents(spark, [r for r in corpus if len(r[1] or "") < 20_000]).repartition(5)
+    tables = written(spark, lambda: suffix_array.repeated_passages(docs).collect())
+    assert len(tables) == 1 and len(tables[0]) == 1
+
+
+def test_jaccard_join_leaves_few_files_and_no_markers(spark):
+    rng = random.Random(8)
+    docs = documents(spark, [(i, prose(rng, 40, 9999)) for i in range(30)]).repartition(6)  # no links
+    tables = written(spark, lambda: jaccard_join.jaccard_components(docs).collect())
+    assert all(len(t) <= 1 for t in tables) and len(tables) <= 13
+
+
 def test_recompression_matches_brute_force(spark, corpus):
     got = collected(recompression.substring_dedup(documents(spark, corpus).repartition(7)), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == sorted(brute.substring_dedup(corpus), key=repr)

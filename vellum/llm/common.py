@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.session import checkpoint_dir
@@ -18,6 +20,9 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Documents handled together by the vectorised helpers (bounds worker memory).
 BLOCK_BYTES = 1_500_000
 
+#: Rows of an Arrow batch where whole texts go to Python workers.
+TEXT_ROWS = 1000
+
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
 _OF_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -26,13 +31,28 @@ _IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACE.encode(), np.uint8))
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the session's shared checkpoint folder and
-    read back: cuts the lineage, and lost executors only reread it."""
+    read back: cuts the lineage, and lost executors only reread it. Nobody looks for
+    the marker file of a finished job, which a driver on a local folder forks for."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/vellum-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands Python workers TEXT_ROWS rows at a time: Spark's 10,000
+    whole texts are tens of MB in the JVM and, as objects, several times that in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def key_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so no other column can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),

@@ -91,7 +91,8 @@ def copies(docs: DataFrame, least: int) -> DataFrame:
             if rows:
                 yield record_batch(list(zip(*rows)), "doc long, root binary, n int")
 
-    named = stored(docs.mapInArrow(run, "doc long, root binary, n int"))
+    # a few bytes a document: in files of some MB, not in one for each task that read texts
+    named = stored(docs.mapInArrow(run, "doc long, root binary, n int").hint("rebalance"))
     ends = named.groupBy("root").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     other = F.when(F.col("doc") == F.col("first"), F.col("last")).otherwise(F.col("first"))
     return named.join(ends, "root").groupBy("doc").agg(F.collect_set(F.struct("root", other.alias("other"), "n")).alias("copies"))
@@ -259,10 +260,18 @@ def found_repeats(rows: DataFrame, least: int) -> DataFrame:
 
 
 def window_repeats(rows: DataFrame) -> DataFrame:
-    """MATCHES of the windows that ``found_repeats`` left."""
+    """MATCHES of the rows of ``found_repeats``: those without a key, and of the windows
+    that it left those that meet another. Both kinds pass one exchange and are not written
+    between, so nothing is found twice."""
+    names = [c.split()[0] for c in MATCHES.split(", ")]
+
     def run(batches):
         held, met = None, False  # the smallest row of the last key, and whether it met another
         for batch in batches:
+            known = batch.column("key").null_count  # they come first
+            if known:
+                yield batch.slice(0, known).select(names)
+                batch = batch.slice(known)
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
@@ -276,7 +285,8 @@ def window_repeats(rows: DataFrame) -> DataFrame:
             if hit.any():
                 yield record_batch([doc[hit], start[hit], table.column("stop").to_numpy()[hit], other[hit]], MATCHES)
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(run, MATCHES)
+    dealt = rows.repartition(F.coalesce("key", F.xxhash64("doc", "start")))
+    return dealt.sortWithinPartitions("key", "doc", "start").mapInArrow(run, MATCHES)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -287,11 +297,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     flagged = shared_keys(heads(named, least)).groupBy("doc").agg(F.collect_set("key").alias("keys"))
     same = copies(named, least)
     joined = word_lists(named).join(flagged, "doc", "left").join(same, "doc", "left")
-    found = stored(found_repeats(suffixes(joined, least), least))
+    found = found_repeats(suffixes(joined, least), least)
     whole = same.select("doc", F.explode("copies").alias("c")).select(
         "doc", F.lit(0).alias("start"), F.col("c.n").alias("stop"), F.col("c.other").alias("other"))
-    near = found.where("key is null").drop("key")
-    matches = near.union(window_repeats(found.where("key is not null"))).union(whole)
+    matches = window_repeats(found).union(whole)
 
     # equal matches of one document, from many suffixes and neighbours, fall together before they are united
     spans = matches.groupBy("doc", "start", "stop").agg(F.min("other").alias("other"))
