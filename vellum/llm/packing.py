@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import blocks, ranges, stored
+from vellum.llm.common import blocks, ranges, stored, text_batches
 
 WINDOW = 1024
 END_ID = 0
@@ -235,7 +235,8 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
          added: bool = False) -> DataFrame:
     """Pieces of all documents: PIECES. Sequences are numbered by shard, and in
     the order of ``order_col`` (nulls last) where there is one."""
-    tokenised = stored(tokens(docs, path, pattern, id_col, text_col, order_col, added))
+    with text_batches(docs.sparkSession):
+        tokenised = stored(tokens(docs, path, pattern, id_col, text_col, order_col, added))
     counts, n_docs = document_frequencies(tokenised)
     idf = np.log1p((n_docs - counts + 0.5) / (counts + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # as long as the vocabulary

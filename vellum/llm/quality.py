@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import SPACE, stored
+from vellum.llm.common import SPACE, stored, text_batches
 from vellum.session import fits_broadcast
 
 #: Characters counted as symbols.
@@ -54,7 +54,7 @@ SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400,
 #: Bytes of a row of quartiles with a long language name.
 QUARTILE_BYTES = 512
 #: Characters of the texts tokenised together (bounds a worker's memory).
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 100_000
 
 FEATURES = ("script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
             "n_byte_tokens long, n_piece_tokens long, byte_cpt double, byte_cpt_var double, piece_cpt double, "
@@ -226,5 +226,6 @@ def quality(docs: DataFrame, piece_path: str, byte_path: str, pattern: str, text
     measured = with_features(docs, piece_path, byte_path, pattern, column, text_col, lang_col)
     if keep is not None:
         measured = measured.select(*dict.fromkeys([*keep, *([lang_col] if lang_col else []), column]))
-    measured = stored(measured)
+    with text_batches(docs.sparkSession):
+        measured = stored(measured)
     return verdicts(measured, column, lang_col, **bands), column
