@@ -109,6 +109,11 @@ def _long(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _packed(segment: np.ndarray) -> bytes:
+    """Flags as bits, compressed: few are set, and the driver's JVM copies these bytes more than once."""
+    return pa.compress(np.packbits(segment, bitorder="little").tobytes(), codec="zstd", asbytes=True)
+
+
 def parts_bits(mass: int, least: int) -> int:
     """So many leading bits of a hash name its partition."""
     return min(MOST_PARTS, max(1, mass // (least * CAPACITY))).bit_length()
@@ -153,12 +158,12 @@ def frequent_bitmap(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]]
         for p, summary in summaries.items():
             segment = np.zeros(1 << (BITS - bits), bool)
             segment[summary.frequent() >> np.uint64(SENT - BITS + bits)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_packed(segment)], pa.binary())],
                                              names=["part", "segment"])
 
     dealt = rows.mapInArrow(count, "part int, keys binary, counts binary").repartitionById(parts, F.col("part"))
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
     size = len(bitmap) // parts
-    for p, segment in dealt.mapInArrow(summarise, "part int, segment binary").collect():  # len(bitmap) bytes in all
-        bitmap[p * size:(p + 1) * size] = np.frombuffer(segment, np.uint8)
+    for p, segment in dealt.mapInArrow(summarise, "part int, segment binary").collect():  # about len(bitmap) bytes in all at most
+        bitmap[p * size:(p + 1) * size] = np.frombuffer(pa.decompress(segment, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
     return bitmap

@@ -73,7 +73,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         edges = stored(star(star(edges, large=True), large=False))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first()
-        if state == before:
+        if state == before or not state[0]:  # without links there is nothing to repeat
             break
         before = state
     joined = edges.distinct().select(F.col("u").alias("node"), F.col("v").alias("component"))

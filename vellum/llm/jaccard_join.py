@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import blocks, key_and_text, mix, stored, window_hashes, word_hashes
+from vellum.llm.common import blocks, key_and_text, mix, stored, text_batches, window_hashes, word_hashes
 from vellum.llm.frequent import frequent_bitmap, marked
 from vellum.llm.graph import components
 from vellum.session import fits_broadcast
@@ -355,7 +355,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles, component_id of every document; also row (hash of
     its text) and component (the group's internal name, null without words)."""
     named = key_and_text(docs, id_col, text_col)
-    rows = stored(measured(named, width))
+    with text_batches(docs.sparkSession):  # a few bytes a document: in files of some MB, not in one for each task that read texts
+        rows = stored(measured(named, width).hint("rebalance"))
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
     least = _votes_column(F.ceil(F.col("n") * percent / 100))
