@@ -2,6 +2,7 @@
 nulls, empty and long texts, ties, repeated rows and clashing column names."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -378,6 +379,18 @@ def disclosure_rows():
     return rows
 
 
+def test_personal_data_sends_texts_twice_at_most(spark, monkeypatch, capsys):
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with large tables
+    try:
+        monkeypatch.setattr(sanitise, "stored", lambda df: (df.explain("formatted"), stored(df))[1])
+        sanitise.find_spans(documents(spark, disclosure_rows())).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    sent = re.findall(r"\n\(\d+\) Exchange\nInput \[\d+\]: \[.*\btext#\d+", capsys.readouterr().out)
+    assert 1 <= len(sent) <= 2
+
+
 def test_disclosing_terms_match_brute_force(spark):
     rows = disclosure_rows()
     got = {}

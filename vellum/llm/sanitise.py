@@ -27,8 +27,9 @@ addresses in two copies is one class of entities. Of the classes only pairs with
 n(t) <= N^(1-threshold) * n(e)^threshold can reach the threshold (n(t, e) is at most
 n(e)), so frequent terms meet only frequent entities.
 
-The texts are matched once; documents with a match are stored and the rest reads
-these. Positions come from the pieces between matches and a running sum over the
+The texts are matched once; rows with a match are stored where they are and the rest
+reads these. Texts travel twice at most: those rows to the list of documents that hold an
+entity of two documents or more, and of these the ones that have a telling term. Positions come from the pieces between matches and a running sum over the
 matches of a document. Counts are pre-aggregated before their shuffle. Entities and
 terms are keys only of counts and of joins against counts; a hot one is split by
 Spark's skew join.
@@ -99,8 +100,8 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def held_documents(rows: DataFrame) -> DataFrame:
-    """Documents with a match of a pattern, repeated rows once: doc_id, row, text
-    and kinds (index, matches, code points before each match)."""
+    """Rows with a match of a pattern: doc_id, row, text and ``matched``, for each kind
+    with a match its index, the matches and the code points before each of them."""
     def of(i: int, pattern: str, sign: str | None) -> Column:
         text = F.col("text")
         might = F.contains(text, F.lit(sign)) if sign else F.lit(True)
@@ -110,15 +111,19 @@ def held_documents(rows: DataFrame) -> DataFrame:
     matched = F.filter(F.array(*[of(i, p, s) for i, (_, p, s) in enumerate(KINDS)]), lambda k: F.size(k["found"]) > 0)
     # behind a generator the filter cannot be pushed below the matching, which would then run twice
     held = rows.select("*", F.explode(F.array(matched)).alias("matched")).where(F.size("matched") > 0)
-    held = held.dropDuplicates(["doc_id", "row"])
-    pieces = reduce(lambda rest, i: F.when(F.col("k.kind") == i, F.split("text", KINDS[i][1], -1)).otherwise(rest), range(len(KINDS)), F.lit(None))
-    each = held.select("doc_id", "row", "text", F.explode("matched").alias("k"))
-    return each.select("doc_id", "row", "text", "k.kind", "k.found", F.transform(pieces, F.length).alias("gaps"))
+
+    def placed(k: Column) -> Column:
+        pieces = reduce(lambda rest, i: F.when(k["kind"] == i, F.split("text", F.lit(KINDS[i][1]), -1)).otherwise(rest), range(len(KINDS)), F.lit(None))
+        return F.struct(k["kind"].alias("kind"), k["found"].alias("found"), F.transform(pieces, F.length).alias("gaps"))
+
+    return held.select("doc_id", "row", "text", F.transform("matched", placed).alias("matched"))
 
 
 def base_matches(held: DataFrame) -> DataFrame:
-    """doc_id, row, kind (index), start, end, value of the matches that pass their check."""
-    each = held.select("doc_id", "row", "kind", F.posexplode(F.arrays_zip(
+    """doc_id, row, kind (index), start, end, value of the matches that pass their
+    check, repeated rows once."""
+    once = held.select("doc_id", "row", "matched").dropDuplicates(["doc_id", "row"]).select("doc_id", "row", F.explode("matched").alias("k"))
+    each = once.select("doc_id", "row", "k.kind", "k.found", "k.gaps").select("doc_id", "row", "kind", F.posexplode(F.arrays_zip(
         "found", F.slice("gaps", F.lit(1), F.size("found")).alias("gap"))).alias("i", "m"))
     upto = W.partitionBy("doc_id", "row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("m.gap") + F.length("m.found")).over(upto)
@@ -137,15 +142,16 @@ def same_documents(pairs: DataFrame, item: str) -> DataFrame:
         item, "n", F.xxhash64("n", "a", "b").alias("held_by"))
 
 
-def disclosing(rows: DataFrame, texts: DataFrame, matches: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+def disclosing(rows: DataFrame, held: DataFrame, matches: DataFrame, n_docs: int, threshold: float) -> DataFrame:
     """doc_id, row, start, end of the terms that disclose an entity of their document.
-    ``texts`` are the documents that hold one (doc_id, row, text)."""
+    ``held`` are the rows that may hold one (doc_id, row, text)."""
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
     owners = matches.select(named, "row", entity(F.col("kind"), F.col("value")).alias("entity")).distinct()
     entities = same_documents(owners, "entity").where("n > 1").select("entity", F.col("held_by").alias("e"), F.col("n").alias("n_entity"))
     by_entity = owners.join(entities, "entity").select("id", "row", "e", "n_entity").distinct()
 
-    texts = texts.select(named, "row", "text").join(by_entity.select("id", "row").distinct(), ["id", "row"], "left_semi")
+    texts = held.select(named, "row", "text").join(by_entity.select("id", "row").distinct(), ["id", "row"], "left_semi")
+    texts = stored(texts.dropDuplicates(["id", "row"]))
     inside = texts.select("id", "row", F.explode(F.array_distinct(terms_of("text"))).alias("term"))
     words = rows.select(F.explode(F.array_distinct(terms_of("text"))).alias("word"))
     n_term = words.groupBy(F.xxhash64("word").alias("term_hash")).agg(F.count("*").alias("n_term"))
@@ -179,8 +185,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = stored(held_documents(rows))
     matches = stored(base_matches(held))
     base = matches.select("doc_id", "row", "kind", "start", "end")
-    texts = held.dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text")
-    terms = disclosing(rows, texts, matches, docs.count(), threshold)
+    terms = disclosing(rows, held.select("doc_id", "row", "text"), matches, docs.count(), threshold)
     terms = terms.select("doc_id", "row", F.lit(len(KINDS)).alias("kind"), "start", "end")
     # terms that overlap a base span are part of it
     order = W.partitionBy("doc_id", "row").orderBy("start", "kind")
