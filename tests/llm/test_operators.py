@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from vellum.llm import (html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, queries, recompression,
                         sanitise, suffix_array)
-from vellum.llm.common import stored
+from vellum.llm.common import stored, stored_with
 from vellum.llm.queries import BYTE_RANKS, PACK_TOKENIZER, PATTERN, PIECE_MODEL
 from vellum.session import checkpoint_dir
 
@@ -89,6 +89,29 @@ def test_jaccard_join_leaves_few_files_and_no_markers(spark):
     assert all(len(t) <= 1 for t in tables) and len(tables) <= 13
 
 
+@pytest.mark.parametrize("copies, most", [(0, 55), (30, 85)])
+def test_jaccard_join_runs_few_jobs(spark, copies, most):
+    # every job takes memory of the driver: buffers of its broadcasts, a thread for each exchange
+    rng = random.Random(8)
+    text = prose(rng, 60, 9999)
+    docs = documents(spark, [(i, prose(rng, 40, 9999)) for i in range(30)] + [(100 + i, f"{text} and {i}") for i in range(copies)]).repartition(6)
+    group = f"jobs-{copies}-{rng.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        assert jaccard_join.one_of_each(docs).count() == 30 + (copies > 0)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= most, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+
+
+def test_aggregates_of_stored_rows(spark):
+    table, seen = stored_with(spark.range(10).repartition(3), n=F.count(F.lit(1)), most=F.max("id"))
+    assert table.count() == 10 and seen == {"n": 10, "most": 9}
+    table, seen = stored_with(spark.range(10).where("id > 10"), n=F.count(F.lit(1)), most=F.max("id"))
+    assert table.count() == 0 and seen == {"n": 0, "most": None}
+
+
 def test_recompression_matches_brute_force(spark, corpus):
     got = collected(recompression.substring_dedup(documents(spark, corpus).repartition(7)), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == sorted(brute.substring_dedup(corpus), key=repr)

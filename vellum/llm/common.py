@@ -9,7 +9,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.session import checkpoint_dir
@@ -39,6 +39,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates of its rows that are counted while they are written,
+    without jobs of their own: each job costs the driver some MB of short-lived memory."""
+    seen = Observation()
+    table = stored(df.observe(seen, *[c.alias(name) for name, c in aggregates.items()]))
+    return table, seen.get
+
+
 @contextmanager
 def text_batches(spark: SparkSession) -> Iterator[None]:
     """What runs meanwhile hands Python workers TEXT_ROWS rows at a time: Spark's 10,000

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import stored
+from vellum.llm.common import stored_with
 
 
 def local_forest(links: DataFrame) -> DataFrame:
@@ -71,9 +71,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = local_forest(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"))
     before = None
     while True:
-        edges = stored(star(star(edges, large=True), large=False))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first()
-        if state == before or not state[0]:  # without links there is nothing to repeat
+        edges, state = stored_with(star(star(edges, large=True), large=False), n=F.count(F.lit(1)),
+                                   links=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), most=F.max("u"))
+        if state == before or not state["n"]:  # without links there is nothing to repeat
             break
         before = state
     joined = edges.distinct().select(F.col("u").alias("node"), F.col("v").alias("component"))

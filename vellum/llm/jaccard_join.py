@@ -17,9 +17,9 @@ Documents with equal sets are one class; everything below is between classes.
   count that is asked for falls by their number, and they are probed by binary
   search in the candidate's sorted prefix. What passes is verified on full sets,
   block against block.
-* A list longer than LONG is usually a large group of near copies. Each class
-  first votes for the fullest class of its longest lists; verified votes join
-  such a group. The search then only looks for links between
+* A list longer than LONG is usually a large group of near copies. Where there is
+  one, each class first votes for the fullest class of its longest lists; verified
+  votes join such a group. The search then only looks for links between
   different groups: lists of one group drop out, and a class searches only if
   some list of its holds a larger group. Every pair in different groups is
   still found, so no component is lost, and no group is ever paired with itself.
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import blocks, key_and_text, mix, stored, text_batches, window_hashes, word_hashes
+from vellum.llm.common import blocks, key_and_text, mix, stored, stored_with, text_batches, window_hashes, word_hashes
 from vellum.llm.frequent import frequent_bitmap, marked
 from vellum.llm.graph import components
 from vellum.session import fits_broadcast
@@ -288,21 +288,25 @@ def _field(name: str):
     return lambda entry: entry[name]
 
 
-def searched(entries: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between different groups by T-occurrence search.
-    entries: (token, cls, n, grp) of the lists that hold two groups or more."""
+def mixed_lists(entries: DataFrame) -> DataFrame:
+    """entries (token, cls, n, df, grp) of the lists that hold two groups or more, with
+    ``top``, the list's largest group."""
     sizes = entries.groupBy("token", "grp").agg(F.count("*").alias("k"))
-    lists = sizes.groupBy("token").agg(F.sum("k").alias("df"), F.max(F.struct("k", "grp")).alias("top"))
-    placed = entries.join(lists, "token")
-    asking = placed.where("grp <> top.grp").select("cls").distinct()
+    lists = sizes.groupBy("token").agg(F.max(F.struct("k", "grp")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    return entries.join(lists.select("token", F.col("top.grp").alias("top")), "token").select("token", "cls", "n", "df", "grp", "top")
+
+
+def searched(placed: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs between different groups by T-occurrence search among ``mixed_lists``."""
     chunks = F.ceil(F.col("df") / LONG).cast("int")
     parts = placed.groupBy("token", F.pmod(F.xxhash64("cls"), chunks).alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("cls", F.col("n").cast("int").alias("n"), "grp"))).alias("entries"))
     # arrays of numbers travel lighter than an array of structs
     parts = parts.select("token", *[F.transform("entries", _field(c)).alias(f"y_{c}") for c in ("cls", "n", "grp")])
     # of the long lists of a class the longest, up to T - 1, are left for probing
-    mine = placed.join(asking, "cls", "left_semi").groupBy("cls", "n", "grp").agg(
-        F.sort_array(F.collect_list(F.struct("df", "token")), asc=False).alias("lists"))
+    mine = placed.groupBy("cls", "n", "grp").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token")), asc=False).alias("lists"),
+        F.max(F.col("grp") != F.col("top")).alias("asks")).where("asks")
     need = _votes_column(F.ceil(F.col("n") * percent / 100))
     n_long = F.size(F.filter("lists", lambda x: x["df"] > LONG))
     mine = mine.withColumn("t", need).withColumn("skip", F.least(n_long, F.col("t") - 1)).where(F.size("lists") >= F.col("t"))
@@ -350,17 +354,16 @@ def searched(entries: DataFrame, percent: int) -> DataFrame:
     return once.select("p.u", "p.v", "p.need").join(probes, "u")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
-                       percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; also row (hash of
-    its text) and component (the group's internal name, null without words)."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """doc_id, row, n, cls of every document, and cls, rep (smallest doc_id),
+    component (the group's internal name) of every class with words."""
     named = key_and_text(docs, id_col, text_col)
     with text_batches(docs.sparkSession):  # a few bytes a document: in files of some MB, not in one for each task that read texts
-        rows = stored(measured(named, width).hint("rebalance"))
+        rows, total = stored_with(measured(named, width).hint("rebalance"), n=F.sum("n"))
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
     least = _votes_column(F.ceil(F.col("n") * percent / 100))
-    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(named, width, rows.agg(F.sum("n")).first()[0] or 0))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(named, width, total["n"] or 0))
     kept = shared(postings(named, width, percent, hot)).groupBy("cls").agg(F.collect_list("token").alias("tokens"))
     kept = kept.join(classes, "cls").where(F.size("tokens") >= least)
     index = stored(members(kept, named, width))
@@ -368,19 +371,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     entries = index.select("cls", "n", "tokens").dropDuplicates(["cls"]).select("cls", "n", F.explode("tokens").alias("token"))
     counted = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    entries = stored(entries.join(counted, "token"))
-    links = stored(voted(entries.where(F.col("df") > LONG).select("token", "cls", "df"), index, percent))
-    joined = components(links)
-    known = index.select("cls").distinct()
-    groups = stored(known.join(joined, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("grp")))
-    placed = entries.join(groups, "cls")
-    mixed = placed.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("token")
-    placed = stored(placed.join(mixed, "token").select("token", "cls", "n", "grp"))
-    links = stored(links.union(verified(stored(searched(placed, percent)), index, percent)))
-
-    joined = components(links)
-    named_class = classes.join(joined, F.col("cls") == F.col("node"), "left").select(
+    entries, lists = stored_with(entries.join(counted, "token"), longest=F.max("df"))
+    links = None
+    if (lists["longest"] or 0) > LONG:  # else there is nothing to vote on, and each class is its own group
+        links = stored(voted(entries.where(F.col("df") > LONG).select("token", "cls", "df"), index, percent))
+        joined = components(links)
+        known = index.select("cls").distinct()
+        groups = stored(known.join(joined, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("grp")))
+        placed = entries.join(groups, "cls")
+    else:
+        placed = entries.withColumn("grp", F.col("cls"))
+    found = verified(stored(searched(stored(mixed_lists(placed)), percent)), index, percent)
+    joined = components(stored(found if links is None else links.union(found)))
+    return rows, classes.join(joined, F.col("cls") == F.col("node"), "left").select(
         "cls", "rep", F.coalesce("component", "cls").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
+                       percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; also row (hash of
+    its text) and component (the group's internal name, null without words)."""
+    rows, named_class = grouped(docs, id_col, text_col, width, percent)
     smallest = named_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = named_class.join(smallest, "component").select("cls", "component", "component_id")
     result = rows.select("doc_id", "row", "n", "cls").join(final, "cls", "left")
@@ -393,13 +404,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with all columns, without the documents that are linked with a
     kept one: of a component the one with the smallest doc_id stays (nulls last,
     then by hash of the text), once. Documents without words all stay."""
-    rows = jaccard_components(docs, id_col, text_col, **join).select("doc_id", "row", "component").where("component is not null")
+    rows, named_class = grouped(docs, id_col, text_col, **join)
+    rows = rows.where("n > 0").select("doc_id", "row", "cls").join(named_class.select("cls", "component"), "cls").drop("cls")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     best = rows.groupBy("component").agg(F.min(rank).alias("best"))
     judged = rows.groupBy("component", "doc_id", "row").agg(F.count("*").alias("copies")).join(best, "component")
     leaves = ~rank.eqNullSafe(F.col("best"))
-    notable = stored(judged.where(leaves | (F.col("copies") > 1)).select("doc_id", "row", leaves.alias("leaves")))
-    if fits_broadcast(notable.count(), NOTABLE_BYTES):  # then the texts stay where they are
+    notable, held = stored_with(judged.where(leaves | (F.col("copies") > 1)).select("doc_id", "row", leaves.alias("leaves")), n=F.count(F.lit(1)))
+    if fits_broadcast(held["n"], NOTABLE_BYTES):  # then the texts stay where they are
         notable = F.broadcast(notable)
     text = F.coalesce(F.col(f"d.`{text_col}`").cast("string"), F.lit(""))
     joined = docs.alias("d").join(notable.alias("s"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("s.doc_id")) & (
