@@ -3,6 +3,7 @@ nulls, empty and long texts, ties, repeated rows and clashing column names."""
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -105,6 +106,23 @@ def test_jaccard_join_runs_few_jobs(spark, copies, most):
         spark.sparkContext.setLocalProperty("spark.job.description", None)
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()))
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual, before = spark.conf.get(name), shuffles()
+    held = [spark.range(1000).repartition(3, "id") for _ in range(3)]
+    for df in held:
+        stored(df)
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and spark.conf.get(name) == usual
+
+
 def test_aggregates_of_stored_rows(spark):
     table, seen = stored_with(spark.range(10).repartition(3), n=F.count(F.lit(1)), most=F.max("id"))
     assert table.count() == 10 and seen == {"n": 10, "most": 9}

@@ -35,10 +35,24 @@ def stored(df: DataFrame) -> DataFrame:
     the marker file of a finished job, which a driver on a local folder forks for."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/vellum-{uuid.uuid4().hex}"
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run meanwhile, once, leaves no shuffle files: else they stay until
+    the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored_with(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
     """``stored``, and aggregates of its rows that are counted while they are written,
     without jobs of their own: each job costs the driver some MB of short-lived memory."""

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import shuffles_dropped
+
 #: Hashes share a bitmap of 2^BITS bits (16 MB).
 BITS = 27
 #: Entries of one summary, about, and the most hash partitions; beyond, summaries are larger.
@@ -164,6 +166,8 @@ def frequent_bitmap(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]]
     dealt = rows.mapInArrow(count, "part int, keys binary, counts binary").repartitionById(parts, F.col("part"))
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
     size = len(bitmap) // parts
-    for p, segment in dealt.mapInArrow(summarise, "part int, segment binary").collect():  # about len(bitmap) bytes in all at most
+    with shuffles_dropped(rows.sparkSession):
+        segments = dealt.mapInArrow(summarise, "part int, segment binary").collect()  # about len(bitmap) bytes in all at most
+    for p, segment in segments:
         bitmap[p * size:(p + 1) * size] = np.frombuffer(pa.decompress(segment, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
     return bitmap
