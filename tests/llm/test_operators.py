@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from vellum.llm import (html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, queries, recompression,
+from vellum.llm import (graph, html_text, jaccard_join, licences, mixing, nn_descent, packing, quality, queries, recompression,
                         sanitise, suffix_array)
 from vellum.llm.common import stored, stored_with
 from vellum.llm.queries import BYTE_RANKS, PACK_TOKENIZER, PATTERN, PIECE_MODEL
@@ -106,6 +106,31 @@ def test_jaccard_join_runs_few_jobs(spark, copies, most):
         spark.sparkContext.setLocalProperty("spark.job.description", None)
 
 
+@pytest.mark.parametrize("links, most", [(100_000, 1), (100, 8)])
+def test_components_take_as_many_tasks_as_their_links(spark, monkeypatch, links, most):
+    # a round of few links had a Python task and a file for each shuffle partition, twice
+    monkeypatch.setattr(graph, "LINKS", links)
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(-200, 200)] + [(1000 + 7 * i, 1000 + 7 * (i + 1)) for i in range(100)]
+    pairs = [rng.choice([(u, v), (v, u)]) for u, v in chain + [(5000, 5000 + i) for i in range(100)] + chain[:50] + [(9000, 9000)]]
+    rng.shuffle(pairs)
+    df = spark.createDataFrame(pairs, "u long, v long").repartition(40)
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    usual = {k: spark.conf.get(k) for k in names}
+    got = []
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        tables = written(spark, lambda: got.extend(tuple(r) for r in graph.components(df).collect()))
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    want = [(x, -200) for x in range(-200, 201)] + [(1000 + 7 * i, 1000) for i in range(101)] + [(5000 + i, 5000) for i in range(100)]
+    assert sorted(got) == want
+    files = sorted(map(len, tables))
+    assert len(files) > 2 and files[-2] <= most  # the first table has the tasks of the given links
+
+
 def test_stored_tables_leave_no_shuffle_files(spark):
     def shuffles():
         manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import stored_with
 
+#: Links that one task of a round gets, about: rounds over few links then have few tasks and
+#: files, whatever the session's number of shuffle partitions.
+LINKS = 100_000
+
 
 def local_forest(links: DataFrame) -> DataFrame:
     """(u, v) -> (u, v) with v the smallest node that a task's own links join to
@@ -36,10 +40,10 @@ def local_forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "u long, v long")
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step, one exchange: every node's neighbours arrive sorted, and
-    are linked to the smallest of them. The large step looks at all neighbours
-    and moves the larger ones; the small step at the smaller ones."""
+def star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
+    """One star step, one exchange, read by at most so many ``tasks``: every node's
+    neighbours arrive sorted, and are linked to the smallest of them. The large step looks
+    at all neighbours and moves the larger ones; the small step at the smaller ones."""
     if large:
         edges = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -61,20 +65,19 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
             rows = np.unique(rows, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["u", "v"])
 
-    return local_forest(edges.repartition("u").sortWithinPartitions("u", "v").mapInArrow(run, "u long, v long"))
+    dealt = edges.repartition("u").coalesce(tasks)  # a node's rows stay in one task
+    return local_forest(dealt.sortWithinPartitions("u", "v").mapInArrow(run, "u long, v long"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v) links -> (node, component): the smallest node reachable. Nodes
-    without a link have no row. Each round is written to the shared folder; the
-    number of rounds grows with the logarithm of the longest chain."""
-    edges = local_forest(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"))
+    without a link have no row. Each round is written to the shared folder, by as many
+    tasks as its links need; the number of rounds grows with the logarithm of the longest chain."""
+    seen = dict(n=F.count(F.lit(1)), links=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), most=F.max("u"))
+    edges, state = stored_with(local_forest(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")), **seen)
     before = None
-    while True:
-        edges, state = stored_with(star(star(edges, large=True), large=False), n=F.count(F.lit(1)),
-                                   links=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), most=F.max("u"))
-        if state == before or not state["n"]:  # without links there is nothing to repeat
-            break
-        before = state
+    while state != before and state["n"]:  # without links there is nothing to repeat
+        before, tasks = state, -(-state["n"] // LINKS)
+        edges, state = stored_with(star(star(edges, True, tasks), False, tasks), **seen)
     joined = edges.distinct().select(F.col("u").alias("node"), F.col("v").alias("component"))
     return joined.union(joined.select(F.col("component").alias("node"), "component").distinct())
