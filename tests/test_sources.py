@@ -1,5 +1,6 @@
 """Readers, writers, result tables and quarantine."""
 
+import gzip
 import json
 import os
 import tempfile
@@ -283,6 +284,57 @@ def test_text_files_of_a_local_folder_start_no_process(spark):
     assert sum(n.endswith(".txt") for n in names) == 50 and not any(n.endswith(".crc") for n in names)
 
 
+def _folder(files):
+    d = tempfile.mkdtemp(prefix="vellum-texts-")
+    for name, content in files.items():
+        os.makedirs(os.path.dirname(os.path.join(d, name)), exist_ok=True)
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(content)
+    return d
+
+
+def test_text_dir_keeps_no_file_on_the_driver(spark):
+    """Spark's own reader held the status of each file and a place for it in a task there."""
+    from vellum.plans import io_q as IQ
+
+    d = _folder({f"split={i % 3}/{i}.txt": b"text %d\n" % i for i in range(600)})
+    read = RD.read_text_dir(spark, d)
+    assert len(read.inputFiles()) <= 3
+    assert sorted((r.split, r.text, r.file) for r in read.collect()) == sorted((i % 3, f"text {i}", f"file://{d}/split={i % 3}/{i}.txt") for i in range(600))
+
+    sf = W.scratch_path(spark, "documents-of-texts")
+    lang = F.element_at(F.array(F.lit("de"), F.lit("en")), (F.col("id") % 2 + 1).cast("int"))
+    spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 50).cast("string").alias("text"), lang.alias("lang")).write.parquet(f"{sf}/documents.parquet")
+    out = IQ.Q["src_text_dir"](spark, sf)
+    assert len(out.inputFiles()) <= 2
+    assert sorted(map(tuple, out.collect())) == [("de", 150, 270, 25), ("en", 150, 270, 25)]
+
+
+def test_text_dir_by_tasks_equals_sparks_reader(spark, monkeypatch):
+    signs = "".join(chr(c) for c in range(33, 127) if chr(c) not in "/:")
+    names = [f"a {signs}.txt", "b\u00e9\u4e2d\u00a0\u2028\x7f\x85 z\t", "u_v\u2160\u0301\U0001f600\xb2", "%41"]
+    texts = [b"", b"\n", b"a\rb\r\nc\n\nd ", b"\xff\xfe a\x80", b"a\x00b", b"\xef\xbb\xbfbom"]
+    odd = {n: t + b"x" for n, t in zip(names, texts)} | {f"t{i}": t for i, t in enumerate(texts)}
+    hidden = {"_h": b"h", ".i": b"i", "j._COPYING_": b"j", "_k/l": b"l"}
+    folders = [
+        odd | hidden | {"nested/a": b"not read without partition columns"},
+        {"y=1/d=2024-01-02/a": b"a", "y=__HIVE_DEFAULT_PARTITION__/d=2024-01-03/b": b"b", "y=2/d=2024-01-04/sub/c": b"c", "y=3/d=2024-01-05/empty": b"", "root": b"r"},
+        {f"n={i / 2}/x{j}": b"%d" % j for i in range(40) for j in range(i % 3)},
+        {"t=2024-01-01 10%3A00%3A00/a": b"a", "t=2024-01-02 11%3A30%3A00/a": b"b", "t=2024-01-02 11%3A30%3A00/_h": b"h"},
+        {"y=x{1} [2]^%25?*\\/b c": b"b", "y=2/a.gz/b": b"b"}, {"y=1/a.gz": gzip.compress(b"packed"), "y=2/b": b"b"},
+        {"file=1/value2=x/a": b"a"}, {"only/nested": b"n"}, {"empty": b""}, {}]
+    paths = [_folder(files) for files in folders]
+    paths += [f"{paths[1]}/y=1", f"{paths[2]}/n=*", f"{paths[1]}/y=1/d=2024-01-02/a", f"file:{paths[1]}/", f"file://{paths[0]}"]
+
+    def read():
+        monkeypatch.setattr(RD, "BATCH_BYTES", 3)
+        return [(d.dtypes, sorted(map(repr, d.collect()))) for d in (RD.read_text_dir(spark, path) for path in paths)]
+
+    tasks = read()
+    monkeypatch.setattr(W, "_local_folder", lambda *_: None)
+    assert tasks == read()
+
+
 def test_stream_source_follows_size(spark):
     from vellum.streaming import sinks as SK
 
